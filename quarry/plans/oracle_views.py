@@ -55,6 +55,10 @@ VIEWS = {
         "CAST(to_json([{'text': substr(text, 1, CASE WHEN doc_id % 2 = 0 THEN 50 ELSE 200 END)}, {'text': lang}]) AS VARCHAR) AS content "
         "FROM documents"
     ),
+    "asks": (
+        "SELECT query_id, project, text FROM queries UNION ALL "
+        "SELECT trace_id + 1000000 AS query_id, d.source AS project, t.text FROM traces t JOIN documents d ON t.trace_id = d.doc_id"
+    ),
     "opens": "SELECT user_id, 'p' || CAST(event_id % 50 AS VARCHAR) AS path, ts, event_id, event_type, value FROM events",
     "vectors": "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS embedding, label FROM embeddings",
     "seeds": "SELECT id FROM vectors WHERE id IN (0, 1, 2)",
@@ -67,6 +71,8 @@ _ORDER = list(VIEWS)
 def with_views(sql: str) -> str:
     ctes = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in _ORDER)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH " or body[:5].upper() == "WITH\n":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -108,6 +108,16 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("trace_id"), text.alias("text"))
 
 
+def asks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asks(query_id, project, text): the questions plus the tracebacks, each
+    aimed at the project of the document it is about."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    tr = traces(spark, sf_dir).join(d, F.col("trace_id") == F.col("doc_id")).select(
+        (F.col("trace_id") + 1000000).alias("query_id"), F.col("source").alias("project"), "text"
+    )
+    return queries(spark, sf_dir).unionByName(tr)
+
+
 def _doc_paths(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id"), doc_path("doc_id", "lang").alias("dpath"))
