@@ -18,6 +18,7 @@ VIEWS = {
         "SELECT project, path, ord, CASE WHEN ord % 5 = 0 THEN content || chr(10) || 'edited' ELSE content END AS content "
         "FROM files WHERE ord % 10 <> 7"
     ),
+    "files_in": "SELECT * FROM files_b UNION ALL SELECT * FROM files_a WHERE ord % 40 = 7",
     "doc_paths": f"SELECT doc_id, {DOC_PATH} AS dpath, source, lang FROM documents",
     "queries": (
         "SELECT b.item_id AS query_id, coalesce(d.source, 'src0') AS project, "

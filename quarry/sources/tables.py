@@ -71,6 +71,12 @@ def files_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def files_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming sync set: the current snapshot plus a few files of the projects it
+    lost entirely, so those projects are present and their other files orphaned."""
+    return files_b(spark, sf_dir).unionByName(files_a(spark, sf_dir).where(F.col("ord") % 40 == 7))
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """queries(query_id, project, text): benchmark prose aimed at the project of
     document ``item_id``; every fourth query also names that document's path."""
