@@ -40,10 +40,10 @@ def scan(files: DataFrame, keys=("project", "path"), text_col: str = "content")
     """Candidates (keys, line, type, confidence, context, value)."""
     hit = files.where(_c(text_col).rlike(ANY_RULE))
     lines = hit.select(*keys, F.posexplode(F.split(text_col, "\n")).alias("i", "ctx")).where(F.col("ctx").rlike(ANY_RULE))
-    found = F.flatten(F.array(*[
-        F.transform(F.regexp_extract_all("ctx", F.lit(rx), g), lambda v, t=t, c=c: F.struct(F.lit(t).alias("type"), F.lit(c).alias("confidence"), v.alias("value")))
-        for t, rx, g, c in RULES
-    ]))
+    def tag(t, c):
+        return lambda v: F.struct(F.lit(t).alias("type"), F.lit(c).alias("confidence"), v.alias("value"))
+
+    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("ctx", F.lit(rx), g), tag(t, c)) for t, rx, g, c in RULES]))
     out = lines.select(*keys, (F.col("i") + 1).cast("long").alias("line"), F.trim("ctx").alias("context"), F.explode(found).alias("m"))
     return out.select(*keys, "line", "m.type", "m.confidence", "context", "m.value").where(F.length("value") > 0)
 

@@ -124,8 +124,8 @@ def q_apply_patches(spark, sf):
 
 
 _PARSE = """
-SELECT id, project, CASE WHEN json_valid(body) AND json_type(body) = 'ARRAY' THEN 'ok' ELSE 'invalid' END AS status,
-       CASE WHEN json_valid(body) AND json_type(body) = 'ARRAY' THEN CAST(len(from_json(body, '["VARCHAR"]')) AS INTEGER) END AS n_paths
+SELECT id, project, CASE WHEN coalesce(try(json_type(body)) = 'ARRAY', false) THEN 'ok' ELSE 'invalid' END AS status,
+       CAST(len(try(from_json(body, '["VARCHAR"]'))) AS INTEGER) AS n_paths
 FROM (SELECT id, project, regexp_extract(regexp_replace(regexp_replace(regexp_extract(text, '(?s)^\\s*(.*?)\\s*$', 1), '^```[^\\n]*\\n', ''),
       '\\n[ \\t]*```$', ''), '(?s)^\\s*(.*?)\\s*$', 1) AS body FROM selections)
 """
@@ -160,7 +160,7 @@ def q_tool_rows(spark, sf):
     return rs.tool_rows(t.tool_results(spark, sf))
 
 
-_CANON = q.normalize("path")
+_CANON = q.normalize("req.path")
 
 
 @register("reconcile_selection", "J13", f"""
