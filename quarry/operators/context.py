@@ -184,7 +184,8 @@ def relevance(queries: DataFrame, files: DataFrame, scope: str = "project") -> D
                     out["ord"].append(ordv)
                     out["tokens"].append(ntok)
                     out["score"].append(name + sum(1 for t in ts if t in found))
-            yield pd.DataFrame(out)
+            if out["path"]:
+                yield pd.DataFrame(out)
 
     return files.select(scope, "path", "ord", "content").mapInPandas(
         run, f"query_id {qid_type}, {scope} {key_type}, path string, ord bigint, tokens bigint, score bigint")

@@ -103,7 +103,8 @@ def search(probes: DataFrame, corpus: DataFrame, top_k: int = DEFAULT_TOP_K, min
                 out_p.extend([pid] * len(idx))
                 out_i.extend(ids[idx].tolist())
                 out_s.extend(scores[idx].tolist())
-            yield pd.DataFrame({probe_key: out_p, id_col: out_i, "score": out_s})
+            if out_p:
+                yield pd.DataFrame({probe_key: out_p, id_col: out_i, "score": out_s})
 
     part = corpus.select(id_col, F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(
         run, f"{probe_key} {pk_type}, {id_col} {id_type}, score double")
