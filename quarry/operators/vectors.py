@@ -35,16 +35,40 @@ def hashing_embedding(text: Column, dim: int = EMBED_DIM) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
 
 
+def _hashing_tf(df: DataFrame, text_col: str, out_col: str, dim: int = EMBED_DIM) -> DataFrame:
+    """U1 default via spark.ml HashingTF (JVM-side feature hashing of tokens)."""
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    toks = df.withColumn("_toks", F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) > 0))
+    tf = HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=dim).transform(toks)
+    return tf.withColumn(out_col, vector_to_array("_tf")).drop("_toks", "_tf")
+
+
 def build_index(files: DataFrame, embed=None, key=("project", "path")) -> DataFrame:
     """V3: P8 bounds, X5 input text, embedding, unit normalisation, size metadata.
-    Rows whose embedding is null (the plug-in failed) are left out."""
+    Rows whose embedding is null (the plug-in failed) are left out. ``embed`` is
+    any column function (e.g. a pandas_udf returning ARRAY<DOUBLE>); the default
+    is feature hashing."""
     f = files.where((F.length("content") >= INDEX_MIN_CHARS) & (F.length("content") <= INDEX_MAX_CHARS))
-    text = X.embed_input(F.col("path"), F.col("content"))
-    emb = embed(text) if embed is not None else hashing_embedding(text)
-    out = f.select(*key, emb.alias("raw"), F.length("content").cast("long").alias("size")).where(F.col("raw").isNotNull())
+    f = f.select(*key, X.embed_input(F.col("path"), F.col("content")).alias("_in"), F.length("content").cast("long").alias("size"))
+    if embed is not None:
+        out = f.select(*key, embed(F.col("_in")).alias("raw"), "size")
+    else:
+        out = _hashing_tf(f, "_in", "raw").select(*key, "raw", "size")
+    out = out.where(F.col("raw").isNotNull())
     return out.select(*key, V.normalize(F.col("raw").cast("array<double>")).alias("embedding"), "size")
 
 
+def embed_texts(df: DataFrame, text_col: str, out_col: str = "embedding", embed=None) -> DataFrame:
+    """Embed free text (queries) the same way as the index, unit normalised."""
+    if embed is not None:
+        e = df.withColumn(out_col, embed(F.col(text_col)))
+    else:
+        e = _hashing_tf(df, text_col, out_col)
+    return e.withColumn(out_col, V.normalize(F.col(out_col).cast("array<double>")))
+
+
 def search(probes: DataFrame, corpus: DataFrame, top_k: int = DEFAULT_TOP_K, min_score: float = 0.0,
            probe_key: str = "probe_id", id_col: str = "id", exclude_self: bool = False, digits: int = 6) -> DataFrame:
     """V4 (and V5 with ``exclude_self``): cosine top-k per probe with an inclusive

@@ -141,7 +141,8 @@ def q_latest_attributes(spark, sf):
 
 
 @register("move_item", "W9", """
-WITH req AS (SELECT project, path, CASE WHEN ord < 30 THEN 'up' ELSE 'down' END AS direction FROM files WHERE ord BETWEEN 20 AND 39),
+WITH req AS (SELECT DISTINCT f.project, f.path, CASE WHEN f.ord % 2 = 0 THEN 'up' ELSE 'down' END AS direction
+             FROM files f JOIN queries q ON q.project = f.project AND contains(q.text, f.path)),
 nb AS (SELECT project, path, ord, lag(path) OVER w AS prev_path, lag(ord) OVER w AS prev_ord, lead(path) OVER w AS next_path, lead(ord) OVER w AS next_ord
        FROM files WINDOW w AS (PARTITION BY project ORDER BY ord)),
 sw AS (SELECT n.project, n.path AS r_path, n.ord AS r_ord,
@@ -154,8 +155,10 @@ SELECT f.project, f.path, coalesce(p.new_ord, f.ord) AS ord FROM files f LEFT JO
 """)
 def q_move_item(spark, sf):
     f = t.files(spark, sf)
-    req = f.where(F.col("ord").between(20, 39)).select(
-        "project", "path", F.when(F.col("ord") < 30, "up").otherwise("down").alias("direction"))
+    # move requests: the files a question names (derived from the data)
+    q = t.queries(spark, sf).select("project", F.col("text").alias("q"))
+    named = f.join(F.broadcast(q), "project").where(F.col("q").contains(F.col("path"))).select("project", "path", "ord").distinct()
+    req = named.select("project", "path", F.when(F.col("ord") % 2 == 0, "up").otherwise("down").alias("direction"))
     return rg.move_item(f.select("project", "path", "ord"), req)
 
 

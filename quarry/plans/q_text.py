@@ -176,11 +176,16 @@ def q_reconcile_selection(spark, sf):
     return rs.reconcile_selection(t.files(spark, sf), _requests(spark, sf), "/project/root/")
 
 
-@register("excluded_files", "J14")
+@register("excluded_files", "J14", f"""
+WITH {{_PARSE_REQ}},
+sel AS (SELECT req.project, CASE WHEN starts_with({_CANON}, '/project/root/' || req.project || '/')
+               THEN substr({_CANON}, length('/project/root/' || req.project || '/') + 1) ELSE {_CANON} END AS path FROM req WHERE path IS NOT NULL)
+SELECT project, path FROM files f WHERE NOT EXISTS (SELECT 1 FROM sel WHERE sel.project = f.project AND sel.path = f.path)
+""".replace("{_PARSE_REQ}", __import__("quarry.plans.q_store", fromlist=["_REQ"])._REQ.strip()))
 def q_excluded_files(spark, sf):
     from quarry.plans.q_store import _requests
 
-    sel = rs.reconcile_selection(t.files(spark, sf), _requests(spark, sf).where(F.col("id") % 2 == 0), "/project/root/")
+    sel = rs.reconcile_selection(t.files(spark, sf), _requests(spark, sf), "/project/root/")
     return rs.excluded_files(t.files(spark, sf), sel)
 
 

@@ -114,7 +114,7 @@ def q_conversation_search(spark, sf):
                     F.concat(F.lit("turn_"), F.col("turn").cast("string")).alias("path"), F.col("text").alias("content"))
     idx = vx.build_index(msgs).withColumn("id", F.concat_ws("/", "project", "path"))
     q = t.queries(spark, sf).select(F.col("query_id").alias("probe_id"), F.col("text"))
-    qv = q.select("probe_id", V.normalize(vx.hashing_embedding(F.col("text"))).alias("embedding"))
+    qv = vx.embed_texts(q, "text").select("probe_id", "embedding")
     return vx.search(qv, idx, 5, 0.0)
 
 
@@ -122,7 +122,7 @@ def q_conversation_search(spark, sf):
 def q_rehydrate_hits(spark, sf):
     f = t.files(spark, sf)
     idx = vx.build_index(f).withColumn("id", F.concat_ws("|", "project", "path"))
-    q = t.queries(spark, sf).select(F.col("query_id").alias("probe_id"), V.normalize(vx.hashing_embedding(F.col("text"))).alias("embedding"))
+    q = vx.embed_texts(t.queries(spark, sf).select(F.col("query_id").alias("probe_id"), "text"), "text").select("probe_id", "embedding")
     hits = vx.search(q, idx, 5, 0.0).select(
         "probe_id", F.split("id", r"\|").getItem(0).alias("project"), F.split("id", r"\|").getItem(1).alias("path"),
         (1 - F.col("score")).alias("distance"))
