@@ -9,6 +9,7 @@ whole project.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -263,7 +264,9 @@ def pack_context(queries: DataFrame, files: DataFrame, max_tokens: int = 100000,
 
     state = _persist(state.where(F.col("remaining") > 0))
     accepted = []
+    rounds = 0
     while True:
+        rounds += 1
         stats = state.agg(F.count(F.lit(1)).alias("n"), F.max("remaining").alias("r")).first()
         if not stats["n"]:
             break
@@ -278,19 +281,29 @@ def pack_context(queries: DataFrame, files: DataFrame, max_tokens: int = 100000,
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("ord"))
         top = avail.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k_max)
         top = top.where(F.col("rk") <= F.ceil(F.col("remaining") / HEADER_TOKENS))
-        run = top.withColumn("running", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        run = _persist(run)
-        accepted.append(run.where(F.col("running") < F.col("remaining")).select("query_id", scope, "path", "ord", "score", "cost"))
-        rej = run.where(F.col("running") >= F.col("remaining")).groupBy("query_id").agg(
-            F.min_by(F.struct("score", "ord", (F.col("running") - F.col("cost")).alias("used"), "remaining"), "rk").alias("r")
-        )
-        state = _persist(rej.select(
-            "query_id", (F.col("r.remaining") - F.col("r.used")).alias("remaining"),
-            F.col("r.score").alias("c_score"), F.col("r.ord").alias("c_ord"),
+        # Exact greedy over this round's bounded list (<= remaining / 20 items per
+        # query): one fold per query, JVM-side.
+        grp = top.groupBy("query_id", scope, "remaining").agg(
+            F.array_sort(F.collect_list(F.struct("rk", "score", "ord", "cost", "path"))).alias("items"),
+            F.ceil(F.first("remaining") / HEADER_TOKENS).alias("k"))
+        init = F.struct(F.col("remaining").alias("rem"), F.array().cast(
+            "array<struct<rk:int,score:bigint,ord:bigint,cost:bigint,path:string>>").alias("acc"))
+        folded = grp.withColumn("f", F.aggregate(
+            "items", init,
+            lambda a, x: F.when(x["cost"] < a["rem"], F.struct((a["rem"] - x["cost"]).alias("rem"),
+                                                               F.array_append(a["acc"], x).alias("acc"))).otherwise(a)))
+        folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+        accepted.append(folded.select("query_id", scope, F.explode("f.acc").alias("x")).select(
+            "query_id", scope, "x.path", "x.ord", "x.score", "x.cost"))
+        more = folded.where((F.size("items") >= F.col("k")) & (F.col("f.rem") > 0))
+        state = _persist(more.select(
+            "query_id", F.col("f.rem").alias("remaining"),
+            F.element_at("items", -1)["score"].alias("c_score"), F.element_at("items", -1)["ord"].alias("c_ord"),
         ))
     scored = accepted[0] if accepted else cand.limit(0).select("query_id", scope, "path", "ord", "score", "cost")
     for a in accepted[1:]:
         scored = scored.unionByName(a)
+    pack_context.last_rounds = rounds
     pr = prio.select("query_id", scope, "path", "ord", F.lit(None).cast("long").alias("score"), "cost",
                      F.lit("priority").alias("kind"), "crash_line")
     sc = scored.select("*", F.lit("scored").alias("kind"), F.lit(None).cast("long").alias("crash_line"))

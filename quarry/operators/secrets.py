@@ -7,6 +7,8 @@ files without any hit (a combined prefilter runs first).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,19 @@ RULES = [
     ("assigned_secret", r"(?i)\b(?:password|passwd|secret|token|api_key|apikey|client_secret|auth_token)\s*[:=]\s*[\"']([^\"'\s]{8,})[\"']", 1, "medium"),
 ]
 ANY_RULE = "|".join(f"(?:{rx})" for _, rx, _, _ in RULES)
+# Literals at least one of which occurs whenever a rule matches: a cheap
+# necessary condition tested before any regex runs.
+CASE_HINTS = ["AKIA", "AIza", "sk_live_", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxa-", "xoxb-", "xoxp-", "xoxr-",
+              "whsec_", "-----BEGIN ", "eyJ", "://"]
+LOWER_HINTS = ["password", "passwd", "secret", "token", "api_key", "apikey"]
+
+
+def maybe_secret(c) -> F.Column:
+    """True when the text may hold a secret (literal prefilter, then the rules)."""
+    t = _c(c)
+    low = F.lower(t)
+    hint = reduce(lambda a, b: a | b, [t.contains(h) for h in CASE_HINTS] + [low.contains(h) for h in LOWER_HINTS])
+    return hint & t.rlike(ANY_RULE)
 
 
 def _c(c):
@@ -38,8 +53,8 @@ def _c(c):
 
 def scan(files: DataFrame, keys=("project", "path"), text_col: str = "content") -> DataFrame:
     """Candidates (keys, line, type, confidence, context, value)."""
-    hit = files.where(_c(text_col).rlike(ANY_RULE))
-    lines = hit.select(*keys, F.posexplode(F.split(text_col, "\n")).alias("i", "ctx")).where(F.col("ctx").rlike(ANY_RULE))
+    hit = files.where(maybe_secret(text_col))
+    lines = hit.select(*keys, F.posexplode(F.split(text_col, "\n")).alias("i", "ctx")).where(maybe_secret("ctx"))
     def tag(t, c):
         return lambda v: F.struct(F.lit(t).alias("type"), F.lit(c).alias("confidence"), v.alias("value"))
 
@@ -56,7 +71,7 @@ def redact(files: DataFrame, whitelist=(), text_col: str = "content") -> DataFra
     vals = F.filter(vals, lambda v: (F.length(v) > 0) & ~F.array_contains(F.array(*[F.lit(w) for w in whitelist]).cast("array<string>"), v))
     ordered = F.transform(F.array_sort(F.transform(vals, lambda v: F.struct((-F.length(v)).alias("k"), v.alias("v")))), lambda s: s["v"])
     red = F.aggregate(ordered, _c(text_col), lambda acc, v: F.replace(acc, v, F.lit(REDACTION)))
-    return files.withColumn(text_col, F.when(_c(text_col).rlike(ANY_RULE), red).otherwise(_c(text_col)))
+    return files.withColumn(text_col, F.when(maybe_secret(text_col), red).otherwise(_c(text_col)))
 
 
 def scrub(files: DataFrame, text_col: str = "content") -> DataFrame:
