@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the white space of the word pattern [^\x20\x09-\x0D]+.
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 #: Text handled at a time inside a task, so that numpy temporaries stay bounded.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 IS_WHITE = np.zeros(256, bool)
 IS_WHITE[list(WHITE)] = True
@@ -126,6 +127,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """The same rows written as Parquet in the shared folder and read again: smaller than a checkpoint."""
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def global_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     """Rows numbered 0, 1, ... by ``order``: a range sort, then a count for each range.
 

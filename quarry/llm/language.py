@@ -27,6 +27,8 @@ ROW_CHARS = 800
 #: Symbols of all languages' samples together, so that many languages stay within memory.
 TOTAL_CHARS = 640_000
 PIECE = 2048
+#: Text parsed in step at a time.
+STEP_BYTES = 4 << 20
 FOLDS = 5
 UNDETERMINED = "und"
 
@@ -179,7 +181,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", STEP_BYTES):
             lang, score = shared.value.predict(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 

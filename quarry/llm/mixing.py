@@ -47,9 +47,13 @@ def sizes(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, size long")
 
 
+def _order_key(seed: int, doc_id):
+    h = F.xxhash64(F.lit(seed), doc_id)
+    return F.struct(F.pmod(h, F.lit(BUCKETS)).alias("b"), h.alias("h"), doc_id.alias("d"))
+
+
 def _key(df: DataFrame, seed: int) -> DataFrame:
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    return df.withColumn("_key", F.struct(F.pmod(h, F.lit(BUCKETS)).alias("b"), h.alias("h"), F.col("doc_id").alias("d")))
+    return df.withColumn("_key", _order_key(seed, F.col("doc_id")))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -122,21 +126,24 @@ def first_words(text: str, n: int) -> str:
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mixture: each row of ``docs`` as often as it is taken, the last repetition of a source cut to its words."""
     per = plan(cut(sizes(docs)), weights, max_epochs, seed)
-    rows = _placed(docs, per, seed)
-    full = F.when(F.col("_end").isNull(), F.lit(0)).when(F.col("_key") < F.col("_end"), F.lit(1)).otherwise(F.lit(0))
-    part = F.when(F.col("_key") == F.col("_end"), F.col("_part")).otherwise(F.lit(0))
-    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col("whole") + full).alias("_times"), part.alias("_words"))
+    per = per.select("_s", "whole", "_end", "_part").toDF("__source", "__whole", "__end", "__part")
+    near = F.broadcast(per) if per.count() <= BROADCAST_SOURCES else per
+    key = _order_key(seed, docs["doc_id"])
+    full = F.when(F.col("__end").isNull(), F.lit(0)).when(key < F.col("__end"), F.lit(1)).otherwise(F.lit(0))
+    part = F.when(key == F.col("__end"), F.col("__part")).otherwise(F.lit(0))
+    rows = docs.join(near, docs["source"].cast("string").eqNullSafe(near["__source"]))
+    rows = rows.select(*[docs[f"`{c}`"] for c in docs.columns], (F.col("__whole") + full).alias("__times"), part.alias("__words"))
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
         for b in blocks(batches, "text"):
-            times = b.column("_times").to_numpy().astype(np.int64) * (word_counts(b.column("text")) > 0)
+            times = b.column(len(names)).to_numpy().astype(np.int64) * (word_counts(b.column("text")) > 0)
             own = b.select(names)
             yield own.take(pa.array(np.repeat(np.arange(len(times)), times)))
-            some = np.flatnonzero(b.column("_words").to_numpy())
+            some = np.flatnonzero(b.column(len(names) + 1).to_numpy())
             if len(some):
                 own = own.take(pa.array(some))
-                less = [first_words(t or "", int(n)) for t, n in zip(own.column(at).to_pylist(), b.column("_words").to_numpy()[some], strict=True)]
+                less = [first_words(t or "", int(n)) for t, n in zip(own.column(at).to_pylist(), b.column(len(names) + 1).to_numpy()[some], strict=True)]
                 yield own.set_column(at, own.schema.field(at), pa.array(less, own.schema.field(at).type))
 
     return rows.mapInArrow(run, docs.schema)
