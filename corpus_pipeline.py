@@ -8,8 +8,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import mixing, quality
+from quarry.llm import mixing, neardup, pieces, quality, suffix_dedup
 from quarry.llm.common import checkpoint_root
 
 
@@ -18,14 +19,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    return neardup.first_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 100 bytes or more that start earlier; n_chars follows the text."""
+    kept = suffix_dedup.remove_repeats(docs).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: documents repeated, cut or left out so that sources meet their targets."""
-    return mixing.mix(docs)
+    mixed = mixing.mix(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else mixed
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document and the digest of the text decoded from them."""
+    back = pieces.decode(pieces.encode(docs)).withColumnRenamed("text", "decoded")
+    return back.select("doc_id", "n_tokens", "ids_crc32", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
     ("mix_sources", mix_sources),
+    ("encode_pieces", encode_pieces),
 ]
 
 #: No SQL expresses the forest, the signatures or the shortest paths; tests hold the stages against brute force.

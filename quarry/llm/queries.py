@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language, mixing, neardup, quality, suffix_dedup
+from quarry.llm import language, mixing, neardup, pieces, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +34,14 @@ def op2_language_id(spark, sf_dir):
     return language.identify(docs, language.train(docs))
 
 
+@query
+def op3_sentencepiece(spark, sf_dir):
+    """Ids of every whole text, decoded again and held against the text."""
+    docs = table(spark, sf_dir, "documents")
+    out = pieces.decode(pieces.encode(docs))
+    return out.select("doc_id", "n_tokens", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 @query
 def op6_mixing(spark, sf_dir):
     sized = mixing.cut(mixing.sizes(table(spark, sf_dir, "documents")))
