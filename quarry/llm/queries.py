@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language, mixing, neardup, pieces, quality, suffix_dedup
+from quarry.llm import language, mixing, neardup, pieces, quality, shared_files, suffix_dedup, warc
+from quarry.llm.common import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +43,25 @@ def op3_sentencepiece(spark, sf_dir):
     return out.select("doc_id", "n_tokens", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+@query
+def op4_warc(spark, sf_dir):
+    folder = shared_files.new_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    out = warc.resolved(store(warc.read(spark, folder), "records"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op4_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.page_id, CAST(d.payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
+       CASE WHEN d.page_id > f.first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN d.page_id > f.first THEN f.first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
+
 @query
 def op6_mixing(spark, sf_dir):
     sized = mixing.cut(mixing.sizes(table(spark, sf_dir, "documents")))
