@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language, mixing, neardup, pieces, quality, shared_files, suffix_dedup, warc
+from quarry.llm import language, mixing, neardup, pieces, quality, shared_files, suffix_dedup, token_files, warc
 from quarry.llm.common import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,13 @@ FROM d LEFT JOIN f USING (payload_digest)
 """
 
 
+@query
+def op5_token_files(spark, sf_dir):
+    folder = shared_files.new_folder(spark, "ids")
+    token_files.write(table(spark, sf_dir, "documents"), folder)
+    return token_files.read(spark, folder)
+
+
 @query
 def op6_mixing(spark, sf_dir):
     sized = mixing.cut(mixing.sizes(table(spark, sf_dir, "documents")))
