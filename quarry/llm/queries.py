@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language, mixing, neardup, pieces, quality, shared_files, suffix_dedup, token_files, warc
+from quarry.llm import fingerprints, html_text, language, mixing, neardup, pieces, quality, shared_files, suffix_dedup, token_files, warc
 from quarry.llm.common import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,13 @@ def op7_quality_rules(spark, sf_dir):
 @query
 def op10_minhash_neardup(spark, sf_dir):
     return neardup.link(table(spark, sf_dir, "documents"), k=4)
+
+
+@query
+def op8_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_fingerprints(spark, sf_dir):
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
