@@ -1,6 +1,5 @@
-"""Catalog entries: gathering (S1-S4). The on-disk tree for S1/S2 is written by
-Spark from the ``files`` table into the checkpoint folder, so its size follows
-the input."""
+"""Catalog entries: gathering (S1-S4). The on-disk tree for S1/S2 is written from the
+``files`` table below the checkpoint folder, so its size follows the input."""
 
 from pyspark.sql import functions as F
 
@@ -10,19 +9,28 @@ from quarry.sources import gather as ga
 from quarry.sources import tables as t
 
 
-@register("scan_read_tree", "S1/S2", """
-SELECT project, count(*) > 0 AS listed, CAST(sum(octet_length(encode(content)) + 1) AS BIGINT) AS bytes FROM files
-WHERE NOT starts_with(path, '.git/') GROUP BY project
+# Beside the table's files each project gets names that listings like to hide, a file that
+# is no UTF-8 and one in an ignored folder.
+_EXTRA = {"__init__.py": "print(1)", ".env": "A=1", ".github/ci.yml": "on: push", "_docs/x.md": "# x", "node_modules/deep/y.js": "y"}
+_BAD = "bad.bin"
+
+
+@register("scan_read_tree", "S1/S2", f"""
+SELECT project, path, md5(content) AS md5 FROM files WHERE NOT starts_with(path, '.git/') AND NOT starts_with(path, 'node_modules/')
+UNION ALL
+SELECT p.project, e.path, md5(e.content) FROM (SELECT DISTINCT project FROM files) p,
+  (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _EXTRA.items() if not k.startswith("node_modules/"))}, ('{_BAD}', 'Error: Could not read file')) e(path, content)
 """)
 def q_scan_read_tree(spark, sf):
     root = scratch_path(spark, "tree")
     f = t.files(spark, sf)
-    f.withColumn("top", F.regexp_extract("path", r"^([^/]*)/", 1)).select("project", "top", "content").write.partitionBy(
-        "project", "top").text(root)
-    rd = ga.read_tree(spark, root, ignore_patterns=["top=.git/", "_SUCCESS"])
-    rd = rd.withColumn("project", F.regexp_extract("rel", r"project=([^/]+)/", 1))
-    # text files written by Spark: one line per row, newline-terminated
-    return rd.groupBy("project").agg(F.count(F.lit(1)) > 0, F.sum("length").alias("bytes")).toDF("project", "listed", "bytes")
+    extra = [F.struct(F.lit(k).alias("path"), F.lit(v).cast("binary").alias("data")) for k, v in _EXTRA.items()]
+    extra.append(F.struct(F.lit(_BAD).alias("path"), F.unhex(F.lit("FFFE80")).alias("data")))
+    more = f.select("project").distinct().select("project", F.explode(F.array(*extra)).alias("e")).select("project", "e.path", "e.data")
+    ga.write_tree(f.select("project", "path", F.col("content").cast("binary").alias("data")).unionByName(more), root)
+    rd = ga.read_tree(spark, root, ignore_patterns=["node_modules/"])
+    return rd.select(F.substring_index("rel", "/", 1).alias("project"), F.expr("substring(rel, instr(rel, '/') + 1)").alias("path"),
+                     F.md5("text").alias("md5"))
 
 
 @register("gather", "S3", """

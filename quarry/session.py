@@ -2,13 +2,15 @@
 
 The cluster names a shared folder in ``spark.checkpoint.dir``; operators that cut
 lineage (iterative packing, store versions) read it from the session. Only when it
-is unset, as in local tests, do we create a scratch folder of our own.
+is unset and the master is local, as in tests, do we create a folder of our own.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -34,10 +36,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared lineage-cut folder: the session's setting, or a local one in tests."""
+    """The shared folder of the session (``spark.checkpoint.dir``).
+
+    On a cluster it must be set: executors do not see each other's local folders. A
+    local master is one machine, so there an unset option gets a folder of its own.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="quarry-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
@@ -46,7 +54,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the checkpoint dir for materialised intermediate tables."""
-    import uuid
-
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -1,54 +1,126 @@
 """Gathering files.
 
-Listing uses the ``binaryFile`` source with recursive lookup and selects only
-``path``/``length``/``modificationTime`` so the content column is pruned; content
-is read in a second pass only for the files that survive the filters.
+Folders are listed in tasks, one level of the tree at a time, so that ignored folders
+are never entered and names that Spark's own listing hides (``_x``, ``.x``) are seen.
+Content is read in a second pass, and only that of the files that survive the filters.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import paths as P
 from quarry.functions import text as X
 from quarry.functions import wildcard as W
+from quarry.session import checkpoint_dir
 
+_LISTING = "rel string, is_dir boolean, length long, modified timestamp"
+#: Content handed on at a time by a reading task.
+READ_BATCH_BYTES = 8 << 20
 
-def _rel(root: str) -> F.Column:
-    r = root.rstrip("/") + "/"
-    p = F.regexp_replace(F.col("path"), r"^file:", "")
-    return F.when(p.startswith(r), F.substring(p, len(r) + 1, 1 << 30)).otherwise(p)
 
+def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if re.match(r"^[a-z][a-z0-9+.-]*:", path):
+        return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return pafs.LocalFileSystem(), path
 
-def scan_project(spark: SparkSession, root: str, ignore_patterns=(), path_glob: str | None = None) -> DataFrame:
-    """Recursive listing of non-ignored files: (path, rel, length, modified)."""
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if path_glob:
-        r = r.option("pathGlobFilter", path_glob)
-    df = r.load(root).select("path", "length", "modificationTime")
-    df = df.withColumn("rel", _rel(root.replace("file:", "")))
-    rules = W.compile_rules(ignore_patterns)
-    return df.where(~W.ignored(F.col("rel"), rules)).select("path", "rel", "length", F.col("modificationTime").alias("modified"))
 
+def _list_folders(root: str):
+    schema = pa.schema([("rel", pa.string()), ("is_dir", pa.bool_()), ("length", pa.int64()), ("modified", pa.timestamp("us", tz="UTC"))])
+
+    def run(batches):
+        fs, base = open_fs(root)
+        for b in batches:
+            for folder in b.column("rel").to_pylist():
+                try:
+                    found = fs.get_file_info(pafs.FileSelector(f"{base}/{folder}" if folder else base))
+                except OSError:  # unreadable folders are skipped
+                    continue
+                rows = [
+                    {"rel": f"{folder}/{f.base_name}" if folder else f.base_name, "is_dir": f.type == pafs.FileType.Directory,
+                     "length": f.size, "modified": f.mtime}
+                    for f in found if f.type in (pafs.FileType.Directory, pafs.FileType.File)
+                ]
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-def decode_content(df: DataFrame, bin_col: str = "content") -> DataFrame:
-    """S2 decoding step on a binaryFile frame."""
-    s = F.col(bin_col).cast("string")
-    return df.withColumn("text", F.when(F.is_valid_utf8(s), s).otherwise(F.lit(X.READ_ERROR_TEXT)))
+    return run
+
+
+def scan_project(spark: SparkSession, root: str, ignore_patterns=()) -> DataFrame:
+    """Recursive listing of non-ignored files: (path, rel, length, modified).
+
+    One job per level of the tree; a folder that matches an ignore rule is not entered.
+    """
+    checkpoint_dir(spark)
+    root = root.rstrip("/")
+    rules = W.compile_rules(ignore_patterns)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, found = spark.createDataFrame([("",)], "rel string"), None
+    while True:
+        level = folders.repartition(parts, "rel").mapInArrow(_list_folders(root), _LISTING)
+        seen = F.when(F.col("is_dir"), F.concat("rel", F.lit("/"))).otherwise(F.col("rel"))
+        level = level.where(~W.matches(seen, rules)).checkpoint(eager=True)
+        files = level.where(~F.col("is_dir"))
+        found = files if found is None else found.unionByName(files)
+        folders = level.where("is_dir").select("rel")
+        if folders.isEmpty():
+            return found.select(F.concat(F.lit(root + "/"), "rel").alias("path"), "rel", "length", "modified")
+
+
+def read_files(listing: DataFrame, path_col: str = "path") -> DataFrame:
+    """The listing with ``text``: UTF-8 content, or a fixed text where a file can't be read or decoded."""
+    names = listing.columns
+
+    def run(batches):
+        for b in batches:
+            held, size, at = [], 0, 0
+            for i, path in enumerate(b.column(names.index(path_col)).to_pylist()):
+                try:
+                    fs, place = open_fs(path)
+                    with fs.open_input_stream(place, compression=None) as f:
+                        text = f.read().decode("utf-8")
+                except (OSError, UnicodeDecodeError):
+                    text = X.READ_ERROR_TEXT
+                held.append(text)
+                size += len(text)
+                if size >= READ_BATCH_BYTES or i + 1 == b.num_rows:
+                    own = b.slice(at, i + 1 - at)
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(held, pa.string())], names=[*names, "text"])
+                    held, size, at = [], 0, i + 1
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listing.schema.fields)
+    return listing.mapInArrow(run, f"{kinds}, text string")
 
 
 def read_tree(spark: SparkSession, root: str, ignore_patterns=(), extensions=None) -> DataFrame:
-    """S1 + S2: list, filter on path and extension first, then read content only
-    for the survivors (the reader is pointed at the same root; Catalyst prunes the
-    content column in the listing and the join keeps the survivors)."""
+    """S1 + S2: list, filter on path and extension, then read the survivors only."""
     from quarry.operators.filters import ext_predicate
 
-    lst = scan_project(spark, root, ignore_patterns)
+    listing = scan_project(spark, root, ignore_patterns)
     if extensions is not None:
-        lst = lst.where(ext_predicate("rel", extensions))
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    return decode_content(lst.join(raw, "path"))
+        listing = listing.where(ext_predicate("rel", extensions))
+    return read_files(listing)
+
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """Writes (project, path, data binary) rows as files below ``root/project/path``; the number written."""
+
+    def run(batches):
+        for b in batches:
+            for project, path, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                fs, place = open_fs(f"{root}/{project}/{path}")
+                fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(place, compression=None) as f:
+                    f.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    return files.select("project", "path", "data").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def gather(explicit: DataFrame, discovered: DataFrame, listing: DataFrame, exclude=(), autodiscover_ext=(),
