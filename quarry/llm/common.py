@@ -8,9 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import checkpoint_dir as checkpoint_root
+
 #: Fixed value: the white space of the word pattern [^\x20\x09-\x0D]+.
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 #: Text handled at a time inside a task, so that numpy temporaries stay bounded.
@@ -110,17 +112,6 @@ def run_starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session; it must be set (tests set their own)."""
-    sc = spark.sparkContext
-    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
-    return root
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut in the shared folder."""
     checkpoint_root(df.sparkSession)

@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import checkpoint_root
+from quarry.session import checkpoint_dir
+from quarry.sources.gather import open_fs
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    if re.match(r"^[a-z][a-z0-9+.-]*:", path):
-        return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-    return pafs.LocalFileSystem(), path
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @contextmanager
