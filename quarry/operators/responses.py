@@ -123,7 +123,8 @@ def flatten_text(content_col) -> F.Column:
 
 
 def tool_rows(results: DataFrame, min_chars: int = TOOL_TEXT_MIN_CHARS) -> DataFrame:
-    """server/tool split at the first '__', source id, text, size guard."""
+    """server/tool split at the first '__', source id, text, and the size guard as a
+    flag: results under ``min_chars`` characters are not to be ingested."""
     parts = F.split("name", "__", 2)
     text = flatten_text("content")
     out = results.where(F.col("name").contains("__")).select(
@@ -132,7 +133,8 @@ def tool_rows(results: DataFrame, min_chars: int = TOOL_TEXT_MIN_CHARS) -> DataF
         F.concat(F.lit(TOOL_SOURCE_SCHEME), "name").alias("source_id"),
         text.alias("text"),
     )
-    return out.where(F.length("text") >= min_chars).withColumn("n_chars", F.length("text").cast("long"))
+    n = F.length("text").cast("long")
+    return out.withColumns({"n_chars": n, "ingestable": n >= min_chars})
 
 
 def reconcile_selection(files: DataFrame, chosen: DataFrame, root_of_project) -> DataFrame:

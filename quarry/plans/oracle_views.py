@@ -53,7 +53,7 @@ VIEWS = {
     ),
     "tool_results": (
         "SELECT 'srv' || CAST(doc_id % 3 AS VARCHAR) || '__read_' || CAST(doc_id AS VARCHAR) AS name, "
-        "CAST(to_json([{'text': substr(text, 1, CASE WHEN doc_id % 2 = 0 THEN 50 ELSE 200 END)}, {'text': lang}]) AS VARCHAR) AS content "
+        "CAST(to_json([{'text': text}, {'text': lang}]) AS VARCHAR) AS content "
         "FROM documents"
     ),
     "asks": (

@@ -9,6 +9,7 @@ from quarry.operators import responses as rs
 from quarry.operators import stats as st
 from quarry.operators import vectors as vx
 from quarry.plans.registry import register
+from quarry.session import scratch_path
 from quarry.sources import store as sto
 from quarry.sources import tables as t
 
@@ -42,7 +43,7 @@ FROM (SELECT project, path, md5(content) AS h FROM files_a) s FULL OUTER JOIN (S
 
 @register("sync_store", "J3", _ACTIONS)
 def q_sync_store(spark, sf):
-    return sto.sync_actions(_store_a(spark, sf), t.files_incoming(spark, sf), NOW).select("project", "path", "action")
+    return sto.sync_actions(_store_a(spark, sf), t.files_incoming(spark, sf)).select("project", "path", "action")
 
 
 @register("sync_counts", "J3", f"""
@@ -51,7 +52,7 @@ SELECT project, count(*) FILTER (WHERE action IN ('insert', 'update')) AS update
        count(*) FILTER (WHERE action = 'keep') AS kept FROM a GROUP BY project
 """)
 def q_sync_counts(spark, sf):
-    return sto.action_counts(sto.sync_actions(_store_a(spark, sf), t.files_incoming(spark, sf), NOW))
+    return sto.action_counts(sto.sync_actions(_store_a(spark, sf), t.files_incoming(spark, sf)))
 
 
 @register("needs_update", "J1", """
@@ -99,6 +100,24 @@ def q_store_all(spark, sf):
     return a.select("project", "path", F.length("content").cast("long").alias("n_chars"))
 
 
+@register("store_paths", "S16", "SELECT project, path FROM files_b")
+def q_store_paths(spark, sf):
+    return sto.paths(sto.as_store_rows(t.files_b(spark, sf), NOW))
+
+
+@register("store_clear", "S17", """
+SELECT 1 AS version, count(*) AS n FROM files_a UNION ALL SELECT 2, 0 UNION ALL SELECT 3, count(*) FROM files_b
+""")
+def q_store_clear(spark, sf):
+    """A committed store, cleared, then filled again: rows of each version."""
+    store = sto.VersionedStore(spark, scratch_path(spark, "store"))
+    store.commit(_store_a(spark, sf))
+    store.clear()
+    store.sync(t.files_b(spark, sf), NOW)
+    n = [store.read(v).agg(F.lit(v).alias("version"), F.count(F.lit(1)).alias("n")) for v in (1, 2, 3)]
+    return n[0].unionByName(n[1]).unionByName(n[2])
+
+
 @register("store_delete", "S17", f"""
 WITH {_REQ}
 SELECT project, count(*) AS remaining FROM files_b f

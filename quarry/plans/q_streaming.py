@@ -13,13 +13,20 @@ from quarry.streaming import sync as st
 @register("stream_sync", "T1", """
 WITH s AS (SELECT project, path, md5(content) AS h FROM files_a), u AS (SELECT project, path, md5(content) AS h FROM files_b)
 SELECT project, path, coalesce(u.h, s.h) AS file_hash FROM s FULL OUTER JOIN u USING (project, path)
+UNION ALL SELECT '007', path, md5(content) FROM files WHERE ord % 25 = 0
 """)
 def q_stream_sync(spark, sf):
-    src, root, ck = scratch_path(spark, "src"), scratch_path(spark, "store"), scratch_path(spark, "ck")
-    t.files_a(spark, sf).withColumn("seq", F.lit(0)).write.parquet(src + "/a")
-    t.files_b(spark, sf).withColumn("seq", F.lit(1)).write.parquet(src + "/b")
-    q = st.continuous_sync(spark, src + "/*", root, ck, now="2024-01-01 00:00:00")
-    q.awaitTermination()
+    """Two streams onto a store that holds rows already, the first one replayed."""
+    src, other, root = (scratch_path(spark, x) for x in ("src", "other", "store"))
+    ck = [scratch_path(spark, "ck") for _ in range(2)]
+    sto.VersionedStore(spark, root).commit(sto.as_store_rows(t.files_a(spark, sf), "2024-01-01 00:00:00"))
+    t.files_b(spark, sf).withColumn("seq", F.lit(1)).write.parquet(src)
+    more = t.files(spark, sf).where(F.col("ord") % 25 == 0).withColumns({"project": F.lit("007"), "seq": F.lit(0)})
+    more.dropDuplicates(["path"]).write.parquet(other)
+    st.continuous_sync(spark, src, root, ck[0], now="2024-01-02 00:00:00").awaitTermination()
+    st.continuous_sync(spark, other, root, ck[1], now="2024-01-02 00:00:00").awaitTermination()
+    old = t.files_a(spark, sf).withColumn("seq", F.lit(0))
+    st.upsert_batch(spark, root, old, ck[0], 0, F.lit("2024-01-03").cast("timestamp"))  # committed before: passed over
     return sto.VersionedStore(spark, root).read().select("project", "path", "file_hash")
 
 
@@ -36,22 +43,24 @@ def q_stream_tool_ingest(spark, sf):
     return sto.VersionedStore(spark, root).read().select("path", "file_size")
 
 
-@register("assemble_chunks", "T3", """
+_ASSEMBLED = """
 SELECT message_id, string_agg(chunk, '' ORDER BY seq) AS text FROM chunks GROUP BY message_id
 HAVING max(CASE WHEN is_last THEN seq END) IS NOT NULL AND count(*) = max(CASE WHEN is_last THEN seq END) + 1
    AND length(string_agg(chunk, '' ORDER BY seq)) > 0
-""")
+"""
+
+
+@register("assemble_chunks", "T3", _ASSEMBLED)
 def q_assemble_chunks(spark, sf):
     return st.assemble_chunks(t.chunks(spark, sf))
 
 
-@register("assemble_chunks_stream", "T3")
+@register("assemble_chunks_stream", "T3", _ASSEMBLED)
 def q_assemble_chunks_stream(spark, sf):
     src, ck = scratch_path(spark, "chunks"), scratch_path(spark, "ck")
     t.chunks(spark, sf).write.parquet(src)
     stream = spark.readStream.schema("message_id long, seq long, chunk string, is_last boolean").parquet(src)
-    name = "assembled_" + ck.rsplit("-", 1)[-1]
-    q = st.assemble_chunks_stream(stream, timeout=None).writeStream.format("memory").queryName(name).option(
-        "checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    out = scratch_path(spark, "assembled")
+    st.assemble_chunks_stream(stream, timeout=None).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("message_id long, text string").parquet(out)

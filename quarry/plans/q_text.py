@@ -153,8 +153,8 @@ def q_flatten_text(spark, sf):
 
 @register("tool_rows", "R11/T2", f"""
 SELECT string_split(name, '__')[1] AS server, array_to_string(string_split(name, '__')[2:], '__') AS tool, 'mcp://' || name AS source_id,
-       text, CAST(length(text) AS BIGINT) AS n_chars
-FROM ({_FLAT}) WHERE contains(name, '__') AND length(text) >= 100
+       text, CAST(length(text) AS BIGINT) AS n_chars, length(text) >= 100 AS ingestable
+FROM ({_FLAT}) WHERE contains(name, '__')
 """)
 def q_tool_rows(spark, sf):
     return rs.tool_rows(t.tool_results(spark, sf))

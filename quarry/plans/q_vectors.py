@@ -103,7 +103,7 @@ def q_approx_recall(spark, sf):
 @register("sync_index", "V8")
 def q_sync_index(spark, sf):
     a, b = t.files_a(spark, sf), t.files_b(spark, sf)
-    acts = sto.sync_actions(sto.as_store_rows(a, "2024-01-01"), b, "2024-01-02")
+    acts = sto.sync_actions(sto.as_store_rows(a, "2024-01-01"), b)
     return vx.sync_index(vx.build_index(a), acts, b)
 
 

@@ -1,25 +1,33 @@
 """Content store without an ACID table format.
 
-A store is a folder of Parquet version directories ``v=<n>``; a version appears
-only when its write job commits (Spark writes under ``_temporary`` first), so
-readers never see half a version. The current version is the largest committed
-``v`` and is found from partition values only. Every change is a whole new
-version computed as one join; no row-by-row commits.
+Store state is a table; every change is a join of two tables. Joins that decide what
+changes carry keys and md5 only; content is fetched for the rows that need it.
+
+``VersionedStore`` keeps a table in a folder as committed versions. Rows are dealt over
+hash buckets; a version writes only the buckets that changed, and one commit row (written
+last) names for each bucket the folder that holds it. A version without its commit row does
+not exist; an emptied store is a version like any other.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.functions.bounded import small
+from quarry.session import checkpoint_dir
 
 KEYS = ["project", "path"]
 STORE_SCHEMA = (
     "project string, path string, file_hash string, content string, file_size int, line_count int, last_updated timestamp"
 )
+COMMIT_SCHEMA = "v long, stream string, batch long, buckets map<int,string>"
+BUCKETS = 64
 SCHEMA_VERSION = "1"
 
 
@@ -33,33 +41,43 @@ def as_store_rows(files: DataFrame, now) -> DataFrame:
     )
 
 
-def sync_actions(store: DataFrame, incoming: DataFrame, now, delete_missing: bool = True) -> DataFrame:
-    """One full outer join on (project, path) -> action in
-    {insert, update, keep, delete} plus the resulting row. A project absent
-    from ``incoming`` keeps all its rows (empty incoming list deletes nothing)."""
-    inc = as_store_rows(incoming, now)
-    present = incoming.select(F.col("project").alias("_p")).distinct().withColumn("_present", F.lit(True))
-    s = store.select(*KEYS, *[F.col(c).alias(f"s_{c}") for c in ("file_hash", "content", "file_size", "line_count", "last_updated")])
-    j = s.join(inc, KEYS, "full_outer").join(present, F.col("project") == F.col("_p"), "left")
+def sync_actions(store: DataFrame, incoming: DataFrame, delete_missing: bool = True) -> DataFrame:
+    """(project, path, action), action in {insert, update, keep, delete}: one full
+    outer join of keys and md5. A project absent from ``incoming`` keeps all its rows
+    (empty incoming list deletes nothing)."""
+    s = store.select(*KEYS, F.col("file_hash").alias("s_hash"), F.lit(True).alias("stored"))
+    i = incoming.select(*KEYS, F.md5("content").alias("i_hash"), F.lit(True).alias("given"))
+    j = s.join(i, KEYS, "full_outer")
+    gone = F.lit("keep")
+    if delete_missing:
+        present = incoming.select(F.col("project").alias("_p")).distinct().withColumn("_present", F.lit(True))
+        j = j.join(small(present), F.col("project") == F.col("_p"), "left")
+        gone = F.when(F.col("_present").isNotNull(), "delete").otherwise("keep")
     action = (
-        F.when(F.col("s_file_hash").isNull(), "insert")
-        .when(F.col("file_hash").isNull(), F.when(F.lit(delete_missing) & F.col("_present").isNotNull(), "delete").otherwise("keep"))
-        .when(F.col("s_file_hash") != F.col("file_hash"), "update")
+        F.when(F.col("stored").isNull(), "insert")
+        .when(F.col("given").isNull(), gone)
+        .when(~F.col("s_hash").eqNullSafe(F.col("i_hash")), "update")
         .otherwise("keep")
     )
-    take_new = action.isin("insert", "update")
-    cols = {c: F.when(take_new, F.col(c)).otherwise(F.col(f"s_{c}")) for c in ("file_hash", "content", "file_size", "line_count", "last_updated")}
-    return j.select(*KEYS, action.alias("action"), *[v.alias(k) for k, v in cols.items()])
+    return j.select(*KEYS, action.alias("action"))
+
+
+def _new_state(store: DataFrame, incoming: DataFrame, actions: DataFrame, now) -> DataFrame:
+    """Stored rows without the replaced and deleted ones, and the rows that come in."""
+    changed = actions.where(F.col("action") != "keep")
+    fresh = incoming.join(changed.where(F.col("action") != "delete").select(*KEYS), KEYS, "left_semi")
+    kept = store.join(changed.select(*KEYS), KEYS, "left_anti")
+    return kept.select(*[f.split()[0] for f in STORE_SCHEMA.split(", ")]).unionByName(as_store_rows(fresh, now))
 
 
 def upsert(store: DataFrame, updates: DataFrame, now) -> DataFrame:
     """Insert-or-replace by path (no deletes)."""
-    return sync_actions(store, updates, now, delete_missing=False).drop("action")
+    return _new_state(store, updates, sync_actions(store, updates, delete_missing=False), now)
 
 
 def apply_sync(store: DataFrame, incoming: DataFrame, now) -> DataFrame:
     """J3 new state: every action but delete."""
-    return sync_actions(store, incoming, now).where(F.col("action") != "delete").drop("action")
+    return _new_state(store, incoming, sync_actions(store, incoming), now)
 
 
 def action_counts(actions: DataFrame) -> DataFrame:
@@ -97,42 +115,83 @@ def clear(store: DataFrame) -> DataFrame:
 
 
 class VersionedStore:
-    """A folder of committed Parquet versions (``v=1``, ``v=2``, ...)."""
+    """Committed versions of store rows below a folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
 
-    def current_version(self) -> int:
+    def commits(self) -> DataFrame:
+        """All commit rows; none if the store is new. Any other read error is an error."""
         try:
-            df = self.spark.read.parquet(self.root)
-        except Exception:  # no committed version yet
-            return 0
-        v = df.select(F.max("v")).first()[0]
-        return int(v or 0)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        v = version if version is not None else self.current_version()
-        if v == 0:
-            return self.spark.createDataFrame([], STORE_SCHEMA)
-        return self.spark.read.parquet(self.root).where(F.col("v") == v).drop("v")
+            return self.spark.read.schema(COMMIT_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{self.root}/commits")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], COMMIT_SCHEMA)
 
-    def commit(self, df: DataFrame, partition_cols=("project",)) -> int:
-        """Write ``df`` as the next version. The new version directory becomes
-        visible to readers only when the job commits."""
-        v = self.current_version() + 1
-        df.write.mode("errorifexists").partitionBy(*partition_cols).parquet(f"{self.root}/v={v}")
-        return v
+    def current_version(self) -> int:
+        return int(self.commits().agg(F.max("v")).first()[0] or 0)
+
+    def _folders(self, version: int) -> dict[int, str]:
+        if version == 0:
+            return {}
+        row = self.commits().where(F.col("v") == version).select("buckets").first()
+        if row is None:
+            raise ValueError(f"version {version} was never committed")
+        return dict(row["buckets"])
+
+    def read(self, version: int | None = None, only: list[int] | None = None) -> DataFrame:
+        """The rows of a version (the current one by default), of some buckets if named."""
+        folders = self._folders(self.current_version() if version is None else version)
+        places = [f"{self.root}/{d}/bucket={b}" for b, d in sorted(folders.items()) if only is None or b in only]
+        if not places:
+            return self.spark.createDataFrame([], STORE_SCHEMA)
+        return self.spark.read.schema(STORE_SCHEMA).parquet(*places)
+
+    def bucket(self) -> F.Column:
+        return F.pmod(F.xxhash64(*KEYS), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def done(self, stream: str, batch: int) -> bool:
+        """Whether a stream's batch is committed already."""
+        return not self.commits().where((F.col("stream") == stream) & (F.col("batch") == batch)).isEmpty()
+
+    def commit(self, rows: DataFrame, replaced: list[int] | None = None, stream: str | None = None, batch: int | None = None) -> int:
+        """Writes ``rows`` as the whole content of the replaced buckets (default: all) and commits
+        the next version. The commit row is written with errorifexists: of two writers that race
+        for a version one fails and can try again."""
+        base = self.current_version()
+        folder = f"data/{base + 1:010d}-{uuid.uuid4().hex}"
+        names = [f.split()[0] for f in STORE_SCHEMA.split(", ")]
+        rows.select(*names, self.bucket()).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        written = self.spark.read.schema(f"{STORE_SCHEMA}, bucket int").parquet(f"{self.root}/{folder}").select("bucket").distinct().collect()
+        folders = {} if replaced is None else {b: d for b, d in self._folders(base).items() if b not in replaced}
+        folders |= {r["bucket"]: folder for r in written}
+        row = self.spark.createDataFrame([(base + 1, stream, batch, folders)], COMMIT_SCHEMA)
+        row.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/commits/{base + 1:010d}")
+        return base + 1
+
+    def apply(self, incoming: DataFrame, now, delete_missing: bool, stream: str | None = None, batch: int | None = None) -> dict:
+        """Brings the store to the incoming rows; only buckets that change are read with their
+        content and written. Returns the version and the number of rows per action."""
+        checkpoint_dir(self.spark)
+        base = self.read()
+        actions = sync_actions(base, incoming, delete_missing).withColumn("bucket", self.bucket()).checkpoint(eager=True)
+        counts = {r["action"]: r["n"] for r in actions.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
+        changed = [r["bucket"] for r in actions.where(F.col("action") != "keep").select("bucket").distinct().collect()]
+        if not changed and stream is None:
+            return {"version": self.current_version(), **counts}
+        state = _new_state(self.read(only=changed), incoming, actions.drop("bucket"), now)
+        return {"version": self.commit(state, changed, stream, batch), **counts}
 
     def sync(self, incoming: DataFrame, now=None) -> dict:
-        """J3 end to end: compute actions against the current version, write the
-        next version, return counts per action."""
-        now = now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-        acts = sync_actions(self.read(), incoming, now)
-        acts = acts.checkpoint(eager=True) if self.spark.sparkContext.getCheckpointDir() else acts.cache()
-        v = self.commit(acts.where(F.col("action") != "delete").drop("action"))
-        counts = {r["action"]: r["n"] for r in acts.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
-        return {"version": v, **counts}
+        """J3 end to end, with deletes."""
+        return self.apply(incoming, now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), delete_missing=True)
+
+    def clear(self) -> int:
+        """An empty version."""
+        return self.commit(self.spark.createDataFrame([], STORE_SCHEMA))
 
 
 def save_index(index: DataFrame, path: str) -> None:

@@ -204,7 +204,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tool_results(name, content): JSON lists of {text} blocks."""
     d = table(spark, sf_dir, "documents")
-    block = F.struct(F.expr("substring(text, 1, CASE WHEN doc_id % 2 = 0 THEN 50 ELSE 200 END)").alias("text"))
+    block = F.struct(F.col("text"))
     return d.select(
         F.concat(F.lit("srv"), (F.col("doc_id") % 3).cast("string"), F.lit("__read_"), F.col("doc_id").cast("string")).alias("name"),
         F.to_json(F.array(block, F.struct(F.col("lang").alias("text")))).alias("content"),

@@ -1,8 +1,8 @@
 """Continuous sync, tool-result auto-ingest and chunk assembly.
 
-Sinks use ``foreachBatch``: each micro-batch becomes one committed store version
-whose number is derived from ``batch_id``, so a replayed batch after a failure
-rewrites the same version (idempotent) instead of appending twice.
+Sinks use ``foreachBatch``: each micro-batch becomes one committed store version on top
+of the current one. The commit names the stream and the batch, so a replayed batch is
+recognised, and several streams can feed one store.
 """
 
 from __future__ import annotations
@@ -18,41 +18,41 @@ from quarry.sources import store as sto
 FILES_SCHEMA = "project string, path string, ord bigint, content string, seq int"
 
 
-def _upsert_batch(spark: SparkSession, store_root: str, batch: DataFrame, batch_id: int, now_col=None) -> None:
-    """Merge one micro-batch into the store (upsert only; later ``seq`` wins
-    inside the batch) and write version ``batch_id + 1``."""
-    vs = sto.VersionedStore(spark, store_root)
-    prev = vs.read(batch_id) if batch_id > 0 else spark.createDataFrame([], sto.STORE_SCHEMA)
+def upsert_batch(spark: SparkSession, store_root: str, batch: DataFrame, stream: str, batch_id: int, now=None) -> None:
+    """Merges one micro-batch into the current version (upsert only; later ``seq`` wins
+    inside the batch). A batch that its stream has committed before is passed over."""
+    store = sto.VersionedStore(spark, store_root)
+    if store.done(stream, batch_id):
+        return
     latest = batch.groupBy("project", "path").agg(F.max_by("content", F.struct("seq", "ord")).alias("content"))
-    now = now_col if now_col is not None else F.current_timestamp()
-    merged = sto.upsert(prev, latest, now)
-    merged.write.mode("overwrite").partitionBy("project").parquet(f"{vs.root}/v={batch_id + 1}")
+    store.apply(latest, now if now is not None else F.current_timestamp(), delete_missing=False, stream=stream, batch=batch_id)
+
+
+def _into_store(rows: DataFrame, store_root: str, checkpoint: str, now, available_now: bool = True):
+    spark = rows.sparkSession
+    stamp = F.lit(now).cast("timestamp") if now is not None else None
+    w = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda df, batch_id: upsert_batch(spark, store_root, df, checkpoint, batch_id, stamp))
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
 
 
 def continuous_sync(spark: SparkSession, source_dir: str, store_root: str, checkpoint: str,
                     available_now: bool = True, schema: str = FILES_SCHEMA, now=None):
     """Re-ingest changed files from a stream of file snapshots into the store.
-    Upsert only: deletions need an explicit tombstone, which a file stream lacks."""
-    stream = spark.readStream.schema(schema).parquet(source_dir)
-    now_col = F.lit(now).cast("timestamp") if now is not None else None
-    w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda df, bid: _upsert_batch(spark, store_root, df, bid, now_col))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    Upsert only: deletions need an explicit tombstone, which a file stream lacks. The
+    checkpoint folder is the stream's name in the store's commits."""
+    return _into_store(spark.readStream.schema(schema).parquet(source_dir), store_root, checkpoint, now, available_now)
 
 
 def tool_ingest(spark: SparkSession, source_dir: str, store_root: str, checkpoint: str, schema: str = "name string, content string",
                 now=None):
-    """Tool results of at least 100 characters upserted as store rows keyed by
-    ``mcp://name`` (project ``tools``)."""
+    """Ingestable tool results upserted as store rows keyed by ``mcp://name``
+    (project ``tools``; the store deals rows over buckets by path)."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
-    rows = rs.tool_rows(stream).select(F.lit("tools").alias("project"), F.col("source_id").alias("path"),
-                                       F.lit(0).cast("bigint").alias("ord"), F.col("text").alias("content"),
-                                       F.lit(0).alias("seq"))
-    now_col = F.lit(now).cast("timestamp") if now is not None else None
-    return (rows.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda df, bid: _upsert_batch(spark, store_root, df, bid, now_col))
-            .trigger(availableNow=True).start())
+    rows = rs.tool_rows(stream).where("ingestable").select(
+        F.lit("tools").alias("project"), F.col("source_id").alias("path"), F.lit(0).cast("bigint").alias("ord"),
+        F.col("text").alias("content"), F.lit(0).alias("seq"))
+    return _into_store(rows, store_root, checkpoint, now)
 
 
 def assemble_chunks(chunks: DataFrame) -> DataFrame:
