@@ -10,7 +10,6 @@ from quarry.functions.paths import suffix
 # Fixed values that must equal the reference's behaviour.
 CHARS_PER_TOKEN = 4
 READ_ERROR_TEXT = "Error: Could not read file"
-EMBED_PREFIX_CHARS = 2000  # embedding input: "File: {path}\n\n" + first 2,000 chars
 TIER_1_LIMIT = 32000
 TIER_2_LIMIT = 128000
 TIER_LABELS = ("TIER_1_FULL", "TIER_2_FULL", "TIER_3_RAG")
@@ -59,9 +58,11 @@ def sha256_hex(c) -> Column:
     return F.sha2(_c(c), 256)
 
 
-def embed_input(path, content, max_chars: int = EMBED_PREFIX_CHARS) -> Column:
-    """The text handed to the embedding function."""
-    return F.concat(F.lit("File: "), _c(path), F.lit("\n\n"), F.substring(_c(content), 1, max_chars))
+def embed_input(path, content, max_chars: int | None = None) -> Column:
+    """The text handed to the embedding function: the whole content, or its first
+    ``max_chars`` characters if a caller's model asks for that."""
+    body = _c(content) if max_chars is None else F.substring(_c(content), 1, max_chars)
+    return F.concat(F.lit("File: "), _c(path), F.lit("\n\n"), body)
 
 
 def glyph_filter(c) -> Column:

@@ -1,8 +1,8 @@
 """Vector search.
 
-Query / seed vectors are few and broadcast (after a row-count check); the corpus
-streams through the join, and each query keeps its top-k through a window group
-limit that runs partially before the shuffle. The default embedding is a
+Probe vectors are broadcast in blocks of bounded size; the corpus streams past them,
+and each probe keeps its top-k through a window group limit that runs partially before
+the shuffle. The default embedding is a
 deterministic feature-hashing vector built from Spark expressions (no network,
 no Python); a caller can plug in any ``pandas_udf`` returning ARRAY<DOUBLE>.
 """
@@ -17,22 +17,12 @@ from quarry.functions import vectors as V
 
 EMBED_DIM = 64
 INDEX_MIN_CHARS = 1
-INDEX_MAX_CHARS = 50000
 DEFAULT_TOP_K = 5
 EXPAND_TOP_K = 3
 EXPAND_MIN_SCORE = 0.4
-BROADCAST_MAX_ROWS = 200_000
-
-
-def _small(df: DataFrame, n: int = BROADCAST_MAX_ROWS) -> bool:
-    return df.limit(n + 1).count() <= n
-
-
-def hashing_embedding(text: Column, dim: int = EMBED_DIM) -> Column:
-    """U1 default: term counts hashed into ``dim`` buckets (Murmur3 via ``hash``)."""
-    toks = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) > 0)
-    buckets = F.transform(toks, lambda t: F.pmod(F.hash(t), F.lit(dim)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+#: Probes per pass over the corpus, and per matrix product inside a task.
+PROBE_BLOCK = 32_768
+SCORE_COLUMNS = 512
 
 
 def _hashing_tf(df: DataFrame, text_col: str, out_col: str, dim: int = EMBED_DIM) -> DataFrame:
@@ -45,17 +35,19 @@ def _hashing_tf(df: DataFrame, text_col: str, out_col: str, dim: int = EMBED_DIM
     return tf.withColumn(out_col, vector_to_array("_tf")).drop("_toks", "_tf")
 
 
+def index_keys(files: DataFrame, key=("project", "path")) -> DataFrame:
+    """Keys of the rows that get a vector, without computing any."""
+    return files.where(F.length("content") >= INDEX_MIN_CHARS).select(*key)
+
+
 def build_index(files: DataFrame, embed=None, key=("project", "path")) -> DataFrame:
-    """V3: P8 bounds, X5 input text, embedding, unit normalisation, size metadata.
-    Rows whose embedding is null (the plug-in failed) are left out. ``embed`` is
-    any column function (e.g. a pandas_udf returning ARRAY<DOUBLE>); the default
-    is feature hashing."""
-    f = files.where((F.length("content") >= INDEX_MIN_CHARS) & (F.length("content") <= INDEX_MAX_CHARS))
-    f = f.select(*key, X.embed_input(F.col("path"), F.col("content")).alias("_in"), F.length("content").cast("long").alias("size"))
-    if embed is not None:
-        out = f.select(*key, embed(F.col("_in")).alias("raw"), "size")
-    else:
-        out = _hashing_tf(f, "_in", "raw").select(*key, "raw", "size")
+    """V3: X5 input over the whole text, embedding, unit normalisation, size metadata.
+    Empty texts and rows whose embedding is null (the plug-in failed) are left out; P8
+    flags very long texts, it does not drop them. ``embed`` is any column function (e.g. a
+    pandas_udf returning ARRAY<DOUBLE>); the default is feature hashing."""
+    f = files.where(F.length("content") >= INDEX_MIN_CHARS)
+    f = f.select(*key, X.embed_input(F.col(key[-1]), F.col("content")).alias("_in"), F.length("content").cast("long").alias("size"))
+    out = f.select(*key, embed(F.col("_in")).alias("raw"), "size") if embed is not None else _hashing_tf(f, "_in", "raw")
     out = out.where(F.col("raw").isNotNull())
     return out.select(*key, V.normalize(F.col("raw").cast("array<double>")).alias("embedding"), "size")
 
@@ -69,71 +61,88 @@ def embed_texts(df: DataFrame, text_col: str, out_col: str = "embedding", embed=
     return e.withColumn(out_col, V.normalize(F.col(out_col).cast("array<double>")))
 
 
+def _matrices(lists) -> dict:
+    """Row numbers and unit rows of the vectors of each length; zero vectors stay zero."""
+    import numpy as np
+
+    lengths = np.array([-1 if v is None else len(v) for v in lists])
+    out = {}
+    for n in np.unique(lengths[lengths > 0]):
+        rows = np.flatnonzero(lengths == n)
+        m = np.array([lists[i] for i in rows], dtype=np.float64)
+        norm = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+        out[int(n)] = rows, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    return out
+
+
+def _score_blocks(probes: list, top_k: int, min_score: float, digits: int, names: tuple[str, str]):
+    """A task function: corpus batches (id, embedding) against the probes (key, vector, own id or None)."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        keys = np.array([p[0] for p in probes])
+        own = np.array([p[2] for p in probes], dtype=object)
+        sides = _matrices([p[1] for p in probes])
+        for pdf in batches:
+            ids = pdf[names[1]].to_numpy()
+            corpus = _matrices(list(pdf["embedding"]))
+            for at in range(0, len(probes), SCORE_COLUMNS):
+                part = np.arange(at, min(at + SCORE_COLUMNS, len(probes)))
+                score = np.zeros((len(part), len(ids)))  # vectors of another length score 0
+                for n, (rows, m) in corpus.items():
+                    if n in sides:
+                        mine = np.searchsorted(part, sides[n][0])
+                        ok = (mine < len(part)) & (sides[n][0] >= at) & (sides[n][0] <= part[-1])
+                        score[np.ix_(mine[ok], rows)] = sides[n][1][ok] @ m.T
+                score = np.round(score, digits)
+                keep = score >= min_score
+                if own[0] is not None:
+                    keep &= own[part][:, None] != ids[None, :]
+                # the best top_k of each probe in this batch, ties by id
+                order = np.lexsort((np.broadcast_to(ids, score.shape), -np.where(keep, score, -np.inf)), axis=1)[:, :top_k]
+                hit = np.take_along_axis(keep, order, axis=1)
+                who = np.broadcast_to(np.arange(len(part))[:, None], order.shape)[hit]
+                yield pd.DataFrame({names[0]: keys[part][who], names[1]: ids[order[hit]], "score": score[who, order[hit]]})
+
+    return run
+
+
 def search(probes: DataFrame, corpus: DataFrame, top_k: int = DEFAULT_TOP_K, min_score: float = 0.0,
            probe_key: str = "probe_id", id_col: str = "id", exclude_self: bool = False, digits: int = 6) -> DataFrame:
     """V4 (and V5 with ``exclude_self``): cosine top-k per probe with an inclusive
     threshold; ties by id.
 
-    The probe set is small by contract (checked: at most ``BROADCAST_MAX_ROWS``;
-    larger all-pairs work belongs to ``approx_search``) and is broadcast as one
-    matrix. Each corpus batch is scored with one matrix product inside the task
-    and only its per-probe top-k leaves the task, so no pair table is ever
-    materialised or shuffled; a final window group limit merges the partial
-    top-k lists.
+    Probes go in blocks of ``PROBE_BLOCK`` rows, each block one pass over the corpus with
+    the block as a broadcast matrix; any number of probes gives the same rows. Each corpus
+    batch is one matrix product per block part, and only its per-probe top-k leaves the
+    task; a window group limit merges the partial lists.
     """
-    import numpy as np
-    import pandas as pd
-
     spark = corpus.sparkSession
-    cols = [probe_key, "embedding"] + (["_self"] if exclude_self else [])
-    p = probes.select(F.col(probe_key), F.col("embedding").cast("array<double>").alias("embedding"),
-                      *([F.col(id_col).alias("_self")] if exclude_self else []))
-    if not _small(p):
-        raise ValueError("probe set too large to broadcast; use approx_search for all-pairs work")
-    rows = p.select(*cols).collect()
-    pids = [r[probe_key] for r in rows]
-    pvecs = [np.asarray(r["embedding"] or [], dtype=np.float64) for r in rows]
-    selfs = [r["_self"] for r in rows] if exclude_self else [None] * len(rows)
-    bc = spark.sparkContext.broadcast((pids, pvecs, selfs))
-    pk_type = dict(p.dtypes)[probe_key]
-    id_type = dict(corpus.dtypes)[id_col]
-
-    def run(batches):
-        ids_p, vecs_p, selfs_p = bc.value
-        for pdf in batches:
-            out_p, out_i, out_s = [], [], []
-            ids = pdf[id_col].to_numpy()
-            embs = list(pdf["embedding"])
-            lens = np.array([len(e) if e is not None else -1 for e in embs])
-            for pid, q, me in zip(ids_p, vecs_p, selfs_p):
-                qn = float(np.sqrt(np.dot(q, q)))
-                sel = np.nonzero(lens == len(q))[0]
-                scores = np.zeros(len(ids))
-                if len(sel) and qn > 0:
-                    M = np.vstack([np.asarray(embs[i], dtype=np.float64) for i in sel]) if len(q) else np.zeros((len(sel), 0))
-                    norms = np.sqrt(np.einsum("ij,ij->i", M, M))
-                    dots = M @ q
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        sc = np.where(norms > 0, dots / (norms * qn), 0.0)
-                    scores[sel] = sc
-                scores = np.round(scores, digits)
-                keep = scores >= min_score
-                if exclude_self:
-                    keep &= ids != me
-                idx = np.nonzero(keep)[0]
-                if len(idx) > top_k:
-                    order = np.lexsort((ids[idx], -scores[idx]))[:top_k]
-                    idx = idx[order]
-                out_p.extend([pid] * len(idx))
-                out_i.extend(ids[idx].tolist())
-                out_s.extend(scores[idx].tolist())
-            if out_p:
-                yield pd.DataFrame({probe_key: out_p, id_col: out_i, "score": out_s})
-
-    part = corpus.select(id_col, F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(
-        run, f"{probe_key} {pk_type}, {id_col} {id_type}, score double")
+    p = probes.select(F.col(probe_key).alias("_k"), F.col("embedding").cast("array<double>").alias("_v"),
+                      (F.col(id_col) if exclude_self else F.lit(None)).alias("_own"))
+    kinds = f"{probe_key} {dict(probes.dtypes)[probe_key]}, {id_col} {dict(corpus.dtypes)[id_col]}, score double"
+    side = corpus.select(id_col, F.col("embedding").cast("array<double>").alias("embedding"))
+    found = None
+    for block in _probe_blocks(p):
+        part = side.mapInPandas(_score_blocks(block, top_k, min_score, digits, (probe_key, id_col)), kinds)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], kinds)
     w = Window.partitionBy(probe_key).orderBy(F.desc("score"), F.asc(id_col))
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).withColumn("rank", F.col("rank").cast("long"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _probe_blocks(p: DataFrame):
+    """Blocks of at most PROBE_BLOCK probes, one at a time in the driver."""
+    block = []
+    for r in p.toLocalIterator():
+        block.append((r["_k"], r["_v"], r["_own"]))
+        if len(block) >= PROBE_BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
 
 
 def related(seeds: DataFrame, corpus: DataFrame, top_k: int = DEFAULT_TOP_K, min_score: float = 0.0,
@@ -159,25 +168,111 @@ def keep_set(seeds: DataFrame, suggestions: DataFrame, corpus: DataFrame, id_col
     return u.join(corpus.select(id_col), id_col, "left_semi")
 
 
-def approx_search(probes: DataFrame, corpus: DataFrame, top_k: int = DEFAULT_TOP_K, min_score: float = 0.0,
-                  bucket_length: float = 1.0, num_tables: int = 4, probe_key: str = "probe_id", id_col: str = "id",
-                  seed: int = 7) -> DataFrame:
-    """V7: LSH candidate generation on unit vectors (Euclidean bound
-    sqrt(2 - 2 * min_score)), exact cosine re-rank, top-k per probe."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    cu = corpus.select(F.col(id_col).alias("cid"), V.normalize("embedding").alias("u")).withColumn("features", array_to_vector("u"))
-    pu = probes.select(F.col(probe_key).alias("pid"), V.normalize("embedding").alias("u")).withColumn("features", array_to_vector("u"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(cu)
-    thr = float((max(0.0, 2.0 - 2.0 * min_score)) ** 0.5) + 1e-9
-    pairs = lsh.approxSimilarityJoin(pu, cu, thr, distCol="dist").select(
-        F.col("datasetA.pid").alias(probe_key), F.col("datasetB.cid").alias(id_col),
-        F.round(V.cosine(F.col("datasetA.u"), F.col("datasetB.u")), 6).alias("score"))
-    pairs = pairs.where(F.col("score") >= min_score)
+def _sketch(m, bits: int, seed: int):
+    """Sign bits of random projections, packed in 64-bit words."""
+    import numpy as np
+
+    planes = np.random.default_rng(seed).standard_normal((m.shape[1], bits))
+    return np.packbits(m @ planes > 0, axis=1).view(np.uint64)
+
+
+def _near_pairs(probes: list, floor: int, bits: int, seed: int):
+    """A task function: for each corpus batch and probe, the rows whose sketch agrees in ``floor`` bits."""
+    import numpy as np
+
+    sides = {n: (rows, m, _sketch(m, bits, seed)) for n, (rows, m) in _matrices([p[1] for p in probes]).items()}
+
+    def pairs(embeddings):
+        for n, (rows, m) in _matrices(embeddings).items():
+            if n not in sides:
+                continue
+            who, q, qs = sides[n]
+            ms = _sketch(m, bits, seed)
+            for at in range(0, len(who), SCORE_COLUMNS):
+                differ = np.zeros((len(qs[at : at + SCORE_COLUMNS]), len(ms)), np.uint16)
+                for w in range(qs.shape[1]):
+                    differ += np.bitwise_count(qs[at : at + SCORE_COLUMNS, w][:, None] ^ ms[None, :, w])
+                a, b = np.nonzero(differ <= bits - floor)
+                yield who[at + a], rows[b], np.einsum("ij,ij->i", q[at + a], m[b])
+
+    return pairs
+
+
+def _agreement(min_score: float, bits: int, slack: float) -> int:
+    """Bits that two vectors at ``min_score`` agree in on average, less ``slack`` standard deviations."""
+    from math import acos, pi
+
+    same = 1 - acos(max(-1.0, min(1.0, min_score))) / pi
+    return int(bits * same - slack * (bits * same * (1 - same)) ** 0.5)
+
+
+def approx_search(probes: DataFrame, corpus: DataFrame, top_k: int = DEFAULT_TOP_K, min_score: float = 0.0, bits: int = 256,
+                  slack: float = 0.5, probe_key: str = "probe_id", id_col: str = "id", seed: int = 7, digits: int = 6) -> DataFrame:
+    """V7: candidates by sketches of sign bits, exact cosine for the candidates, top-k per probe.
+
+    A pair is compared exactly only if its sketches agree in as many bits as vectors at
+    ``min_score`` do, less ``slack`` standard deviations. Sketches are scanned in blocks of
+    probes, a sixteenth of the vectors' bytes at 64 dimensions; there are no hash buckets
+    that a dense region could overfill.
+    """
+    import numpy as np
+    import pandas as pd
+
+    floor = _agreement(min_score, bits, slack)
+    kinds = f"{probe_key} {dict(probes.dtypes)[probe_key]}, {id_col} {dict(corpus.dtypes)[id_col]}, score double"
+    side = corpus.select(id_col, F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def task(block):
+        def run(batches):
+            near = _near_pairs(block, floor, bits, seed)
+            keys = np.array([p[0] for p in block])
+            for pdf in batches:
+                ids = pdf[id_col].to_numpy()
+                for who, rows, score in near(list(pdf["embedding"])):
+                    out = pd.DataFrame({probe_key: keys[who], id_col: ids[rows], "score": np.round(score, digits)})
+                    out = out[out["score"] >= min_score].sort_values([probe_key, "score", id_col], ascending=[True, False, True])
+                    yield out.groupby(probe_key, sort=False).head(top_k)
+
+        return run
+
+    found = None
+    for block in _probe_blocks(probes.select(F.col(probe_key).alias("_k"), F.col("embedding").cast("array<double>").alias("_v"), F.lit(None).alias("_own"))):
+        part = side.mapInPandas(task(block), kinds)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = corpus.sparkSession.createDataFrame([], kinds)
     w = Window.partitionBy(probe_key).orderBy(F.desc("score"), F.asc(id_col))
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).withColumn("rank", F.col("rank").cast("long"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).withColumn("rank", F.col("rank").cast("long"))
+
+
+def approx_compared(probes: DataFrame, corpus: DataFrame, min_score: float = 0.0, bits: int = 256, slack: float = 0.5,
+                    probe_key: str = "probe_id", seed: int = 7) -> DataFrame:
+    """How many rows of the corpus V7 compares exactly with each probe."""
+    import numpy as np
+    import pandas as pd
+
+    floor = _agreement(min_score, bits, slack)
+    kinds = f"{probe_key} {dict(probes.dtypes)[probe_key]}, n long"
+
+    def task(block):
+        def run(batches):
+            near = _near_pairs(block, floor, bits, seed)
+            keys = np.array([p[0] for p in block])
+            for pdf in batches:
+                n = np.zeros(len(block), np.int64)
+                for who, _, _ in near(list(pdf["embedding"])):
+                    n += np.bincount(who, minlength=len(block))
+                yield pd.DataFrame({probe_key: keys, "n": n})
+
+        return run
+
+    found = None
+    for block in _probe_blocks(probes.select(F.col(probe_key).alias("_k"), F.col("embedding").cast("array<double>").alias("_v"), F.lit(None).alias("_own"))):
+        part = corpus.select(F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(task(block), kinds)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = corpus.sparkSession.createDataFrame([], kinds)
+    return found.groupBy(probe_key).agg(F.sum("n").alias("compared"))
 
 
 def recall(approx: DataFrame, exact: DataFrame, probe_key: str = "probe_id", id_col: str = "id") -> DataFrame:
@@ -196,6 +291,23 @@ def sync_index(index: DataFrame, actions: DataFrame, files: DataFrame, embed=Non
     return kept.unionByName(fresh)
 
 
+def conversation_index(messages: DataFrame, embed=None) -> DataFrame:
+    """V9: a vector for every turn of every role: (id, conv_id, turn, role, embedding, size)."""
+    m = messages.select("conv_id", "turn", "role", F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("text").alias("content"))
+    idx = build_index(m, embed, key=("conv_id", "turn", "role", "id"))
+    return idx.select("id", "conv_id", "turn", "role", "embedding", "size")
+
+
+def search_conversations(probes: DataFrame, index: DataFrame, top_k: int = DEFAULT_TOP_K, min_score: float = 0.0,
+                         roles=None, conversations: DataFrame | None = None) -> DataFrame:
+    """V9: search over conversation turns, optionally of some roles or conversations (conv_id)."""
+    if roles is not None:
+        index = index.where(F.col("role").isin(*roles))
+    if conversations is not None:
+        index = index.join(conversations.select("conv_id").distinct(), "conv_id", "left_semi")
+    return search(probes, index, top_k, min_score)
+
+
 def rehydrate(hits: DataFrame, store: DataFrame, id_col: str = "path") -> DataFrame:
     """Hits (id, distance) joined to stored content; empty/missing dropped;
     score = 1 - distance."""

@@ -62,8 +62,8 @@ VIEWS = {
     ),
     "opens": "SELECT user_id, 'p' || CAST(event_id % 50 AS VARCHAR) AS path, ts, event_id, event_type, value FROM events",
     "vectors": "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS embedding, label FROM embeddings",
-    "seeds": "SELECT id FROM vectors WHERE id IN (0, 1, 2)",
-    "probes": "SELECT id, embedding FROM vectors WHERE id < 5",
+    "seeds": "SELECT id FROM vectors WHERE id % 100 = 0",
+    "probes": "SELECT id, embedding FROM vectors WHERE id % 20 = 0",
 }
 
 _ORDER = list(VIEWS)

@@ -171,7 +171,7 @@ def q_text_metrics(spark, sf):
 
 
 @register("embed_input", "X5", """
-SELECT project, path, 'File: ' || path || chr(10) || chr(10) || substr(content, 1, 2000) AS embed_text FROM files
+SELECT project, path, 'File: ' || path || chr(10) || chr(10) || content AS embed_text FROM files
 """)
 def q_embed_input(spark, sf):
     f = t.files(spark, sf)

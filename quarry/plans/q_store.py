@@ -132,13 +132,13 @@ def q_store_delete(spark, sf):
 @register("store_stats", "A2", """
 SELECT project, count(*) AS file_count, CAST(sum(length(content)) AS BIGINT) AS total_size_bytes,
        round(sum(length(content)) / 1048576, 2) AS total_size_mb,
-       count(*) FILTER (WHERE length(content) BETWEEN 1 AND 50000) AS vector_count
+       count(*) FILTER (WHERE length(content) >= 1) AS vector_count
 FROM files_b GROUP BY project
 """)
 def q_store_stats(spark, sf):
     f = t.files_b(spark, sf)
     store = sto.as_store_rows(f, NOW)
-    return st.store_stats(store, vx.build_index(f))
+    return st.store_stats(store, vx.index_keys(f))
 
 
 @register("recent_opens", "W6", """

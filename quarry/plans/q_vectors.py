@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quarry.functions import vectors as V
 from quarry.operators import vectors as vx
 from quarry.plans.registry import register
+from quarry.session import scratch_path
 from quarry.sources import store as sto
 from quarry.sources import tables as t
 
@@ -82,9 +83,18 @@ def q_keep_set(spark, sf):
     return vx.keep_set(sd, vx.expand_selection(sd, v, 3, MIN_SCORE), v)
 
 
-@register("build_index", "V3/U1")
+def _index_rows(index, *keys):
+    """What SQL can say of an index: keys, size, length and norm of the vector."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return index.select(*keys, "size", F.size("embedding").cast("long").alias("dims"), F.round(norm, 6).alias("norm"))
+
+
+_INDEX = "SELECT project, path, CAST(length(content) AS BIGINT) AS size, CAST(64 AS BIGINT) AS dims, CAST(1.0 AS DOUBLE) AS norm FROM {} WHERE length(content) > 0"
+
+
+@register("build_index", "V3/U1", _INDEX.format("files"))
 def q_build_index(spark, sf):
-    return vx.build_index(t.files(spark, sf))
+    return _index_rows(vx.build_index(t.files(spark, sf)), "project", "path")
 
 
 @register("approx_search", "V7")
@@ -95,44 +105,63 @@ def q_approx_search(spark, sf):
 
 @register("approx_recall", "V7")
 def q_approx_recall(spark, sf):
+    """Per probe: share of the exact hits found, and share of the corpus compared exactly."""
     p = t.probes(spark, sf).withColumnRenamed("id", "probe_id")
     v = t.vectors(spark, sf)
-    return vx.recall(vx.approx_search(p, v, TOP_K, MIN_SCORE), vx.search(p, v, TOP_K, MIN_SCORE))
+    found = vx.recall(vx.approx_search(p, v, TOP_K, MIN_SCORE), vx.search(p, v, TOP_K, MIN_SCORE))
+    n = v.agg(F.count(F.lit(1)).alias("n"))
+    share = vx.approx_compared(p, v, MIN_SCORE).join(F.broadcast(n)).select("probe_id", (F.col("compared") / F.col("n")).alias("compared_share"))
+    return found.join(share, "probe_id")
 
 
-@register("sync_index", "V8")
+@register("sync_index", "V8", f"{_INDEX.format('files_b')} UNION ALL {_INDEX.format('files_a')} AND project NOT IN (SELECT project FROM files_b)")
 def q_sync_index(spark, sf):
     a, b = t.files_a(spark, sf), t.files_b(spark, sf)
     acts = sto.sync_actions(sto.as_store_rows(a, "2024-01-01"), b)
-    return vx.sync_index(vx.build_index(a), acts, b)
+    return _index_rows(vx.sync_index(vx.build_index(a), acts, b), "project", "path")
+
+
+def _questions(spark, sf):
+    q = t.queries(spark, sf).select(F.col("query_id").alias("probe_id"), "text")
+    return vx.embed_texts(q, "text").select("probe_id", "embedding")
 
 
 @register("conversation_search", "V9")
 def q_conversation_search(spark, sf):
-    c = t.table(spark, sf, "conversations").where(F.col("role") == "user")
-    msgs = c.select(F.col("conv_id").cast("string").alias("project"),
-                    F.concat(F.lit("turn_"), F.col("turn").cast("string")).alias("path"), F.col("text").alias("content"))
-    idx = vx.build_index(msgs).withColumn("id", F.concat_ws("/", "project", "path"))
-    q = t.queries(spark, sf).select(F.col("query_id").alias("probe_id"), F.col("text"))
-    qv = vx.embed_texts(q, "text").select("probe_id", "embedding")
-    return vx.search(qv, idx, 5, 0.0)
+    return vx.search_conversations(_questions(spark, sf), vx.conversation_index(t.table(spark, sf, "conversations")), 5, 0.0)
 
 
-@register("rehydrate_hits", "J12")
+@register("conversation_index", "V9", """
+SELECT concat_ws('/', conv_id, turn) AS id, conv_id, role, CAST(length(text) AS BIGINT) AS size, CAST(64 AS BIGINT) AS dims, CAST(1.0 AS DOUBLE) AS norm
+FROM conversations WHERE length(text) > 0
+""")
+def q_conversation_index(spark, sf):
+    return _index_rows(vx.conversation_index(t.table(spark, sf, "conversations")), "id", "conv_id", "role")
+
+
+@register("conversation_search_filtered", "V9")
+def q_conversation_search_filtered(spark, sf):
+    """User turns of the even conversations."""
+    c = t.table(spark, sf, "conversations")
+    even = c.where(F.col("conv_id") % 2 == 0).select("conv_id")
+    return vx.search_conversations(_questions(spark, sf), vx.conversation_index(c), 5, 0.0, ["user"], even)
+
+
+@register("rehydrate_hits", "J12", f"""
+WITH hits AS ({topk_sql("probes", TOP_K, MIN_SCORE)})
+SELECT h.probe_id, f.project, f.path, round(h.score, 6) AS score, CAST(length(f.content) AS BIGINT) AS n_chars
+FROM hits h JOIN files f ON f.ord = h.id WHERE length(f.content) > 0
+""")
 def q_rehydrate_hits(spark, sf):
-    f = t.files(spark, sf)
-    idx = vx.build_index(f).withColumn("id", F.concat_ws("|", "project", "path"))
-    q = vx.embed_texts(t.queries(spark, sf).select(F.col("query_id").alias("probe_id"), "text"), "text").select("probe_id", "embedding")
-    hits = vx.search(q, idx, 5, 0.0).select(
-        "probe_id", F.split("id", r"\|").getItem(0).alias("project"), F.split("id", r"\|").getItem(1).alias("path"),
-        (1 - F.col("score")).alias("distance"))
-    return vx.rehydrate(hits, sto.as_store_rows(f, "2024-01-01")).select("probe_id", "project", "path", "score")
+    p, f = t.probes(spark, sf).withColumnRenamed("id", "probe_id"), t.files(spark, sf)
+    hits = vx.search(p, t.vectors(spark, sf), TOP_K, MIN_SCORE).join(f.select("project", "path", F.col("ord").alias("id")), "id")
+    hits = hits.select("probe_id", "project", "path", (1 - F.col("score")).alias("distance"))
+    out = vx.rehydrate(hits, sto.as_store_rows(f, "2024-01-01"))
+    return out.select("probe_id", "project", "path", F.round("score", 6).alias("score"), F.length("content").cast("long").alias("n_chars"))
 
 
-@register("index_roundtrip", "S18")
+@register("index_roundtrip", "S18", "SELECT id, embedding, label FROM vectors")
 def q_index_roundtrip(spark, sf):
-    from quarry.session import scratch_path
-
     path = scratch_path(spark, "index")
     sto.save_index(t.vectors(spark, sf), path)
     return sto.load_index(spark, path)

@@ -222,8 +222,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where(F.col("id").isin(0, 1, 2)).select("id")
+    return vectors(spark, sf_dir).where(F.col("id") % 100 == 0).select("id")
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where(F.col("id") < 5).select("id", "embedding")
+    return vectors(spark, sf_dir).where(F.col("id") % 20 == 0).select("id", "embedding")
