@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 
 REDACTION = "[REDACTED SECRET]"
+#: Values looked for in one pass over the files.
+VALUE_BLOCK_CHARS = 16 << 20
 
 # Fixed values: (type, regex, capture group holding the value, confidence).
 # Patterns avoid look-around so that Java regex and RE2 agree.
@@ -63,15 +65,67 @@ def scan(files: DataFrame, keys=("project", "path"), text_col: str = "content")
     return out.select(*keys, "line", "m.type", "m.confidence", "context", "m.value").where(F.length("value") > 0)
 
 
+def secret_values(files: DataFrame, whitelist=(), text_col: str = "content") -> DataFrame:
+    """The distinct values that R1 finds anywhere, without the whitelisted ones."""
+    v = scan(files, (), text_col).select("value").distinct()
+    return v.where(~F.col("value").isin(*whitelist)) if whitelist else v
+
+
+def _value_blocks(values: DataFrame):
+    """The values, longest first, in blocks of bounded size, one at a time in the driver."""
+    block, size = [], 0
+    for r in values.orderBy(F.desc(F.length("value")), "value").toLocalIterator():
+        block.append(r["value"])
+        size += len(r["value"])
+        if size >= VALUE_BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def _replace_in(text, values: list[str], automaton):
+    """Each of the values that the text holds replaced, in the order of the list."""
+    if not text:
+        return text
+    for k in sorted({k for _, k in automaton.iter(text)}):
+        text = text.replace(values[k], REDACTION)
+    return text
+
+
+def redact_values(files: DataFrame, values: DataFrame, text_col: str = "content") -> DataFrame:
+    """Every occurrence of each value, in every file, replaced, longest value first.
+
+    One pass over the files per block of values: a task looks for all values of the block at
+    once (Aho-Corasick) and replaces those it meets, so files are never shuffled.
+    """
+    names = files.columns
+    at = names.index(text_col)
+
+    def task(block):
+        def run(batches):
+            import ahocorasick
+            import pyarrow as pa
+
+            automaton = ahocorasick.Automaton()
+            for k, v in enumerate(block):
+                automaton.add_word(v, k)
+            automaton.make_automaton()
+            for b in batches:
+                text = [_replace_in(t, block, automaton) for t in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(text, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns)], names=names)
+
+        return run
+
+    for block in _value_blocks(values):
+        files = files.mapInArrow(task(block), files.schema)
+    return files
+
+
 def redact(files: DataFrame, whitelist=(), text_col: str = "content") -> DataFrame:
-    """R2: every occurrence of each non-whitelisted secret value replaced, longest
-    value first. Values are found inline per file, so no shuffle is needed and
-    files without hits pass through untouched."""
-    vals = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text_col, F.lit(rx), g) for _, rx, g, _ in RULES])))
-    vals = F.filter(vals, lambda v: (F.length(v) > 0) & ~F.array_contains(F.array(*[F.lit(w) for w in whitelist]).cast("array<string>"), v))
-    ordered = F.transform(F.array_sort(F.transform(vals, lambda v: F.struct((-F.length(v)).alias("k"), v.alias("v")))), lambda s: s["v"])
-    red = F.aggregate(ordered, _c(text_col), lambda acc, v: F.replace(acc, v, F.lit(REDACTION)))
-    return files.withColumn(text_col, F.when(maybe_secret(text_col), red).otherwise(_c(text_col)))
+    """R2: every occurrence, in any file, of each non-whitelisted value that R1 finds in any
+    file is replaced, longest value first."""
+    return redact_values(files, secret_values(files, whitelist, text_col), text_col)
 
 
 def scrub(files: DataFrame, text_col: str = "content") -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quarry.plans import sqlfrag as q
 from quarry.plans.q_text import _redact_sql
 from quarry.plans.registry import register
+from quarry.session import scratch_path
 from quarry.sources import archive as ar
 from quarry.sources import render as rd
 from quarry.sources import tables as t
@@ -16,16 +17,26 @@ SMALL_SHARD = 64 * 1024  # several shards per project even on small data
 SELECT project, 'ok' AS status, path, CAST(length(content) AS BIGINT) AS n_chars, md5(content) AS md5 FROM files_b
 """)
 def q_archive_roundtrip(spark, sf):
-    packed = ar.pack(t.files_b(spark, sf), shard_bytes=SMALL_SHARD)
+    return _unpacked(ar.pack(t.files_b(spark, sf), shard_bytes=SMALL_SHARD, redact=False))
+
+
+def _unpacked(packed):
     u = ar.unpack(packed)
     return u.select("project", "status", "path", F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("md5"))
 
 
+@register("archive_redacted", "S5/S6", f"""
+SELECT project, 'ok' AS status, path, CAST(length(content) AS BIGINT) AS n_chars, md5(content) AS md5 FROM ({_redact_sql([], 'files_b')})
+""")
+def q_archive_redacted(spark, sf):
+    return _unpacked(ar.pack(t.files_b(spark, sf), shard_bytes=SMALL_SHARD))
+
+
 @register("archive_shards", "S5", f"""
 SELECT project, CAST(greatest(ceil(sum(octet_length(encode(content))) / {SMALL_SHARD}), 1) AS BIGINT) AS shards FROM files_b GROUP BY project
 """)
 def q_archive_shards(spark, sf):
-    p = ar.pack(t.files_b(spark, sf), shard_bytes=SMALL_SHARD)
+    p = ar.pack(t.files_b(spark, sf), shard_bytes=SMALL_SHARD, redact=False)
     return p.groupBy("project").agg(F.count(F.lit(1)).alias("shards"))
 
 
@@ -43,29 +54,52 @@ def q_scrape_marked(spark, sf):
 
 
 @register("force_scrape", "S9", r"""
-SELECT project, path, regexp_extract(replace(content, '\', ''), '(?s)^\s*(.*?)\s*$', 1) AS content FROM files
+SELECT project, path, regexp_extract(replace(content, '\', ''), '(?s)^\s*(.*?)\s*$', 1) AS content, true AS plausible FROM files
 """)
 def q_force_scrape(spark, sf):
     return ar.force_scrape(_marked_docs(spark, sf))
 
 
-@register("load_snapshot", "S10")
+@register("load_snapshot", "S10", r"""
+SELECT concat_ws('|', project, path) AS doc, path, 'ok' AS status, CASE WHEN ord % 2 = 0 THEN 'archive' ELSE 'scrape' END AS source,
+       md5(CASE WHEN ord % 2 = 0 THEN content ELSE regexp_replace(content, '\s+$', '') END) AS md5 FROM files
+UNION ALL SELECT concat_ws('|', project, path, 'x'), NULL, CASE WHEN ord % 40 = 0 THEN 'no_text' ELSE 'no_files' END, NULL, NULL FROM files WHERE ord % 20 = 0
+""")
 def q_load_snapshot(spark, sf):
-    packed = ar.pack(t.files_b(spark, sf)).select("project", F.col("block").alias("text"))
-    marked = _marked_docs(spark, sf).where(~F.col("project").isin("src0", "src1")).select("project", "text")
-    docs = packed.unionByName(marked.groupBy("project").agg(F.concat_ws("", F.collect_list("text")).alias("text"))
-                              .join(packed.select("project"), "project", "left_anti"))
-    return ar.load_snapshot(docs).groupBy("project", "source").agg(F.count(F.lit(1)).alias("files"))
+    """A snapshot document per file: an archive block or marked text; some without text or files."""
+    return _loaded(spark, sf).select("doc", "path", "status", "source", F.md5("content").alias("md5"))
 
 
-@register("tree_section", "S11")
-def q_tree_section(spark, sf):
-    from quarry.operators.tree import tree_lines
+def _loaded(spark, sf):
+    f = t.files(spark, sf).withColumn("doc", F.concat_ws("|", "project", "path"))
+    packed = ar.pack(f.where(F.col("ord") % 2 == 0).select(F.col("doc").alias("project"), "path", "content", "ord"), redact=False)
+    marked = f.where(F.col("ord") % 2 == 1).select("doc", F.concat(F.lit("\n--- START_FILE: "), "path", F.lit(" ---\n"), "content",
+                                                                   F.lit("\n--- END_FILE ---\n")).alias("text"))
+    bad = f.where(F.col("ord") % 20 == 0).select(F.concat_ws("|", "doc", F.lit("x")).alias("doc"),
+                                                 F.when(F.col("ord") % 40 == 0, " \n").otherwise("nothing marked").alias("text"))
+    docs = packed.select(F.col("project").alias("doc"), F.col("block").alias("text")).unionByName(marked).unionByName(bad)
+    return ar.load_snapshot(docs, key="doc")
 
-    tl = tree_lines(t.files(spark, sf))
-    doc = tl.groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("parts", "line"))), lambda s: s["line"]), "\n").alias("tree"))
-    text = doc.select("project", F.concat(F.lit(rd.TREE_INTRO), "tree", F.lit("\n\n--- START_FILE: x ---\n")).alias("text"))
-    return ar.tree_section(text)
+
+@register("snapshot_totals", "S10", r"""
+SELECT concat_ws('|', project, path) AS doc, 'ok' AS status, CAST(1 AS BIGINT) AS files, CAST(n AS BIGINT) AS chars, CAST(n // 4 AS BIGINT) AS tokens
+FROM (SELECT *, length(CASE WHEN ord % 2 = 0 THEN content ELSE regexp_replace(content, '\s+$', '') END) AS n FROM files)
+UNION ALL SELECT concat_ws('|', project, path, 'x'), CASE WHEN ord % 40 = 0 THEN 'no_text' ELSE 'no_files' END, 0, 0, 0 FROM files WHERE ord % 20 = 0
+""")
+def q_snapshot_totals(spark, sf):
+    return ar.snapshot_totals(_loaded(spark, sf), "doc")
+
+
+@register("tree_section", "S11", """
+SELECT project, path, 'src' || chr(10) || '    ' || path AS tree FROM files
+""")
+def q_tree_section(spark, sf):
+    """A rendered text per file, its tree section found again."""
+    f = t.files(spark, sf)
+    tree = F.concat(F.lit("src\n    "), "path")
+    text = F.concat(F.lit(rd.TREE_INTRO), F.lit("\n  "), tree, F.lit("\n\n--- START_FILE: x ---\n"), "content")
+    docs = f.select(F.struct("project", "path").alias("doc"), text.alias("text"))
+    return ar.tree_section(docs, key="doc").select("doc.project", "doc.path", "tree")
 
 
 @register("markdown_blocks", "S12", f"""
@@ -97,13 +131,21 @@ def q_marked_chunks(spark, sf):
     return rd.marked_chunks(t.files(spark, sf))
 
 
-@register("batch_export", "S14", """
-WITH p AS (SELECT DISTINCT project FROM files UNION SELECT 'src_missing')
+@register("batch_export", "S14", rf"""
+WITH p AS (SELECT DISTINCT project FROM files UNION SELECT 'src_missing'),
+r AS ({_redact_sql([], 'files_b')}),
+w AS (SELECT project, CAST(sum(length(replace(regexp_replace(content, '[\x{{10000}}-\x{{10FFFF}}\x{{2600}}-\x{{27BF}}\x{{FE00}}-\x{{FE0F}}]', '?', 'g'), chr(0), ''))
+        + greatest(ceil(length(content) / 10000), 1) + length(path) + length('--- START_FILE:  ---') + 3 + length('--- END_FILE ---') + 3) AS BIGINT) AS written
+      FROM r GROUP BY project)
 SELECT p.project, CASE WHEN count(f.path) = 0 THEN 'empty' ELSE 'ok' END AS status, count(f.path) AS files,
-       CAST(coalesce(sum(length(f.content)), 0) AS BIGINT) AS chars, CAST(coalesce(sum(length(f.content)), 0) // 4 AS BIGINT) AS tokens
-FROM p LEFT JOIN files_b f USING (project) GROUP BY p.project
+       CAST(coalesce(sum(length(f.content)), 0) AS BIGINT) AS chars, CAST(coalesce(sum(length(f.content)), 0) // 4 AS BIGINT) AS tokens,
+       coalesce(max(w.written), 0) AS written
+FROM p LEFT JOIN files_b f USING (project) LEFT JOIN w USING (project) GROUP BY p.project
 """)
 def q_batch_export(spark, sf):
     f = t.files(spark, sf)
     projects = f.select("project").distinct().unionByName(spark.range(1).select(F.lit("src_missing").alias("project")))
-    return rd.batch_export(t.files_b(spark, sf), projects)
+    out = scratch_path(spark, "export")
+    status = rd.batch_export(t.files_b(spark, sf), projects, out)
+    written = rd.exported(spark, out).withColumnRenamed("chars", "written")
+    return status.join(written, "project", "left").fillna({"written": 0})

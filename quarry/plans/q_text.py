@@ -42,13 +42,12 @@ def q_secret_preview(spark, sf):
     return se.with_preview(se.scan(t.files(spark, sf))).select("project", "path", "line", "type", "preview")
 
 
-def _redact_sql(whitelist):
-    vals = "list_concat(" + ", ".join(f"regexp_extract_all(content, {q.s(rx)}, {g})" for _, rx, g, _ in se.RULES) + ")"
+def _redact_sql(whitelist, files="files"):
     wl = "[" + ", ".join(q.s(w) for w in whitelist) + "]::VARCHAR[]"
-    ordered = (f"list_transform(list_sort(list_transform(list_filter(list_distinct({vals}), lambda v: length(v) > 0 AND NOT list_contains({wl}, v)), "
-               f"lambda v: {{'k': -length(v), 'v': v}})), lambda s: s.v)")
-    red = f"list_reduce(list_prepend(content, {ordered}), lambda acc, v: replace(acc, v, '[REDACTED SECRET]'))"
-    return f"""SELECT project, path, CASE WHEN regexp_matches(content, {q.s(se.ANY_RULE)}) THEN {red} ELSE content END AS content FROM files"""
+    return f"""SELECT project, path, list_reduce(list_prepend(content, coalesce((
+  SELECT list(value ORDER BY length(value) DESC, value) FROM (
+    WITH {_LINES.replace('FROM files ', f'FROM {files} ')} SELECT DISTINCT value FROM cands WHERE length(value) > 0 AND NOT list_contains({wl}, value))), []::VARCHAR[])),
+  lambda acc, v: replace(acc, v, '[REDACTED SECRET]')) AS content FROM {files}"""
 
 
 @register("redact", "R2", _redact_sql(WHITELIST))

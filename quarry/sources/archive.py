@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.bounded import small
+from quarry.operators.secrets import scrub
+
 # Markers of the archive block (configurable; the reader accepts any marker pair).
 BLOCK_START = "--- RESTORE_BLOCK_START ---"
 BLOCK_END = "--- RESTORE_BLOCK_END ---"
@@ -50,13 +53,19 @@ def _zlib(col: str, out: str, compress: bool):
     return run
 
 
-def pack(files: DataFrame, shard_bytes: int = SHARD_BYTES, start: str = BLOCK_START, end: str = BLOCK_END) -> DataFrame:
+def pack(files: DataFrame, shard_bytes: int = SHARD_BYTES, start: str = BLOCK_START, end: str = BLOCK_END,
+         redact: bool = True) -> DataFrame:
     """archives(project, shard, checksum, payload, block). A path listed twice
-    keeps its last (highest ``ord``) content."""
-    last = files.groupBy("project", "path").agg(F.max_by("content", "ord").alias("content"))
-    sizes = last.groupBy("project").agg(F.sum(F.octet_length("content")).alias("bytes"))
+    keeps its last (highest ``ord``) content. Secret values are replaced (R2) unless an
+    exact copy is asked for with ``redact=False``. Sizes come from lengths only, so content
+    is shuffled by (project, path) and by shard, never by project."""
+    if redact:
+        files = scrub(files)
+    sized = files.groupBy("project", "path").agg(F.max_by(F.octet_length("content"), "ord").alias("bytes"))
+    sizes = sized.groupBy("project").agg(F.sum("bytes").alias("bytes"))
     n = F.greatest(F.ceil(F.col("bytes") / F.lit(shard_bytes)), F.lit(1)).cast("int")
-    sharded = last.join(sizes.select("project", n.alias("n")), "project").withColumn(
+    last = files.groupBy("project", "path").agg(F.max_by("content", "ord").alias("content"))
+    sharded = last.join(small(sizes.select("project", n.alias("n"))), "project").withColumn(
         "shard", F.pmod(F.xxhash64("path"), F.col("n")).cast("int"))
     maps = sharded.groupBy("project", "shard").agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("path", "content")))).alias("json"))
@@ -116,28 +125,40 @@ def scrape_marked(docs: DataFrame, text_col: str = "text", key: str = "project")
 
 
 def force_scrape(docs: DataFrame, text_col: str = "text", key: str = "project") -> DataFrame:
-    """Lossy recovery: drop every backslash, then blocks; names over 200
-    characters or with a newline are skipped; content stripped; last wins."""
+    """Lossy recovery: drop every backslash, then blocks; content stripped; last wins.
+    ``plausible`` is false for names over 200 characters or with a newline, which the
+    recovery of a damaged text should not write."""
     clean = F.replace(F.col(text_col), F.lit("\\"), F.lit(""))
     z = docs.select(key, F.posexplode(F.arrays_zip(
         F.regexp_extract_all(clean, F.lit(FORCE_FILE_RX), 1).alias("p"),
         F.regexp_extract_all(clean, F.lit(FORCE_FILE_RX), 2).alias("c"))).alias("pos", "b"))
     z = z.select(key, "pos", F.regexp_extract("b.p", r"(?s)^\s*(.*?)\s*$", 1).alias("path"),
                  F.regexp_extract("b.c", r"(?s)^\s*(.*?)\s*$", 1).alias("content"))
-    z = z.where((F.length("path") <= MAX_SCRAPED_NAME) & ~F.col("path").contains("\n"))
-    return z.groupBy(key, "path").agg(F.max_by("content", "pos").alias("content"))
+    fine = (F.length("path") <= MAX_SCRAPED_NAME) & ~F.col("path").contains("\n")
+    return z.groupBy(key, "path").agg(F.max_by("content", "pos").alias("content")).withColumn("plausible", fine)
 
 
 def tree_section(docs: DataFrame, text_col: str = "text", key: str = "project") -> DataFrame:
     """The tree text between the structure header and the first '\\n\\n---'."""
-    return docs.select(key, F.regexp_extract(text_col, TREE_SECTION_RX, 1).alias("tree"))
+    return docs.select(key, F.regexp_replace(F.regexp_extract(text_col, TREE_SECTION_RX, 1), r"^\s+|\s+$", "").alias("tree"))
 
 
 def load_snapshot(docs: DataFrame, text_col: str = "text", key: str = "project") -> DataFrame:
-    """Archive rows when the block decodes, else the marked-text scrape.
-    Documents yielding no file at all are reported with status 'no_files'."""
+    """(key, path, content, source, status): archive rows where the block decodes, else
+    the marked-text scrape. A document without text has one row with status 'no_text', one
+    that yields no file 'no_files'; the others are 'ok'."""
     arch = unpack(docs.select(key, F.lit(0).alias("shard"), text_col), text_col, keys=(key, "shard"))
     good = arch.where(F.col("status").isin("ok", "legacy") & F.col("path").isNotNull()).select(key, "path", "content")
     scraped = scrape_marked(docs.join(good.select(key).distinct(), key, "left_anti"), text_col, key)
     files = good.withColumn("source", F.lit("archive")).unionByName(scraped.withColumn("source", F.lit("scrape")))
-    return files
+    none = F.lit(None).cast("string")
+    blank = F.length(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", "")) == 0
+    bad = docs.select(key, F.when(blank, "no_text").otherwise("no_files").alias("status")).join(files.select(key).distinct(), key, "left_anti")
+    bad = bad.select(key, none.alias("path"), none.alias("content"), none.alias("source"), "status")
+    return files.withColumn("status", F.lit("ok")).unionByName(bad)
+
+
+def snapshot_totals(loaded: DataFrame, key: str = "project") -> DataFrame:
+    """S10 totals per document: files, characters, tokens (characters // 4 of the sum), status."""
+    s = loaded.groupBy(key, "status").agg(F.count("path").alias("files"), F.coalesce(F.sum(F.length("content")), F.lit(0)).cast("long").alias("chars"))
+    return s.withColumn("tokens", F.expr("chars DIV 4"))

@@ -8,10 +8,11 @@ many tasks and files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.functions.bounded import small
 from quarry.operators import secrets as se
 from quarry.operators.tree import tree_lines
 from quarry.sources import archive as ar
@@ -31,16 +32,16 @@ def markdown_document(files: DataFrame, title_of=None) -> DataFrame:
     """S12 whole document as ordered rows (project, sec, k1, k2, text):
     title + tree (sec 0), file blocks (sec 1), archive block comment (sec 2)."""
     title = files.select("project").distinct().select(
-        "project", F.lit(0).alias("sec"), F.lit(0).alias("k1"), F.array().cast("array<string>").alias("k2"),
+        "project", F.lit(0).alias("sec"), F.lit(0).cast("long").alias("k1"), F.array().cast("array<string>").alias("k2"),
         F.concat(F.lit("# Codebase Snapshot: "), F.coalesce(title_of, F.col("project")) if title_of is not None else F.col("project"),
                  F.lit("\n\n## Project Structure\n```text")).alias("text"))
-    tl = tree_lines(files).select("project", F.lit(0).alias("sec"), F.lit(1).alias("k1"), F.col("parts").alias("k2"), F.col("line").alias("text"))
+    tl = tree_lines(files).select("project", F.lit(0).alias("sec"), F.lit(1).cast("long").alias("k1"), F.col("parts").alias("k2"), F.col("line").alias("text"))
     mid = files.select("project").distinct().select(
-        "project", F.lit(0).alias("sec"), F.lit(2).alias("k1"), F.array().cast("array<string>").alias("k2"),
+        "project", F.lit(0).alias("sec"), F.lit(2).cast("long").alias("k1"), F.array().cast("array<string>").alias("k2"),
         F.lit("```\n\n## File Contents\n").alias("text"))
-    blocks = markdown_blocks(files).select("project", F.lit(1).alias("sec"), F.col("ord").cast("int").alias("k1"),
+    blocks = markdown_blocks(files).select("project", F.lit(1).alias("sec"), F.col("ord").alias("k1"),
                                            F.array().cast("array<string>").alias("k2"), F.col("block").alias("text"))
-    arch = ar.pack(files).select("project", F.lit(2).alias("sec"), F.col("shard").alias("k1"), F.array().cast("array<string>").alias("k2"),
+    arch = ar.pack(files).select("project", F.lit(2).alias("sec"), F.col("shard").cast("long").alias("k1"), F.array().cast("array<string>").alias("k2"),
                                  F.concat(F.lit("\n<!--\n"), "block", F.lit("\n-->")).alias("text"))
     return title.unionByName(tl).unionByName(mid).unionByName(blocks).unionByName(arch)
 
@@ -57,18 +58,30 @@ def marked_chunks(files: DataFrame, chunk: int = CHUNK_CHARS) -> DataFrame:
     END_FILE footer: rows (project, ord, part, text)."""
     s = se.scrub(files).withColumn("clean", X.glyph_filter("content"))
     n = F.greatest(F.ceil(F.length("clean") / chunk), F.lit(1)).cast("int")
-    body = s.select("project", "ord", "clean", F.posexplode(F.sequence(F.lit(0), n - 1)).alias("i", "_")).select(
-        "project", "ord", (F.col("i") + 1).alias("part"), F.expr(f"substring(clean, i * {chunk} + 1, {chunk})").alias("text"))
-    head = s.select("project", "ord", F.lit(0).alias("part"), F.concat(F.lit("\n--- START_FILE: "), "path", F.lit(" ---\n")).alias("text"))
-    foot = s.select("project", "ord", (n + 1).alias("part"), F.lit("\n--- END_FILE ---\n").alias("text"))
-    return head.unionByName(body).unionByName(foot).withColumn("part", F.col("part").cast("long"))
+    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr("clean", i * chunk + 1, F.lit(chunk)))
+    head = F.concat(F.lit("\n--- START_FILE: "), "path", F.lit(" ---\n"))
+    parts = F.concat(F.array(head), pieces, F.array(F.lit("\n--- END_FILE ---\n")))
+    return s.select("project", "ord", F.posexplode(parts).alias("part", "text")).withColumn("part", F.col("part").cast("long"))
 
 
-def batch_export(files: DataFrame, projects: DataFrame) -> DataFrame:
-    """One status row per requested project; a project with nothing to export
-    is recorded as 'empty' instead of failing the batch."""
+def batch_export(files: DataFrame, projects: DataFrame, out_dir: str | None = None) -> DataFrame:
+    """Writes the marked text of every requested project below ``out_dir`` and gives one
+    status row per project; a project with nothing to export is recorded as 'empty'
+    instead of failing the batch."""
+    wanted = projects.select("project").distinct()
     st = files.groupBy("project").agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("content")).cast("long").alias("chars"))
-    j = projects.select("project").distinct().join(st, "project", "left")
-    return j.select("project", F.when(F.col("files").isNull(), "empty").otherwise("ok").alias("status"),
-                    F.coalesce("files", F.lit(0)).cast("long").alias("files"), F.coalesce("chars", F.lit(0)).cast("long").alias("chars"),
-                    (F.coalesce("chars", F.lit(0)) / 4).cast("long").alias("tokens"))
+    j = wanted.join(st, "project", "left")
+    out = j.select("project", F.when(F.col("files").isNull(), "empty").otherwise("ok").alias("status"),
+                   F.coalesce("files", F.lit(0)).cast("long").alias("files"), F.coalesce("chars", F.lit(0)).cast("long").alias("chars"),
+                   F.expr("coalesce(chars, 0) DIV 4").alias("tokens"))
+    if out_dir is not None:
+        mine = files.join(small(wanted), "project", "left_semi")
+        text = marked_chunks(mine).select("project", F.lit(0).alias("sec"), F.col("ord").alias("k1"), F.col("part").alias("k2"), "text")
+        write_document(text, out_dir)
+    return out
+
+
+def exported(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(project, chars) of what an export wrote: a row per project, its text lines rejoined by length."""
+    t = spark.read.schema("value string, project string").option("lineSep", "\n").text(out_dir)
+    return t.groupBy("project").agg(F.sum(F.length("value") + 1).alias("chars"))
