@@ -4,14 +4,14 @@ A text's set holds its distinct word shingles (``SHINGLE`` words, A-Z lower-case
 them as one). Texts with equal sets form a class, and one of each class goes on:
 
 1. ``PERMS`` minima give ``PERMS / ROWS`` band keys; their lowest two bits are packed into three longs.
-2. Classes that share a band key are candidates. Bit counts of the packed signatures estimate the similarity,
-   corrected for chance collisions of two bits; pairs clearly below the bound are left out (``SLACK`` below it,
-   five standard errors).
-3. The pair's full sets decide. First each class is held against the smallest of its bucket, so the work is
-   linear in the rows even in a group with a third of them. Then, in buckets that still hold several
-   components, each class outside the largest one is held against its most similar class of another component,
-   until nothing merges; a last pass confirms every remaining candidate pair between components. So no link
-   between components is lost that a shared band shows, and copies are not expanded into pairs.
+2. Classes that share a band key are candidates. The smallest class of a bucket is its head, and all classes
+   that meet a head in some bucket are its group (about two groups a class). Groups are tasks with their
+   members' full sets; large ones are dealt into blocks, a task for each pair of blocks.
+3. In a task, bit counts of the packed signatures estimate the similarity, corrected for chance collisions of two
+   bits; pairs clearly below the bound are left out (``SLACK`` below it, five standard errors). The full sets
+   decide the others, unless the pair is connected already. Only links that connect something leave the task:
+   fewer than members, whatever the group's size. So copies are never expanded into pairs, and no link between
+   components that a shared band shows is lost.
 4. Components by least label with pointer jumping.
 
 With 24 bands of four rows a pair at the bound shares a band with probability 1 - 3e-6. Null ids are kept and
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BYTE_VALUE, RangeHash, blocks, cut, mix, run_starts, utf8, words
+from quarry.llm.common import BYTE_VALUE, RangeHash, blocks, cut, mix, utf8, words
 
 SHINGLE = 5
 SIMILARITY_PERCENT = 80
@@ -34,6 +34,9 @@ PERMS = 96
 ROWS = 4
 SLACK = 0.25
 SEED = 11
+#: A group of more members, or more bytes of sets, is dealt into blocks.
+GROUP_ROWS = 2048
+GROUP_BYTES = 32 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -120,51 +123,123 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kinds}")
 
 
-def _same_bits(a: str, b: str):
-    """Of the packed minima, how many agree in both bits."""
-    differ = F.lit(0)
-    for c in _SIG:
-        x = F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return F.lit(PERMS) - differ
+def _enough(percent: int) -> int:
+    """Equal two-bit minima from which a pair is not clearly below the bound; two bits agree by chance in a quarter."""
+    return int(np.floor(PERMS * (max(percent / 100 - SLACK, 0.0) * 0.75 + 0.25)))
+
+
+def links_of_group(n: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect the members of a group as all its links would; members come with the head first.
+
+    Bit counts of the packed minima pick the pairs worth a look; the full sets decide. Pairs that are connected
+    already are passed over. ``side``: 0 for the head, else the member's block; where there are two blocks, pairs
+    within a block are another task's.
+    """
+    m = len(n)
+    comp, out = np.arange(m), []
+    enough, two = _enough(percent), len(set(side[1:].tolist())) > 1
+    low = np.uint64(0x5555555555555555)
+    for x in range(m - 1):
+        rest = slice(x + 1, m)
+        try_ = (comp[rest] != comp[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))
+        if two and side[x]:
+            try_ &= side[rest] != side[x]
+        if not try_.any():
+            continue
+        y = x + 1 + np.flatnonzero(try_)
+        d = sig[y] ^ sig[x]
+        differ = np.bitwise_count((d | (d >> np.uint64(1))) & low).sum(axis=1)
+        y = y[PERMS - differ.astype(np.int64) >= enough]
+        if not len(y):
+            continue
+        flat = np.concatenate([sets[k] for k in y])
+        at = np.searchsorted(sets[x], flat)
+        same = sets[x][np.minimum(at, len(sets[x]) - 1)] == flat
+        both = np.add.reduceat(same.astype(np.int64), np.cumsum(n[y]) - n[y])
+        for k in y[100 * both >= percent * (n[x] + n[y] - both)].tolist():
+            if comp[k] != comp[x]:
+                comp[comp == comp[k]] = comp[x]
+                out.append((x, k))
+    return out
+
 
+_MEMBER = "g long, lo int, hi int, side int, id long, n long, s0 long, s1 long, s2 long, hashes binary"
 
-def _may_link(a: str, b: str, percent: int):
-    """Estimate not clearly below the bound, and set sizes that allow it."""
-    least = max(percent / 100 - SLACK, 0.0)
-    enough = int(np.floor(PERMS * (least * 0.75 + 0.25)))
-    sizes = F.least(f"{a}n", f"{b}n") * 100 >= F.greatest(f"{a}n", f"{b}n") * percent
-    return sizes & (_same_bits(a, b) >= enough)
 
+def _members(docs: DataFrame, met: DataFrame, k: int) -> DataFrame:
+    """A row with the full set for each task that a class takes part in.
 
-def _sets(docs: DataFrame, need: DataFrame, k: int) -> DataFrame:
-    """(id, hashes): the sorted shingle hashes of the needed documents, 8 bytes each."""
+    The classes that met a head in some bucket are its group. Groups above ``GROUP_ROWS`` rows or ``GROUP_BYTES``
+    of sets are dealt into blocks, and each pair of blocks is a task of its own, with the head in all of them.
+    """
+    group = met.select(F.col("h").alias("g"), "id", "n", *_SIG)
+    size = group.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    blocks_ = F.ceil(F.greatest(F.col("m") / GROUP_ROWS, F.col("total") * 8 / GROUP_BYTES)).cast("int")
+    group = group.join(size.select("g", blocks_.alias("nb")), "g").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int") + 1)
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.col("nb")), lambda a: F.transform(F.sequence(a, F.col("nb")), lambda b: F.struct(a.alias("lo"), b.alias("hi"), F.lit(0).alias("side")))))
+    mine = F.transform(F.sequence(F.lit(1), F.col("nb")), lambda a: F.struct(F.least(a, F.col("blk")).alias("lo"), F.greatest(a, F.col("blk")).alias("hi"), F.col("blk").alias("side")))
+    tasks = group.withColumn("t", F.explode(F.when(F.col("g") == F.col("id"), every).otherwise(mine)))
+    asked = tasks.groupBy("id").agg(F.collect_list(F.struct("g", "t.lo", "t.hi", "t.side", "n", *_SIG)).alias("tasks"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(asked, "id")
 
     def run(batches):
+        names = ["g", "lo", "hi", "side", "n", *_SIG]
         for b in blocks(batches, "text"):
             h, off = shingles(b.column("text"), k)
             raw = h.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([raw[8 * s : 8 * e] for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], names=["id", "hashes"])
-
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(need, "id", "left_semi")
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hashes binary")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the bound."""
+            tasks = b.column("tasks")
+            row = np.repeat(np.arange(b.num_rows), np.diff(tasks.offsets.to_numpy()))
+            flat = tasks.flatten()
+            ok = np.diff(off)[row] == flat.field("n").to_numpy()  # of rows that share an id, the ones with this set
+            data = [raw[8 * s : 8 * e] for s, e in zip(off[row].tolist(), off[row + 1].tolist(), strict=True)]
+            cols = {c: flat.field(c) for c in names} | {"id": b.column("id").take(pa.array(row)), "hashes": pa.array(data, pa.binary())}
+            out = pa.RecordBatch.from_arrays([cols[c.split()[0]] for c in _MEMBER.split(", ")], names=[c.split()[0] for c in _MEMBER.split(", ")])
+            yield out.filter(pa.array(ok))
+
+    return rows.select("id", "text", "tasks").mapInArrow(run, _MEMBER)
+
+
+def _links(percent: int):
+    def judge(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        c = {k: t[k].to_numpy() for k in ("side", "id", "n", *_SIG)}
+        order = np.lexsort((c["id"], c["side"] != 0))
+        keep = np.concatenate(([True], c["id"][order][1:] != c["id"][order][:-1]))  # repeated rows once
+        order = order[keep]
+        c = {k: v[order] for k, v in c.items()}
+        raw = t["hashes"].to_pylist()
+        sets = [np.frombuffer(raw[i], np.uint64) for i in order.tolist()]
+        sig = np.stack([c[k].view(np.uint64) for k in _SIG], axis=1)
+        pairs = links_of_group(c["n"], sig, sets, c["side"], percent)
+        a, b = (c["id"][[p[i] for p in pairs]] if pairs else np.zeros(0, np.int64) for i in (0, 1))
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def rows(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], names=["a", "b"])
 
     def run(batches):
-        for batch in batches:
-            yes = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                yes.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+        held, last = [], None
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            found = []
+            key = np.stack([b.column(k).to_numpy() for k in ("g", "lo", "hi")], axis=1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            if held and tuple(key[0]) != last:
+                found.append(judge(held))
+                held = []
+            at = 0
+            for e in cuts.tolist():
+                found.append(judge([*held, b.slice(at, e - at)]))
+                held, at = [], e
+            held.append(b.slice(at))
+            last = tuple(key[-1])
+            if found:
+                yield rows(found)
+        if held:
+            yield rows([judge(held)])
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,39 +263,11 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILARITY_PERCENT) -
     full = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = cut(full.groupBy(*same).agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in (*_SIG, "keys")]))
     spread = classes.select(F.explode("keys").alias("key"), "id", F.col("n_shingles").alias("n"), *_SIG)
-    heads = spread.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("id", "n", *_SIG)).alias("h")).where("m > 1")
-    met = cut(spread.join(heads.select("key", "h"), "key"))
-    sets = cut(_sets(docs, met.select("id").distinct(), k))
-
-    star = met.select("id", "n", *_SIG, F.col("h.id").alias("h_id"), F.col("h.n").alias("h_n"), *[F.col(f"h.{c}").alias(f"h_{c}") for c in _SIG])
-    pairs = star.where((F.col("id") != F.col("h_id")) & _may_link("", "h_", percent)).select(F.col("h_id").alias("a"), F.col("id").alias("b")).distinct()
-    tried = cut(pairs)
-    edges = cut(confirmed(tried, sets, percent))
-    labels = components(edges)
-
-    final = False
-    while True:
-        rows = met.drop("h").join(labels, F.col("id") == F.col("v"), "left").withColumn("c", F.coalesce("c", "id")).drop("v")
-        parts = rows.groupBy("key", "c").agg(F.count("*").alias("m"))
-        split = parts.groupBy("key").agg(F.count("*").alias("p"), F.max(F.struct("m", "c")).alias("big")).where("p > 1")
-        rows = cut(rows.join(split.select("key", F.col("big.c").alias("main")), "key"))
-        here = rows.where(F.col("c") != F.col("main")).select("key", *[F.col(x).alias(f"l_{x}") for x in ("id", "n", "c", *_SIG)])
-        there = rows.select("key", *[F.col(x).alias(f"r_{x}") for x in ("id", "n", "c", *_SIG)])
-        cross = here.join(there, (here["key"] == there["key"]) & (F.col("l_c") != F.col("r_c")) & _may_link("l_", "r_", percent))
-        if not final:
-            best = cross.groupBy("l_id").agg(F.max(F.struct(_same_bits("l_", "r_").alias("s"), "r_id")).alias("best"))
-            cross = best.select("l_id", F.col("best.r_id").alias("r_id"))
-        pairs = cross.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        new = cut(confirmed(pairs, sets, percent))
-        merged = not new.isEmpty()
-        if merged:
-            edges, tried = edges.union(new), tried.union(pairs)
-            labels = components(edges)
-        if final:
-            break
-        if not merged:
-            tried, final = tried.union(pairs), True
+    heads = spread.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("h")).where("m > 1")
+    met = cut(spread.join(heads.select("key", "h"), "key").drop("key").distinct())
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = _members(docs, met, k).repartition(parts, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
+    labels = components(members.mapInArrow(_links(percent), "a long, b long").distinct())
 
     member = sig.select("doc_id", "n_shingles", "set1", "set2").join(classes.select(*same, F.col("id")), same, "left")
     rows = member.join(labels, F.col("id") == F.col("v"), "left")

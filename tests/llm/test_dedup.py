@@ -145,9 +145,10 @@ def near_texts(seed=3):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("k", [4, 5])
-def test_neardup_brute(spark, k):
+@pytest.mark.parametrize(("k", "rows"), [(4, 2048), (5, 2048), (4, 5)])
+def test_neardup_brute(spark, monkeypatch, k, rows):
     texts = near_texts()
+    monkeypatch.setattr(neardup, "GROUP_ROWS", rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.link(frame(spark, texts), k=k).collect()}
     want = brute_components(texts, k)
     assert got == want
