@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Folders that a project search passes over.
+SKIP_DIRS = [".git", ".venv", "venv", "node_modules", "__pycache__", ".idea", ".vscode", "dist", "build"]
+
 # Extension regex with Python ``os.path.splitext`` semantics: leading dots of the
 # base name never start an extension. Valid in both Java regex and RE2.
 SPLITEXT_RX = r"^\.*[^.].*(\.[^.]*)$"
@@ -51,12 +54,6 @@ def normalize_path(c) -> Column:
     )
 
 
-def strip_root(c, root: str) -> Column:
-    n = normalize_path(c)
-    r = root.replace("\\", "/").rstrip("/") + "/"
-    return F.when(n.startswith(r), F.substring(n, len(r) + 1, 1 << 30)).otherwise(n)
-
-
 def basename(c) -> Column:
     return F.element_at(F.split(to_posix(c), "/"), -1)
 

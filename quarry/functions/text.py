@@ -36,7 +36,7 @@ def _c(c) -> Column:
 
 def tokens(c) -> Column:
     """len(text) // 4 (characters, not bytes)."""
-    return (F.length(_c(c)) / F.lit(CHARS_PER_TOKEN)).cast("long")
+    return F.call_function("div", F.length(_c(c)), F.lit(CHARS_PER_TOKEN))
 
 
 def line_count(c) -> Column:

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import difflib
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.bounded import small
+
 KEYS = ["project", "path"]
 
 
@@ -28,13 +29,13 @@ def _digest(files: DataFrame) -> DataFrame:
 
 def compare_fingerprints(ref: DataFrame, cur: DataFrame, include_same: bool = False) -> DataFrame:
     """Added / removed / modified from stored md5 fingerprints."""
-    r = ref.select(*KEYS, F.col("md5").alias("h_ref"))
-    c = cur.select(*KEYS, F.col("md5").alias("h_cur"))
+    r = ref.select(*KEYS, F.col("md5").alias("h_ref"), F.lit(True).alias("in_ref"))
+    c = cur.select(*KEYS, F.col("md5").alias("h_cur"), F.lit(True).alias("in_cur"))
     j = r.join(c, KEYS, "full_outer")
     status = (
-        F.when(F.col("h_ref").isNull(), "added")
-        .when(F.col("h_cur").isNull(), "removed")
-        .when(F.col("h_ref") != F.col("h_cur"), "modified")
+        F.when(F.col("in_ref").isNull(), "added")
+        .when(F.col("in_cur").isNull(), "removed")
+        .when(~F.col("h_ref").eqNullSafe(F.col("h_cur")), "modified")
         .otherwise("same")
     )
     out = j.select(*KEYS, status.alias("status"))
@@ -43,13 +44,14 @@ def compare_fingerprints(ref: DataFrame, cur: DataFrame, include_same: bool = Fa
 
 def compare_snapshots(ref: DataFrame, cur: DataFrame, include_same: bool = False) -> DataFrame:
     """Content comparison of two ``files`` snapshots."""
-    r = _digest(ref).withColumnsRenamed({"h": "h_ref", "n": "n_ref"})
-    c = _digest(cur).withColumnsRenamed({"h": "h_cur", "n": "n_cur"})
+    r = _digest(ref).withColumnsRenamed({"h": "h_ref", "n": "n_ref"}).withColumn("in_ref", F.lit(True))
+    c = _digest(cur).withColumnsRenamed({"h": "h_cur", "n": "n_cur"}).withColumn("in_cur", F.lit(True))
     j = r.join(c, KEYS, "full_outer")
+    same = F.col("h_ref").eqNullSafe(F.col("h_cur")) & F.col("n_ref").eqNullSafe(F.col("n_cur"))
     status = (
-        F.when(F.col("n_ref").isNull(), "added")
-        .when(F.col("n_cur").isNull(), "removed")
-        .when((F.col("h_ref") != F.col("h_cur")) | (F.col("n_ref") != F.col("n_cur")), "modified")
+        F.when(F.col("in_ref").isNull(), "added")
+        .when(F.col("in_cur").isNull(), "removed")
+        .when(~same, "modified")
         .otherwise("same")
     )
     out = j.select(*KEYS, status.alias("status"))
@@ -70,12 +72,10 @@ def change_summary(changes: DataFrame) -> DataFrame:
 
 def set_changes(ref: DataFrame, cur: DataFrame) -> DataFrame:
     """O1: added = cur - ref, removed = ref - cur, common = cur ∩ ref (on keys)."""
-    rk, ck = ref.select(*KEYS), cur.select(*KEYS)
-    return (
-        ck.subtract(rk).withColumn("set_name", F.lit("added"))
-        .unionByName(rk.subtract(ck).withColumn("set_name", F.lit("removed")))
-        .unionByName(ck.intersect(rk).withColumn("set_name", F.lit("common")))
-    )
+    r = ref.select(*KEYS).distinct().withColumn("in_ref", F.lit(True))
+    c = cur.select(*KEYS).distinct().withColumn("in_cur", F.lit(True))
+    name = F.when(F.col("in_ref").isNull(), "added").when(F.col("in_cur").isNull(), "removed").otherwise("common")
+    return r.join(c, KEYS, "full_outer").select(*KEYS, name.alias("set_name"))
 
 
 def needs_update(store: DataFrame, updates: DataFrame) -> DataFrame:
@@ -90,53 +90,40 @@ def orphans(store: DataFrame, incoming: DataFrame) -> DataFrame:
     """Stored paths missing from the incoming set. A project with no incoming
     rows at all deletes nothing (the reference returns early on an empty list)."""
     present = incoming.select("project").distinct()
-    s = store.select(*KEYS).join(present, "project", "left_semi")
+    s = store.select(*KEYS).join(small(present), "project", "left_semi")
     return s.join(incoming.select(*KEYS), KEYS, "left_anti")
 
 
-def _split_lines(text: str) -> list[str]:
-    return text.splitlines()
-
-
-def unified_diff_text(path: str, ref: str | None, cur: str | None) -> str:
-    """J7 for one pair: empty content counts as missing."""
-    ref = ref or ""
-    cur = cur or ""
-    if cur == ref:
-        return ""
-    if not ref:
-        return f"(New File: {path})"
-    if not cur:
-        return f"(Deleted File: {path})"
-    lines = difflib.unified_diff(
-        _split_lines(ref), _split_lines(cur), fromfile=f"SNAPSHOT/{path}", tofile=f"CURRENT/{path}", lineterm=""
-    )
-    return "\n".join(lines)
-
-
 def file_diffs(ref: DataFrame, cur: DataFrame) -> DataFrame:
-    """Unified diff per changed file, computed inside the tasks with difflib.
+    """(project, path, diff) of the files that changed; empty content counts as missing.
 
-    One shuffle of both snapshots on (project, path); unchanged pairs are dropped
-    before the Python step, so only changed pairs cross into Arrow batches.
+    Keys and md5 decide what changed; only changed files' texts are fetched and joined.
+    New and deleted files get a fixed note from Spark; Python compares the others' lines.
     """
-    r = ref.select(*KEYS, F.col("content").alias("ref_content"))
-    c = cur.select(*KEYS, F.col("content").alias("cur_content"))
-    j = r.join(c, KEYS, "full_outer").where(
-        ~F.coalesce(F.col("ref_content"), F.lit("")).eqNullSafe(F.coalesce(F.col("cur_content"), F.lit("")))
+    changed = compare_snapshots(_filled(ref), _filled(cur)).select(*KEYS)
+    r = _filled(ref).join(changed, KEYS, "left_semi").select(*KEYS, F.col("content").alias("old"))
+    c = _filled(cur).join(changed, KEYS, "left_semi").select(*KEYS, F.col("content").alias("new"))
+    j = r.join(c, KEYS, "full_outer")
+    note = (
+        F.when(F.col("old").isNull(), F.concat(F.lit("(New File: "), "path", F.lit(")")))
+        .when(F.col("new").isNull(), F.concat(F.lit("(Deleted File: "), "path", F.lit(")")))
     )
+    j = j.withColumn("diff", note)
 
     def run(batches):
         for pdf in batches:
-            out = [
-                unified_diff_text(p, a, b)
-                for p, a, b in zip(pdf["path"], pdf["ref_content"], pdf["cur_content"])
-            ]
-            yield pd.DataFrame({"project": pdf["project"], "path": pdf["path"], "diff": out})
+            both = pdf["diff"].isna()
+            pdf.loc[both, "diff"] = ["\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), f"SNAPSHOT/{p}", f"CURRENT/{p}", lineterm=""))
+                                     for p, a, b in pdf.loc[both, ["path", "old", "new"]].itertuples(index=False)]
+            yield pdf[["project", "path", "diff"]]
 
     return j.mapInPandas(run, "project string, path string, diff string")
 
 
+def _filled(files: DataFrame) -> DataFrame:
+    return files.select(*KEYS, "content").where(F.length("content") > 0)
+
+
 def diff_line_classes(diffs: DataFrame) -> DataFrame:
     """One row per diff line with its class."""
     x = diffs.select(*KEYS, F.posexplode(F.split("diff", "\n")).alias("line_no", "line"))

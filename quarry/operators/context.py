@@ -1,21 +1,21 @@
 """Question -> packed context.
 
-Queries are few per project and are broadcast behind a row-count check; the file
-table is streamed and never shuffled with its content. Packing (W1) runs in
-rounds: each round keeps at most ``ceil(remaining / 20)`` candidates per query
-through a window group limit (partial before the shuffle), so no task ever holds a
-whole project.
+Only pairs of a query and a file that score become rows: names are matched by a shared
+gram, terms by one scan of each file for the terms of its project. The file table is
+never shuffled with its content. Packing (W1) runs in rounds: each round takes a list
+bounded by the remaining budget, first from the scored files of a query, then from the
+list of all files that the queries of a project share.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import paths as P
 from quarry.functions import text as X
-from quarry.operators.tree import tree_length
+from quarry.functions.bounded import small
+from quarry.operators.tree import tree_length, tree_lines
 from quarry.session import checkpoint_dir
 
 # Fixed values of the reference's context selection.
@@ -30,18 +30,12 @@ DIFF_EXTRA_TOKENS = 10
 TREE_HEADER = "PROJECT ARCHITECTURE:\n"
 CONTEXT_SHARE = 0.6
 MENTION_LIMIT = 3
-BROADCAST_MAX_ROWS = 200_000
-
-
-def _fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Row-count bound check before broadcasting a side (one small action)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def _join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
-    if _fits_broadcast(small):
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)  # sort-merge; AQE splits skewed partitions
+# White space as Python's str.split has it.
+SPACE_RX = r"(?U)[\s\x1c-\x1f]+"
+#: Names are looked up by their first characters.
+GRAM = 6
+#: Terms looked for in one pass over the files.
+TERM_BLOCK_CHARS = 16 << 20
 
 
 # ---------------------------------------------------------------- J9 / J10
@@ -105,105 +99,108 @@ def priority_files(traces: DataFrame, files: DataFrame, key: str = "trace_id", s
 
 # ---------------------------------------------------------------- J11 / J16
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    lq = F.lower("text")
-    terms = F.array_distinct(F.filter(F.split(lq, r"\s+"), lambda t: F.length(t) >= MIN_TERM_CHARS))
-    return queries.withColumns({"lq": lq, "terms": terms})
-
-
-def relevance_expr(queries: DataFrame, files: DataFrame, scope: str = "project") -> DataFrame:
-    """J11 with JVM expressions only: a broadcast join on the project and one
-    substring test per (query, file, term)."""
-    q = query_terms(queries).select("query_id", scope, "lq", "terms")
-    f = files.select(scope, "path", "ord", F.lower("content").alias("lc"), X.tokens("content").alias("tokens"))
-    j = _join_small(f, q, scope)
-    name_score = (
-        F.when(F.col("lq").contains(F.lower("path")), FULL_PATH_SCORE)
-        .when(F.col("lq").contains(F.lower(P.basename("path"))), BASENAME_SCORE)
-        .otherwise(0)
-    )
-    term_score = F.size(F.filter("terms", lambda t: F.col("lc").contains(t)))
-    return j.select("query_id", scope, "path", "ord", "tokens", (name_score + term_score).cast("long").alias("score"))
+def query_terms(queries: DataFrame, scope: str = "project") -> DataFrame:
+    """Distinct lower-cased terms of more than 3 characters: (query_id, scope, term)."""
+    words = F.split(F.lower("text"), SPACE_RX)
+    terms = F.array_distinct(F.filter(words, lambda t: F.length(t) >= MIN_TERM_CHARS))
+    return queries.select("query_id", scope, F.explode(terms).alias("term"))
 
 
-def relevance(queries: DataFrame, files: DataFrame, scope: str = "project") -> DataFrame:
-    """Score of every file of the query's project: +50 path named in the query,
-    else +30 base name named; +1 per distinct query term (> 3 chars) contained in
-    the content (substring test, as the reference does).
-
-    The query table is small (row-count checked) and broadcast. Each file's
-    content is scanned once with an Aho-Corasick automaton over all terms of its
-    project's queries (inside the task), instead of once per (query, term); the
-    files themselves never shuffle. Without pyahocorasick the JVM expression
-    plan is used.
+def name_hits(queries: DataFrame, files: DataFrame, scope: str = "project", fold: bool = True) -> DataFrame:
+    """(query_id, scope, path, ord, full): files whose base name occurs in the query of their
+    project; ``full`` if the whole path does. ``fold``: without regard to case.
+
+    A name that occurs shares its first characters with the query at some place, so files
+    meet only the queries that hold these characters.
     """
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return relevance_expr(queries, files, scope)
-    q = query_terms(queries).select("query_id", scope, "lq", "terms")
-    if not _fits_broadcast(q):
-        return relevance_expr(queries, files, scope)
-    spark = files.sparkSession
-    by_proj: dict = {}
-    for r in q.collect():
-        by_proj.setdefault(r[scope], []).append((r["query_id"], r["lq"], list(r["terms"] or [])))
-    bc = spark.sparkContext.broadcast(by_proj)
-    key_type = dict(files.dtypes)[scope]
-    qid_type = dict(queries.dtypes)["query_id"]
-
-    def run(batches):
-        import ahocorasick
-        import pandas as pd
-
-        table = bc.value
-        autos: dict = {}
-        for pdf in batches:
-            out = {"query_id": [], scope: [], "path": [], "ord": [], "tokens": [], "score": []}
-            for proj, path, ordv, content in zip(pdf[scope], pdf["path"], pdf["ord"], pdf["content"]):
-                qs = table.get(proj)
-                if not qs:
-                    continue
-                if proj not in autos:
-                    a = ahocorasick.Automaton()
-                    for term in {t for _, _, ts in qs for t in ts}:
-                        a.add_word(term, term)
-                    if len(a):
+    low = F.lower if fold else (lambda c: F.col(c) if isinstance(c, str) else c)
+    q = queries.select("query_id", scope, low("text").alias("q"))
+    size = F.length("q")
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda g: F.when(
+        size >= g, F.transform(F.sequence(F.lit(1), F.greatest(size - g + 1, F.lit(1))), lambda i: F.substr("q", i, g))).otherwise(F.array().cast("array<string>"))))
+    by_gram = q.select("query_id", scope, F.explode(F.array_distinct(grams)).alias("gram"))
+    name = low(P.basename("path"))
+    f = files.select(scope, "path", "ord", name.alias("name"), F.substring(name, 1, GRAM).alias("gram")).where(F.length("name") > 0)
+    near = f.join(small(by_gram), [scope, "gram"]).drop("gram")
+    hit = near.join(small(q), ["query_id", scope]).where(F.col("q").contains(F.col("name")))
+    return hit.select("query_id", scope, "path", "ord", F.col("q").contains(low("path")).alias("full"))
+
+
+def _term_blocks(terms: DataFrame, scope: str):
+    """{scope: its terms} in blocks of bounded size, one at a time in the driver."""
+    block, size = {}, 0
+    for r in terms.select(scope, "term").distinct().toLocalIterator():
+        block.setdefault(r[scope], []).append(r["term"])
+        size += len(r["term"])
+        if size >= TERM_BLOCK_CHARS:
+            yield block
+            block, size = {}, 0
+    if block:
+        yield block
+
+
+def term_hits(terms: DataFrame, files: DataFrame, scope: str = "project") -> DataFrame:
+    """(scope, path, ord, tokens, term): the terms of a file's project that its content holds
+    (substring test). Each file is scanned once per block of terms, for all terms at once."""
+    side = files.select(scope, "path", "ord", X.tokens("content").alias("tokens"), F.coalesce(F.lower("content"), F.lit("")).alias("lc"))
+    kinds = {f.name: f.dataType.simpleString() for f in side.schema.fields}
+    schema = f"{scope} {kinds[scope]}, path string, ord {kinds['ord']}, tokens long, term string"
+
+    def task(block):
+        def run(batches):
+            import ahocorasick
+            import numpy as np
+            import pyarrow as pa
+
+            automata = {}
+            for b in batches:
+                rows, found = [], []
+                for i, (project, text) in enumerate(zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                    if project not in block:
+                        continue
+                    if project not in automata:
+                        automata[project] = a = ahocorasick.Automaton()
+                        for t in block[project]:
+                            a.add_word(t, t)
                         a.make_automaton()
-                    autos[proj] = a
-                a = autos[proj]
-                text = content or ""
-                found = {t for _, t in a.iter(text.lower())} if len(a) else set()
-                lp = path.lower()
-                lb = lp.rsplit("/", 1)[-1]
-                ntok = len(text) // 4
-                for qid, lq, ts in qs:
-                    name = FULL_PATH_SCORE if lp in lq else (BASENAME_SCORE if lb in lq else 0)
-                    out["query_id"].append(qid)
-                    out[scope].append(proj)
-                    out["path"].append(path)
-                    out["ord"].append(ordv)
-                    out["tokens"].append(ntok)
-                    out["score"].append(name + sum(1 for t in ts if t in found))
-            if out["path"]:
-                yield pd.DataFrame(out)
-
-    return files.select(scope, "path", "ord", "content").mapInPandas(
-        run, f"query_id {qid_type}, {scope} {key_type}, path string, ord bigint, tokens bigint, score bigint")
+                    got = {t for _, t in automata[project].iter(text)}
+                    rows += [i] * len(got)
+                    found += got
+                own = b.select([0, 1, 2, 3]).take(pa.array(np.array(rows, np.int64)))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(found, pa.string())], names=[scope, "path", "ord", "tokens", "term"])
+
+        return run
+
+    out = None
+    for block in _term_blocks(terms, scope):
+        part = side.mapInArrow(task(block), schema)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else files.sparkSession.createDataFrame([], schema)
+
+
+def relevance(queries: DataFrame, files: DataFrame, scope: str = "project") -> DataFrame:
+    """The files of a query's project that score: +50 path named in the query, else +30
+    base name named; +1 per distinct query term (> 3 chars) contained in the content
+    (substring test, as the reference does). Files without a row score 0."""
+    terms = query_terms(queries, scope)
+    by_term = term_hits(terms, files, scope).join(small(terms), [scope, "term"])
+    by_term = by_term.select("query_id", scope, "path", "ord", "tokens", F.lit(1).cast("long").alias("points"))
+    names = name_hits(queries, files, scope).select("query_id", scope, "path", "ord", F.when(F.col("full"), FULL_PATH_SCORE).otherwise(BASENAME_SCORE).cast("long").alias("points"))
+    sizes = files.select(scope, "path", "ord", X.tokens("content").alias("tokens"))
+    by_name = sizes.join(small(names), [scope, "path", "ord"]).select("query_id", scope, "path", "ord", "tokens", "points")
+    return by_term.unionByName(by_name).groupBy("query_id", scope, "path", "ord").agg(
+        F.max("tokens").alias("tokens"), F.sum("points").alias("score"))
 
 
 def mentioned_files(queries: DataFrame, files: DataFrame, scope: str = "project", limit: int = MENTION_LIMIT) -> DataFrame:
     """Files whose path or base name occurs in the query (first 3 in file
     order); when none, the first 3 files of the project."""
-    q = queries.select("query_id", scope, F.col("text").alias("q"))
-    f = files.select(scope, "path", "ord")
-    j = _join_small(f, q, scope)
-    hit = j.where(F.col("q").contains(F.col("path")) | F.col("q").contains(P.basename("path")))
+    q = queries.select("query_id", scope)
     w = Window.partitionBy("query_id").orderBy("ord")
-    first_hits = hit.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= limit)
+    first_hits = name_hits(queries, files, scope, fold=False).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= limit)
     wf = Window.partitionBy(scope).orderBy("ord")
-    first_files = f.withColumn("rk", F.row_number().over(wf)).where(F.col("rk") <= limit)
-    fallback = _join_small(first_files, q.join(first_hits.select("query_id").distinct(), "query_id", "left_anti"), scope)
+    first_files = files.select(scope, "path", "ord").withColumn("rk", F.row_number().over(wf)).where(F.col("rk") <= limit)
+    fallback = q.join(first_hits.select("query_id").distinct(), "query_id", "left_anti").join(first_files, scope)
     cols = ["query_id", scope, "path", F.col("rk").cast("long").alias("rank")]
     return first_hits.select(*cols).unionByName(fallback.select(*cols))
 
@@ -221,6 +218,29 @@ def _persist(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _greedy(lists: DataFrame, scope: str) -> DataFrame:
+    """lists(query_id, scope, remaining, pos, path, ord, score, cost): each query's bounded list
+    taken in the order of pos, an item where its cost is below what remains. Gives
+    (query_id, scope, left, taken items, items seen, the last one's score and ord)."""
+    item = "struct<pos:bigint,score:bigint,ord:bigint,cost:bigint,path:string>"
+    grp = lists.groupBy("query_id", scope, "remaining").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "score", "ord", "cost", "path"))).alias("items"))
+    start = F.struct(F.col("remaining").alias("rem"), F.array().cast(f"array<{item}>").alias("acc"))
+    grp = grp.withColumn("f", F.aggregate("items", start, lambda a, x: F.when(
+        x["cost"] < a["rem"], F.struct((a["rem"] - x["cost"]).alias("rem"), F.array_append(a["acc"], x).alias("acc"))).otherwise(a)))
+    last = F.element_at("items", -1)
+    return grp.select("query_id", scope, F.col("f.rem").alias("left"), F.col("f.acc").alias("acc"), F.size("items").alias("seen"), last["score"].alias("c_score"), last["ord"].alias("c_ord"))
+
+
+def _taken(folded: DataFrame, scope: str) -> DataFrame:
+    return folded.select("query_id", scope, F.explode("acc").alias("x")).select("query_id", scope, "x.path", "x.ord", "x.score", "x.cost")
+
+
+def _list_length(remaining) -> F.Column:
+    """No more items than this can be taken: every cost is at least the header's."""
+    return F.ceil(remaining / HEADER_TOKENS)
+
+
 def pack_context(queries: DataFrame, files: DataFrame, max_tokens: int = 100000, diffs: DataFrame | None = None,
                  time_travel: bool = False, scope: str = "project") -> DataFrame:
     """W1 (W2 with ``diffs``): greedy skip packing of files into a token budget.
@@ -231,91 +251,105 @@ def pack_context(queries: DataFrame, files: DataFrame, max_tokens: int = 100000,
     ``cost < remaining`` and skipped otherwise. Output: one row per packed file
     with kind 'priority' or 'scored'.
     """
-    spark: SparkSession = queries.sparkSession
     q = queries.select("query_id", scope, "text")
-    tree = tree_length(files, scope).select(
-        scope, ((F.length(F.lit(TREE_HEADER)) + F.col("tree_chars") + 2) / 4).cast("long").alias("base_tokens"))
-    prio = priority_files(q.withColumnRenamed("query_id", "trace_id"), files, "trace_id", scope).withColumnRenamed("trace_id", "query_id")
+    tree = tree_length(files, scope).select(scope, F.expr(f"({len(TREE_HEADER)} + tree_chars + 2) DIV 4").alias("base_tokens"))
     toks = files.select(scope, "path", X.tokens("content").alias("tokens"), "ord")
-    prio = prio.join(q.select("query_id", scope), "query_id").join(toks, [scope, "path"]).select(
-        "query_id", scope, "path", "ord", "tokens", "first_pos", "crash_line",
-        (F.col("tokens") + HEADER_TOKENS).alias("cost"),
-    )
-    prio = _persist(prio)
-    prio_cost = prio.groupBy("query_id").agg(F.sum("cost").alias("prio_cost"))
-    state = (
-        q.join(tree, scope, "left")
-        .join(prio_cost, "query_id", "left")
-        .select(
-            "query_id",
-            (F.lit(max_tokens) - F.coalesce("base_tokens", F.lit(0))
-             - (TIME_TRAVEL_TOKENS if time_travel else 0) - F.coalesce("prio_cost", F.lit(0))).alias("remaining"),
-            F.lit(None).cast("long").alias("c_score"),
-            F.lit(None).cast("long").alias("c_ord"),
-        )
-    )
-    cand = relevance(q, files, scope).join(prio.select("query_id", "path"), ["query_id", "path"], "left_anti")
     cost = F.col("tokens") + HEADER_TOKENS
+    extra = None
     if diffs is not None:
-        d = diffs.where(F.length("diff") > 0).select(scope, "path", (X.tokens("diff") + DIFF_EXTRA_TOKENS).alias("diff_tokens"))
-        cand = cand.join(d, [scope, "path"], "left")
-        cost = cost + F.coalesce("diff_tokens", F.lit(0))
-    cand = _persist(cand.select("query_id", scope, "path", "ord", "score", cost.cast("long").alias("cost")))
+        extra = diffs.where(F.length("diff") > 0).select(scope, "path", (X.tokens("diff") + DIFF_EXTRA_TOKENS).alias("diff_tokens"))
+
+    def costed(df: DataFrame) -> DataFrame:
+        if extra is None:
+            return df.withColumn("cost", cost.cast("long"))
+        return df.join(extra, [scope, "path"], "left").withColumn("cost", (cost + F.coalesce("diff_tokens", F.lit(0))).cast("long")).drop("diff_tokens")
+
+    prio = priority_files(q.withColumnRenamed("query_id", "trace_id"), files, "trace_id", scope).withColumnRenamed("trace_id", "query_id")
+    prio = toks.join(small(prio.join(q.select("query_id", scope), "query_id")), [scope, "path"]).select(
+        "query_id", scope, "path", "ord", "tokens", "first_pos", "crash_line", cost.alias("cost"))
+    prio = _persist(prio)
+    spent = prio.groupBy("query_id").agg(F.sum("cost").alias("spent"))
+    start = q.join(tree, scope, "left").join(spent, "query_id", "left").select("query_id", scope, (
+        F.lit(max_tokens) - F.coalesce("base_tokens", F.lit(0)) - (TIME_TRAVEL_TOKENS if time_travel else 0) - F.coalesce("spent", F.lit(0))).alias("remaining"))
+    start = _persist(start.where(F.col("remaining") > 0))
+    cand = relevance(q, files, scope).join(prio.select("query_id", "path"), ["query_id", "path"], "left_anti")
+    cand = _persist(costed(cand).select("query_id", scope, "path", "ord", "score", "cost"))
 
-    state = _persist(state.where(F.col("remaining") > 0))
     accepted = []
-    rounds = 0
-    while True:
-        rounds += 1
-        stats = state.agg(F.count(F.lit(1)).alias("n"), F.max("remaining").alias("r")).first()
-        if not stats["n"]:
-            break
-        k_max = int(-(-stats["r"] // HEADER_TOKENS))  # every cost is >= 20
-        after = (
-            F.col("c_score").isNull()
-            | (F.col("score") < F.col("c_score"))
-            | ((F.col("score") == F.col("c_score")) & (F.col("ord") > F.col("c_ord")))
-        )
-        st = F.broadcast(state) if stats["n"] <= BROADCAST_MAX_ROWS else state
-        avail = cand.join(st, "query_id").where(after & (F.col("cost") < F.col("remaining")))
+    # the scored files of each query
+    state = start.select("query_id", "remaining", F.lit(None).cast("long").alias("c_score"), F.lit(None).cast("long").alias("c_ord"))
+    while not state.isEmpty():
+        after = (F.col("c_score").isNull() | (F.col("score") < F.col("c_score"))
+                 | ((F.col("score") == F.col("c_score")) & (F.col("ord") > F.col("c_ord"))))
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("ord"))
-        top = avail.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k_max)
-        top = top.where(F.col("rk") <= F.ceil(F.col("remaining") / HEADER_TOKENS))
-        # Exact greedy over this round's bounded list (<= remaining / 20 items per
-        # query): one fold per query, JVM-side.
-        grp = top.groupBy("query_id", scope, "remaining").agg(
-            F.array_sort(F.collect_list(F.struct("rk", "score", "ord", "cost", "path"))).alias("items"),
-            F.ceil(F.first("remaining") / HEADER_TOKENS).alias("k"))
-        init = F.struct(F.col("remaining").alias("rem"), F.array().cast(
-            "array<struct<rk:int,score:bigint,ord:bigint,cost:bigint,path:string>>").alias("acc"))
-        folded = grp.withColumn("f", F.aggregate(
-            "items", init,
-            lambda a, x: F.when(x["cost"] < a["rem"], F.struct((a["rem"] - x["cost"]).alias("rem"),
-                                                               F.array_append(a["acc"], x).alias("acc"))).otherwise(a)))
-        folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
-        accepted.append(folded.select("query_id", scope, F.explode("f.acc").alias("x")).select(
-            "query_id", scope, "x.path", "x.ord", "x.score", "x.cost"))
-        more = folded.where((F.size("items") >= F.col("k")) & (F.col("f.rem") > 0))
-        state = _persist(more.select(
-            "query_id", F.col("f.rem").alias("remaining"),
-            F.element_at("items", -1)["score"].alias("c_score"), F.element_at("items", -1)["ord"].alias("c_ord"),
-        ))
-    scored = accepted[0] if accepted else cand.limit(0).select("query_id", scope, "path", "ord", "score", "cost")
+        top = cand.join(small(state), "query_id").where(after & (F.col("cost") < F.col("remaining")))
+        most = int(-(-(state.agg(F.max("remaining")).first()[0]) // HEADER_TOKENS))
+        top = top.withColumn("pos", F.row_number().over(w)).where((F.col("pos") <= most) & (F.col("pos") <= _list_length(F.col("remaining"))))
+        folded = _persist(_greedy(top, scope).join(state.select("query_id", "remaining"), "query_id"))
+        accepted.append(_taken(folded, scope))
+        state = folded.where((F.col("seen") >= _list_length(F.col("remaining"))) & (F.col("left") > HEADER_TOKENS)).select(
+            "query_id", F.col("left").alias("remaining"), "c_score", "c_ord")
+    used = accepted[0] if accepted else cand.limit(0)
+    for a in accepted[1:]:
+        used = used.unionByName(a)
+    used = used.groupBy("query_id").agg(F.sum("cost").alias("used"))
+    # the files that score nothing: one list per project in file order, read from a cursor
+    left = F.col("remaining") - F.coalesce("used", F.lit(0))
+    state = _persist(start.join(used, "query_id", "left").select("query_id", scope, left.alias("remaining"), F.lit(None).cast("long").alias("c_ord")).where(F.col("remaining") > HEADER_TOKENS))
+    every = costed(toks).select(scope, "path", "ord", "cost")
+    passed = cand.select("query_id", "path").unionByName(prio.select("query_id", "path"))
+    while not state.isEmpty():
+        per = state.groupBy(scope).agg(F.min(F.coalesce("c_ord", F.lit(-(1 << 62)))).alias("from_ord"), F.max("remaining").alias("most"))
+        w = Window.partitionBy(scope).orderBy("ord")
+        shared = every.join(small(per), scope).where((F.col("ord") > F.col("from_ord")) & (F.col("cost") < F.col("most")))
+        n_list = int(-(-(state.agg(F.max("remaining")).first()[0]) // HEADER_TOKENS))
+        shared = _persist(shared.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n_list).drop("from_ord", "most"))
+        ends = shared.groupBy(scope).agg(F.count(F.lit(1)).alias("n"), F.max("ord").alias("end"))
+        open_ = state.join(shared, scope).where(F.col("c_ord").isNull() | (F.col("ord") > F.col("c_ord"))).join(passed, ["query_id", "path"], "left_anti")
+        folded = _persist(_greedy(open_.withColumn("score", F.lit(0).cast("long")), scope))
+        accepted.append(_taken(folded, scope))
+        rest = state.select("query_id", scope, "remaining").join(folded.select("query_id", "left"), "query_id", "left").join(ends, scope)
+        rest = rest.where(F.col("n") >= n_list).select("query_id", scope, F.coalesce("left", "remaining").alias("remaining"), F.col("end").alias("c_ord"))
+        state = _persist(rest.where(F.col("remaining") > HEADER_TOKENS))
+    scored = accepted[0] if accepted else cand.limit(0)
     for a in accepted[1:]:
         scored = scored.unionByName(a)
-    pack_context.last_rounds = rounds
     pr = prio.select("query_id", scope, "path", "ord", F.lit(None).cast("long").alias("score"), "cost",
-                     F.lit("priority").alias("kind"), "crash_line")
-    sc = scored.select("*", F.lit("scored").alias("kind"), F.lit(None).cast("long").alias("crash_line"))
+                     F.lit("priority").alias("kind"), "crash_line", "first_pos")
+    sc = scored.select("query_id", scope, "path", "ord", "score", "cost", F.lit("scored").alias("kind"), F.lit(None).cast("long").alias("crash_line"), F.lit(None).cast("long").alias("first_pos"))
     return pr.unionByName(sc)
 
 
-def context_document(packed: DataFrame, files: DataFrame, scope: str = "project") -> DataFrame:
-    """``=== FILE: path ===`` blocks in packing order per query. The packed
-    set is bounded by the token budget, so the per-query string is too."""
+# Fixed texts of the context document.
+TIME_TRAVEL_NOTE = "!!! TIME TRAVEL MODE ACTIVE !!!\nYou are analyzing REGRESSIONS. Focus on the DIFFS below.\n\n"
+PRIORITY_NOTE = "--- ACTIVE DEBUGGING CONTEXT (PRIORITY) ---\n!!! THE USER IS DEBUGGING A CRASH !!!\n\n"
+
+
+def context_blocks(packed: DataFrame, files: DataFrame, diffs: DataFrame | None = None, scope: str = "project") -> DataFrame:
+    """X14 as rows (query_id, sec, pos, ord, text): priority files in the order of their frames with
+    crash hints, then scored files by score and file order, with their diff if there is one."""
     j = packed.join(files.select(scope, "path", "content"), [scope, "path"])
-    block = F.concat(F.lit("=== FILE: "), F.col("path"), F.lit(" ===\n"), F.col("content"))
-    key = F.struct(F.when(F.col("kind") == "priority", 0).otherwise(1), F.coalesce(-F.col("score"), F.lit(0)), F.col("ord"))
-    return j.groupBy("query_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), block.alias("b")))), lambda s: s["b"]), "\n\n").alias("context")
-    )
+    diff = F.lit("")
+    if diffs is not None:
+        j = j.join(diffs.where(F.length("diff") > 0).select(scope, "path", "diff"), [scope, "path"], "left")
+        diff = F.when((F.col("kind") == "scored") & F.col("diff").isNotNull(), F.concat(F.lit("=== DIFF DETECTED: "), "path", F.lit(" ===\n"), "diff", F.lit("\n\n"))).otherwise(F.lit(""))
+    hint = F.when(F.col("crash_line").isNotNull(), F.concat(F.lit("!!! CRASH DETECTED IN "), "path", F.lit(" AT LINE "), F.col("crash_line").cast("string"), F.lit(" !!!\n"))).otherwise(F.lit(""))
+    text = F.concat(hint, diff, F.lit("=== FILE: "), "path", F.lit(" ===\n"), F.coalesce("content", F.lit("")), F.lit("\n\n"))
+    first = F.col("kind") == "priority"
+    return j.select("query_id", F.when(first, 1).otherwise(2).alias("sec"), F.when(first, F.col("first_pos")).otherwise(-F.col("score")).alias("pos"), "ord", text.alias("text"))
+
+
+def context_document(packed: DataFrame, files: DataFrame, queries: DataFrame, diffs: DataFrame | None = None,
+                     time_travel: bool = False, scope: str = "project") -> DataFrame:
+    """One text per query: tree, notes, priority and scored files. The packed set is
+    bounded by the token budget and the tree is charged to it, so the text is bounded too."""
+    line = F.struct("parts", "line")
+    tree = tree_lines(files, scope).groupBy(scope).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("tree"))
+    blocks = context_blocks(packed, files, diffs, scope)
+    body = blocks.groupBy("query_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec", "pos", "ord", "text"))), lambda x: x["text"]), "").alias("body"),
+        F.max(F.col("sec") == 1).alias("crash"))
+    d = queries.select("query_id", scope).join(tree, scope, "left").join(body, "query_id", "left")
+    head = F.concat(F.lit(TREE_HEADER), F.coalesce("tree", F.lit("")), F.lit("\n\n"), F.lit(TIME_TRAVEL_NOTE if time_travel else ""))
+    note = F.when(F.coalesce("crash", F.lit(False)), F.lit(PRIORITY_NOTE)).otherwise(F.lit(""))
+    return d.select("query_id", F.concat(head, note, F.coalesce("body", F.lit(""))).alias("context"))

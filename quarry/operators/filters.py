@@ -82,7 +82,7 @@ def scan_scope(files: DataFrame, scope: str = "", groups=("venv", "pycache", "gi
                extensions=None, config_file: str = PROJECT_CONFIG_FILE) -> DataFrame:
     """P5: files under ``scope`` that survive the toggled default groups and custom
     rules (matched relative to the scope), carry an included extension and are
-    not the config file; sorted by path per project."""
+    not the config file."""
     lines = [p for g in groups for p in W.DEFAULT_GROUPS[g]] + [c.strip() for c in custom if c.strip()]
     rules = W.compile_rules(lines)
     prefix = scope.strip("/") + "/" if scope.strip("/") else ""
@@ -90,7 +90,7 @@ def scan_scope(files: DataFrame, scope: str = "", groups=("venv", "pycache", "gi
     exts = extensions if extensions is not None else DEFAULT_EXTENSIONS
     out = files.where(F.col("path").startswith(prefix) if prefix else F.lit(True))
     out = out.where(~W.ignored(rel, rules) & ext_predicate("path", exts) & ~F.col("path").contains(config_file))
-    return out.select("project", "path").orderBy("project", "path")
+    return out.select("project", "path")
 
 
 def name_search(files: DataFrame, query: str, extensions=None) -> DataFrame:
@@ -101,21 +101,14 @@ def name_search(files: DataFrame, query: str, extensions=None) -> DataFrame:
     ).select("project", "path")
 
 
-def name_search_many(files: DataFrame, searches: DataFrame, extensions=None) -> DataFrame:
-    """P6 for a table of searches ``(search_id, q)``: theta join on substring.
-    The search table must be small (it is broadcast); files are streamed."""
-    exts = extensions if extensions is not None else SEARCH_EXTENSIONS
-    f = files.where(ext_predicate("path", exts)).select("project", "path", F.lower(P.basename("path")).alias("bn"))
-    s = searches.select("search_id", F.lower("q").alias("lq"))
-    return f.join(F.broadcast(s), F.col("bn").contains(F.col("lq"))).select("search_id", "project", "path")
-
-
-def path_search(store: DataFrame, query: str, n: int = 5) -> DataFrame:
-    """Path substring fallback search, fixed score, non-empty content, first n
-    in store order (``ord``)."""
+def path_search(store: DataFrame, query: str, n: int | None = None) -> DataFrame:
+    """Path substring fallback search, fixed score, non-empty content, the first n
+    in store order (``ord``) of each project if n is given."""
     from pyspark.sql import Window
 
     hits = store.where(F.lower("path").contains(query.lower()) & (F.length("content") > 0))
+    if n is None:
+        return hits.select("project", "path", "content", F.lit(PATH_MATCH_SCORE).alias("score"))
     w = Window.partitionBy("project").orderBy("ord")
     return (
         hits.withColumn("rn", F.row_number().over(w))
@@ -156,15 +149,12 @@ def unsafe_paths(df: DataFrame, path_col: str = "path") -> DataFrame:
     )
 
 
-PROJECT_SKIP_DIRS = [".git", ".venv", "venv", "node_modules", "__pycache__", ".idea", ".vscode", "dist", "build"]
-
-
 def project_search_scope(files: DataFrame, max_depth: int = 3) -> DataFrame:
     """Folders within ``max_depth`` that contain no skipped folder name."""
     parts = F.split("path", "/")
     dirs = F.slice(parts, 1, F.size(parts) - 1)
     return files.where(
-        (F.size(dirs) < max_depth) & ~F.arrays_overlap(dirs, F.array(*[F.lit(x) for x in PROJECT_SKIP_DIRS]))
+        (F.size(dirs) < max_depth) & ~F.arrays_overlap(dirs, F.array(*[F.lit(x) for x in P.SKIP_DIRS]))
     )
 
 

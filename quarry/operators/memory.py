@@ -18,22 +18,24 @@ DEFAULT_MAX_TOKENS = 128000
 SUMMARY_HEADER = "Earlier conversation:"
 
 
-def _suffix_window(key="conv_id", order="turn"):
-    return Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-
-
 def trim_history(messages: DataFrame, max_tokens: int = DEFAULT_MAX_TOKENS, context_tokens: int = 0,
-                 preserve_recent: int = PRESERVE_RECENT, key: str = "conv_id", order: str = "turn") -> DataFrame:
+                 preserve_recent: int = PRESERVE_RECENT, key: str = "conv_id", order: str = "turn", block: int = 256) -> DataFrame:
     """Adds ``keep`` (survives trimming). Nothing is trimmed when the total
-    fits or when the conversation has at most ``preserve_recent`` messages."""
-    w = _suffix_window(key, order)
-    m = messages.withColumn("tokens", X.tokens("text"))
-    m = m.withColumns({
-        "suffix_tokens": F.sum("tokens").over(w),
-        "from_end": F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))),
-    })
-    keep = (F.col("suffix_tokens") + F.lit(context_tokens) <= F.lit(max_tokens)) | (F.col("from_end") <= preserve_recent)
-    return m.withColumn("keep", keep).drop("suffix_tokens", "from_end")
+    fits or when the conversation has at most ``preserve_recent`` messages.
+
+    Suffix sums in two levels: over one row per block of turns, then inside a block, so a
+    conversation of any length is spread over many tasks.
+    """
+    m = messages.withColumn("tokens", X.tokens("text")).withColumn("_b", F.floor(F.col(order) / block))
+    per = m.groupBy(key, "_b").agg(F.sum("tokens").alias("_t"), F.count(F.lit(1)).alias("_n"))
+    later = Window.partitionBy(key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(key, "_b", F.coalesce(F.sum("_t").over(later), F.lit(0)).alias("_t"), F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_n"))
+    inside = Window.partitionBy(key, "_b").orderBy(F.desc(order))
+    m = m.withColumns({"_own": F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_rank": F.row_number().over(inside)})
+    m = m.join(per, [key, "_b"])
+    fits = F.col("_t") + F.col("_own") + F.lit(context_tokens) <= F.lit(max_tokens)
+    return m.withColumn("keep", F.coalesce(fits, F.lit(False)) | (F.col("_n") + F.col("_rank") <= preserve_recent)).select(
+        *messages.columns, "tokens", "keep")
 
 
 def trim_summary(messages: DataFrame, max_tokens: int = DEFAULT_MAX_TOKENS, context_tokens: int = 0,

@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import paths as P
+from quarry.functions.bounded import small
 
-RECENT_LIMIT = 20
-RECENT_PROJECTS_LIMIT = 5
-SKIP_DIRS = [".git", ".venv", "venv", "node_modules", "__pycache__", ".idea", ".vscode", "dist", "build"]
+#: Rows of a project whose neighbours are found in one window.
+MOVE_BUCKET = 65536
 
 
-def recent(opens: DataFrame, limit: int = RECENT_LIMIT, key: str = "user_id", item: str = "path", ts: str = "ts") -> DataFrame:
-    """Upsert + move-to-front + cap: latest open per item, newest ``limit`` per
-    key. The per-(key, item) aggregate is partial; the top-``limit`` window is a
+def recent(opens: DataFrame, limit: int | None = None, key: str = "user_id", item: str = "path", ts: str = "ts") -> DataFrame:
+    """Upsert + move-to-front: latest open per item, ranked per key, the newest
+    ``limit`` if given. The per-(key, item) aggregate is partial; the top-``limit`` window is a
     group limit."""
     last = opens.groupBy(key, item).agg(F.max(ts).alias("last_opened"))
     w = Window.partitionBy(key).orderBy(F.desc("last_opened"), F.asc(item))
-    return last.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("long"))
+    ranked = last.withColumn("rank", F.row_number().over(w))
+    ranked = ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    return ranked.withColumn("rank", F.col("rank").cast("long"))
 
 
 def latest_attributes(changes: DataFrame, key=("user_id",), attr: str = "event_type", value: str = "value",
@@ -28,24 +30,38 @@ def latest_attributes(changes: DataFrame, key=("user_id",), attr: str = "event_t
                                            F.max(ts).alias("updated_at"))
 
 
+def neighbours(items: DataFrame, scope: str = "project", order: str = "ord", bucket: int = MOVE_BUCKET) -> DataFrame:
+    """(scope, path, order, prev, next): each item with the structs (order, path) beside it.
+
+    Windows run over buckets of the order column, then over one row per bucket for the
+    items at the buckets' ends, so no window holds a whole project.
+    """
+    me = F.struct(F.col(order).alias("o"), F.col("path").alias("p"))
+    rows = items.select(scope, "path", order, F.floor(F.col(order) / bucket).alias("_b"), me.alias("_me"))
+    ends = rows.groupBy(scope, "_b").agg(F.min("_me").alias("_low"), F.max("_me").alias("_high"))
+    over = Window.partitionBy(scope).orderBy("_b")
+    ends = ends.select(scope, "_b", F.lag("_high").over(over).alias("_before"), F.lead("_low").over(over).alias("_after"))
+    w = Window.partitionBy(scope, "_b").orderBy("_me")
+    rows = rows.withColumns({"prev": F.lag("_me").over(w), "next": F.lead("_me").over(w)}).join(ends, [scope, "_b"])
+    return rows.select(scope, "path", order, F.coalesce("prev", "_before").alias("prev"), F.coalesce("next", "_after").alias("next"))
+
+
 def move_item(items: DataFrame, requests: DataFrame, scope: str = "project", order: str = "ord") -> DataFrame:
-    """Swap a requested item with its neighbour (``direction`` up/down) in the
-    explicit order column. The neighbour is found with a filtered partial
-    aggregate (no per-project sort); requests are tiny and broadcast."""
-    req = requests.select(scope, F.col("path").alias("r_path"), "direction")
-    me = items.select(scope, F.col("path").alias("r_path"), F.col(order).alias("r_ord"))
-    target = req.join(me, [scope, "r_path"])
-    cand = items.join(F.broadcast(target), scope).where(
-        ((F.col("direction") == "up") & (F.col(order) < F.col("r_ord")))
-        | ((F.col("direction") == "down") & (F.col(order) > F.col("r_ord")))
-    )
-    nb = cand.groupBy(scope, "r_path", "r_ord", "direction").agg(
-        F.max_by(F.struct(F.col("path").alias("n_path"), F.col(order).alias("n_ord")),
-                 F.when(F.col("direction") == "up", F.col(order)).otherwise(-F.col(order))).alias("nb")
-    ).select(scope, "r_path", "r_ord", "nb.n_path", "nb.n_ord")
-    swaps = nb.select(scope, F.col("r_path").alias("path"), F.col("n_ord").alias("new_ord")).unionByName(
-        nb.select(scope, F.col("n_path").alias("path"), F.col("r_ord").alias("new_ord")))
-    out = items.join(F.broadcast(swaps), [scope, "path"], "left")
+    """Swap a requested item with its neighbour (``direction`` up/down) in the explicit
+    order column. Of requests that touch the same item only the one whose item comes first
+    in the order is carried out (up before down), so every place is used once."""
+    req = requests.select(scope, "path", "direction").distinct()
+    asked = neighbours(items, scope, order).join(small(req), [scope, "path"])
+    other = F.when(F.col("direction") == "up", F.col("prev")).otherwise(F.col("next"))
+    swap = asked.withColumn("other", other).where(F.col("other").isNotNull()).select(
+        scope, F.col("path").alias("a"), F.col(order).alias("a_ord"), F.col("other.p").alias("b"), F.col("other.o").alias("b_ord"),
+        F.struct(F.col(order).alias("o"), (F.col("direction") == "down").alias("d")).alias("turn"))
+    touched = swap.select(scope, F.explode(F.array("a", "b")).alias("x"), "turn").groupBy(scope, "x").agg(F.min("turn").alias("first"))
+    t = touched.select(scope, "x", "first")
+    won = swap.join(t.withColumnsRenamed({"x": "a", "first": "fa"}), [scope, "a"]).join(t.withColumnsRenamed({"x": "b", "first": "fb"}), [scope, "b"])
+    won = won.where((F.col("turn") == F.col("fa")) & (F.col("turn") == F.col("fb")))
+    places = won.select(scope, F.col("a").alias("path"), F.col("b_ord").alias("new_ord")).unionByName(won.select(scope, F.col("b").alias("path"), F.col("a_ord").alias("new_ord")))
+    out = items.join(small(places), [scope, "path"], "left")
     return out.withColumn(order, F.coalesce("new_ord", F.col(order))).drop("new_ord")
 
 
@@ -76,14 +92,14 @@ def discover_projects(listing: DataFrame, registry: DataFrame, marker_suffix: st
     yet registered."""
     d = config_dirs(listing, marker_suffix, scope)
     parts = F.split("dir", "/")
-    d = d.where((F.size(parts) < max_depth) & ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in SKIP_DIRS])))
+    d = d.where((F.size(parts) < max_depth) & ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in P.SKIP_DIRS])))
     return d.join(registry.select(scope, "dir"), [scope, "dir"], "left_anti")
 
 
 def cleanup_missing(registry: DataFrame, listing: DataFrame, marker_suffix: str, scope: str = "project") -> DataFrame:
-    """Registry entries whose config still exists (left semi), with the
-    number dropped per project as a column."""
+    """Registry entries whose config still exists, with the number dropped per project
+    as a column. A project that keeps none has one row without a folder."""
     alive = config_dirs(listing, marker_suffix, scope)
     kept = registry.join(alive, [scope, "dir"], "left_semi")
     dropped = registry.join(alive, [scope, "dir"], "left_anti").groupBy(scope).agg(F.count(F.lit(1)).alias("dropped"))
-    return kept.join(dropped, scope, "left").withColumn("dropped", F.coalesce("dropped", F.lit(0)).cast("long"))
+    return kept.join(dropped, scope, "full_outer").withColumn("dropped", F.coalesce("dropped", F.lit(0)).cast("long"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import paths as P
+from quarry.functions.bounded import small
 
 # Tag grammar of responses and tool results.
 REF_RX = r"\[\[REF:\s*(.*?)\]\]"
@@ -19,8 +20,6 @@ SEP = "\u0001"
 LINK_SCHEME = "ref://"
 TOOL_SOURCE_SCHEME = "mcp://"
 TOOL_TEXT_MIN_CHARS = 100
-SELECTION_LIST_CAP = 100
-BRIEFING_LIST_CAP = 50
 
 
 def _strip(c):
@@ -75,13 +74,14 @@ def patches(responses: DataFrame, keys=("conv_id", "turn")) -> DataFrame:
 def apply_patches(files: DataFrame, patch_rows: DataFrame, order=("conv_id", "turn", "p1", "p2")) -> DataFrame:
     """Last safe patch per path replaces the whole content; the previous
     content is kept as ``path.bak``. Patches pre-aggregate to one row per path
-    before the join, so only one small row per patched file shuffles."""
+    before the join, so only one small row per patched file shuffles. Patch rows carry
+    their conversation's project: a path is patched in that project only."""
     last = (
         patch_rows.where("safe")
-        .groupBy(F.col("file").alias("path"))
+        .groupBy("project", F.col("file").alias("path"))
         .agg(F.max_by("code", F.struct(*order)).alias("new_content"))
     )
-    j = files.join(last, "path", "left")
+    j = files.join(small(last), ["project", "path"], "left")
     updated = j.select(
         "project", "path", "ord", F.coalesce("new_content", "content").alias("content"),
         F.col("new_content").isNotNull().alias("patched"),
@@ -98,7 +98,9 @@ def parse_selection(selections: DataFrame, text_col: str = "text") -> DataFrame:
     body = F.regexp_replace(body, r"^```[^\n]*\n", "")
     body = F.regexp_replace(body, r"\n[ \t]*```$", "")
     body = _strip(body)
-    parsed = F.when(body.startswith("["), F.from_json(body, "array<string>", {"mode": "PERMISSIVE"}))
+    kind = F.schema_of_variant(F.try_parse_json(body))  # of all elements together
+    strings = F.from_json(body, "array<string>", {"mode": "PERMISSIVE"})
+    parsed = F.when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(strings, lambda x: x.isNull()), strings)
     return selections.withColumns(
         {"paths": parsed, "status": F.when(parsed.isNull(), "invalid").otherwise("ok")}
     )
@@ -152,7 +154,7 @@ def excluded_files(files: DataFrame, selected: DataFrame) -> DataFrame:
     return files.select("project", "path").join(selected.select("project", "path").distinct(), ["project", "path"], "left_anti")
 
 
-def capped_list(files: DataFrame, n: int = SELECTION_LIST_CAP, order: str = "ord") -> DataFrame:
+def capped_list(files: DataFrame, n: int, order: str = "ord") -> DataFrame:
     """First n paths per project and a truncated flag. The top-n window is a
     group limit (partial before the shuffle); counts come from a partial aggregate."""
     w = Window.partitionBy("project").orderBy(order)
@@ -161,3 +163,17 @@ def capped_list(files: DataFrame, n: int = SELECTION_LIST_CAP, order: str = "ord
     return top.join(counts, "project").select(
         "project", "path", F.col("rank").cast("long").alias("rank"), "n_files", (F.col("n_files") > n).alias("truncated")
     )
+
+
+def briefing_list(files: DataFrame, n: int, order: str = "ord") -> DataFrame:
+    """W8, briefing form: the first n and the last n paths per project, the total and a
+    truncated flag. Two group limits, from either end."""
+    ends = []
+    for end, by in (("first", F.asc(order)), ("last", F.desc(order))):
+        w = Window.partitionBy("project").orderBy(by)
+        ends.append(files.select("project", "path", order).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn("end", F.lit(end)))
+    counts = files.groupBy("project").agg(F.count(F.lit(1)).alias("n_files"))
+    rows = ends[0].unionByName(ends[1]).join(small(counts), "project")
+    # in a short list the two ends overlap: a path of both counts as one of the first
+    rows = rows.where((F.col("end") == "first") | (F.col("n_files") - F.col("rank") >= n))
+    return rows.select("project", "path", "end", F.col("rank").cast("long").alias("rank"), "n_files", (F.col("n_files") > 2 * n).alias("truncated"))

@@ -15,9 +15,6 @@ from quarry.functions import text as X
 # Fixed values of the project summary.
 NO_EXTENSION = "(no extension)"
 LINE_COUNT_EXTENSIONS = [".py", ".js", ".ts", ".md", ".txt"]
-TOP_EXTENSIONS = 20
-LIST_DIR_CAP = 50
-LIST_FILE_CAP = 100
 # Line boundaries of Python's str.splitlines.
 LINE_BREAK_RX = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]"
 
@@ -35,12 +32,15 @@ def _visible(files: DataFrame) -> DataFrame:
     return files.where(~P.is_hidden("path"))
 
 
-def extension_counts(files: DataFrame, top: int = TOP_EXTENSIONS) -> DataFrame:
-    """A1: files per extension, top 20 per project by count (ties by extension)."""
+def extension_counts(files: DataFrame, top: int | None = None) -> DataFrame:
+    """A1: files per extension, ranked per project by count (ties by extension); the first
+    ``top`` if given."""
     ext = F.when(P.suffix("path") == "", NO_EXTENSION).otherwise(P.suffix("path"))
     c = _visible(files).groupBy("project", ext.alias("ext")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("project").orderBy(F.desc("n"), "ext")
-    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))
+    r = c.withColumn("rank", F.row_number().over(w))
+    r = r if top is None else r.where(F.col("rank") <= top)
+    return r.withColumn("rank", F.col("rank").cast("long"))
 
 
 def project_summary(files: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def snapshot_stats(files: DataFrame) -> DataFrame:
     s = files.groupBy("project").agg(
         F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.length("content")), F.lit(0)).cast("long").alias("chars")
     )
-    tok = (F.col("chars") / 4).cast("long")
+    tok = F.expr("chars DIV 4")
     return s.withColumn("tokens", tok).withColumns({
         "tier": X.context_tier("tokens"),
         "summary_tier": X.summary_tier("tokens"),
@@ -78,9 +78,9 @@ def snapshot_stats(files: DataFrame) -> DataFrame:
     })
 
 
-def list_dir(files: DataFrame, directory: str = "") -> DataFrame:
-    """Non-hidden children of ``directory``: dirs (<= 50, with '/') and files
-    (<= 100), each sorted by name."""
+def list_dir(files: DataFrame, directory: str = "", max_dirs: int | None = None, max_files: int | None = None) -> DataFrame:
+    """Non-hidden children of ``directory``: dirs (with '/') and files, each ranked by
+    name; the first ``max_dirs`` and ``max_files`` if given."""
     d = directory.strip("/")
     prefix = d + "/" if d else ""
     rest = F.substring("path", len(prefix) + 1, 1 << 30) if prefix else F.col("path")
@@ -92,8 +92,10 @@ def list_dir(files: DataFrame, directory: str = "") -> DataFrame:
     kids = kids.withColumn("name", F.when(F.col("kind") == "dir", F.concat("name", F.lit("/"))).otherwise(F.col("name")))
     w = Window.partitionBy("project", "kind").orderBy("name")
     r = kids.withColumn("rank", F.row_number().over(w))
-    return r.where(((F.col("kind") == "dir") & (F.col("rank") <= LIST_DIR_CAP)) | ((F.col("kind") == "file") & (F.col("rank") <= LIST_FILE_CAP))).select(
-        "project", "kind", "name", F.col("rank").cast("long").alias("rank"))
+    for kind, most in (("dir", max_dirs), ("file", max_files)):
+        if most is not None:
+            r = r.where((F.col("kind") != kind) | (F.col("rank") <= most))
+    return r.select("project", "kind", "name", F.col("rank").cast("long").alias("rank"))
 
 
 def _doc_status(path: str, content: str | None) -> str:

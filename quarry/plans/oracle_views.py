@@ -34,7 +34,7 @@ VIEWS = {
         "FROM doc_paths WHERE doc_id % 100 = 5"
     ),
     "responses": (
-        "SELECT c.conv_id, c.turn, CASE "
+        "SELECT c.conv_id, c.turn, coalesce(d.source, 'src0') AS project, CASE "
         "WHEN c.turn % 4 = 1 THEN '<think>Looking at ' || coalesce(d.dpath, 'README.md') || ' first.</think>' || chr(10) || "
         "c.text || ' [[REF: ' || coalesce(d.dpath, 'README.md') || ']]' "
         "WHEN c.turn % 4 = 3 THEN c.text || ' [[REF: ' || coalesce(d.dpath, 'README.md') || ']]' || chr(10) || '<patch file=\"' || "

@@ -29,7 +29,7 @@ def q_crash_lines(spark, sf):
 
 @register("relevance", "J11", f"""
 WITH {sq.scored('asks')}
-SELECT query_id, project, path, ord, tokens, score FROM scored
+SELECT query_id, project, path, ord, tokens, score FROM scored WHERE score > 0
 """)
 def q_relevance(spark, sf):
     return cx.relevance(t.asks(spark, sf), t.files(spark, sf))
@@ -75,7 +75,16 @@ def q_context_budget(spark, sf):
         "conv_id", cx.context_budget(128000).alias("budget"), "used")
 
 
-@register("context_document", "X14")
+@register("context_document", "X14", sq.document("asks", PACK_TOKENS))
 def q_context_document(spark, sf):
-    f = t.files(spark, sf)
-    return cx.context_document(cx.pack_context(t.asks(spark, sf), f, max_tokens=PACK_TOKENS), f)
+    f, asks = t.files(spark, sf), t.asks(spark, sf)
+    return cx.context_document(cx.pack_context(asks, f, max_tokens=PACK_TOKENS), f, asks)
+
+
+@register("context_document_diff", "X14/W2")
+def q_context_document_diff(spark, sf):
+    """With the diff blocks of time-travel mode."""
+    cur, asks = t.files_b(spark, sf), t.asks(spark, sf)
+    diffs = ch.file_diffs(t.files_a(spark, sf), cur)
+    packed = cx.pack_context(asks, cur, max_tokens=PACK_TOKENS, diffs=diffs, time_travel=True)
+    return cx.context_document(packed, cur, asks, diffs, time_travel=True)

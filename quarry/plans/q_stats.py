@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 from quarry.functions import paths as P
 from quarry.functions import text as X
 from quarry.operators import memory as mem
+from quarry.operators import named as nm
 from quarry.operators import stats as st
 from quarry.operators import tree as tr
 from quarry.plans import sqlfrag as q
 from quarry.plans.registry import register
+from quarry.plans.sql_context import TREE_LINES
 from quarry.sources import tables as t
 
 TRIM_TOKENS = 400
@@ -27,7 +29,7 @@ SELECT project, ext, n, rank FROM (
   FROM (SELECT project, ext, count(*) AS n FROM (SELECT project, {_EXT} AS ext FROM files WHERE {_VIS}) GROUP BY ALL)) WHERE rank <= 20
 """)
 def q_extension_counts(spark, sf):
-    return st.extension_counts(t.files(spark, sf))
+    return st.extension_counts(t.files(spark, sf), 20)
 
 
 @register("project_summary", "A1", f"""
@@ -65,7 +67,7 @@ SELECT project, kind, name, rank FROM (
 WHERE (kind = 'dir' AND rank <= 50) OR (kind = 'file' AND rank <= 100)
 """)
 def q_list_dir(spark, sf):
-    return st.list_dir(t.files(spark, sf), "en")
+    return st.list_dir(t.files(spark, sf), "en", max_dirs=50, max_files=100)
 
 
 @register("doc_audit", "A9")
@@ -73,7 +75,10 @@ def q_doc_audit(spark, sf):
     return st.doc_audit_summary(st.doc_audit(t.files(spark, sf)))
 
 
-@register("tree_lines", "A6")
+@register("tree_lines", "A6", f"""WITH {TREE_LINES.strip()}
+SELECT project, array_to_string(p, '/') AS node, prefix || CASE WHEN is_last THEN '└── ' ELSE '├── ' END || p[-1] AS line FROM tw
+UNION ALL SELECT DISTINCT project, '', '.' FROM files
+""")
 def q_tree_lines(spark, sf):
     return tr.tree_lines(t.files(spark, sf)).select("project", F.array_join("parts", "/").alias("node"), "line")
 
@@ -181,12 +186,12 @@ def q_embed_input(spark, sf):
 @register("render_safe_text", "X6/X7", r"""
 SELECT doc_id,
        replace(regexp_replace(text, '[\x{10000}-\x{10FFFF}\x{2600}-\x{27BF}\x{FE00}-\x{FE0F}]', '?', 'g'), chr(0), '') AS glyph_safe,
-       regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') AS latin1
+       regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') AS latin1, replace(text, chr(0), '') AS utf8
 FROM documents
 """)
 def q_render_safe_text(spark, sf):
     d = t.table(spark, sf, "documents")
-    return d.select("doc_id", X.glyph_filter("text").alias("glyph_safe"), X.latin1_fallback("text").alias("latin1"))
+    return d.select("doc_id", X.glyph_filter("text").alias("glyph_safe"), X.latin1_fallback("text").alias("latin1"), X.sanitize_utf8("text").alias("utf8"))
 
 
 @register("fence_lang", "X8", f"""
@@ -204,3 +209,28 @@ def q_file_label(spark, sf):
     d = t.table(spark, sf, "documents")
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return d.select("doc_id", X.file_label(name, "doc_id", "text").alias("labeled"))
+
+
+@register("named_read_file", "U2", """
+WITH r AS (SELECT doc_id AS id, source AS project, CASE WHEN doc_id % 3 = 0 THEN 'missing/' || dpath ELSE dpath END AS path FROM doc_paths),
+l AS (SELECT project, path, CASE WHEN ord % 50 = 0 THEN repeat(content, 1 + 1048576 // greatest(octet_length(encode(content)), 1)) ELSE content END AS content FROM files)
+SELECT r.id, r.project, r.path, CASE WHEN l.path IS NULL THEN 'not_found' WHEN octet_length(encode(l.content)) > 1048576 THEN 'too_large' ELSE 'ok' END AS status,
+       CASE WHEN octet_length(encode(l.content)) <= 1048576 THEN md5(l.content) END AS md5
+FROM r LEFT JOIN l USING (project, path)
+""")
+def q_named_read_file(spark, sf):
+    f = t.files(spark, sf)
+    long = F.repeat("content", F.expr("CAST(1 + 1048576 DIV greatest(octet_length(content), 1) AS INT)"))
+    f = f.withColumn("content", F.when(F.col("ord") % 50 == 0, long).otherwise(F.col("content")))
+    req = t.files(spark, sf).select(F.col("ord").alias("id"), "project", F.when(F.col("ord") % 3 == 0, F.concat(F.lit("missing/"), "path")).otherwise(F.col("path")).alias("path"))
+    return nm.read_file(f, req).select("id", "project", "path", "status", F.md5("text").alias("md5"))
+
+
+@register("named_summary", "U2", """
+WITH e AS (SELECT project, path, content, CASE WHEN regexp_extract(string_split(path, '/')[-1], '^.+(\\.[^.]+)$', 1) = '' THEN '(no extension)'
+             ELSE regexp_extract(string_split(path, '/')[-1], '^.+(\\.[^.]+)$', 1) END AS ext FROM files WHERE NOT starts_with(path, '.git/'))
+SELECT project, count(*) AS total_files, count(DISTINCT ext) AS kinds FROM e GROUP BY project
+""")
+def q_named_summary(spark, sf):
+    s = nm.NAMED["get_project_summary"](t.files(spark, sf))
+    return s.select("project", "total_files", F.size("files_by_extension").cast("long").alias("kinds"))

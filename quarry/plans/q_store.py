@@ -3,6 +3,7 @@ J15, J17, J18)."""
 
 from pyspark.sql import functions as F
 
+from quarry.functions.bounded import small
 from quarry.operators import changes as ch
 from quarry.operators import registry as rg
 from quarry.operators import responses as rs
@@ -147,7 +148,7 @@ SELECT user_id, path, epoch_us(last_opened) AS last_opened_us, rank FROM (
   FROM (SELECT user_id, path, max(ts) AS last_opened FROM opens GROUP BY ALL)) WHERE rank <= 20
 """)
 def q_recent_opens(spark, sf):
-    r = rg.recent(t.opens(spark, sf))
+    r = rg.recent(t.opens(spark, sf), 20)
     return r.select("user_id", "path", F.unix_micros(F.col("last_opened").cast("timestamp")).alias("last_opened_us"), "rank")
 
 
@@ -160,24 +161,28 @@ def q_latest_attributes(spark, sf):
 
 
 @register("move_item", "W9", """
-WITH req AS (SELECT DISTINCT f.project, f.path, CASE WHEN f.ord % 2 = 0 THEN 'up' ELSE 'down' END AS direction
-             FROM files f JOIN queries q ON q.project = f.project AND contains(q.text, f.path)),
+WITH req AS (SELECT DISTINCT f.project, f.path, CASE WHEN f.ord % 40 < 20 THEN 'up' ELSE 'down' END AS direction
+             FROM files f WHERE f.ord % 200 < 60 OR EXISTS (SELECT 1 FROM queries q WHERE q.project = f.project AND contains(q.text, f.path))),
 nb AS (SELECT project, path, ord, lag(path) OVER w AS prev_path, lag(ord) OVER w AS prev_ord, lead(path) OVER w AS next_path, lead(ord) OVER w AS next_ord
        FROM files WINDOW w AS (PARTITION BY project ORDER BY ord)),
 sw AS (SELECT n.project, n.path AS r_path, n.ord AS r_ord,
               CASE WHEN r.direction = 'up' THEN n.prev_path ELSE n.next_path END AS o_path,
               CASE WHEN r.direction = 'up' THEN n.prev_ord ELSE n.next_ord END AS o_ord
        FROM nb n JOIN req r USING (project, path)),
-pairs AS (SELECT project, r_path AS path, o_ord AS new_ord FROM sw WHERE o_path IS NOT NULL
-          UNION ALL SELECT project, o_path AS path, r_ord AS new_ord FROM sw WHERE o_path IS NOT NULL)
+ok AS (SELECT * FROM sw s WHERE o_path IS NOT NULL AND NOT EXISTS (
+         SELECT 1 FROM sw x WHERE x.project = s.project AND x.o_path IS NOT NULL AND x.r_ord < s.r_ord
+           AND (x.r_path IN (s.r_path, s.o_path) OR x.o_path IN (s.r_path, s.o_path)))),
+pairs AS (SELECT project, r_path AS path, o_ord AS new_ord FROM ok UNION ALL SELECT project, o_path AS path, r_ord AS new_ord FROM ok)
 SELECT f.project, f.path, coalesce(p.new_ord, f.ord) AS ord FROM files f LEFT JOIN pairs p USING (project, path)
 """)
 def q_move_item(spark, sf):
     f = t.files(spark, sf)
     # move requests: the files a question names (derived from the data)
     q = t.queries(spark, sf).select("project", F.col("text").alias("q"))
-    named = f.join(F.broadcast(q), "project").where(F.col("q").contains(F.col("path"))).select("project", "path", "ord").distinct()
-    req = named.select("project", "path", F.when(F.col("ord") % 2 == 0, "up").otherwise("down").alias("direction"))
+    named = f.join(small(q), "project").where(F.col("q").contains(F.col("path"))).select("project", "path", "ord").distinct()
+    # and a run of neighbours, whose requests overlap
+    run = f.where(F.col("ord") % 200 < 60).select("project", "path", "ord")
+    req = named.unionByName(run).select("project", "path", F.when(F.col("ord") % 40 < 20, "up").otherwise("down").alias("direction"))
     return rg.move_item(f.select("project", "path", "ord"), req)
 
 
@@ -213,6 +218,7 @@ WITH r AS ({_DIRS.format(f='files_a')}), alive AS ({_DIRS.format(f='files_b')}),
 k AS (SELECT * FROM r WHERE EXISTS (SELECT 1 FROM alive a WHERE a.project = r.project AND a.dir = r.dir)),
 dr AS (SELECT project, count(*) AS dropped FROM r WHERE NOT EXISTS (SELECT 1 FROM alive a WHERE a.project = r.project AND a.dir = r.dir) GROUP BY 1)
 SELECT k.project, k.dir, CAST(coalesce(dr.dropped, 0) AS BIGINT) AS dropped FROM k LEFT JOIN dr USING (project)
+UNION ALL SELECT project, NULL, dropped FROM dr WHERE project NOT IN (SELECT project FROM k)
 """)
 def q_cleanup_missing(spark, sf):
     reg = rg.config_dirs(t.files_a(spark, sf), MARKER)

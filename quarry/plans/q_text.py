@@ -111,14 +111,15 @@ def q_patches(spark, sf):
 
 @register("apply_patches", "R8", f"""
 WITH {_SEGMENTS}, p AS ({_PATCHES}),
-last AS (SELECT file AS path, arg_max(code, conv_id * 1000000000 + turn * 1000000 + p1 * 1000 + p2) AS new_content FROM p WHERE safe GROUP BY 1),
-j AS (SELECT f.*, l.new_content FROM files f LEFT JOIN last l USING (path))
+last AS (SELECT r.project, file AS path, arg_max(code, conv_id * 1000000000 + turn * 1000000 + p1 * 1000 + p2) AS new_content
+         FROM p JOIN responses r USING (conv_id, turn) WHERE safe GROUP BY ALL),
+j AS (SELECT f.*, l.new_content FROM files f LEFT JOIN last l USING (project, path))
 SELECT project, path, ord, CAST(length(coalesce(new_content, content)) AS BIGINT) AS n_chars, new_content IS NOT NULL AS patched FROM j
 UNION ALL
 SELECT project, path || '.bak', ord, CAST(length(content) AS BIGINT), false FROM j WHERE new_content IS NOT NULL
 """)
 def q_apply_patches(spark, sf):
-    out = rs.apply_patches(t.files(spark, sf), rs.patches(t.responses(spark, sf)))
+    out = rs.apply_patches(t.files(spark, sf), rs.patches(t.responses(spark, sf), ("conv_id", "turn", "project")))
     return out.select("project", "path", "ord", F.length("content").cast("long").alias("n_chars"), "patched")
 
 
@@ -195,3 +196,13 @@ WHERE rank <= 20
 """)
 def q_capped_list(spark, sf):
     return rs.capped_list(t.files(spark, sf), 20)
+
+
+@register("briefing_list", "W8", """
+WITH r AS (SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY ord) AS a, row_number() OVER (PARTITION BY project ORDER BY ord DESC) AS z,
+           count(*) OVER (PARTITION BY project) AS n_files FROM files)
+SELECT project, path, 'first' AS "end", a AS rank, n_files, n_files > 20 AS truncated FROM r WHERE a <= 10
+UNION ALL SELECT project, path, 'last', z, n_files, n_files > 20 FROM r WHERE z <= 10 AND a > 10
+""")
+def q_briefing_list(spark, sf):
+    return rs.briefing_list(t.files(spark, sf), 10)

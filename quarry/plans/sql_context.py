@@ -34,7 +34,7 @@ def frames(src: str, files: str = "files") -> str:
 
 SCORED = f"""
 qt AS (SELECT query_id, project, lower(text) AS lq,
-              list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: length(t) >= 4)) AS terms FROM {{src}}),
+              list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda t: length(t) >= 4)) AS terms FROM {{src}}),
 scored AS (
   SELECT q.query_id, f.project, f.path, f.ord, CAST(length(f.content) // 4 AS BIGINT) AS tokens,
          CAST((CASE WHEN contains(q.lq, lower(f.path)) THEN 50 WHEN contains(q.lq, lower({q.basename('f.path')})) THEN 30 ELSE 0 END)
@@ -47,6 +47,28 @@ def scored(src: str, files: str = "files") -> str:
     return SCORED.replace("{src}", src).replace("{files}", files)
 
 
+TREE_LINES = """
+tn AS (SELECT DISTINCT project, parts[1:i] AS p FROM (SELECT project, parts, unnest(range(1, len(parts) + 1)) AS i
+       FROM (SELECT project, string_split(path, '/') AS parts FROM files))),
+tl AS (SELECT project, p, p = max(p) OVER (PARTITION BY project, p[1:len(p) - 1]) AS is_last FROM tn),
+tw AS (SELECT a.project, a.p, a.is_last, coalesce(string_agg(CASE WHEN b.is_last THEN '    ' WHEN NOT b.is_last THEN '│   ' END, '' ORDER BY len(b.p)), '') AS prefix
+       FROM tl a LEFT JOIN tl b ON b.project = a.project AND len(b.p) < len(a.p) AND a.p[1:len(b.p)] = b.p GROUP BY ALL)
+"""
+
+DOCUMENT = TREE_LINES.rstrip() + """,
+tt AS (SELECT project, '.' || chr(10) || string_agg(prefix || CASE WHEN is_last THEN '└── ' ELSE '├── ' END || p[-1], chr(10) ORDER BY p) AS tree FROM tw GROUP BY project),
+blocks AS (
+  SELECT k.query_id, CASE WHEN k.kind = 'priority' THEN 1 ELSE 2 END AS sec, CASE WHEN k.kind = 'priority' THEN k.first_pos ELSE -k.score END AS pos, k.ord,
+         CASE WHEN k.crash_line IS NOT NULL THEN '!!! CRASH DETECTED IN ' || k.path || ' AT LINE ' || k.crash_line || ' !!!' || chr(10) ELSE '' END
+         || '=== FILE: ' || k.path || ' ===' || chr(10) || f.content || chr(10) || chr(10) AS text
+  FROM packed k JOIN files f USING (project, path))
+SELECT a.query_id, 'PROJECT ARCHITECTURE:' || chr(10) || coalesce(tt.tree, '') || chr(10) || chr(10)
+  || CASE WHEN max(b.sec = 1) THEN '--- ACTIVE DEBUGGING CONTEXT (PRIORITY) ---' || chr(10) || '!!! THE USER IS DEBUGGING A CRASH !!!' || chr(10) || chr(10) ELSE '' END
+  || coalesce(string_agg(b.text, '' ORDER BY b.sec, b.pos, b.ord), '') AS context
+FROM {src} a LEFT JOIN tt USING (project) LEFT JOIN blocks b USING (query_id) GROUP BY a.query_id, tt.tree
+"""
+
+
 TREE = """
 tnodes AS (SELECT DISTINCT project, parts[1:i] AS p
            FROM (SELECT project, parts, unnest(range(1, len(parts) + 1)) AS i
@@ -59,7 +81,8 @@ def tree(files: str = "files") -> str:
     return TREE.replace("{files}", files)
 
 
-def pack(src: str, max_tokens: int, files: str = "files", diff_cte: str | None = None, time_travel: bool = False) -> str:
+def pack(src: str, max_tokens: int, files: str = "files", diff_cte: str | None = None, time_travel: bool = False,
+         final: tuple[str, str] = ("", "")) -> str:
     extra = "+ coalesce(d.diff_tokens, 0)" if diff_cte else ""
     djoin = "LEFT JOIN dt d ON d.project = s.project AND d.path = s.path" if diff_cte else ""
     tt = 20 if time_travel else 0
@@ -79,8 +102,12 @@ rec(query_id, rk, rem, took) AS (
   UNION ALL
   SELECT c.query_id, c.rk, CASE WHEN c.cost < r.rem THEN r.rem - c.cost ELSE r.rem END, c.cost < r.rem
   FROM rec r JOIN cand c ON c.query_id = r.query_id AND c.rk = r.rk + 1)
-SELECT query_id, project, path, ord, CAST(NULL AS BIGINT) AS score, cost, 'priority' AS kind, crash_line FROM prio
+{final[0]}SELECT query_id, project, path, ord, CAST(NULL AS BIGINT) AS score, cost, 'priority' AS kind, crash_line, first_pos FROM prio
 UNION ALL
-SELECT c.query_id, c.project, c.path, c.ord, c.score, c.cost, 'scored' AS kind, CAST(NULL AS BIGINT) AS crash_line
-FROM rec r JOIN cand c USING (query_id, rk) WHERE r.took
+SELECT c.query_id, c.project, c.path, c.ord, c.score, c.cost, 'scored' AS kind, CAST(NULL AS BIGINT) AS crash_line, CAST(NULL AS BIGINT) AS first_pos
+FROM rec r JOIN cand c USING (query_id, rk) WHERE r.took{final[1]}
 """
+
+
+def document(src: str, max_tokens: int) -> str:
+    return pack(src, max_tokens, final=(", packed AS (", "), " + DOCUMENT.replace("{src}", src).strip()))

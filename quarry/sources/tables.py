@@ -126,11 +126,11 @@ def asks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _doc_paths(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id"), doc_path("doc_id", "lang").alias("dpath"))
+    return d.select(F.col("doc_id"), doc_path("doc_id", "lang").alias("dpath"), "source")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """responses(conv_id, turn, text): assistant turns citing the document whose id
+    """responses(conv_id, turn, project, text): assistant turns citing the document whose id
     is the turn number; some wrapped with thought blocks, some carrying a patch."""
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
     j = c.join(_doc_paths(spark, sf_dir), c.turn == F.col("doc_id"), "left")
@@ -154,7 +154,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .otherwise(base)
     )
-    return j.select("conv_id", "turn", text.alias("text"))
+    return j.select("conv_id", "turn", F.coalesce("source", F.lit("src0")).alias("project"), text.alias("text"))
 
 
 def selections(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,11 +43,12 @@ def test_compile_rule_shapes():
     assert W.compile_rule("/docs").regex.startswith("^docs")
 
 
-def test_unified_diff_text():
-    assert ch.unified_diff_text("f", "a", "a") == ""
-    assert ch.unified_diff_text("f", "", "x") == "(New File: f)"
-    assert ch.unified_diff_text("f", "x", None) == "(Deleted File: f)"
-    d = ch.unified_diff_text("f", "a\nb\n", "a\nc\n")
+def test_file_diffs(spark):
+    frame = lambda rows: spark.createDataFrame([("p", *r) for r in rows], "project string, path string, content string")
+    old = frame([("same", "a"), ("new", ""), ("gone", "x"), ("f", "a\nb\n"), ("null", None)])
+    got = {r["path"]: r["diff"] for r in ch.file_diffs(old, frame([("same", "a"), ("new", "x"), ("gone", None), ("f", "a\nc\n"), ("null", None)])).collect()}
+    d = got.pop("f")
+    assert got == {"new": "(New File: new)", "gone": "(Deleted File: gone)"}
     assert d.splitlines()[:2] == ["--- SNAPSHOT/f", "+++ CURRENT/f"] and "-b" in d and "+c" in d
 
 
