@@ -26,6 +26,14 @@ HEADLINE = [
     "extension_counts",
     "archive_roundtrip",
     "tree_length",
+    "approx_search",
+    "build_index",
+    "rehydrate_hits",
+    "conversation_search",
+    "stream_sync",
+    "pack_context_diff",
+    "context_document",
+    "markdown_document",
 ]
 
 

@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 BROADCAST_BYTES = 32 << 20
 
 
 def size_in_bytes(df: DataFrame) -> int:
-    """Bytes of all rows, written as JSON (one small aggregate)."""
-    return df.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).agg(F.sum("n")).first()[0] or 0
+    """Bytes of all rows (one small aggregate): text by its length, nested values as JSON."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            size = size + 16
+    return df.agg(F.sum(size)).first()[0] or 0
 
 
 def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:

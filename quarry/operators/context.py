@@ -107,23 +107,30 @@ def query_terms(queries: DataFrame, scope: str = "project") -> DataFrame:
 
 
 def name_hits(queries: DataFrame, files: DataFrame, scope: str = "project", fold: bool = True) -> DataFrame:
-    """(query_id, scope, path, ord, full): files whose base name occurs in the query of their
-    project; ``full`` if the whole path does. ``fold``: without regard to case.
+    """(query_id, scope, path, ord, tokens, full): files whose base name occurs in the query of
+    their project; ``full`` if the whole path does. ``fold``: without regard to case.
 
     A name that occurs shares its first characters with the query at some place, so files
     meet only the queries that hold these characters.
     """
     low = F.lower if fold else (lambda c: F.col(c) if isinstance(c, str) else c)
     q = queries.select("query_id", scope, low("text").alias("q"))
+    name = low(P.basename("path"))
+    # names shorter than a gram are rare: their lengths are looked up only where there are any
+    short = files.select(F.length(P.basename("path")).alias("n")).where((F.col("n") > 0) & (F.col("n") < GRAM)).distinct()
     size = F.length("q")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda g: F.when(
-        size >= g, F.transform(F.sequence(F.lit(1), F.greatest(size - g + 1, F.lit(1))), lambda i: F.substr("q", i, g))).otherwise(F.array().cast("array<string>"))))
+
+    def pieces(n: int) -> F.Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substr("q", i, F.lit(n)))
+        return F.when(size >= n, every).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*[pieces(n) for n in [*sorted(r["n"] for r in short.collect()), GRAM]]))
     by_gram = q.select("query_id", scope, F.explode(F.array_distinct(grams)).alias("gram"))
-    name = low(P.basename("path"))
-    f = files.select(scope, "path", "ord", name.alias("name"), F.substring(name, 1, GRAM).alias("gram")).where(F.length("name") > 0)
+    tokens = X.tokens("content") if "content" in files.columns else F.lit(None).cast("long")
+    f = files.select(scope, "path", "ord", tokens.alias("tokens"), name.alias("name"), F.substring(name, 1, GRAM).alias("gram")).where(F.length("name") > 0)
     near = f.join(small(by_gram), [scope, "gram"]).drop("gram")
     hit = near.join(small(q), ["query_id", scope]).where(F.col("q").contains(F.col("name")))
-    return hit.select("query_id", scope, "path", "ord", F.col("q").contains(low("path")).alias("full"))
+    return hit.select("query_id", scope, "path", "ord", "tokens", F.col("q").contains(low("path")).alias("full"))
 
 
 def _term_blocks(terms: DataFrame, scope: str):
@@ -185,9 +192,8 @@ def relevance(queries: DataFrame, files: DataFrame, scope: str = "project") -> D
     terms = query_terms(queries, scope)
     by_term = term_hits(terms, files, scope).join(small(terms), [scope, "term"])
     by_term = by_term.select("query_id", scope, "path", "ord", "tokens", F.lit(1).cast("long").alias("points"))
-    names = name_hits(queries, files, scope).select("query_id", scope, "path", "ord", F.when(F.col("full"), FULL_PATH_SCORE).otherwise(BASENAME_SCORE).cast("long").alias("points"))
-    sizes = files.select(scope, "path", "ord", X.tokens("content").alias("tokens"))
-    by_name = sizes.join(small(names), [scope, "path", "ord"]).select("query_id", scope, "path", "ord", "tokens", "points")
+    points = F.when(F.col("full"), FULL_PATH_SCORE).otherwise(BASENAME_SCORE).cast("long")
+    by_name = name_hits(queries, files, scope).select("query_id", scope, "path", "ord", "tokens", points.alias("points"))
     return by_term.unionByName(by_name).groupBy("query_id", scope, "path", "ord").agg(
         F.max("tokens").alias("tokens"), F.sum("points").alias("score"))
 
@@ -197,7 +203,7 @@ def mentioned_files(queries: DataFrame, files: DataFrame, scope: str = "project"
     order); when none, the first 3 files of the project."""
     q = queries.select("query_id", scope)
     w = Window.partitionBy("query_id").orderBy("ord")
-    first_hits = name_hits(queries, files, scope, fold=False).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= limit)
+    first_hits = name_hits(queries, files.select(scope, "path", "ord"), scope, fold=False).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= limit)
     wf = Window.partitionBy(scope).orderBy("ord")
     first_files = files.select(scope, "path", "ord").withColumn("rk", F.row_number().over(wf)).where(F.col("rk") <= limit)
     fallback = q.join(first_hits.select("query_id").distinct(), "query_id", "left_anti").join(first_files, scope)
@@ -264,8 +270,9 @@ def pack_context(queries: DataFrame, files: DataFrame, max_tokens: int = 100000,
             return df.withColumn("cost", cost.cast("long"))
         return df.join(extra, [scope, "path"], "left").withColumn("cost", (cost + F.coalesce("diff_tokens", F.lit(0))).cast("long")).drop("diff_tokens")
 
-    prio = priority_files(q.withColumnRenamed("query_id", "trace_id"), files, "trace_id", scope).withColumnRenamed("trace_id", "query_id")
-    prio = toks.join(small(prio.join(q.select("query_id", scope), "query_id")), [scope, "path"]).select(
+    frames = priority_files(q.withColumnRenamed("query_id", "trace_id"), files, "trace_id", scope).withColumnRenamed("trace_id", "query_id")
+    frames = _persist(frames.join(q.select("query_id", scope), "query_id"))
+    prio = toks.join(small(frames), [scope, "path"]).select(
         "query_id", scope, "path", "ord", "tokens", "first_pos", "crash_line", cost.alias("cost"))
     prio = _persist(prio)
     spent = prio.groupBy("query_id").agg(F.sum("cost").alias("spent"))
