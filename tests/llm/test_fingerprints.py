@@ -81,8 +81,8 @@ def like(a, b):
     sa, sb = int(sa), int(sb)
     if abs(sa - sb) > 1:
         return 0.0
-    x, y = (ca[max(sb - sa, 0)], cb[max(sa - sb, 0)])
-    used = [(p, q) for p, q in zip(x.split("."), y.split(".")) if (p, q) != ("-", "-")]
+    both = [(0, 0), (1, 1)] if sa == sb else [(max(sb - sa, 0), max(sa - sb, 0))]
+    used = [(p, q) for i, j in both for p, q in zip(ca[i].split("."), cb[j].split(".")) if (p, q) != ("-", "-")]
     return sum(p == q for p, q in used) / len(used) if used else 0.0
 
 
