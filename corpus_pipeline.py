@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document and the digest of the text decoded from them."""
-    back = pieces.decode(pieces.encode(docs)).withColumnRenamed("text", "decoded")
+    back = pieces.encode(docs, decoded=True).withColumnRenamed("text", "decoded")
     return back.select("doc_id", "n_tokens", "ids_crc32", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

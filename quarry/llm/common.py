@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +19,8 @@ from quarry.session import checkpoint_dir as checkpoint_root
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 #: Text handled at a time inside a task, so that numpy temporaries stay bounded.
 BLOCK_BYTES = 2 << 20
+#: Bytes of an Arrow batch that a task gets at a time.
+ARROW_BYTES = 4 << 20
 
 IS_WHITE = np.zeros(256, bool)
 IS_WHITE[list(WHITE)] = True
@@ -105,6 +109,26 @@ def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+def in_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded in bytes, since texts can be very long.
+
+    A worker process serves many tasks of many stages: what a task has freed goes back to the system.
+    """
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        _give_back()
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def _give_back() -> None:
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def run_starts(keys: np.ndarray) -> np.ndarray:
     """Where a new value begins in sorted keys."""
     if len(keys) == 0:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blocks, cut, global_rank, utf8, words
+from quarry.llm.common import blocks, cut, global_rank, in_arrow, utf8, words
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -44,7 +44,7 @@ def sizes(docs: DataFrame) -> DataFrame:
         for b in blocks(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(word_counts(b.column("text")))], names=["doc_id", "source", "size"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, size long")
+    return in_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, size long")
 
 
 def _order_key(seed: int, doc_id):
@@ -146,4 +146,4 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed:
                 less = [first_words(t or "", int(n)) for t, n in zip(own.column(at).to_pylist(), b.column(len(names) + 1).to_numpy()[some], strict=True)]
                 yield own.set_column(at, own.schema.field(at), pa.array(less, own.schema.field(at).type))
 
-    return rows.mapInArrow(run, docs.schema)
+    return in_arrow(rows, run, docs.schema)

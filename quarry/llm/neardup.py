@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BYTE_VALUE, RangeHash, blocks, cut, mix, utf8, words
+from quarry.llm.common import BYTE_VALUE, RangeHash, blocks, cut, in_arrow, mix, utf8, words
 
 SHINGLE = 5
 SIMILARITY_PERCENT = 80
@@ -120,7 +120,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     rows = docs.select("doc_id", "text")
     kinds = ", ".join(f"{c} {'array<long>' if c == 'keys' else 'long'}" for c in cols)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kinds}")
+    return in_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kinds}")
 
 
 def _enough(percent: int) -> int:
@@ -196,7 +196,7 @@ def _members(docs: DataFrame, met: DataFrame, k: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([cols[c.split()[0]] for c in _MEMBER.split(", ")], names=[c.split()[0] for c in _MEMBER.split(", ")])
             yield out.filter(pa.array(ok))
 
-    return rows.select("id", "text", "tasks").mapInArrow(run, _MEMBER)
+    return in_arrow(rows.select("id", "text", "tasks"), run, _MEMBER)
 
 
 def _links(percent: int):
@@ -267,7 +267,7 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILARITY_PERCENT) -
     met = cut(spread.join(heads.select("key", "h"), "key").drop("key").distinct())
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = _members(docs, met, k).repartition(parts, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
-    labels = components(members.mapInArrow(_links(percent), "a long, b long").distinct())
+    labels = components(in_arrow(members, _links(percent), "a long, b long").distinct())
 
     member = sig.select("doc_id", "n_shingles", "set1", "set2").join(classes.select(*same, F.col("id")), same, "left")
     rows = member.join(labels, F.col("id") == F.col("v"), "left")

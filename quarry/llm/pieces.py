@@ -26,11 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import blocks
+from quarry.llm.common import blocks, in_arrow
 
 MODEL = "piece_bpe_32k.model"
-MEMO_PARTS = 400_000
-MEMO_PAIRS = 2_000_000
+MEMO_PARTS = 200_000
+MEMO_PAIRS = 250_000
 SPACE = "▁"
 #: Kinds of pieces and of models in the public model format.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -75,7 +75,7 @@ class Transducer:
         apart = "".join(c for c in "\n\r\t" if c not in inner and c not in self.start)
         self.parts = re.compile(rf"{SPACE}+[^{SPACE}{apart}]*|[^{SPACE}{apart}]+" + (f"|[{apart}]" if apart else "")).findall
         self.memo: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merge(self, s: str) -> list[str]:
         """The model's merges on a short string: the best-scored neighbours first, the leftmost of equals."""
@@ -91,12 +91,13 @@ class Transducer:
             part[at : at + 2] = [part[at] + part[at + 1]]
 
     def may_follow(self, a: int, b: int) -> bool:
-        ok = self.pairs.get((a, b))
+        key = a << 20 | b
+        ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
             x, y = self.text[a], self.text[b]
-            ok = self.pairs[a, b] = self.merge(x + y) == [x, y]
+            ok = self.pairs[key] = self.merge(x + y) == [x, y]
         return ok
 
     def shortest(self, s: str) -> tuple[int, ...]:
@@ -171,8 +172,11 @@ def _model(df: DataFrame, path: str | None):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids, n_tokens, ids_crc32); the checksum is of the ids as little-endian 32-bit integers."""
+def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids, n_tokens, ids_crc32), and ``text`` decoded from the ids in the same pass if asked for.
+
+    The checksum is of the ids as little-endian 32-bit integers.
+    """
     model = _model(docs, path)
 
     def run(batches):
@@ -184,10 +188,13 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             flat = np.concatenate([np.zeros(0, np.uint32), *[x for x in ids if x is not None]]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat), mask=pa.array([x is None for x in ids]))
             crc = [None if x is None else zlib.crc32(x.tobytes()) for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pa.array(size, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "ids", "n_tokens", "ids_crc32"])
+            cols = [b.column("doc_id"), lists, pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
+            if decoded:
+                cols.append(pa.array([None if x is None else t.decode(x.tolist()) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "n_tokens", "ids_crc32", "text"][: len(cols)])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, ids_crc32 long")
+    return in_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, ids_crc32 long" + (", text string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -205,4 +212,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*names, "text"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{kinds}, text string")
+    return in_arrow(encoded, run, f"{kinds}, text string")

@@ -39,7 +39,7 @@ def op2_language_id(spark, sf_dir):
 def op3_sentencepiece(spark, sf_dir):
     """Ids of every whole text, decoded again and held against the text."""
     docs = table(spark, sf_dir, "documents")
-    out = pieces.decode(pieces.encode(docs))
+    out = pieces.encode(docs, decoded=True)
     return out.select("doc_id", "n_tokens", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import shared_files
-from quarry.llm.common import blocks
+from quarry.llm.common import blocks, in_arrow
 
 REVISIT_BYTES = 100
 SEGMENT_BYTES = 32 << 10
@@ -128,7 +128,7 @@ def write(pages: DataFrame, folder: str) -> int:
             serial += 1
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([pages_in]), pa.array([size])], names=["name", "pages", "bytes"])
 
-    return rows.select("page_id", "url", "html", "digest", "first").mapInArrow(run, "name string, pages long, bytes long").agg(F.sum("pages")).first()[0] or 0
+    return in_arrow(rows.select("page_id", "url", "html", "digest", "first"), run, "name string, pages long, bytes long").agg(F.sum("pages")).first()[0] or 0
 
 
 def members(stream, size: int = 1 << 20) -> Iterator[bytes]:
@@ -196,7 +196,7 @@ def reassembled(parts: list[dict]) -> tuple[bytes, bool]:
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each page's record in the archives of a folder, its segments put together."""
-    raw = shared_files.files(spark, folder, "*.warc.gz").mapInArrow(_read_files, _RECORD)
+    raw = in_arrow(shared_files.files(spark, folder, "*.warc.gz"), _read_files, _RECORD)
     names = [f.split()[0] for f in _RECORD.split(", ")]
     whole = raw.groupBy("record_id", F.when(F.col("segment").isNull(), F.monotonically_increasing_id()).alias("row")).agg(F.collect_list(F.struct(*names[1:])).alias("parts"))
 
@@ -213,7 +213,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 out.append({"record_id": name} | {k: head[k] for k in ("type", "page_id", "url", "refers_id", "payload_bytes", "payload_digest", "ok")})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("record_id", pa.string()), ("type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("refers_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("ok", pa.bool_())]))
 
-    return whole.select("record_id", "parts").mapInArrow(run, "record_id string, type string, page_id long, url string, refers_id string, payload_bytes long, payload_digest string, ok boolean")
+    return in_arrow(whole.select("record_id", "parts"), run, "record_id string, type string, page_id long, url string, refers_id string, payload_bytes long, payload_digest string, ok boolean")
 
 
 def resolved(records: DataFrame) -> DataFrame:
