@@ -6,7 +6,7 @@ document with ``END_ID``, and writes one Arrow IPC file: record batches of fixed
 read in place from a memory map; ``docs`` lists the documents that begin in a sequence. Files in order of their
 names hold all documents in ascending doc_id (null first, rows that repeat an id in order of their text).
 
-The text is cut where the tokenizer's own pattern always cuts (white space); the ids of the parts are kept in a
+The text is cut where the tokenizer's own pattern always cuts (white space, and after letters before a sign); the ids of the parts are kept in a
 bounded memo per worker, and only new parts go to the library. Null texts are empty: only the end id.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import shared_files
-from quarry.llm.common import blocks, store
+from quarry.llm.common import blocks, in_arrow, store
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -30,9 +30,13 @@ SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 256
 MEMO_PARTS = 600_000
+#: New parts encoded in one call.
+JOIN_PARTS = 512
 #: The white space of the tokenizer's pattern.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_PARTS = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+").findall
+SPACES = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Letters whose runs the pattern never joins to the ASCII signs and digits that may follow.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PARTS = re.compile(rf" ?[{LETTERS}]+(?=[!-@\[-`{{-~{SPACES}]|\Z)| ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+").findall
 
 
 def default_vocabulary() -> str:
@@ -63,18 +67,32 @@ class Encoder:
         self.off = np.zeros(1 << 18, np.int64)
 
     def learn(self, parts: list[str]) -> None:
-        got = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        """Encodes new parts, many to a call: a line feed between them is a token of its own."""
+        plain = [p for p in parts if p[-1] not in SPACES]
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        got = []
+        for at in range(0, len(plain), JOIN_PARTS):
+            got.append(np.array(self.tokenizer.encode("\n".join(plain[at : at + JOIN_PARTS]), add_special_tokens=False).ids + feed, self.dtype))
+        ids = np.concatenate([np.zeros(0, self.dtype), *got])
+        ends = np.flatnonzero(ids == feed[0])
+        if len(feed) != 1 or len(ends) != len(plain):
+            raise ValueError("the vocabulary does not keep a line feed apart")
+        self.add(plain, ids[ids != feed[0]], ends - np.arange(len(plain)))
+        for p in parts:  # white space
+            if p[-1] in SPACES:
+                own = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, self.dtype)
+                self.add([p], own, np.array([len(own)]))
+
+    def add(self, parts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         n = len(self.code)
         while len(self.off) <= n + len(parts):
             self.off = np.concatenate((self.off, np.zeros_like(self.off)))
-        for i, (part, e) in enumerate(zip(parts, got, strict=True), n):
-            ids = e.ids
-            end = self.used + len(ids)
-            if end > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), self.dtype)))
-            self.flat[self.used : end] = ids
-            self.used = self.off[i + 1] = end
-            self.code[part] = i
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), self.dtype)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.off[n + 1 : n + 1 + len(parts)] = self.used + ends
+        self.used += len(ids)
+        self.code.update(zip(parts, range(n, n + len(parts)), strict=True))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, the end id after each, and n + 1 offsets."""
@@ -178,7 +196,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, sequence:
             w.close()
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([w.total])], names=["name", "tokens"])
 
-    return rows.mapInArrow(run, "name string, tokens long").agg(F.sum("tokens")).first()[0] or 0
+    return in_arrow(rows, run, "name string, tokens long").agg(F.sum("tokens")).first()[0] or 0
 
 
 def documents_of(reader: pa.ipc.RecordBatchFileReader):
@@ -216,7 +234,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             cols = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], [], []))]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *cols], names=["file", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = store(shared_files.files(spark, folder, "*.arrow").mapInArrow(run, "file string, doc_id long, start long, n_tokens long, ids_crc32 long"), "tokens")
+    rows = store(in_arrow(shared_files.files(spark, folder, "*.arrow"), run, "file string, doc_id long, start long, n_tokens long, ids_crc32 long"), "tokens")
     per = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     per = per.select(F.col("file").alias("f"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
