@@ -7,8 +7,8 @@ come at scales: at scale s a term is in a subset with probability 2**-(s+1). A t
 floor(log2 m) and one above, where a subset holds about half a term and a quarter, so that texts of any length
 keep some of their hashes when a part of them changes. A fingerprint is the scale and the hashes of both.
 
-Likeness of two fingerprints: at the lowest scale both have, the hashes that are equal, out of the subsets that
-hold a term of either; 1 for equal fingerprints, 0 without a common scale. A text without a term of the lexicon
+Likeness of two fingerprints: at the scales both have, the hashes that are equal, out of the subsets that hold
+a term of either; 1 for equal fingerprints, 0 without a common scale. A text without a term of the lexicon
 is fingerprinted by all its terms in one hash.
 
 Null texts are empty. Rows that repeat an id and text are one document in the order of documents; a null doc_id
@@ -82,7 +82,7 @@ def likeness(a: str, b: str) -> Column:
     return (
         F.when(F.col(a) == F.col(b), F.lit(1.0))
         .when((sa < 0) | (sb < 0), F.when((sa == sb) & F.col(f"{a}.rest").eqNullSafe(F.col(f"{b}.rest")), F.lit(1.0)).otherwise(F.lit(0.0)))
-        .when(sa == sb, share(f"{a}.low", f"{b}.low"))
+        .when(sa == sb, share(f"concat({a}.low, {a}.high)", f"concat({b}.low, {b}.high)"))
         .when(sa + 1 == sb, share(f"{a}.high", f"{b}.low"))
         .when(sa == sb + 1, share(f"{a}.low", f"{b}.high"))
         .otherwise(F.lit(0.0))
