@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.bounded import small
 from quarry.llm.common import BYTE_VALUE, RangeHash, blocks, cut, in_arrow, mix, utf8, words
 
 SHINGLE = 5
@@ -175,7 +176,8 @@ def _members(docs: DataFrame, met: DataFrame, k: int) -> DataFrame:
     group = met.select(F.col("h").alias("g"), "id", "n", *_SIG)
     size = group.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     blocks_ = F.ceil(F.greatest(F.col("m") / GROUP_ROWS, F.col("total") * 8 / GROUP_BYTES)).cast("int")
-    group = group.join(size.select("g", blocks_.alias("nb")), "g").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int") + 1)
+    large = cut(size.select("g", blocks_.alias("nb")).where("nb > 1"))
+    group = group.join(small(large), "g", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int") + 1)
     every = F.flatten(F.transform(F.sequence(F.lit(1), F.col("nb")), lambda a: F.transform(F.sequence(a, F.col("nb")), lambda b: F.struct(a.alias("lo"), b.alias("hi"), F.lit(0).alias("side")))))
     mine = F.transform(F.sequence(F.lit(1), F.col("nb")), lambda a: F.struct(F.least(a, F.col("blk")).alias("lo"), F.greatest(a, F.col("blk")).alias("hi"), F.col("blk").alias("side")))
     tasks = group.withColumn("t", F.explode(F.when(F.col("g") == F.col("id"), every).otherwise(mine)))
