@@ -34,16 +34,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BYTE_VALUE, RangeHash, blocks, mix, run_starts, store, utf8
+from quarry.functions.bounded import small
+from quarry.llm.common import BYTE_VALUE, RangeHash, blocks, cut, in_arrow, mix, run_starts, store, utf8
 
 LENGTH = 100
 GRAM = 32
 #: Text whose runs a task compares before it sends them on.
-LOCAL_BYTES = 32 << 20
+LOCAL_BYTES = 8 << 20
 #: Kinds of runs of one anchor, in one task's rows, from which they are salted.
 SALT_RUNS = 32
 #: Kinds of runs of one anchor from which they are ordered window by window.
-HOT_RUNS = 4096
+HOT_RUNS = 512
 #: Bytes of runs put in suffix order at a time.
 ORDER_BYTES = 1 << 20
 
@@ -122,6 +123,11 @@ def _local(rows: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int8) if k == "state" else v.view(np.int64)) for k, v in out.items()], names=list(out))
 
 
+def _slices(b: pa.RecordBatch, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    for at in range(0, b.num_rows, rows):
+        yield b.slice(at, rows)
+
+
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, held = [], 0
     for b in blocks(batches, "text"):
@@ -133,10 +139,10 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append(r | {"doc": doc[row[text]], "loc": r["loc"] + base[text]})
             held += len(buf)
         if held >= LOCAL_BYTES:
-            yield _local(rows)
+            yield from _slices(_local(rows))
             rows, held = [], 0
     if rows:
-        yield _local(rows)
+        yield from _slices(_local(rows))
 
 
 _SETTLED_SCHEMA = "doc long, loc long, n long, anchor long"
@@ -339,16 +345,16 @@ def repeated(docs: DataFrame) -> DataFrame:
     """(doc, loc, n): windows of documents that start earlier too; n windows in a row from byte loc."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = texts.mapInArrow(_find_runs, _RUN_SCHEMA).repartition(parts, "bucket").sortWithinPartitions("anchor", "kind", "doc", "loc")
-    settled = store(found.mapInArrow(_settle, _SETTLED_SCHEMA), "runs")
+    found = in_arrow(texts, _find_runs, _RUN_SCHEMA).repartition(parts, "bucket").sortWithinPartitions("anchor", "kind", "doc", "loc")
+    settled = store(in_arrow(found, _settle, _SETTLED_SCHEMA), "runs")
     left = settled.where("anchor IS NOT NULL")
-    hot = left.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > HOT_RUNS).select("anchor", F.lit(True).alias("hot"))
-    left = left.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    hot = cut(left.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > HOT_RUNS).select("anchor", F.lit(True).alias("hot")))
+    left = left.join(small(hot), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     asks = left.groupBy("doc").agg(F.collect_list(F.struct("loc", "n", "anchor", "hot")).alias("asks"))
     cuts = texts.join(asks, texts["doc_id"] == asks["doc"]).select("doc_id", "text", "asks")
-    rows = cuts.mapInArrow(_cut_runs, "bucket long, doc long, loc long, n long, data binary")
+    rows = in_arrow(cuts, _cut_runs, "bucket long, doc long, loc long, n long, data binary")
     rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    ordered = rows.mapInArrow(_order, "doc long, loc long, n long")
+    ordered = in_arrow(rows, _order, "doc long, loc long, n long")
     return settled.where("anchor IS NULL").select("doc", "loc", "n").union(ordered)
 
 
@@ -371,4 +377,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, *more], names=[*names, "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(run, f"{kinds}, _n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string")
+    return in_arrow(rows, run, f"{kinds}, _n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string")
