@@ -10,8 +10,9 @@ identifier, put in order of their segment numbers and held against the total len
 off, and the digest is computed from the payload itself. Revisits find their response by its record identifier.
 
 Null html is an empty payload. A null page_id is always a response. Rows that repeat a page_id and payload give
-a record each; all of them are responses if they are the first. Payload bytes of any content survive. Only
-digests and ids are shuffled to find revisits; a payload that a third of the pages share is one pre-aggregated row.
+a record each, with an id of its own (the copies of a page are dealt to one task, which numbers them in order of
+their urls); all of them are responses if they are the first. Payload bytes of any content survive. Only digests
+and ids are shuffled to find revisits; a payload that a third of the pages share is one pre-aggregated row.
 """
 
 from __future__ import annotations
@@ -80,10 +81,10 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return z.compress(VERSION + head.encode() + b"\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, serial: str) -> Iterator[bytes]:
-    """The record of one page, or its first record and continuations."""
+def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, serial: str, copy: int = 0) -> Iterator[bytes]:
+    """The record of one page, or its first record and continuations; ``copy`` numbers rows of one page_id and payload."""
     revisit = first is not None
-    own = record_uuid("page", page_id, digest) if page_id is not None else record_uuid("row", serial, digest)
+    own = record_uuid("page", page_id, digest, *([copy] if copy else [])) if page_id is not None else record_uuid("row", serial, digest)
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", own), ("WARC-Date", DATE),
         ("WARC-Target-URI", None if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Page-ID", page_id),
@@ -109,10 +110,14 @@ def write(pages: DataFrame, folder: str) -> int:
     long = rows.where(F.octet_length("html") >= REVISIT_BYTES).select("page_id", "digest")
     first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("m")).where("m > 1")
     again = long.join(first, "digest").where(F.col("page_id") > F.col("first")).select("page_id", "digest", "first").distinct()
-    rows = rows.join(again, ["page_id", "digest"], "left").sortWithinPartitions("page_id", "digest", "url")
+    # the copies of a page meet in one task, rows without page_id anywhere
+    page = F.concat_ws("/", F.col("page_id").cast("string"), "digest")
+    rows = rows.withColumn("key", F.when(F.col("page_id").isNull(), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))).otherwise(page)).repartition("key")
+    rows = rows.join(again.select(page.alias("key"), "first"), "key", "left").sortWithinPartitions("page_id", "digest", "url")
 
     def run(batches):
         part, serial, number = TaskContext.get().partitionId(), 0, 0
+        before, copy = None, 0
         todo = (r for b in blocks(batches, "html") for r in b.to_pylist())
         row = next(todo, None)
         while row is not None:
@@ -120,7 +125,9 @@ def write(pages: DataFrame, folder: str) -> int:
             name = f"part-{part:06d}-{serial:04d}.warc.gz"
             with shared_files.written(folder, name) as f:
                 while row is not None and size < FILE_BYTES:
-                    for r in page_records(row["page_id"], row["url"], row["html"].encode(), row["digest"], row["first"], f"{part}/{number}"):
+                    same = (row["page_id"], row["digest"])
+                    before, copy = same, copy + 1 if same == before else 0
+                    for r in page_records(row["page_id"], row["url"], row["html"].encode(), row["digest"], row["first"], f"{part}/{number}", copy):
                         f.write(r)
                         size += len(r)
                     pages_in, number = pages_in + 1, number + 1

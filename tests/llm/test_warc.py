@@ -43,6 +43,21 @@ def test_round_trip(spark):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(expected(rows), key=key)
 
 
+def test_repeated_long_pages(spark):
+    """Each copy of a page whose block is cut into segments is a row, with its own url and record id."""
+    long, other = "a é" * 70_000, "b" * 200_000
+    rows = [(5, "http://h/1", long), (5, "http://h/2", long), (5, "http://h/2", long), (5, "http://h/1", other), (9, "http://h/9", long), (9, "http://h/8", long), (None, "http://h/n", long), (None, "http://h/n", long)]
+    folder = shared_files.new_folder(spark, "warc-test")
+    assert warc.write(spark.createDataFrame(rows, SCHEMA).repartition(3), folder) == len(rows)
+    records = warc.read(spark, folder)
+    assert len({r.record_id for r in records.collect()}) == len(rows)
+    got = warc.resolved(records).collect()
+    key = lambda r: tuple(map(str, r))
+    assert all(r.ok for r in got)
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(expected(rows), key=key)
+    assert sorted((str(r.page_id), r.url) for r in got) == sorted((str(i), u) for i, u, _ in rows)
+
+
 def test_empty(spark):
     assert through(spark, []) == (0, [])
 
