@@ -1,7 +1,8 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built over a bounded sample of labelled text (``SAMPLE_ROWS`` rows of
-``ROW_CHARS`` code points). A text is parsed against every automaton into longest matches: each phrase is the
+For each language a suffix automaton is built over a bounded sample of labelled text (``SAMPLE_ROWS`` distinct
+texts, of each a window of ``ROW_CHARS`` code points at a place chosen by hash; with many languages shorter windows,
+so that all are within ``TOTAL_CHARS``). A text is parsed against every automaton into longest matches: each phrase is the
 longest piece that occurs in the language's sample. Phrases x log2(sample length) / text length estimates the
 cross entropy; the language with the least wins. All texts of a block are parsed in step, as arrays; a text is
 parsed whole, in pieces of ``PIECE`` symbols, so that a very long text is as many lanes instead of one.
@@ -24,7 +25,7 @@ from quarry.llm.common import IS_CHAR, blocks, in_arrow, utf8
 
 SAMPLE_ROWS = 80
 ROW_CHARS = 800
-#: Symbols of all languages' samples together, so that many languages stay within memory.
+#: Symbols of all languages' samples together, so that many languages stay within memory: above 10 languages every window is shortened alike.
 TOTAL_CHARS = 640_000
 PIECE = 2048
 #: Text parsed in step at a time.
@@ -58,6 +59,15 @@ def _squeeze(symbols: np.ndarray) -> np.ndarray:
     return stay
 
 
+def common_size(sizes: list[int], room: int) -> int:
+    """The largest size to which all can be cut so that they fit the room together."""
+    for k, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - k) > room:
+            return room // (len(sizes) - k)
+        room -= size
+    return max(sizes, default=0)
+
+
 def suffix_automaton(seq: list[int], width: int) -> np.ndarray:
     """Transitions [state, symbol] of the automaton of all factors of ``seq``; -1: none. State 0 is the start."""
     nxt: list[dict[int, int]] = [{}]
@@ -102,9 +112,11 @@ class Model:
         tables, roots, bits, at = [np.zeros((1, width), np.int32)], [], [], 1
         room = max(2000, TOTAL_CHARS // max(len(self.langs), 1))
         for lang in self.langs:
-            cps = np.frombuffer("\n".join(samples[lang]).encode("utf-32-le"), np.uint32)
-            seq = self.symbol_of[cps]
-            seq = np.concatenate(([0], seq[_squeeze(seq)], [0]))[:room]
+            texts = [self.symbol_of[np.frombuffer(t.encode("utf-32-le"), np.uint32)] for t in samples[lang]]
+            texts = [t[_squeeze(t)] for t in texts]
+            most = common_size(list(map(len, texts)), room)
+            seq = np.concatenate([[0], *(x for t in texts for x in (t[:most], [0]))])
+            seq = seq[_squeeze(seq)]
             t = suffix_automaton(seq.tolist(), width)
             tables.append(np.where(t >= 0, t + at, 0))
             roots.append(at)
@@ -166,10 +178,17 @@ class Model:
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = ROW_CHARS) -> Model:
-    """Automata from at most ``rows`` labelled rows a language, those of the smallest hash of their id."""
-    rows_of = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
-    rows_of = rows_of.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.substring("text", 1, chars).alias("t"))
-    few = rows_of.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("r") <= rows)
+    """Automata from at most ``rows`` distinct labelled texts a language, those of the smallest hash.
+
+    Copies count once, and the window of a text begins at a place given by its hash, so that neither a group of
+    copies nor a passage at the start of many texts makes up the sample. Only hashes are ranked.
+    """
+    rows_of = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0)).select(F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"), "text")
+    least = Window.partitionBy("lang").orderBy("h")
+    few = rows_of.select("lang", "h").distinct().withColumn("r", F.row_number().over(least)).where(F.col("r") <= rows)
+    at = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
+    window = F.col("text").substr(at.cast("int"), F.lit(chars))
+    few = rows_of.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h", "r").agg(F.min(window).alias("t"))
     samples: dict[str, list[str]] = {}
     for r in sorted(few.collect(), key=lambda r: (r["lang"], r["r"])):
         samples.setdefault(r["lang"], []).append(r["t"])

@@ -171,3 +171,33 @@ def test_language_odd_rows(spark):
     none = language.Model({})
     assert none.predict(pa.array(["abc", None, "12"]))[0] == ["und"] * 3
     assert language.Model({"x": ["abc abd"]}).predict(pa.array(["abc", "", "日本"]))[0][1] == "und"
+
+
+def test_sample_of_distinct_whole_texts(spark):
+    """Neither a passage at the start of all texts nor a large group of copies is what is learned."""
+    rng = random.Random(6)
+    words = {k: ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(150)] for k in ("aa", "bb", "licence")}
+    say = lambda k, n: " ".join(rng.choices(words[k], k=n))
+    licence, copied = say("licence", 200), say("licence", 400)
+    rows = [(i, licence + " " + say(k, 400), k) for i, k in enumerate(["aa", "bb"] * 100)]
+    rows += [(1000 + i, copied, "aa") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    texts = [say(k, 30) for k in ["aa", "bb"] * 20]
+    assert model.predict(pa.array(texts))[0] == ["aa", "bb"] * 20
+    few = docs.where("doc_id >= 1000").union(docs.where("lang = 'bb'"))
+    assert [b < 12 for b in language.train(few).bits.tolist()] == [True, False]  # the copies are one text
+
+
+def test_many_languages_keep_all_rows():
+    """Above ten languages every row of the sample is shortened, none is thrown away."""
+    assert language.common_size([5, 1, 9, 9], 20) == 7 and language.common_size([3, 3], 6) == 3 and language.common_size([], 6) == 0
+    rng = random.Random(7)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    samples = {f"l{k:02}": [say(800) for _ in range(80)] for k in range(16)}
+    m = language.Model(samples)
+    # the last row's beginning is one phrase of its language
+    for k, lang in enumerate(m.langs):
+        symbols = m.symbol_of[[ord(c) for c in samples[lang][-1][:300]]]
+        symbols = symbols[language._squeeze(symbols)].astype(np.int32)
+        assert m.phrases(symbols, np.array([0]), np.array([len(symbols)]))[k, 0] == 1
