@@ -7,7 +7,9 @@ read in place from a memory map; ``docs`` lists the documents that begin in a se
 names hold all documents in ascending doc_id (null first, rows that repeat an id in order of their text).
 
 The text is cut where the tokenizer's own pattern always cuts (white space, and after letters before a sign); the ids of the parts are kept in a
-bounded memo per worker, and only new parts go to the library. Null texts are empty: only the end id.
+bounded memo per worker, and only new parts go to the library. Texts that hold one of the tokenizer's added tokens
+are cut at it first, and it gets its own id as in the library's plain ``encode(text, add_special_tokens=False)``.
+Null texts are empty: only the end id.
 """
 
 from __future__ import annotations
@@ -46,16 +48,21 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Ids of texts by way of a memo of their parts."""
+    """Ids of texts by way of a memo of their parts; ``special``: special tokens in a text are found, as the library does by default."""
 
-    def __init__(self, raw: str):
+    def __init__(self, raw: str, special: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        names = sorted((re.escape(t.content) for t in added), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(names)})") if names else None
+        #: Whether a text can be cut at its added tokens: none takes part of the text beside it.
+        self.cuts = not any(t.lstrip or t.rstrip or t.single_word for t in added)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
@@ -66,9 +73,20 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 20, self.dtype), 0
         self.off = np.zeros(1 << 18, np.int64)
 
+    def parts(self, text: str) -> list[str]:
+        """The parts of a text that encode apart; an added token is a part, or the whole text if it cannot be cut there."""
+        if self.added is None or not self.added.search(text):
+            return _PARTS(text)
+        if not self.cuts:
+            return [text]
+        return [p for k, piece in enumerate(self.added.split(text)) for p in ([piece] if k % 2 else _PARTS(piece))]
+
+    def alone(self, part: str) -> bool:
+        return part[-1] in SPACES or (self.added is not None and self.added.search(part) is not None)
+
     def learn(self, parts: list[str]) -> None:
         """Encodes new parts, many to a call: a line feed between them is a token of its own."""
-        plain = [p for p in parts if p[-1] not in SPACES]
+        plain = [p for p in parts if not self.alone(p)]
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         got = []
         for at in range(0, len(plain), JOIN_PARTS):
@@ -78,8 +96,8 @@ class Encoder:
         if len(feed) != 1 or len(ends) != len(plain):
             raise ValueError("the vocabulary does not keep a line feed apart")
         self.add(plain, ids[ids != feed[0]], ends - np.arange(len(plain)))
-        for p in parts:  # white space
-            if p[-1] in SPACES:
+        for p in parts:  # white space, added tokens
+            if self.alone(p):
                 own = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, self.dtype)
                 self.add([p], own, np.array([len(own)]))
 
@@ -96,7 +114,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, the end id after each, and n + 1 offsets."""
-        cut = [_PARTS(t) if t else [] for t in texts]
+        cut = [self.parts(t) if t else [] for t in texts]
         if len(self.code) > MEMO_PARTS:
             self.reset()
         code = self.code
@@ -120,7 +138,7 @@ _encoders: dict[int, Encoder] = {}
 def _encoder(raw: str) -> Encoder:
     key = hash(raw)
     if key not in _encoders:
-        _encoders[key] = Encoder(raw)
+        _encoders[key] = Encoder(raw, special=True)
     return _encoders[key]
 
 

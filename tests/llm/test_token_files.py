@@ -62,3 +62,30 @@ def test_odd_rows(spark):
     _, _, got, null = through(spark, [(None, "x"), (1, None), (2, "")])
     assert null[0][1:3] == (0, 2) and [g[1:3] for g in got] == [(2, 1), (3, 1)]
     assert through(spark, [])[1] == 0
+
+
+LITERAL = ["<|endoftext|>", "a<|endoftext|>b", "a  <|endoftext|> \n b", "<|endoftext|><|endoftext|>", "<|endoftext|", "x <|endoftext|>\n", "\n\n<|endoftext|>don't<|endoftext|>  "]
+
+
+def test_added_tokens_as_the_library_does(spark):
+    """A literal special token has its own id, as in an untouched tokenizer."""
+    raw, t = open(token_files.default_vocabulary()).read(), tokenizers.Tokenizer.from_file(token_files.default_vocabulary())
+    own = lambda x: [*t.encode(x, add_special_tokens=False).ids, token_files.END_ID]
+    assert 50256 in own(LITERAL[0])
+    rng = random.Random(5)
+    texts = LITERAL + ["".join(rng.choices(["<|endoftext|>", " ", "\n", "the", "é9", "'s", "<|"], k=rng.randint(1, 30))) for _ in range(300)]
+    ids, off = token_files.Encoder(raw, special=True).encode(texts)
+    for k, x in enumerate(texts):
+        assert ids[off[k] : off[k + 1]].tolist() == own(x), repr(x)
+    _, _, got, _ = through(spark, list(enumerate(texts)))
+    assert [g[2:] for g in sorted(got)] == [(len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for w in map(own, texts)]
+
+
+def test_added_tokens_that_take_white_space():
+    t = tokenizers.Tokenizer.from_file(token_files.default_vocabulary())
+    t.add_special_tokens([tokenizers.AddedToken("<mask>", lstrip=True, special=True)])
+    t.add_tokens([tokenizers.AddedToken("qux", single_word=True, normalized=False)])
+    texts = ["a  <mask> b", "quxes qux  qux", "a b <|endoftext|> c", "plain text", " <mask>", *LITERAL]
+    ids, off = token_files.Encoder(t.to_str(), special=True).encode(texts)
+    for k, x in enumerate(texts):
+        assert ids[off[k] : off[k + 1]].tolist() == [*t.encode(x, add_special_tokens=False).ids, token_files.END_ID], repr(x)
