@@ -2,16 +2,18 @@
 
 A tolerant tree is built from the whole page (implied ends of p, li, table and list parts; unclosed inline tags end
 with their block; a cut-off page is as good as a closed one). Elements that never hold article text go first:
-scripts, styles, forms, navigation, site headers and footers, sidebars, and blocks whose class, id or role says
-menu, advert, notice or reader comments. On what is left
+scripts, styles, navigation, site headers and footers, sidebars, and blocks whose role says so. Forms and blocks
+whose class or id says menu, advert, notice or reader comments go too, unless they hold an article or main element or
+most of the body's text: these are wrappers ("has-sidebar"), and density decides inside them. Comments, adverts and
+related pages beside an article that stays are no wrappers. On what is left
 
     CTD(i) = C/T * log(C/LC * T/LT) / log(log(C/(C - LC) * LC + LCb/Cb * C + e))
 
 with C characters, T tags, LC and LT the same inside links, and b the body: characters per tag, adjusted for
 links. The sum of the children's densities is largest at the node that holds the article's paragraphs; the
 smallest density on its path to the body is the threshold. Every node at or above the threshold gives its
-subtree of largest sum; if the best node lies in an article or main element, that element is the article.
-Of the chosen subtrees all text is kept.
+subtree of largest sum; if the best node lies in an article or main element, that element is the article, together
+with the elements of its kind beside it that reach the threshold (an article in several parts). Of the chosen subtrees all text is kept.
 
 Null and empty pages, and pages without text, give an empty text. Character references are decoded; white space
 inside a block becomes one space (so does br); blocks are joined by a line feed in page order. Repeated rows
@@ -40,22 +42,28 @@ ENDS = {
 BOUNDARY = frozenset("html body article main section div aside nav header footer form ul ol dl table blockquote figure details fieldset".split())
 
 #: Elements without article text, and the ones that are so outside an article.
-NO_TEXT = frozenset("script style noscript template head title nav footer aside form button select textarea input svg math iframe object embed applet audio video canvas dialog menu map".split())
+NO_TEXT = frozenset("script style noscript template head title nav footer aside button select textarea input svg math iframe object embed applet audio video canvas dialog menu map".split())
 SITE = frozenset(["header"])
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|subscri\w*|signup|login|paywall"
     r"|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-?bar|widget\w*|related|recommend\w*|share|sharing|social|footer|site-?header|masthead|topbar|toolbar"
     r"|comments?|comment-?list|commentlist|disqus\w*|respond|replies|reply|pagination|pager|skip-?link|banner)(?:$|[\s_-]|\d)", re.I)
 ARTICLE = frozenset(["article", "main"])
+#: Text that stands beside an article, also when it is long or made of article elements; not a layout's name such as has-comments.
+_NAMED = r"(?:^|[\s_-])(?<!has[_-])(?<!no[_-])(?<!with[_-])"
+BESIDE = re.compile(_NAMED + r"(?:ads?|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|comments?|comment-?list|commentlist|disqus\w*|respond|replies|reply)(?!-(?:open|closed)\b)(?:$|[\s_-]|\d)", re.I)
+COMMENT = re.compile(_NAMED + r"(?:comment|reply)(?!s?-(?:open|closed)\b)", re.I)
+#: What an element may be dropped for: surely, unless it wraps the article, and so beside an article.
+DROP, DOUBT, ASIDE = 1, 2, 3
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "inline", "dropped")
+    __slots__ = ("tag", "parent", "children", "inline", "dropped", "doubt")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, doubt: int = 0):
         self.tag, self.parent, self.children, self.dropped = tag, parent, [], dropped
-        self.inline = tag in INLINE
+        self.inline, self.doubt = tag in INLINE, doubt
 
 
 class Tree(HTMLParser):
@@ -64,8 +72,8 @@ class Tree(HTMLParser):
         self.root = self.at = Node("#root", None, False)
         self.depth: dict[str, int] = {}  # open elements by tag
 
-    def push(self, tag: str, dropped: bool) -> None:
-        node = Node(tag, self.at, dropped or self.at.dropped)
+    def push(self, tag: str, why: int) -> None:
+        node = Node(tag, self.at, why == DROP or self.at.dropped, why)
         self.at.children.append(node)
         self.at = node
         self.depth[tag] = self.depth.get(tag, 0) + 1
@@ -99,7 +107,7 @@ class Tree(HTMLParser):
         if tag in ENDS:
             while old := self.open_one(ENDS[tag], BOUNDARY):
                 self.pop_to(old)
-        self.push(tag, self.is_dropped(tag, attrs))
+        self.push(tag, self.drops(tag, attrs))
         if tag in VOID:
             self.pop_to(self.at)
 
@@ -119,28 +127,66 @@ class Tree(HTMLParser):
         if not self.at.dropped:
             self.at.children.append(data)
 
-    def is_dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def drops(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in NO_TEXT or (tag in SITE and not any(self.depth.get(t) for t in ARTICLE)):
-            return True
+            return DROP
+        names = [v for k, v in attrs if k in ("class", "id") and v]
         if tag in ARTICLE or tag in ("html", "body"):
             # a comment thread may be built of articles
-            return tag == "article" and any(k in ("class", "id") and v and re.search(r"(?:^|[\s_-])(?:comment|reply)", v, re.I) for k, v in attrs)
+            return ASIDE if tag == "article" and any(COMMENT.search(v) for v in names) else 0
+        doubt = DOUBT if tag == "form" else 0
         for k, v in attrs:
             if k == "hidden" or (k == "aria-hidden" and v == "true"):
-                return True
+                return DROP
             if k == "role" and (v or "").lower() in ROLES:
-                return True
+                return DROP
+            if k == "role" and (v or "").lower() == "form":
+                doubt = DOUBT
             if k == "style" and v and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
-                return True
-            if k in ("class", "id") and v and BOILERPLATE.search(v):
-                return True
-        return False
+                return DROP
+        if any(BESIDE.search(v) for v in names):
+            return ASIDE
+        return DOUBT if any(BOILERPLATE.search(v) for v in names) else doubt
+
+
+def settle(root: Node) -> None:
+    """Drops the elements in doubt that are no wrapper of the article.
+
+    A wrapper holds an article or main element or most of the body's text. What stands beside an article is one
+    only if it holds most of the text and nearly all of the article's.
+    """
+    nodes = in_order(root)
+    if not any(n.doubt for n in nodes):
+        return
+    own = {n: sum(len(" ".join(x.split())) for x in n.children if type(x) is str) for n in nodes}
+    aside: dict[Node, bool] = {}
+    article: dict[Node, bool] = {}
+    for n in nodes:
+        aside[n] = n.doubt == ASIDE or aside.get(n.parent, False)
+        article[n] = n.tag in ARTICLE or article.get(n.parent, False)
+    clear = sum(own[n] for n in nodes if article[n] and not aside[n])
+    size, holds = dict(own), dict.fromkeys(nodes, False)
+    for n in reversed(nodes):
+        if n.tag in ARTICLE and n.doubt != ASIDE and size[n] and not (clear and aside[n]):
+            holds[n] = True
+        if n.parent is not None:
+            size[n.parent] += size[n]
+            holds[n.parent] |= holds[n]
+    most = size[next((n for n in nodes if n.tag == "body"), root)] / 2
+    for n in nodes:
+        if n.parent is not None and n.parent.dropped:
+            n.dropped = True
+        elif n.doubt == ASIDE and clear:
+            n.dropped = not (size[n] > most and 10 * clear < size[n])
+        elif n.doubt:
+            n.dropped = not (holds[n] or size[n] > most)
 
 
 def parse(html: str) -> Node:
     t = Tree()
     t.feed(html)
     t.close()
+    settle(t.root)
     return t.root
 
 
@@ -206,10 +252,11 @@ def chosen(root: Node) -> list[Node]:
     while at in inside:
         path.append(at)
         at = at.parent
+    threshold = min(density[n] for n in path)
     for n in reversed(path):
         if n.tag in ARTICLE:
-            return [n]
-    threshold = min(density[n] for n in path)
+            parts = n.parent.children if n.parent in inside else [n]
+            return [m for m in parts if m is n or (type(m) is Node and m.tag == n.tag and not m.dropped and density[m] >= threshold and 3 * share[m] < 1)]
     # the subtree of largest sum of every node at the threshold or above
     top = {}
     for n in reversed(nodes):

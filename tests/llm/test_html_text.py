@@ -66,3 +66,39 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame([(*r, "z", 5) for r in rows], "page_id long, url string, html string, text string, n_chars int")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [(0, "", 0), (1, "", 0), (2, "x", 1), (2, "x", 1)]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+TWO = "<h1>Head</h1><p>One two three four five six.</p><p>Seven eight nine ten eleven.</p>"
+TWO_TEXT = "Head\nOne two three four five six.\nSeven eight nine ten eleven."
+
+
+def test_wrappers_are_not_dropped():
+    """An element that holds the article stays, whatever its class, id or tag says of it."""
+    for start in ("<div class='content has-sidebar'>", "<div id=no-sidebar>", "<div class=main-nav-open>", "<section class='modal'>", "<div class='social share'>", "<form action=/x>", "<form><div class=newsletter-open>", "<div class='has-comments'>", "<div role=form>"):
+        end = "</form>" if start.startswith("<form") else "</section>" if start.startswith("<sec") else "</div>"
+        for inner in (f"<article>{TWO}</article>", f"<main>{TWO}</main>"):
+            assert html_text.main_text(PAGE.format(start + inner + end)) == TWO_TEXT, (start, inner)
+        wrapped = f"<body><nav><a href=/>Home</a></nav>{start}{TWO * 9}{end}<footer>x</footer>"
+        assert html_text.main_text(wrapped) == "\n".join([TWO_TEXT] * 9), start
+        inside = f"<body><main><p>By me</p>{start}{TWO * 9}{end}</main>"
+        assert html_text.main_text(inside) == "\n".join(["By me", *[TWO_TEXT] * 9]), start
+    for name in ("post has-comments", "post comments-open", "no-comments"):
+        assert html_text.main_text(PAGE.format(f"<article class='{name}'>{TWO}</article>")) == TWO_TEXT, name
+    # a whole page in a form, and what is boilerplate inside it
+    page = PAGE.replace("<form>", "<div class=signup>").replace("</form>", "</div>").replace("<header>", "<form id=aspnet><header>").replace("</body>", "</form></body>")
+    assert html_text.main_text(page.format(f"<article>{TWO}</article>")) == TWO_TEXT
+    assert html_text.main_text(f"<body><div class=share-layout><article>{TWO}</article><div class=social>Share this</div></div>") == TWO_TEXT
+
+
+def test_boilerplate_beside_the_article_still_goes():
+    words = "<p>I too have a long opinion on this, and it goes on and on.</p>"
+    for beside in (f"<div id=comments>{words * 9}</div>", f"<div class=comments><article>{words * 3}</article><article>{words * 3}</article></div>", f"<div class=related><article>{words}</article></div>", f"<article class=comment>{words * 9}</article>"):
+        assert html_text.main_text(PAGE.format(f"<article>{TWO}</article>{beside}")) == TWO_TEXT, beside
+
+
+def test_article_in_several_parts():
+    part = lambda k: f"<article><h2>Part {k}</h2>{TWO * k}</article>"
+    want = "\n".join(x for k in (1, 3, 2) for x in [f"Part {k}", *[TWO_TEXT] * k])
+    assert html_text.main_text(PAGE.format(part(1) + part(3) + part(2))) == want
+    links = "<article>" + "<a href=/x>Another story to read</a> " * 5 + "</article>"
+    assert html_text.main_text(PAGE.format(part(1) + part(3) + part(2) + links)) == want
