@@ -23,6 +23,8 @@ EXPAND_MIN_SCORE = 0.4
 #: Probes per pass over the corpus, and per matrix product inside a task.
 PROBE_BLOCK = 32_768
 SCORE_COLUMNS = 512
+#: Pairs that the approximate search compares exactly at a time.
+PAIRS = 1 << 15
 
 
 def _hashing_tf(df: DataFrame, text_col: str, out_col: str, dim: int = EMBED_DIM) -> DataFrame:
@@ -193,7 +195,10 @@ def _near_pairs(probes: list, floor: int, bits: int, seed: int):
                 for w in range(qs.shape[1]):
                     differ += np.bitwise_count(qs[at : at + SCORE_COLUMNS, w][:, None] ^ ms[None, :, w])
                 a, b = np.nonzero(differ <= bits - floor)
-                yield who[at + a], rows[b], np.einsum("ij,ij->i", q[at + a], m[b])
+                score = np.empty(len(a))
+                for i in range(0, len(a), PAIRS):  # the vectors of so many pairs at a time
+                    score[i : i + PAIRS] = np.einsum("ij,ij->i", q[at + a[i : i + PAIRS]], m[b[i : i + PAIRS]])
+                yield who[at + a], rows[b], score
 
     return pairs
 
@@ -207,7 +212,7 @@ def _agreement(min_score: float, bits: int, slack: float) -> int:
 
 
 def approx_search(probes: DataFrame, corpus: DataFrame, top_k: int = DEFAULT_TOP_K, min_score: float = 0.0, bits: int = 256,
-                  slack: float = 0.5, probe_key: str = "probe_id", id_col: str = "id", seed: int = 7, digits: int = 6) -> DataFrame:
+                  slack: float = 2.0, probe_key: str = "probe_id", id_col: str = "id", seed: int = 7, digits: int = 6) -> DataFrame:
     """V7: candidates by sketches of sign bits, exact cosine for the candidates, top-k per probe.
 
     A pair is compared exactly only if its sketches agree in as many bits as vectors at
@@ -229,8 +234,10 @@ def approx_search(probes: DataFrame, corpus: DataFrame, top_k: int = DEFAULT_TOP
             for pdf in batches:
                 ids = pdf[id_col].to_numpy()
                 for who, rows, score in near(list(pdf["embedding"])):
-                    out = pd.DataFrame({probe_key: keys[who], id_col: ids[rows], "score": np.round(score, digits)})
-                    out = out[out["score"] >= min_score].sort_values([probe_key, "score", id_col], ascending=[True, False, True])
+                    score = np.round(score, digits)
+                    hit = score >= min_score
+                    out = pd.DataFrame({probe_key: keys[who[hit]], id_col: ids[rows[hit]], "score": score[hit]})
+                    out = out.sort_values([probe_key, "score", id_col], ascending=[True, False, True])
                     yield out.groupby(probe_key, sort=False).head(top_k)
 
         return run
@@ -245,7 +252,7 @@ def approx_search(probes: DataFrame, corpus: DataFrame, top_k: int = DEFAULT_TOP
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def approx_compared(probes: DataFrame, corpus: DataFrame, min_score: float = 0.0, bits: int = 256, slack: float = 0.5,
+def approx_compared(probes: DataFrame, corpus: DataFrame, min_score: float = 0.0, bits: int = 256, slack: float = 2.0,
                     probe_key: str = "probe_id", seed: int = 7) -> DataFrame:
     """How many rows of the corpus V7 compares exactly with each probe."""
     import numpy as np

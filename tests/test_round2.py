@@ -151,3 +151,24 @@ def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.checkpoint_dir(Session())
+
+
+def test_approximate_search_near_the_threshold(spark):
+    """Probes with few neighbours, all just above min_score, are found too."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    probes = unit(rng.standard_normal((40, 64)))
+    rows = []
+    for k, p in enumerate(probes):
+        for j in range(10):
+            other = rng.standard_normal(64)
+            other = unit(other - (other @ p) * p)
+            c = 0.5 + 0.02 * rng.random()
+            rows.append((k * 10 + j, (c * p + (1 - c * c) ** 0.5 * other).tolist()))
+    corpus = spark.createDataFrame(rows, "id long, embedding array<double>")
+    asked = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(probes)], "probe_id long, embedding array<double>")
+    exact = vx.search(asked, corpus, 10, 0.5)
+    share = [r.recall for r in vx.recall(vx.approx_search(asked, corpus, 10, 0.5), exact).collect()]
+    assert len(share) == 40 and np.mean(share) > 0.95 and min(share) >= 0.7
