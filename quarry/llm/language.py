@@ -30,6 +30,8 @@ TOTAL_CHARS = 640_000
 PIECE = 2048
 #: Text parsed in step at a time.
 STEP_BYTES = 4 << 20
+#: A language's hashes are ranked in so many parts first.
+RANK_PARTS = 16
 FOLDS = 5
 UNDETERMINED = "und"
 
@@ -185,7 +187,9 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = ROW_CHARS) -> M
     """
     rows_of = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0)).select(F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"), "text")
     least = Window.partitionBy("lang").orderBy("h")
-    few = rows_of.select("lang", "h").distinct().withColumn("r", F.row_number().over(least)).where(F.col("r") <= rows)
+    few = rows_of.select("lang", "h", F.pmod("h", F.lit(RANK_PARTS)).alias("part")).distinct()
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))).where(F.col("r") <= rows)
+    few = few.select("lang", "h").withColumn("r", F.row_number().over(least)).where(F.col("r") <= rows)
     at = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
     window = F.col("text").substr(at.cast("int"), F.lit(chars))
     few = rows_of.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h", "r").agg(F.min(window).alias("t"))
