@@ -89,3 +89,18 @@ def test_added_tokens_that_take_white_space():
     ids, off = token_files.Encoder(t.to_str(), special=True).encode(texts)
     for k, x in enumerate(texts):
         assert ids[off[k] : off[k + 1]].tolist() == [*t.encode(x, add_special_tokens=False).ids, token_files.END_ID], repr(x)
+
+
+def test_cuts_against_the_library_on_odd_texts():
+    """Ids by parts equal the plain encode of whole texts: signs, digits, quotes and white space of all kinds."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    raw = open(token_files.default_vocabulary()).read()
+    plain = Tokenizer.from_str(raw)
+    rng = np.random.default_rng(7)
+    bits = ["a", "Zed", "é", "ß", "×", "÷", "ÿ", "1", "22", "²", "Ⅷ", "_", "-", "'", "'s", "'ll", "\"", "(", " ", "  ", "\n", "\t", "\r\n", " ", " ", "　", "\x85", "\x1c", "\x00", "漢", "𝄞", "<|endoftext|>", "'re", "İ", "ﬁ"]
+    texts = ["".join(rng.choice(bits, int(rng.integers(0, 25)))) for _ in range(4000)] + ["", None, " ", "\n\n", " a", "a ", "  a", "a  "]
+    got, off = token_files.Encoder(raw, special=True).encode(texts)
+    for k, t in enumerate(texts):
+        assert got[off[k] : off[k + 1]].tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 2], repr(t)
