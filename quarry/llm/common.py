@@ -129,6 +129,18 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many leading underscores as keep them apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def run_starts(keys: np.ndarray) -> np.ndarray:
     """Where a new value begins in sorted keys."""
     if len(keys) == 0:

@@ -6,8 +6,8 @@ until none is above. Each document is then taken a whole number of times, floor(
 documents that come first in a seeded hash order once more, until the source's target is met: the last of them
 is taken in part. So a source's taken words equal its rounded target.
 
-Null and empty texts have size 0 and are never taken. Rows that repeat a doc_id share its place in the hash
-order. An empty table gives an empty result. One source may hold any share of the rows: its hash order is dealt
+Null and empty texts have size 0 and are never taken. Rows that repeat a doc_id are put in order by their text; rows
+that repeat both share a place, and where a source's last repetition ends among them, it goes through them one by one. An empty table gives an empty result. One source may hold any share of the rows: its hash order is dealt
 over ``BUCKETS`` buckets, and only narrow rows (source, key, size) are shuffled, never text.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blocks, cut, global_rank, in_arrow, utf8, words
+from quarry.llm.common import blocks, cut, global_rank, in_arrow, store, utf8, words
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -37,23 +37,35 @@ def word_counts(col: pa.Array) -> np.ndarray:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of each whole text."""
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
+    """(doc_id, source, size, text_hash): words of each whole text, and what tells rows of one id apart."""
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), "text")
 
     def run(batches):
         for b in blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(word_counts(b.column("text")))], names=["doc_id", "source", "size"])
+            cells = [b.column("doc_id"), b.column("source"), pa.array(word_counts(b.column("text"))), b.column("text_hash")]
+            yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "source", "size", "text_hash"])
 
-    return in_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, size long")
+    return in_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, size long, text_hash long")
 
 
-def _order_key(seed: int, doc_id):
+def _order_key(seed: int, doc_id, text_hash):
     h = F.xxhash64(F.lit(seed), doc_id)
-    return F.struct(F.pmod(h, F.lit(BUCKETS)).alias("b"), h.alias("h"), doc_id.alias("d"))
+    return F.struct(F.pmod(h, F.lit(BUCKETS)).alias("b"), h.alias("h"), doc_id.alias("d"), text_hash.alias("t"))
 
 
 def _key(df: DataFrame, seed: int) -> DataFrame:
-    return df.withColumn("_key", _order_key(seed, F.col("doc_id")))
+    return df.withColumn("_key", _order_key(seed, F.col("doc_id"), F.col("text_hash")))
+
+
+def _numbered(rows: DataFrame, source: str, name: str) -> DataFrame:
+    """Rows numbered 0, 1, ... within their source: by their place in written files, then a count for each task."""
+    rows = store(rows, "boundary").withColumns({"__task": F.spark_partition_id(), "__row": F.monotonically_increasing_id()})
+    counts = rows.groupBy(source, "__task").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(source).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(source).alias("__of"), F.col("__task").alias("__in"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(source, "__task").orderBy("__row"))
+    rows = rows.withColumn("__at", inside).join(counts, F.col(source).eqNullSafe(F.col("__of")) & (F.col("__task") == F.col("__in")))
+    return rows.withColumn(name, F.col("__at") - 1 + F.col("__before")).drop("__task", "__row", "__at", "__of", "__in", "__before")
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -94,7 +106,8 @@ def plan(sized: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed
     ends = each.join(F.broadcast(per.select("source_id", "extra")) if small else per.select("source_id", "extra"), "source_id")
     ends = ends.where((F.col("_before") <= F.col("extra")) & (F.col("extra") < F.col("_before") + F.col("_sum"))).select("source_id", "_b", "_before")
     inside = rows.join(F.broadcast(ends) if small else ends, ["source_id", "_b"])
-    order = Window.partitionBy("source_id", "_b").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.groupBy("source_id", "_b", "_before", "extra", "_key").agg(F.sum("size").alias("size"))
+    order = Window.partitionBy("source_id", "_b").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("_at", F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     last = inside.where((F.col("_at") <= F.col("extra")) & (F.col("extra") < F.col("_at") + F.col("size")))
     last = last.groupBy("source_id").agg(F.min(F.struct("_key", (F.col("extra") - F.col("_at")).alias("part"))).alias("_end"))
@@ -111,9 +124,12 @@ def _placed(df: DataFrame, per: DataFrame, seed: int) -> DataFrame:
 def taken(sized: DataFrame, per: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken)."""
     rows = _placed(sized, per, seed)
-    extra = F.when(F.col("_end").isNull(), F.lit(0)).when(F.col("_key") < F.col("_end"), F.col("size")).when(
-        F.col("_key") == F.col("_end"), F.least("size", "_part")).otherwise(F.lit(0))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
+    at_end = F.coalesce(F.col("_key") == F.col("_end"), F.lit(False))
+    extra = F.when(F.col("_key") < F.col("_end"), F.col("size")).otherwise(F.lit(0))
+    ends = _numbered(rows.where(at_end).select("doc_id", "source", "size", "source_size", "target", "whole", "_part"), "source", "_nth")
+    left = F.greatest(F.least(F.col("_part") - F.col("_nth") * F.col("size"), F.col("size")), F.lit(0))
+    cols = lambda extra: ["doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken")]
+    return rows.where(~at_end).select(*cols(extra)).unionByName(ends.select(*cols(left)))
 
 
 def first_words(text: str, n: int) -> str:
@@ -128,22 +144,32 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed:
     per = plan(cut(sizes(docs)), weights, max_epochs, seed)
     per = per.select("_s", "whole", "_end", "_part").toDF("__source", "__whole", "__end", "__part")
     near = F.broadcast(per) if per.count() <= BROADCAST_SOURCES else per
-    key = _order_key(seed, docs["doc_id"])
-    full = F.when(F.col("__end").isNull(), F.lit(0)).when(key < F.col("__end"), F.lit(1)).otherwise(F.lit(0))
-    part = F.when(key == F.col("__end"), F.col("__part")).otherwise(F.lit(0))
-    rows = docs.join(near, docs["source"].cast("string").eqNullSafe(near["__source"]))
-    rows = rows.select(*[docs[f"`{c}`"] for c in docs.columns], (F.col("__whole") + full).alias("__times"), part.alias("__words"))
+    key = _order_key(seed, docs["doc_id"], F.xxhash64(docs["text"]))
     names, at = docs.columns, docs.columns.index("text")
+    rows = docs.join(near, docs["source"].cast("string").eqNullSafe(near["__source"]))
+    at_end = F.coalesce(key == F.col("__end"), F.lit(False))
+    full = F.when(key < F.col("__end"), F.lit(1)).otherwise(F.lit(0))
+    own = [docs[f"`{c}`"] for c in names]
+    whole = rows.where(~at_end).select(*own, (F.col("__whole") + full).alias("__times"), F.lit(0).cast("long").alias("__words"))
+    # rows with the key at which a source's extra repetition ends share what is left of it, one after the other
+    ends = rows.where(at_end).select(*own, F.col("__whole").alias("__times"), F.col("__part"), F.col("__source").alias("__of_source"))
+    ends = _numbered(ends, "__of_source", "__nth").select(*[f"`{c}`" for c in names], "__times", "__part", "__nth")
 
     def run(batches):
         for b in blocks(batches, "text"):
-            times = b.column(len(names)).to_numpy().astype(np.int64) * (word_counts(b.column("text")) > 0)
             own = b.select(names)
+            size = word_counts(b.column("text"))
+            times = b.column(len(names)).to_numpy().astype(np.int64) * (size > 0)
+            part = b.column(len(names) + 1).to_numpy().astype(np.int64)
+            if b.num_columns > len(names) + 2:
+                part = np.clip(part - b.column(len(names) + 2).to_numpy() * size, 0, size)
+                times += (part == size) & (size > 0)
+                part = np.where(part == size, 0, part)
             yield own.take(pa.array(np.repeat(np.arange(len(times)), times)))
-            some = np.flatnonzero(b.column(len(names) + 1).to_numpy())
+            some = np.flatnonzero(part)
             if len(some):
                 own = own.take(pa.array(some))
-                less = [first_words(t or "", int(n)) for t, n in zip(own.column(at).to_pylist(), b.column(len(names) + 1).to_numpy()[some], strict=True)]
+                less = [first_words(t or "", int(n)) for t, n in zip(own.column(at).to_pylist(), part[some], strict=True)]
                 yield own.set_column(at, own.schema.field(at), pa.array(less, own.schema.field(at).type))
 
-    return in_arrow(rows, run, docs.schema)
+    return in_arrow(whole, run, docs.schema).unionByName(in_arrow(ends, run, docs.schema))

@@ -37,7 +37,9 @@ SLACK = 0.25
 SEED = 11
 #: A group of more members, or more bytes of sets, is dealt into blocks.
 GROUP_ROWS = 2048
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 16 << 20
+#: Bytes of sets that a task copies or compares at a time.
+PIECE_BYTES = 2 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -111,17 +113,33 @@ def sketch(col: pa.Array, k: int = SHINGLE) -> dict[str, np.ndarray | pa.Array]:
     return {"n_shingles": size.astype(np.int64), **{c: v.view(np.int64) for c, v in out.items()}, "keys": pa.ListArray.from_arrays(pa.array(have), pa.array(keys.ravel().view(np.int64)))}
 
 
+def text_digest():
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+
+
 def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """doc_id, digest of the text, and its ``sketch``."""
     cols = ["n_shingles", "set1", "set2", *_SIG, "keys"]
 
     def run(batches):
         for b in blocks(batches, "text"):
             got = sketch(b.column("text"), k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[got[c] if c == "keys" else pa.array(got[c]) for c in cols]], names=["doc_id", *cols])
+            cells = [got[c] if c == "keys" else pa.array(got[c]) for c in cols]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), *cells], names=["doc_id", "digest", *cols])
 
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text", text_digest().alias("digest"))
     kinds = ", ".join(f"{c} {'array<long>' if c == 'keys' else 'long'}" for c in cols)
-    return in_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kinds}")
+    return in_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, {kinds}")
+
+
+def portions(sizes: np.ndarray, limit: int):
+    """Ranges [a, b) of rows whose sizes sum up to ``limit`` at most, one row at least."""
+    total = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + limit, side="right")))
+        yield a, b
+        a = b
 
 
 def _enough(percent: int) -> int:
@@ -153,14 +171,16 @@ def links_of_group(n: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], side:
         y = y[PERMS - differ.astype(np.int64) >= enough]
         if not len(y):
             continue
-        flat = np.concatenate([sets[k] for k in y])
-        at = np.searchsorted(sets[x], flat)
-        same = sets[x][np.minimum(at, len(sets[x]) - 1)] == flat
-        both = np.add.reduceat(same.astype(np.int64), np.cumsum(n[y]) - n[y])
-        for k in y[100 * both >= percent * (n[x] + n[y] - both)].tolist():
-            if comp[k] != comp[x]:
-                comp[comp == comp[k]] = comp[x]
-                out.append((x, k))
+        for a, b in portions(8 * n[y], PIECE_BYTES):
+            z = y[a:b]
+            flat = np.concatenate([sets[k] for k in z])
+            at = np.searchsorted(sets[x], flat)
+            same = sets[x][np.minimum(at, len(sets[x]) - 1)] == flat
+            both = np.add.reduceat(same.astype(np.int64), np.cumsum(n[z]) - n[z])
+            for k in z[100 * both >= percent * (n[x] + n[z] - both)].tolist():
+                if comp[k] != comp[x]:
+                    comp[comp == comp[k]] = comp[x]
+                    out.append((x, k))
     return out
 
 
@@ -188,15 +208,19 @@ def _members(docs: DataFrame, met: DataFrame, k: int) -> DataFrame:
         names = ["g", "lo", "hi", "side", "n", *_SIG]
         for b in blocks(batches, "text"):
             h, off = shingles(b.column("text"), k)
-            raw = h.tobytes()
             tasks = b.column("tasks")
             row = np.repeat(np.arange(b.num_rows), np.diff(tasks.offsets.to_numpy()))
             flat = tasks.flatten()
-            ok = np.diff(off)[row] == flat.field("n").to_numpy()  # of rows that share an id, the ones with this set
-            data = [raw[8 * s : 8 * e] for s, e in zip(off[row].tolist(), off[row + 1].tolist(), strict=True)]
-            cols = {c: flat.field(c) for c in names} | {"id": b.column("id").take(pa.array(row)), "hashes": pa.array(data, pa.binary())}
-            out = pa.RecordBatch.from_arrays([cols[c.split()[0]] for c in _MEMBER.split(", ")], names=[c.split()[0] for c in _MEMBER.split(", ")])
-            yield out.filter(pa.array(ok))
+            size = np.diff(off)
+            at = np.flatnonzero(size[row] == flat.field("n").to_numpy())  # of rows that share an id, the ones with this set
+            for lo, hi in portions(8 * size[row[at]], PIECE_BYTES):
+                mine, of = at[lo:hi], row[at[lo:hi]]
+                end = np.zeros(len(of) + 1, np.int64)
+                np.cumsum(size[of], out=end[1:])
+                sets = h[np.arange(end[-1]) + np.repeat(off[of] - end[:-1], size[of])]
+                data = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer((8 * end).astype(np.int32)), pa.py_buffer(sets)])
+                cols = {c: flat.field(c).take(pa.array(mine)) for c in names} | {"id": b.column("id").take(pa.array(of)), "hashes": data}
+                yield pa.RecordBatch.from_arrays([cols[c.split()[0]] for c in _MEMBER.split(", ")], names=[c.split()[0] for c in _MEMBER.split(", ")])
 
     return in_arrow(rows.select("id", "text", "tasks"), run, _MEMBER)
 
@@ -209,8 +233,11 @@ def _links(percent: int):
         keep = np.concatenate(([True], c["id"][order][1:] != c["id"][order][:-1]))  # repeated rows once
         order = order[keep]
         c = {k: v[order] for k, v in c.items()}
-        raw = t["hashes"].to_pylist()
-        sets = [np.frombuffer(raw[i], np.uint64) for i in order.tolist()]
+        col = t["hashes"].chunk(0)  # a task's sets stay below 2 GB
+        _, offsets, data = col.buffers()
+        end = np.frombuffer(offsets, np.int32)[col.offset : col.offset + t.num_rows + 1]
+        raw = np.frombuffer(data, np.uint8)
+        sets = [raw[end[i] : end[i + 1]].view(np.uint64) for i in order.tolist()]
         sig = np.stack([c[k].view(np.uint64) for k in _SIG], axis=1)
         pairs = links_of_group(c["n"], sig, sets, c["side"], percent)
         a, b = (c["id"][[p[i] for p in pairs]] if pairs else np.zeros(0, np.int64) for i in (0, 1))
@@ -258,8 +285,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("v", "c")
 
 
-def link(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
+def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, digest, n_shingles, component_id, kept), a row for each row of ``docs``."""
     sig = cut(signatures(docs, k))
     same = ["n_shingles", "set1", "set2"]
     full = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -271,13 +298,19 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILARITY_PERCENT) -
     members = _members(docs, met, k).repartition(parts, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
     labels = components(in_arrow(members, _links(percent), "a long, b long").distinct())
 
-    member = sig.select("doc_id", "n_shingles", "set1", "set2").join(classes.select(*same, F.col("id")), same, "left")
+    member = sig.select("doc_id", "digest", "n_shingles", "set1", "set2").join(classes.select(*same, F.col("id")), same, "left")
     rows = member.join(labels, F.col("id") == F.col("v"), "left")
     component = F.coalesce("c", "id", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return rows.select("doc_id", "digest", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def link(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
+    return _linked(docs, k, percent).drop("digest")
 
 
 def first_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """The rows of ``docs`` without near copies of a smaller doc_id's group."""
-    out = link(docs, k, percent).where(~F.col("kept")).select("doc_id")
-    return docs.join(out, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` without near copies of a smaller doc_id's group; of rows that share an id only those go
+    whose own text is such a copy."""
+    out = _linked(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    return docs.join(out, (docs["doc_id"] == F.col("__id")) & (text_digest() == F.col("__digest")), "left_anti")

@@ -3,7 +3,9 @@
 Three transducers are compiled from a model file: the normaliser (identity, white space written as U+2581, a
 leading one added), the pieces (a trie whose leaves write an id), and the byte fallback (a code point that no
 piece has writes its UTF-8 bytes' ids). Composed with an input they give a lattice; its best path in the
-tropical semiring is the encoding. A unigram model weighs an arc by minus the piece's score. In a BPE model an
+tropical semiring is the encoding. A unigram model weighs an arc by minus the piece's score, a byte
+fallback by minus the least score plus a penalty, a user-defined piece by its length, as the public library does. In a
+BPE model an
 arc is free if the piece may follow the one before it, that is, if merging their joined text gives just these
 two, and infinite if not; the one path of finite weight is the merge result (a sequence of pieces is what
 merging gives if and only if every two neighbours are).
@@ -35,6 +37,8 @@ SPACE = "▁"
 #: Kinds of pieces and of models in the public model format.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
+#: Fixed value: what the public library takes off the least score for a code point without a piece.
+PENALTY = 10.0
 
 
 def default_model() -> str:
@@ -58,6 +62,15 @@ class Transducer:
         self.id = {p.piece: i for i, p in enumerate(m.pieces) if p.type in (NORMAL, USER)}
         self.text = [p.piece for p in m.pieces]
         self.weight = [-p.score for p in m.pieces]
+        scores = [p.score for p in m.pieces if p.type == NORMAL]
+        #: In a unigram model a code point without a piece of its own costs more than any piece.
+        self.fallback = PENALTY - min(scores, default=0.0)
+        if any(p.type == USER for p in m.pieces):
+            if self.bpe:
+                raise ValueError("user-defined pieces of a BPE model are not compiled")
+            for i, p in enumerate(m.pieces):
+                if p.type == USER:  # the public library's rule: the best score for each byte, at least 0
+                    self.weight[i] = 0.1 - len(p.piece.encode()) * max([0.0, *scores])
         bytes_ = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
         unknown = next(i for i, p in enumerate(m.pieces) if p.type == UNKNOWN)
         self.byte = [bytes_.get(b, unknown) for b in range(256)]
@@ -122,8 +135,10 @@ class Transducer:
                         cost[j], back[j] = 0.0, (i, t)
                 elif cost[j] is None or here + self.weight[t] < cost[j]:
                     cost[j], back[j] = here + self.weight[t], (i, t)
-            if s[i] not in self.id and cost[i + 1] is None:
-                cost[i + 1], back[i + 1] = here, (i, -1)
+            if s[i] not in self.id:
+                there = here if self.bpe else here + self.fallback
+                if cost[i + 1] is None or (not self.bpe and there < cost[i + 1]):
+                    cost[i + 1], back[i + 1] = there, (i, -1)
         if cost[n] is None:
             raise ValueError(f"no path through {s!r}")
         out: list[int] = []

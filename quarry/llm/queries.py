@@ -25,8 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_suffix_dedup(spark, sf_dir):
-    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    names = zip(suffix_dedup.added_columns(docs), ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    return suffix_dedup.remove_repeats(docs).select("doc_id", *[F.col(c).alias(name) for c, name in names])
 
 
 @query

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.bounded import small
-from quarry.llm.common import BYTE_VALUE, RangeHash, blocks, cut, in_arrow, mix, run_starts, store, utf8
+from quarry.llm.common import BYTE_VALUE, RangeHash, blocks, cut, fresh_names, in_arrow, mix, run_starts, store, utf8
 
 LENGTH = 100
 GRAM = 32
@@ -47,6 +47,8 @@ SALT_RUNS = 32
 HOT_RUNS = 512
 #: Bytes of runs put in suffix order at a time.
 ORDER_BYTES = 1 << 20
+#: Text whose windows are looked at in one go.
+PART_BYTES = 1 << 20
 
 _PLACE = np.uint64((1 << 24) - 1)
 ASK, DONE, SALTED, MARK = 0, 1, 2, 3
@@ -89,7 +91,7 @@ def runs(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 def _pieces(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Buffer, offsets, row and start of each text; very long texts come in parts that overlap by a window."""
-    part = 4 << 20
+    part = PART_BYTES
     buf, off = utf8(col)
     if len(buf) <= part:
         yield buf, off, np.arange(len(off) - 1), np.zeros(len(off) - 1, np.int64)
@@ -130,7 +132,7 @@ def _slices(b: pa.RecordBatch, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, held = [], 0
-    for b in blocks(batches, "text"):
+    for b in blocks(batches, "text", PART_BYTES):
         b = b.filter(pc.is_valid(b.column("doc_id")))
         doc = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         for buf, off, row, base in _pieces(b.column("text")):
@@ -252,8 +254,35 @@ def repeated_windows(doc: np.ndarray, loc: np.ndarray, n: np.ndarray, data: list
     return d[hit], at[hit]
 
 
+def first_windows(t: pa.Table, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """The windows of these runs, one by one, without the repeated ones given: the first of each kind."""
+    n = t["n"].to_numpy()
+    row = np.repeat(np.arange(len(n)), n)
+    shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    d, w = t["doc"].to_numpy()[row], t["loc"].to_numpy()[row] + shift
+    order = np.lexsort((w, d))
+    new = np.ones(len(order), bool)
+    new[1:] = (d[order][1:] != d[order][:-1]) | (w[order][1:] != w[order][:-1])
+    gone = set(zip(doc.tolist(), at.tolist()))
+    stay = [k for k in order[new].tolist() if (int(d[k]), int(w[k])) not in gone]
+    data = t["data"].to_pylist()
+    one = [data[row[k]][shift[k] : shift[k] + LENGTH] for k in stay]
+    cols = [t["bucket"].to_numpy()[row[stay]], d[stay], w[stay], np.ones(len(stay), np.int64)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(one, pa.binary())], names=["bucket", "doc", "loc", "n", "data"])
+
+
 def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs with their bytes, sorted by bucket -> repeated windows, joined to runs of windows."""
+    """Runs with their bytes, sorted by bucket -> repeated windows, joined to runs of windows.
+
+    Of a bucket that goes on beyond ``ORDER_BYTES`` only the first window of each kind is held.
+    """
+
+    def first_of_last(parts: list[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], pa.RecordBatch]:
+        out = judge(parts)
+        t = pa.Table.from_batches(parts)
+        t = t.filter(pc.equal(t["bucket"], t["bucket"][-1]))
+        d, at = repeated_windows(t["doc"].to_numpy(), t["loc"].to_numpy(), t["n"].to_numpy(), t["data"].to_pylist())
+        return [first_windows(t, d, at)], out
 
     def judge(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
@@ -268,7 +297,7 @@ def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.flatnonzero(new)
         return pa.RecordBatch.from_arrays([pa.array(d[s]), pa.array(at[s]), pa.array(np.diff(np.append(s, len(d))))], names=["doc", "loc", "n"])
 
-    held, size = [], 0
+    held, size, limit = [], 0, 2 * ORDER_BYTES
     for b in batches:
         settled = pc.equal(pc.binary_length(b.column("data")), 0)
         if pc.any(settled).as_py():
@@ -290,6 +319,11 @@ def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if at < b.num_rows:
             held.append(b.slice(at))
             size += int(length[-1]) - (int(length[at - 1]) if at else 0)
+            if size >= limit:  # the last bucket may go on
+                held, out = first_of_last(held)
+                yield out
+                size = pc.sum(pc.binary_length(held[0].column("data"))).as_py() or 0
+                limit = max(2 * ORDER_BYTES, 2 * size)
     if held:
         yield judge(held)
 
@@ -358,14 +392,21 @@ def repeated(docs: DataFrame) -> DataFrame:
     return settled.where("anchor IS NULL").select("doc", "loc", "n").union(ordered)
 
 
+def added_columns(docs: DataFrame) -> list[str]:
+    """Names of the columns that ``remove_repeats`` adds: bytes, bytes removed, removed runs, digest of what remains."""
+    return fresh_names(docs, "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` with ``text`` as what is left, then n_bytes, n_removed, n_spans and kept_sha256.
+    """The columns of ``docs`` with ``text`` as what is left, then those of ``added_columns``.
 
     Where a cut splits a code point, the text leaves out the broken part; the digest is of the remaining bytes.
     """
-    spans = repeated(docs).groupBy("doc").agg(F.collect_list(F.struct("loc", "n")).alias("__spans")).withColumnRenamed("doc", "__doc")
     names, at = docs.columns, docs.columns.index("text")
-    rows = docs.join(spans, docs["doc_id"].cast("long") == spans["__doc"], "left").select(*[docs[f"`{c}`"] for c in names], "__spans")
+    own, of = fresh_names(docs, "spans", "doc")
+    more_names = added_columns(docs)
+    spans = repeated(docs).groupBy(F.col("doc").alias(of)).agg(F.collect_list(F.struct("loc", "n")).alias(own))
+    rows = docs.join(spans, F.col("doc_id").cast("long") == F.col(of), "left").drop(of)
 
     def run(batches):
         for b in blocks(batches, "text"):
@@ -374,7 +415,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             sizes = np.array([len(k[0]) + k[1] for k in got], np.int64)
             cols = [pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(len(names))]
             more = [pa.array(sizes), pa.array([k[1] for k in got], pa.int64()), pa.array([k[2] for k in got], pa.int64()), pa.array([hashlib.sha256(k[0]).hexdigest() for k in got])]
-            yield pa.RecordBatch.from_arrays([*cols, *more], names=[*names, "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*cols, *more], names=[*names, *more_names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return in_arrow(rows, run, f"{kinds}, _n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string")
+    more_kinds = ", ".join(f"`{c}` {t}" for c, t in zip(more_names, ("long", "long", "long", "string")))
+    return in_arrow(rows, run, f"{kinds}, {more_kinds}")

@@ -163,3 +163,56 @@ def test_neardup_odd_rows(spark):
     assert [r.kept for r in rows if r.doc_id is None] == [True]
     assert neardup.link(frame(spark, [])).count() == 0
     assert sorted(r.doc_id for r in neardup.first_of_each(frame(spark, [(5, t), (9, t), (7, None)])).collect()) == [5, 7]
+
+
+def test_rows_that_share_an_id_with_different_texts(spark):
+    rng = random.Random(2)
+    a, b = (" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(80)) for _ in range(2))
+    docs = spark.createDataFrame([(5, a), (9, a), (9, b)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in neardup.first_of_each(docs).collect()) == sorted([(5, a), (9, b)])
+
+
+def test_clashing_names(spark):
+    text = "".join(random.Random(1).choices("abcdefgh ", k=400))
+    docs = spark.createDataFrame([(1, text, 7, 8, "x"), (2, text, 7, 8, "x")], "doc_id long, text string, _n_bytes int, _spans int, __doc string")
+    out = suffix_dedup.remove_repeats(docs)
+    assert out.columns == [*docs.columns, "__n_bytes", "_n_removed", "_n_spans", "_kept_sha256"]
+    assert sorted((r.doc_id, len(r.text), r._n_bytes, r["__n_bytes"]) for r in out.collect()) == [(1, 400, 7, 400), (2, 0, 7, 400)]
+
+
+def test_hot_passage_with_small_blocks(spark, monkeypatch):
+    """A bucket that goes on over many batches is held by its first windows only; the result stays."""
+    rng = random.Random(4)
+    say = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    hot = say(300)
+    rows = [(k, say(50) + hot[rng.randint(0, 60) :] + say(60)) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute_removed(rows)
+    sent = []
+    for order_bytes, hot_runs in ((400, 2), (1 << 20, 512), (400, 512)):
+        batches = []
+        monkeypatch.setattr(suffix_dedup, "ORDER_BYTES", order_bytes)
+        monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot_runs)
+        monkeypatch.setattr(suffix_dedup, "PART_BYTES", 500)
+        got = {r.doc_id: (r._n_bytes, r._n_removed) for r in suffix_dedup.remove_repeats(docs).collect()}
+        assert got == {k: v[:2] for k, v in want.items()}
+
+
+def test_order_holds_first_windows_only(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "ORDER_BYTES", 300)
+    held = []
+    kept = suffix_dedup.first_windows
+    monkeypatch.setattr(suffix_dedup, "first_windows", lambda *a: held.append(kept(*a)) or held[-1])
+    data = [bytes([65 + k % 3]) * 100 for k in range(60)]
+    doc = np.arange(60)[::-1].copy()
+
+    def batch(a, b):
+        n = b - a
+        cols = [pa.array([7] * n, pa.int64()), pa.array(doc[a:b]), pa.array([0] * n, pa.int64()), pa.array([1] * n, pa.int64()), pa.array(data[a:b], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["bucket", "doc", "loc", "n", "data"])
+
+    out = [x for b in suffix_dedup._order(iter([batch(a, a + 5) for a in range(0, 60, 5)])) for x in b.column("doc").to_pylist()]
+    assert sorted(out) == list(range(3, 60)) and held and max(h.num_rows for h in held) <= 3

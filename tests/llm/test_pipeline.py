@@ -56,6 +56,6 @@ def test_empty_table(spark):
 
 def test_registered(spark):
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 14)}
     out = names["pipeline"](spark, SF).collect()
     assert out and len(collections.Counter(r.doc_id for r in out)) > 50

@@ -201,3 +201,26 @@ def test_many_languages_keep_all_rows():
         symbols = m.symbol_of[[ord(c) for c in samples[lang][-1][:300]]]
         symbols = symbols[language._squeeze(symbols)].astype(np.int32)
         assert m.phrases(symbols, np.array([0]), np.array([len(symbols)]))[k, 0] == 1
+
+
+@pytest.mark.parametrize("same_text", [True, False])
+def test_mixing_meets_targets_where_ids_repeat(spark, same_text):
+    rows = [(1, "w " * 30 + ("" if same_text else f"x{k}"), "a") for k in range(200)] + [(2 + k, "w " * 17, "b") for k in range(300)]
+    rows += [(900 + k % 7, "v " * (k % 11), "c") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(WORD.findall(t))
+    want = brute_targets(sizes)
+    sized = mixing.cut(mixing.sizes(docs))
+    per = {r.target: r for r in mixing.plan(sized).collect()}
+    took, seen = collections.Counter(), mixing.taken(sized, mixing.plan(sized)).collect()
+    assert len(seen) == len(rows) and len(per) == 3
+    for r in seen:
+        took[round(r.target, 6)] += r.taken
+        assert 0 <= r.taken <= 3 * r["size"]
+    assert all(abs(took[round(want[s], 6)] - want[s]) <= 1 for s in sizes)
+    mixed = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        mixed[r.source] += len(WORD.findall(r.text))
+    assert all(abs(mixed[s] - want[s]) <= 1 for s in sizes)
