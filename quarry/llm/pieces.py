@@ -69,8 +69,8 @@ class Transducer:
             if self.bpe:
                 raise ValueError("user-defined pieces of a BPE model are not compiled")
             for i, p in enumerate(m.pieces):
-                if p.type == USER:  # the public library's rule: the best score for each byte, at least 0
-                    self.weight[i] = 0.1 - len(p.piece.encode()) * max([0.0, *scores])
+                if p.type == USER:  # measured on the public library, whatever the score in the file
+                    self.weight[i] = 0.1 - 0.1 * len(p.piece.encode())
         bytes_ = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
         unknown = next(i for i, p in enumerate(m.pieces) if p.type == UNKNOWN)
         self.byte = [bytes_.get(b, unknown) for b in range(256)]
