@@ -1,9 +1,9 @@
 """Vector search.
 
-Probe vectors are broadcast in blocks of bounded size; the corpus streams past them,
-and each probe keeps its top-k through a window group limit that runs partially before
-the shuffle. The default embedding is a
-deterministic feature-hashing vector built from Spark expressions (no network,
+Probes are written in blocks that the tasks over the corpus read one at a time, and each
+probe keeps its top-k through a window group limit that runs partially before the
+shuffle; the approximate search has an index of its own (``ivf.py``). The default
+embedding is a deterministic feature-hashing vector built from Spark expressions (no network,
 no Python); a caller can plug in any ``pandas_udf`` returning ARRAY<DOUBLE>.
 """
 
@@ -14,17 +14,17 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.functions import vectors as V
+from quarry.session import scratch_path
+from quarry.sources.gather import open_fs
 
 EMBED_DIM = 64
 INDEX_MIN_CHARS = 1
 DEFAULT_TOP_K = 5
 EXPAND_TOP_K = 3
 EXPAND_MIN_SCORE = 0.4
-#: Probes per pass over the corpus, and per matrix product inside a task.
+#: Probes that a task reads at a time, and those of one matrix product.
 PROBE_BLOCK = 32_768
 SCORE_COLUMNS = 512
-#: Pairs that the approximate search compares exactly at a time.
-PAIRS = 1 << 15
 
 
 def _hashing_tf(df: DataFrame, text_col: str, out_col: str, dim: int = EMBED_DIM) -> DataFrame:
@@ -63,88 +63,97 @@ def embed_texts(df: DataFrame, text_col: str, out_col: str = "embedding", embed=
     return e.withColumn(out_col, V.normalize(F.col(out_col).cast("array<double>")))
 
 
-def _matrices(lists) -> dict:
-    """Row numbers and unit rows of the vectors of each length; zero vectors stay zero."""
+def matrices(col) -> dict:
+    """Row numbers and unit rows of the vectors of each length of an Arrow list column; zero vectors stay zero."""
     import numpy as np
+    import pyarrow.compute as pc
 
-    lengths = np.array([-1 if v is None else len(v) for v in lists])
+    length = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = col.flatten().to_numpy(zero_copy_only=False)
+    start = np.cumsum(length) - length
     out = {}
-    for n in np.unique(lengths[lengths > 0]):
-        rows = np.flatnonzero(lengths == n)
-        m = np.array([lists[i] for i in rows], dtype=np.float64)
+    for n in np.unique(length[length > 0]).tolist():
+        rows = np.flatnonzero(length == n)
+        m = flat[start[rows][:, None] + np.arange(n)]
         norm = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
-        out[int(n)] = rows, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+        out[n] = rows, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
     return out
 
 
-def _score_blocks(probes: list, top_k: int, min_score: float, digits: int, names: tuple[str, str]):
-    """A task function: corpus batches (id, embedding) against the probes (key, vector, own id or None)."""
+def read_blocks(folder: str, rows: int):
+    """Record batches of at most ``rows`` rows of the Parquet files of a shared folder, one at a time."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs as pafs
+
+    fs, base = open_fs(folder)
+    for f in sorted(fs.get_file_info(pafs.FileSelector(base)), key=lambda f: f.path):
+        if f.base_name.endswith(".parquet"):
+            with fs.open_input_file(f.path) as source:
+                yield from pq.ParquetFile(source).iter_batches(rows)
+
+
+def _score_blocks(folder: str, top_k: int, min_score: float, digits: int, names: tuple[str, str], own: bool):
+    """A task function: corpus batches (id, embedding) against the probe blocks of a folder."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+
+    def scored(ids, corpus, block):
+        keys = block.column(0).to_numpy(zero_copy_only=False)
+        self_id = block.column(2).to_numpy(zero_copy_only=False)
+        sides = matrices(block.column(1))
+        for at in range(0, len(keys), SCORE_COLUMNS):
+            part = np.arange(at, min(at + SCORE_COLUMNS, len(keys)))
+            score = np.zeros((len(part), len(ids)))  # vectors of another length score 0
+            for n, (rows, m) in corpus.items():
+                if n in sides:
+                    mine = np.searchsorted(part, sides[n][0])
+                    ok = (mine < len(part)) & (sides[n][0] >= at) & (sides[n][0] <= part[-1])
+                    score[np.ix_(mine[ok], rows)] = sides[n][1][ok] @ m.T
+            score = np.round(score, digits)
+            keep = score >= min_score
+            if own:
+                keep &= self_id[part][:, None] != ids[None, :]
+            # the best top_k of each probe in this batch, ties by id
+            order = np.lexsort((np.broadcast_to(ids, score.shape), -np.where(keep, score, -np.inf)), axis=1)[:, :top_k]
+            hit = np.take_along_axis(keep, order, axis=1)
+            who = np.broadcast_to(np.arange(len(part))[:, None], order.shape)[hit]
+            yield keys[part][who], ids[order[hit]], score[who, order[hit]]
 
     def run(batches):
-        keys = np.array([p[0] for p in probes])
-        own = np.array([p[2] for p in probes], dtype=object)
-        sides = _matrices([p[1] for p in probes])
-        for pdf in batches:
-            ids = pdf[names[1]].to_numpy()
-            corpus = _matrices(list(pdf["embedding"]))
-            for at in range(0, len(probes), SCORE_COLUMNS):
-                part = np.arange(at, min(at + SCORE_COLUMNS, len(probes)))
-                score = np.zeros((len(part), len(ids)))  # vectors of another length score 0
-                for n, (rows, m) in corpus.items():
-                    if n in sides:
-                        mine = np.searchsorted(part, sides[n][0])
-                        ok = (mine < len(part)) & (sides[n][0] >= at) & (sides[n][0] <= part[-1])
-                        score[np.ix_(mine[ok], rows)] = sides[n][1][ok] @ m.T
-                score = np.round(score, digits)
-                keep = score >= min_score
-                if own[0] is not None:
-                    keep &= own[part][:, None] != ids[None, :]
-                # the best top_k of each probe in this batch, ties by id
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -np.where(keep, score, -np.inf)), axis=1)[:, :top_k]
-                hit = np.take_along_axis(keep, order, axis=1)
-                who = np.broadcast_to(np.arange(len(part))[:, None], order.shape)[hit]
-                yield pd.DataFrame({names[0]: keys[part][who], names[1]: ids[order[hit]], "score": score[who, order[hit]]})
+        for b in batches:
+            ids, corpus = b.column(0).to_numpy(zero_copy_only=False), matrices(b.column(1))
+            for block in read_blocks(folder, PROBE_BLOCK):
+                for who, found, score in scored(ids, corpus, block):
+                    cols = [pa.array(who, block.schema.field(0).type), pa.array(found, b.schema.field(0).type), pa.array(score)]
+                    yield pa.RecordBatch.from_arrays(cols, names=[*names, "score"])
 
     return run
 
 
+def best_of(found: DataFrame, top_k: int, probe_key: str, id_col: str) -> DataFrame:
+    """The best ``top_k`` rows of each probe, ties by id; the window's group limit runs before the shuffle too."""
+    w = Window.partitionBy(probe_key).orderBy(F.desc("score"), F.asc(id_col))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).withColumn("rank", F.col("rank").cast("long"))
+
+
 def search(probes: DataFrame, corpus: DataFrame, top_k: int = DEFAULT_TOP_K, min_score: float = 0.0,
            probe_key: str = "probe_id", id_col: str = "id", exclude_self: bool = False, digits: int = 6) -> DataFrame:
     """V4 (and V5 with ``exclude_self``): cosine top-k per probe with an inclusive
     threshold; ties by id.
 
-    Probes go in blocks of ``PROBE_BLOCK`` rows, each block one pass over the corpus with
-    the block as a broadcast matrix; any number of probes gives the same rows. Each corpus
-    batch is one matrix product per block part, and only its per-probe top-k leaves the
-    task; a window group limit merges the partial lists.
+    A block matrix product: the probes are written as Parquet in the shared folder, and a
+    task multiplies each batch of its corpus partition with one block of ``PROBE_BLOCK``
+    probes after the other. Neither the driver nor the plan holds a probe, a task holds one
+    block and one batch, and only the per-probe top-k of a batch leaves it.
     """
-    spark = corpus.sparkSession
-    p = probes.select(F.col(probe_key).alias("_k"), F.col("embedding").cast("array<double>").alias("_v"),
-                      (F.col(id_col) if exclude_self else F.lit(None)).alias("_own"))
-    kinds = f"{probe_key} {dict(probes.dtypes)[probe_key]}, {id_col} {dict(corpus.dtypes)[id_col]}, score double"
+    kinds = dict(probes.dtypes)[probe_key], dict(corpus.dtypes)[id_col]
+    own = F.col(id_col) if exclude_self else F.lit(None).cast(kinds[1])
+    folder = scratch_path(corpus.sparkSession, "probes")
+    probes.select(F.col(probe_key).alias("k"), F.col("embedding").cast("array<double>").alias("v"), own.alias("own")).write.parquet(folder)
     side = corpus.select(id_col, F.col("embedding").cast("array<double>").alias("embedding"))
-    found = None
-    for block in _probe_blocks(p):
-        part = side.mapInPandas(_score_blocks(block, top_k, min_score, digits, (probe_key, id_col)), kinds)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], kinds)
-    w = Window.partitionBy(probe_key).orderBy(F.desc("score"), F.asc(id_col))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).withColumn("rank", F.col("rank").cast("long"))
-
-
-def _probe_blocks(p: DataFrame):
-    """Blocks of at most PROBE_BLOCK probes, one at a time in the driver."""
-    block = []
-    for r in p.toLocalIterator():
-        block.append((r["_k"], r["_v"], r["_own"]))
-        if len(block) >= PROBE_BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
+    task = _score_blocks(folder, top_k, min_score, digits, (probe_key, id_col), exclude_self)
+    found = side.mapInArrow(task, f"{probe_key} {kinds[0]}, {id_col} {kinds[1]}, score double")
+    return best_of(found, top_k, probe_key, id_col)
 
 
 def related(seeds: DataFrame, corpus: DataFrame, top_k: int = DEFAULT_TOP_K, min_score: float = 0.0,
@@ -170,118 +179,6 @@ def keep_set(seeds: DataFrame, suggestions: DataFrame, corpus: DataFrame, id_col
     return u.join(corpus.select(id_col), id_col, "left_semi")
 
 
-def _sketch(m, bits: int, seed: int):
-    """Sign bits of random projections, packed in 64-bit words."""
-    import numpy as np
-
-    planes = np.random.default_rng(seed).standard_normal((m.shape[1], bits))
-    return np.packbits(m @ planes > 0, axis=1).view(np.uint64)
-
-
-def _near_pairs(probes: list, floor: int, bits: int, seed: int):
-    """A task function: for each corpus batch and probe, the rows whose sketch agrees in ``floor`` bits."""
-    import numpy as np
-
-    sides = {n: (rows, m, _sketch(m, bits, seed)) for n, (rows, m) in _matrices([p[1] for p in probes]).items()}
-
-    def pairs(embeddings):
-        for n, (rows, m) in _matrices(embeddings).items():
-            if n not in sides:
-                continue
-            who, q, qs = sides[n]
-            ms = _sketch(m, bits, seed)
-            for at in range(0, len(who), SCORE_COLUMNS):
-                differ = np.zeros((len(qs[at : at + SCORE_COLUMNS]), len(ms)), np.uint16)
-                for w in range(qs.shape[1]):
-                    differ += np.bitwise_count(qs[at : at + SCORE_COLUMNS, w][:, None] ^ ms[None, :, w])
-                a, b = np.nonzero(differ <= bits - floor)
-                score = np.empty(len(a))
-                for i in range(0, len(a), PAIRS):  # the vectors of so many pairs at a time
-                    score[i : i + PAIRS] = np.einsum("ij,ij->i", q[at + a[i : i + PAIRS]], m[b[i : i + PAIRS]])
-                yield who[at + a], rows[b], score
-
-    return pairs
-
-
-def _agreement(min_score: float, bits: int, slack: float) -> int:
-    """Bits that two vectors at ``min_score`` agree in on average, less ``slack`` standard deviations."""
-    from math import acos, pi
-
-    same = 1 - acos(max(-1.0, min(1.0, min_score))) / pi
-    return int(bits * same - slack * (bits * same * (1 - same)) ** 0.5)
-
-
-def approx_search(probes: DataFrame, corpus: DataFrame, top_k: int = DEFAULT_TOP_K, min_score: float = 0.0, bits: int = 256,
-                  slack: float = 2.0, probe_key: str = "probe_id", id_col: str = "id", seed: int = 7, digits: int = 6) -> DataFrame:
-    """V7: candidates by sketches of sign bits, exact cosine for the candidates, top-k per probe.
-
-    A pair is compared exactly only if its sketches agree in as many bits as vectors at
-    ``min_score`` do, less ``slack`` standard deviations. Sketches are scanned in blocks of
-    probes, a sixteenth of the vectors' bytes at 64 dimensions; there are no hash buckets
-    that a dense region could overfill.
-    """
-    import numpy as np
-    import pandas as pd
-
-    floor = _agreement(min_score, bits, slack)
-    kinds = f"{probe_key} {dict(probes.dtypes)[probe_key]}, {id_col} {dict(corpus.dtypes)[id_col]}, score double"
-    side = corpus.select(id_col, F.col("embedding").cast("array<double>").alias("embedding"))
-
-    def task(block):
-        def run(batches):
-            near = _near_pairs(block, floor, bits, seed)
-            keys = np.array([p[0] for p in block])
-            for pdf in batches:
-                ids = pdf[id_col].to_numpy()
-                for who, rows, score in near(list(pdf["embedding"])):
-                    score = np.round(score, digits)
-                    hit = score >= min_score
-                    out = pd.DataFrame({probe_key: keys[who[hit]], id_col: ids[rows[hit]], "score": score[hit]})
-                    out = out.sort_values([probe_key, "score", id_col], ascending=[True, False, True])
-                    yield out.groupby(probe_key, sort=False).head(top_k)
-
-        return run
-
-    found = None
-    for block in _probe_blocks(probes.select(F.col(probe_key).alias("_k"), F.col("embedding").cast("array<double>").alias("_v"), F.lit(None).alias("_own"))):
-        part = side.mapInPandas(task(block), kinds)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = corpus.sparkSession.createDataFrame([], kinds)
-    w = Window.partitionBy(probe_key).orderBy(F.desc("score"), F.asc(id_col))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).withColumn("rank", F.col("rank").cast("long"))
-
-
-def approx_compared(probes: DataFrame, corpus: DataFrame, min_score: float = 0.0, bits: int = 256, slack: float = 2.0,
-                    probe_key: str = "probe_id", seed: int = 7) -> DataFrame:
-    """How many rows of the corpus V7 compares exactly with each probe."""
-    import numpy as np
-    import pandas as pd
-
-    floor = _agreement(min_score, bits, slack)
-    kinds = f"{probe_key} {dict(probes.dtypes)[probe_key]}, n long"
-
-    def task(block):
-        def run(batches):
-            near = _near_pairs(block, floor, bits, seed)
-            keys = np.array([p[0] for p in block])
-            for pdf in batches:
-                n = np.zeros(len(block), np.int64)
-                for who, _, _ in near(list(pdf["embedding"])):
-                    n += np.bincount(who, minlength=len(block))
-                yield pd.DataFrame({probe_key: keys, "n": n})
-
-        return run
-
-    found = None
-    for block in _probe_blocks(probes.select(F.col(probe_key).alias("_k"), F.col("embedding").cast("array<double>").alias("_v"), F.lit(None).alias("_own"))):
-        part = corpus.select(F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(task(block), kinds)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = corpus.sparkSession.createDataFrame([], kinds)
-    return found.groupBy(probe_key).agg(F.sum("n").alias("compared"))
-
-
 def recall(approx: DataFrame, exact: DataFrame, probe_key: str = "probe_id", id_col: str = "id") -> DataFrame:
     """Share of exact top-k hits that the approximate search returned, per probe."""
     hit = exact.join(approx.select(probe_key, id_col, F.lit(1).alias("found")), [probe_key, id_col], "left")

@@ -27,11 +27,11 @@ VIEWS = {
     ),
     "traces": (
         "SELECT doc_id AS trace_id, 'Traceback (most recent call last):' || chr(10) || '  File \"' || "
-        "CASE WHEN (doc_id // 100) % 2 = 1 THEN replace('/home/u/' || dpath, '/', '\\') ELSE '/home/u/' || dpath END || "
+        "CASE WHEN (doc_id // 20) % 2 = 1 THEN replace('/home/u/' || dpath, '/', '\\') ELSE '/home/u/' || dpath END || "
         "'\", line ' || CAST(doc_id % 97 + 1 AS VARCHAR) || ', in f' || chr(10) || '    g()' || chr(10) || '  File \"' || "
         "'lib/doc_' || CAST(doc_id + 1 AS VARCHAR) || '.py' || '\", line 3, in g' || chr(10) || '    raise ValueError' || chr(10) || "
         "'  File \"/usr/lib/python3/json/decoder.py\", line 337, in decode' || chr(10) || 'ValueError: boom' AS text "
-        "FROM doc_paths WHERE doc_id % 100 = 5"
+        "FROM doc_paths WHERE doc_id % 20 = 5"
     ),
     "responses": (
         "SELECT c.conv_id, c.turn, coalesce(d.source, 'src0') AS project, CASE "
@@ -62,7 +62,7 @@ VIEWS = {
     ),
     "opens": "SELECT user_id, 'p' || CAST(event_id % 50 AS VARCHAR) AS path, ts, event_id, event_type, value FROM events",
     "vectors": "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS embedding, label FROM embeddings",
-    "seeds": "SELECT id FROM vectors WHERE id % 100 = 0",
+    "seeds": "SELECT id FROM vectors WHERE id % 20 = 0",
     "probes": "SELECT id, embedding FROM vectors WHERE id % 20 = 0",
 }
 

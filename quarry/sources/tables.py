@@ -98,9 +98,9 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """traces(trace_id, text): Python tracebacks naming document files; every
     other one written with backslashes."""
-    d = table(spark, sf_dir, "documents").where(F.col("doc_id") % 100 == 5)
+    d = table(spark, sf_dir, "documents").where(F.col("doc_id") % 20 == 5)
     p = F.concat(F.lit(TRACE_ROOT), doc_path("doc_id", "lang"))
-    p = F.when((F.col("doc_id") / 100).cast("long") % 2 == 1, F.replace(p, F.lit("/"), F.lit("\\"))).otherwise(p)
+    p = F.when((F.col("doc_id") / 20).cast("long") % 2 == 1, F.replace(p, F.lit("/"), F.lit("\\"))).otherwise(p)
     other = F.concat(F.lit("lib/doc_"), (F.col("doc_id") + 1).cast("string"), F.lit(".py"))
     text = F.concat(
         F.lit("Traceback (most recent call last):\n  File \""),
@@ -222,7 +222,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where(F.col("id") % 100 == 0).select("id")
+    return vectors(spark, sf_dir).where(F.col("id") % 20 == 0).select("id")
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:

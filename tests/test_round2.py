@@ -11,6 +11,7 @@ from quarry.operators import memory as mem
 from quarry.operators import registry as rg
 from quarry.operators import responses as rs
 from quarry.operators import secrets as se
+from quarry.operators import ivf
 from quarry.operators import vectors as vx
 from quarry.session import scratch_path
 from quarry.sources import gather as ga
@@ -153,7 +154,7 @@ def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
         session.checkpoint_dir(Session())
 
 
-def test_approximate_search_near_the_threshold(spark):
+def test_approximate_search_near_the_threshold(spark, tmp_path):
     """Probes with few neighbours, all just above min_score, are found too."""
     import numpy as np
 
@@ -170,5 +171,6 @@ def test_approximate_search_near_the_threshold(spark):
     corpus = spark.createDataFrame(rows, "id long, embedding array<double>")
     asked = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(probes)], "probe_id long, embedding array<double>")
     exact = vx.search(asked, corpus, 10, 0.5)
-    share = [r.recall for r in vx.recall(vx.approx_search(asked, corpus, 10, 0.5), exact).collect()]
+    ivf.build(corpus, str(tmp_path / "ivf"))
+    share = [r.recall for r in vx.recall(ivf.search(asked, str(tmp_path / "ivf"), 10, 0.5), exact).collect()]
     assert len(share) == 40 and np.mean(share) > 0.95 and min(share) >= 0.7
