@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry.functions import paths as P
 from quarry.functions import text as X
 from quarry.functions.bounded import small
+from quarry.operators.postings import occurrences
 from quarry.operators.tree import tree_length, tree_lines
 from quarry.session import checkpoint_dir
 
@@ -34,8 +35,6 @@ MENTION_LIMIT = 3
 SPACE_RX = r"(?U)[\s\x1c-\x1f]+"
 #: Names are looked up by their first characters.
 GRAM = 6
-#: Terms looked for in one pass over the files.
-TERM_BLOCK_CHARS = 16 << 20
 
 
 # ---------------------------------------------------------------- J9 / J10
@@ -133,56 +132,14 @@ def name_hits(queries: DataFrame, files: DataFrame, scope: str = "project", fold
     return hit.select("query_id", scope, "path", "ord", "tokens", F.col("q").contains(low("path")).alias("full"))
 
 
-def _term_blocks(terms: DataFrame, scope: str):
-    """{scope: its terms} in blocks of bounded size, one at a time in the driver."""
-    block, size = {}, 0
-    for r in terms.select(scope, "term").distinct().toLocalIterator():
-        block.setdefault(r[scope], []).append(r["term"])
-        size += len(r["term"])
-        if size >= TERM_BLOCK_CHARS:
-            yield block
-            block, size = {}, 0
-    if block:
-        yield block
-
-
 def term_hits(terms: DataFrame, files: DataFrame, scope: str = "project") -> DataFrame:
     """(scope, path, ord, tokens, term): the terms of a file's project that its content holds
-    (substring test). Each file is scanned once per block of terms, for all terms at once."""
-    side = files.select(scope, "path", "ord", X.tokens("content").alias("tokens"), F.coalesce(F.lower("content"), F.lit("")).alias("lc"))
-    kinds = {f.name: f.dataType.simpleString() for f in side.schema.fields}
-    schema = f"{scope} {kinds[scope]}, path string, ord {kinds['ord']}, tokens long, term string"
-
-    def task(block):
-        def run(batches):
-            import ahocorasick
-            import numpy as np
-            import pyarrow as pa
-
-            automata = {}
-            for b in batches:
-                rows, found = [], []
-                for i, (project, text) in enumerate(zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True)):
-                    if project not in block:
-                        continue
-                    if project not in automata:
-                        automata[project] = a = ahocorasick.Automaton()
-                        for t in block[project]:
-                            a.add_word(t, t)
-                        a.make_automaton()
-                    got = {t for _, t in automata[project].iter(text)}
-                    rows += [i] * len(got)
-                    found += got
-                own = b.select([0, 1, 2, 3]).take(pa.array(np.array(rows, np.int64)))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(found, pa.string())], names=[scope, "path", "ord", "tokens", "term"])
-
-        return run
-
-    out = None
-    for block in _term_blocks(terms, scope):
-        part = side.mapInArrow(task(block), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else files.sparkSession.createDataFrame([], schema)
+    (substring test), by the terms' rarest grams in a scan of the project's files."""
+    mine = files.join(small(terms.select(scope).distinct()), scope, "left_semi")
+    keys = [scope, "path", "ord", "tokens"]
+    texts = mine.select(scope, "path", "ord", X.tokens("content").alias("tokens"), F.lower("content").alias("text"), F.col(scope).alias("scope"))
+    found = occurrences(texts, terms.select(F.col("term").alias("string"), F.col(scope).alias("scope")), keys, scoped=True)
+    return found.withColumnRenamed("string", "term")
 
 
 def relevance(queries: DataFrame, files: DataFrame, scope: str = "project") -> DataFrame:

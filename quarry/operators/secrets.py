@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.functions.bounded import small
+from quarry.operators.postings import occurrences
+from quarry.session import stored
 
 REDACTION = "[REDACTED SECRET]"
-#: Values looked for in one pass over the files.
-VALUE_BLOCK_CHARS = 16 << 20
 
 # Fixed values: (type, regex, capture group holding the value, confidence).
 # Patterns avoid look-around so that Java regex and RE2 agree.
@@ -71,61 +72,29 @@ def secret_values(files: DataFrame, whitelist=(), text_col: str = "content") ->
     return v.where(~F.col("value").isin(*whitelist)) if whitelist else v
 
 
-def _value_blocks(values: DataFrame):
-    """The values, longest first, in blocks of bounded size, one at a time in the driver."""
-    block, size = [], 0
-    for r in values.orderBy(F.desc(F.length("value")), "value").toLocalIterator():
-        block.append(r["value"])
-        size += len(r["value"])
-        if size >= VALUE_BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def _replace_in(text, values: list[str], automaton):
-    """Each of the values that the text holds replaced, in the order of the list."""
-    if not text:
-        return text
-    for k in sorted({k for _, k in automaton.iter(text)}):
-        text = text.replace(values[k], REDACTION)
-    return text
-
-
 def redact_values(files: DataFrame, values: DataFrame, text_col: str = "content") -> DataFrame:
     """Every occurrence of each value, in every file, replaced, longest value first.
 
-    One pass over the files per block of values: a task looks for all values of the block at
-    once (Aho-Corasick) and replaces those it meets, so files are never shuffled.
+    Values meet the files by their rarest gram (``postings``); a file's values are confirmed
+    and replaced together. Files are joined with their values by the digest of their content,
+    so files without a value are not touched, and equal files are looked up once.
     """
-    names = files.columns
-    at = names.index(text_col)
-
-    def task(block):
-        def run(batches):
-            import ahocorasick
-            import pyarrow as pa
-
-            automaton = ahocorasick.Automaton()
-            for k, v in enumerate(block):
-                automaton.add_word(v, k)
-            automaton.make_automaton()
-            for b in batches:
-                text = [_replace_in(t, block, automaton) for t in b.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(text, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns)], names=names)
-
-        return run
-
-    for block in _value_blocks(values):
-        files = files.mapInArrow(task(block), files.schema)
-    return files
+    digest = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
+    texts = files.where(F.length(text_col) > 0).select(digest.alias("digest"), F.col(text_col).alias("text"))
+    hits = occurrences(texts, values.select(F.col("value").alias("string")), ["digest"], confirm=False)
+    longest = F.array_sort(F.collect_list(F.struct((-F.length("string")).alias("n"), "string")))
+    per = stored(hits.groupBy(F.col("digest").alias("__digest")).agg(F.transform(longest, lambda x: x["string"]).alias("__values")), "values-of")
+    text = F.col(text_col)
+    held = F.filter("__values", lambda v: F.contains(text, v))
+    clean = F.aggregate(held, text, lambda t, v: F.replace(t, v, F.lit(REDACTION)))
+    joined = files.join(small(per), digest == F.col("__digest"), "left")
+    return joined.withColumn(text_col, F.when(F.col("__values").isNull(), text).otherwise(clean)).select(*[f"`{c}`" for c in files.columns])
 
 
 def redact(files: DataFrame, whitelist=(), text_col: str = "content") -> DataFrame:
     """R2: every occurrence, in any file, of each non-whitelisted value that R1 finds in any
     file is replaced, longest value first."""
-    return redact_values(files, secret_values(files, whitelist, text_col), text_col)
+    return redact_values(files, stored(secret_values(files, whitelist, text_col), "values"), text_col)
 
 
 def scrub(files: DataFrame, text_col: str = "content") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.bounded import small
 from quarry.operators.secrets import scrub
+from quarry.session import stored
 
 # Markers of the archive block (configurable; the reader accepts any marker pair).
 BLOCK_START = "--- RESTORE_BLOCK_START ---"
@@ -60,7 +61,7 @@ def pack(files: DataFrame, shard_bytes: int = SHARD_BYTES, start: str = BLOCK_ST
     exact copy is asked for with ``redact=False``. Sizes come from lengths only, so content
     is shuffled by (project, path) and by shard, never by project."""
     if redact:
-        files = scrub(files)
+        files = stored(scrub(files), "scrubbed")
     sized = files.groupBy("project", "path").agg(F.max_by(F.octet_length("content"), "ord").alias("bytes"))
     sizes = sized.groupBy("project").agg(F.sum("bytes").alias("bytes"))
     n = F.greatest(F.ceil(F.col("bytes") / F.lit(shard_bytes)), F.lit(1)).cast("int")

@@ -15,6 +15,7 @@ from quarry.functions import text as X
 from quarry.functions.bounded import small
 from quarry.operators import secrets as se
 from quarry.operators.tree import tree_lines
+from quarry.session import stored
 from quarry.sources import archive as ar
 
 CHUNK_CHARS = 10000
@@ -23,7 +24,10 @@ TREE_INTRO = "CONTEXT: PROJECT STRUCTURE\nBelow is the file tree. Use this to un
 
 def markdown_blocks(files: DataFrame) -> DataFrame:
     """S12 per-file blocks: heading, fenced code tagged by extension (scrubbed)."""
-    s = se.scrub(files)
+    return _blocks(se.scrub(files))
+
+
+def _blocks(s: DataFrame) -> DataFrame:
     block = F.concat(F.lit("### `"), "path", F.lit("`\n```"), X.fence_lang("path"), F.lit("\n"), "content", F.lit("\n```\n"))
     return s.select("project", "ord", "path", block.alias("block"))
 
@@ -39,9 +43,10 @@ def markdown_document(files: DataFrame, title_of=None) -> DataFrame:
     mid = files.select("project").distinct().select(
         "project", F.lit(0).alias("sec"), F.lit(2).cast("long").alias("k1"), F.array().cast("array<string>").alias("k2"),
         F.lit("```\n\n## File Contents\n").alias("text"))
-    blocks = markdown_blocks(files).select("project", F.lit(1).alias("sec"), F.col("ord").alias("k1"),
+    scrubbed = stored(se.scrub(files), "scrubbed")
+    blocks = _blocks(scrubbed).select("project", F.lit(1).alias("sec"), F.col("ord").alias("k1"),
                                            F.array().cast("array<string>").alias("k2"), F.col("block").alias("text"))
-    arch = ar.pack(files).select("project", F.lit(2).alias("sec"), F.col("shard").cast("long").alias("k1"), F.array().cast("array<string>").alias("k2"),
+    arch = ar.pack(scrubbed, redact=False).select("project", F.lit(2).alias("sec"), F.col("shard").cast("long").alias("k1"), F.array().cast("array<string>").alias("k2"),
                                  F.concat(F.lit("\n<!--\n"), "block", F.lit("\n-->")).alias("text"))
     return title.unionByName(tl).unionByName(mid).unionByName(blocks).unionByName(arch)
 
@@ -66,8 +71,9 @@ def marked_chunks(files: DataFrame, chunk: int = CHUNK_CHARS) -> DataFrame:
 
 def batch_export(files: DataFrame, projects: DataFrame, out_dir: str | None = None) -> DataFrame:
     """Writes the marked text of every requested project below ``out_dir`` and gives one
-    status row per project; a project with nothing to export is recorded as 'empty'
-    instead of failing the batch."""
+    status row per project: 'ok' if its text is there in full when it is read back, 'failed' if
+    not, 'empty' if it has nothing to export. Without ``out_dir`` nothing is written, and 'ok'
+    says that there is something to export."""
     wanted = projects.select("project").distinct()
     st = files.groupBy("project").agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("content")).cast("long").alias("chars"))
     j = wanted.join(st, "project", "left")
@@ -76,8 +82,12 @@ def batch_export(files: DataFrame, projects: DataFrame, out_dir: str | None = No
                    F.expr("coalesce(chars, 0) DIV 4").alias("tokens"))
     if out_dir is not None:
         mine = files.join(small(wanted), "project", "left_semi")
-        text = marked_chunks(mine).select("project", F.lit(0).alias("sec"), F.col("ord").alias("k1"), F.col("part").alias("k2"), "text")
+        text = stored(marked_chunks(mine).select("project", F.lit(0).alias("sec"), F.col("ord").alias("k1"), F.col("part").alias("k2"), "text"), "marked")
         write_document(text, out_dir)
+        meant = text.groupBy("project").agg(F.sum(F.length("text") + 1).alias("meant"))  # a line feed ends each row
+        there = meant.join(exported(files.sparkSession, out_dir), "project", "left").select("project", (F.col("meant") == F.coalesce(F.col("chars"), F.lit(0))).alias("whole"))
+        failed = F.coalesce(~F.col("whole"), F.lit(True)) & (F.col("status") == "ok")
+        out = out.join(there, "project", "left").withColumn("status", F.when(failed, "failed").otherwise(F.col("status"))).drop("whole")
     return out
 
 
