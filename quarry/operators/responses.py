@@ -124,9 +124,10 @@ def flatten_text(content_col) -> F.Column:
     )
 
 
-def tool_rows(results: DataFrame, min_chars: int = TOOL_TEXT_MIN_CHARS) -> DataFrame:
+def tool_rows(results: DataFrame, min_chars: int = TOOL_TEXT_MIN_CHARS, keep=()) -> DataFrame:
     """server/tool split at the first '__', source id, text, and the size guard as a
-    flag: results under ``min_chars`` characters are not to be ingested."""
+    flag: results under ``min_chars`` characters are not to be ingested. ``keep``: columns
+    handed on."""
     parts = F.split("name", "__", 2)
     text = flatten_text("content")
     out = results.where(F.col("name").contains("__")).select(
@@ -134,6 +135,7 @@ def tool_rows(results: DataFrame, min_chars: int = TOOL_TEXT_MIN_CHARS) -> DataF
         F.element_at(parts, 2).alias("tool"),
         F.concat(F.lit(TOOL_SOURCE_SCHEME), "name").alias("source_id"),
         text.alias("text"),
+        *keep,
     )
     n = F.length("text").cast("long")
     return out.withColumns({"n_chars": n, "ingestable": n >= min_chars})

@@ -3,8 +3,8 @@ J15, J17, J18)."""
 
 from pyspark.sql import functions as F
 
-from quarry.functions.bounded import small
 from quarry.operators import changes as ch
+from quarry.operators import context as cx
 from quarry.operators import registry as rg
 from quarry.operators import responses as rs
 from quarry.operators import stats as st
@@ -110,12 +110,12 @@ def q_store_paths(spark, sf):
 SELECT 1 AS version, count(*) AS n FROM files_a UNION ALL SELECT 2, 0 UNION ALL SELECT 3, count(*) FROM files_b
 """)
 def q_store_clear(spark, sf):
-    """A committed store, cleared, then filled again: rows of each version."""
-    store = sto.VersionedStore(spark, scratch_path(spark, "store"))
-    store.commit(_store_a(spark, sf))
-    store.clear()
-    store.sync(t.files_b(spark, sf), NOW)
-    n = [store.read(v).agg(F.lit(v).alias("version"), F.count(F.lit(1)).alias("n")) for v in (1, 2, 3)]
+    """A store as change files: filled, cleared, then filled again; rows as of each version."""
+    root = scratch_path(spark, "store")
+    sto.append_changes(sto.as_changes(t.files_a(spark, sf), NOW, 1, "fill"), root, "fill", 1)
+    sto.clear_changes(spark, root, 2)
+    sto.append_changes(sto.as_changes(t.files_b(spark, sf), NOW, 3, "fill"), root, "fill", 3)
+    n = [sto.latest(spark, root, v).agg(F.lit(v).alias("version"), F.count(F.lit(1)).alias("n")) for v in (1, 2, 3)]
     return n[0].unionByName(n[1]).unionByName(n[2])
 
 
@@ -178,8 +178,7 @@ SELECT f.project, f.path, coalesce(p.new_ord, f.ord) AS ord FROM files f LEFT JO
 def q_move_item(spark, sf):
     f = t.files(spark, sf)
     # move requests: the files a question names (derived from the data)
-    q = t.queries(spark, sf).select("project", F.col("text").alias("q"))
-    named = f.join(small(q), "project").where(F.col("q").contains(F.col("path"))).select("project", "path", "ord").distinct()
+    named = cx.name_hits(t.queries(spark, sf), f.select("project", "path", "ord"), fold=False).where("full").select("project", "path", "ord").distinct()
     # and a run of neighbours, whose requests overlap
     run = f.where(F.col("ord") % 200 < 60).select("project", "path", "ord")
     req = named.unionByName(run).select("project", "path", F.when(F.col("ord") % 40 < 20, "up").otherwise("down").alias("direction"))

@@ -3,31 +3,26 @@
 Store state is a table; every change is a join of two tables. Joins that decide what
 changes carry keys and md5 only; content is fetched for the rows that need it.
 
-``VersionedStore`` keeps a table in a folder as committed versions. Rows are dealt over
-hash buckets; a version writes only the buckets that changed, and one commit row (written
-last) names for each bucket the folder that holds it. A version without its commit row does
-not exist; an emptied store is a version like any other.
+On disk a store is append-only Parquet files of changes, a folder per stream and batch:
+each row carries its version, and a tombstone says that a key is gone. The current rows
+are the latest change of each key (``latest``).
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.functions.bounded import small
-from quarry.session import checkpoint_dir
 
 KEYS = ["project", "path"]
 STORE_SCHEMA = (
     "project string, path string, file_hash string, content string, file_size int, line_count int, last_updated timestamp"
 )
-COMMIT_SCHEMA = "v long, stream string, batch long, buckets map<int,string>"
-BUCKETS = 64
+CHANGE_SCHEMA = f"{STORE_SCHEMA}, version long, deleted boolean, stream string"
+_STORE_COLUMNS = [f.split()[0] for f in STORE_SCHEMA.split(", ")]
+_CHANGE_COLUMNS = [f.split()[0] for f in CHANGE_SCHEMA.split(", ")]
 SCHEMA_VERSION = "1"
 
 
@@ -67,7 +62,7 @@ def _new_state(store: DataFrame, incoming: DataFrame, actions: DataFrame, now) -
     changed = actions.where(F.col("action") != "keep")
     fresh = incoming.join(changed.where(F.col("action") != "delete").select(*KEYS), KEYS, "left_semi")
     kept = store.join(changed.select(*KEYS), KEYS, "left_anti")
-    return kept.select(*[f.split()[0] for f in STORE_SCHEMA.split(", ")]).unionByName(as_store_rows(fresh, now))
+    return kept.select(*_STORE_COLUMNS).unionByName(as_store_rows(fresh, now))
 
 
 def upsert(store: DataFrame, updates: DataFrame, now) -> DataFrame:
@@ -114,84 +109,40 @@ def clear(store: DataFrame) -> DataFrame:
     return store.limit(0)
 
 
-class VersionedStore:
-    """Committed versions of store rows below a folder."""
-
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.buckets = buckets
-
-    def commits(self) -> DataFrame:
-        """All commit rows; none if the store is new. Any other read error is an error."""
-        try:
-            return self.spark.read.schema(COMMIT_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{self.root}/commits")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], COMMIT_SCHEMA)
-
-    def current_version(self) -> int:
-        return int(self.commits().agg(F.max("v")).first()[0] or 0)
-
-    def _folders(self, version: int) -> dict[int, str]:
-        if version == 0:
-            return {}
-        row = self.commits().where(F.col("v") == version).select("buckets").first()
-        if row is None:
-            raise ValueError(f"version {version} was never committed")
-        return dict(row["buckets"])
-
-    def read(self, version: int | None = None, only: list[int] | None = None) -> DataFrame:
-        """The rows of a version (the current one by default), of some buckets if named."""
-        folders = self._folders(self.current_version() if version is None else version)
-        places = [f"{self.root}/{d}/bucket={b}" for b, d in sorted(folders.items()) if only is None or b in only]
-        if not places:
-            return self.spark.createDataFrame([], STORE_SCHEMA)
-        return self.spark.read.schema(STORE_SCHEMA).parquet(*places)
-
-    def bucket(self) -> F.Column:
-        return F.pmod(F.xxhash64(*KEYS), F.lit(self.buckets)).cast("int").alias("bucket")
-
-    def done(self, stream: str, batch: int) -> bool:
-        """Whether a stream's batch is committed already."""
-        return not self.commits().where((F.col("stream") == stream) & (F.col("batch") == batch)).isEmpty()
-
-    def commit(self, rows: DataFrame, replaced: list[int] | None = None, stream: str | None = None, batch: int | None = None) -> int:
-        """Writes ``rows`` as the whole content of the replaced buckets (default: all) and commits
-        the next version. The commit row is written with errorifexists: of two writers that race
-        for a version one fails and can try again."""
-        base = self.current_version()
-        folder = f"data/{base + 1:010d}-{uuid.uuid4().hex}"
-        names = [f.split()[0] for f in STORE_SCHEMA.split(", ")]
-        rows.select(*names, self.bucket()).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
-        written = self.spark.read.schema(f"{STORE_SCHEMA}, bucket int").parquet(f"{self.root}/{folder}").select("bucket").distinct().collect()
-        folders = {} if replaced is None else {b: d for b, d in self._folders(base).items() if b not in replaced}
-        folders |= {r["bucket"]: folder for r in written}
-        row = self.spark.createDataFrame([(base + 1, stream, batch, folders)], COMMIT_SCHEMA)
-        row.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/commits/{base + 1:010d}")
-        return base + 1
-
-    def apply(self, incoming: DataFrame, now, delete_missing: bool, stream: str | None = None, batch: int | None = None) -> dict:
-        """Brings the store to the incoming rows; only buckets that change are read with their
-        content and written. Returns the version and the number of rows per action."""
-        checkpoint_dir(self.spark)
-        base = self.read()
-        actions = sync_actions(base, incoming, delete_missing).withColumn("bucket", self.bucket()).checkpoint(eager=True)
-        counts = {r["action"]: r["n"] for r in actions.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
-        changed = [r["bucket"] for r in actions.where(F.col("action") != "keep").select("bucket").distinct().collect()]
-        if not changed and stream is None:
-            return {"version": self.current_version(), **counts}
-        state = _new_state(self.read(only=changed), incoming, actions.drop("bucket"), now)
-        return {"version": self.commit(state, changed, stream, batch), **counts}
-
-    def sync(self, incoming: DataFrame, now=None) -> dict:
-        """J3 end to end, with deletes."""
-        return self.apply(incoming, now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), delete_missing=True)
-
-    def clear(self) -> int:
-        """An empty version."""
-        return self.commit(self.spark.createDataFrame([], STORE_SCHEMA))
+def as_changes(files: DataFrame, now, version, stream: str) -> DataFrame:
+    """Store rows as changes of one version; ``deleted`` false."""
+    rows = as_store_rows(files, now)
+    version = version if isinstance(version, F.Column) else F.lit(version)
+    return rows.withColumns({"version": version.cast("long"), "deleted": F.lit(False), "stream": F.lit(stream)})
+
+
+def tombstones(keys: DataFrame, version, stream: str) -> DataFrame:
+    """Changes that delete the keys at a version."""
+    empty = [F.lit(None).cast(kind).alias(name) for name, kind in (f.split() for f in STORE_SCHEMA.split(", ")) if name not in KEYS]
+    version = version if isinstance(version, F.Column) else F.lit(version)
+    return keys.select(*KEYS, *empty, version.cast("long").alias("version"), F.lit(True).alias("deleted"), F.lit(stream).alias("stream"))
+
+
+def append_changes(changes: DataFrame, root: str, stream: str, batch: int = 0) -> None:
+    """Change files of one batch of one stream. A batch that is written again replaces its own files only."""
+    changes.select(*_CHANGE_COLUMNS).write.mode("overwrite").parquet(f"{root.rstrip('/')}/{stream}/{batch:010d}")
+
+
+def latest(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The rows that the change files below ``root`` leave (as of a version, by default all of them): of each key
+    the change of greatest version, deleted keys left out. Which change that is needs keys and versions only."""
+    changes = spark.read.schema(CHANGE_SCHEMA).option("recursiveFileLookup", "true").parquet(root)
+    if version is not None:
+        changes = changes.where(F.col("version") <= version)
+    last = changes.groupBy(*KEYS).agg(F.max(F.struct("version", "deleted", "file_hash", "stream")).alias("last")).select(*KEYS, "last.*")
+    last = last.where(~F.col("deleted"))
+    same = changes["version"].eqNullSafe(last["version"]) & (changes["stream"] == last["stream"]) & ~changes["deleted"]
+    return changes.join(last, (changes["project"] == last["project"]) & (changes["path"] == last["path"]) & same, "left_semi").select(*_STORE_COLUMNS)
+
+
+def clear_changes(spark: SparkSession, root: str, version: int, stream: str = "clear") -> None:
+    """S17 on change files: a tombstone for every key there is."""
+    append_changes(tombstones(paths(latest(spark, root)), version, stream), root, stream, version)
 
 
 def save_index(index: DataFrame, path: str) -> None:

@@ -1,58 +1,120 @@
-"""Continuous sync, tool-result auto-ingest and chunk assembly.
+"""Continuous sync, tool-result auto-ingest and chunk assembly (T1-T3) on keyed state.
 
-Sinks use ``foreachBatch``: each micro-batch becomes one committed store version on top
-of the current one. The commit names the stream and the batch, so a replayed batch is
-recognised, and several streams can feed one store.
+T1 and T2 keep the version and md5 of every (project, path) as state: unchanged files and
+late versions are dropped before anything is written, tombstones delete, and what is left
+goes to change files of its batch (``store.append_changes``). A batch that is run again
+replaces its own files. T3 keeps the pieces of a message as map state in event time.
+
+Timers and map state need Spark's RocksDB state store; queries are started with it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quarry.operators import responses as rs
 from quarry.sources import store as sto
 
-FILES_SCHEMA = "project string, path string, ord bigint, content string, seq int"
+FILES_SCHEMA = "project string, path string, ord bigint, content string, version bigint, deleted boolean"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """Queries started inside have the state store that keyed state needs; the session's setting is put back."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
+class NewestChange(StatefulProcessor):
+    """Per key: of a batch's rows the newest version, if it is newer than the state and says something else."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "version long, file_hash string, deleted boolean")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.sort_values("version").iloc[-1]
+        self.last.update((int(row["version"]), row["file_hash"], False))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = None
+        for pdf in rows:
+            top = pdf.sort_values(["version", "ord"], kind="stable").iloc[[-1]]
+            if newest is None or (top["version"].iloc[0], top["ord"].iloc[0]) >= (newest["version"].iloc[0], newest["ord"].iloc[0]):
+                newest = top
+        version, gone, digest = int(newest["version"].iloc[0]), bool(newest["deleted"].iloc[0]), newest["file_hash"].iloc[0]
+        old = self.last.get() if self.last.exists() else None
+        if old is not None and version <= old[0]:
+            return  # late or seen before
+        self.last.update((version, None if gone else digest, gone))
+        if (old is None and gone) or (old is not None and bool(old[2]) == gone and (gone or old[1] == digest)):
+            return  # nothing to delete, or the same content
+        yield newest[["project", "path", "version", "deleted", "file_hash", "content"]]
 
+    def close(self) -> None:
+        pass
 
-def upsert_batch(spark: SparkSession, store_root: str, batch: DataFrame, stream: str, batch_id: int, now=None) -> None:
-    """Merges one micro-batch into the current version (upsert only; later ``seq`` wins
-    inside the batch). A batch that its stream has committed before is passed over."""
-    store = sto.VersionedStore(spark, store_root)
-    if store.done(stream, batch_id):
-        return
-    latest = batch.groupBy("project", "path").agg(F.max_by("content", F.struct("seq", "ord")).alias("content"))
-    store.apply(latest, now if now is not None else F.current_timestamp(), delete_missing=False, stream=stream, batch=batch_id)
 
+_NEWEST = "project string, path string, version long, deleted boolean, file_hash string, content string"
 
-def _into_store(rows: DataFrame, store_root: str, checkpoint: str, now, available_now: bool = True):
-    spark = rows.sparkSession
-    stamp = F.lit(now).cast("timestamp") if now is not None else None
-    w = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda df, batch_id: upsert_batch(spark, store_root, df, checkpoint, batch_id, stamp))
-    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
 
+def newest_changes(rows: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Rows (``FILES_SCHEMA``) of a stream that change something. ``held``: (project, path, version, file_hash) that
+    the store has before the stream's first batch."""
+    hashed = rows.select("project", "path", "ord", "content", "version", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.md5("content").alias("file_hash"))
+    initial = held.groupBy("project", "path") if held is not None else None
+    return hashed.groupBy("project", "path").transformWithStateInPandas(NewestChange(), _NEWEST, "append", "None", initial)
 
-def continuous_sync(spark: SparkSession, source_dir: str, store_root: str, checkpoint: str,
-                    available_now: bool = True, schema: str = FILES_SCHEMA, now=None):
-    """Re-ingest changed files from a stream of file snapshots into the store.
-    Upsert only: deletions need an explicit tombstone, which a file stream lacks. The
-    checkpoint folder is the stream's name in the store's commits."""
-    return _into_store(spark.readStream.schema(schema).parquet(source_dir), store_root, checkpoint, now, available_now)
+
+def _write_changes(root: str, stream: str, now):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stamp = F.lit(now).cast("timestamp") if now is not None else F.current_timestamp()
+        rows = batch.withColumn("stream", F.lit(stream)).withColumns({
+            "file_size": F.length("content").cast("int"), "line_count": sto.X.line_count("content").cast("int"), "last_updated": stamp})
+        sto.append_changes(rows, root, stream, batch_id)
+
+    return write
+
+
+def _into_store(rows: DataFrame, store_root: str, checkpoint: str, now, available_now: bool, held: DataFrame | None = None):
+    stream = checkpoint.rstrip("/").rsplit("/", 1)[-1]
+    with state_store(rows.sparkSession):
+        w = newest_changes(rows, held).writeStream.option("checkpointLocation", checkpoint).foreachBatch(_write_changes(store_root, stream, now))
+        return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
+
+
+def continuous_sync(spark: SparkSession, source_dir: str, store_root: str, checkpoint: str, available_now: bool = True,
+                    schema: str = FILES_SCHEMA, now=None, held: DataFrame | None = None):
+    """Changed files from a stream of file versions into the change files of a store.
+    A row with ``deleted`` is a tombstone; versions may arrive in any order and more than
+    once. The name of the checkpoint folder is the stream's folder in the store."""
+    return _into_store(spark.readStream.schema(schema).parquet(source_dir), store_root, checkpoint, now, available_now, held)
 
 
 def tool_ingest(spark: SparkSession, source_dir: str, store_root: str, checkpoint: str, schema: str = "name string, content string",
-                now=None):
-    """Ingestable tool results upserted as store rows keyed by ``mcp://name``
-    (project ``tools``; the store deals rows over buckets by path)."""
-    stream = spark.readStream.schema(schema).parquet(source_dir)
-    rows = rs.tool_rows(stream).where("ingestable").select(
+                now=None, available_now: bool = True):
+    """Ingestable tool results as store rows keyed by ``mcp://name`` in the project
+    ``tools``; of results with one name that of the later file counts."""
+    stream = spark.readStream.schema(schema).parquet(source_dir).withColumn("_at", F.unix_micros("_metadata.file_modification_time"))
+    at = stream.select("name", F.col("_at").alias("version"), "content")
+    rows = rs.tool_rows(at, keep=("version",)).where("ingestable").select(
         F.lit("tools").alias("project"), F.col("source_id").alias("path"), F.lit(0).cast("bigint").alias("ord"),
-        F.col("text").alias("content"), F.lit(0).alias("seq"))
-    return _into_store(rows, store_root, checkpoint, now)
+        F.col("text").alias("content"), "version", F.lit(False).alias("deleted"))
+    return _into_store(rows, store_root, checkpoint, now, available_now)
 
 
 def assemble_chunks(chunks: DataFrame) -> DataFrame:
@@ -68,32 +130,63 @@ def assemble_chunks(chunks: DataFrame) -> DataFrame:
         "message_id", "text")
 
 
-def assemble_chunks_stream(chunks: DataFrame, timeout: str | None = "10 minutes") -> DataFrame:
-    """T3 (streaming): per-message state collects pieces until the last one has
-    arrived, then emits the message and clears the state; idle messages expire
-    after a processing-time timeout (``None``: no expiry, e.g. for bounded
-    replays with ``availableNow``)."""
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        have = dict(state.get[0]) if state.exists else {}
-        last = state.get[1] if state.exists else -1
-        for pdf in pdfs:
-            for s, c, fin in zip(pdf["seq"], pdf["chunk"], pdf["is_last"]):
-                have[int(s)] = c
+class Assembly(StatefulProcessor):
+    """Per message: a map entry per piece, and what is known of the whole. A message that is not
+    whole ``wait_ms`` after its newest piece leaves a row that says how many pieces came and are missing."""
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pieces = handle.getMapState("pieces", "seq long", "chunk string")
+        self.known = handle.getValueState("known", "last long, n long, expires long, done boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, n, expires, done = self.known.get() if self.known.exists() else (-1, 0, 0, False)
+        newest = 0
+        for pdf in rows:
+            newest = max(newest, int(pdf["ts_ms"].max()))
+            for seq, chunk, fin in zip(pdf["seq"].tolist(), pdf["chunk"].tolist(), pdf["is_last"].tolist()):
+                if not done and not self.pieces.containsKey((seq,)):  # repeated pieces count once
+                    self.pieces.updateValue((seq,), (chunk,))
+                    n += 1
                 if fin:
-                    last = int(s)
-        if last >= 0 and all(i in have for i in range(last + 1)):
-            text = "".join(have[i] for i in range(last + 1))
-            state.remove()
+                    last = max(last, seq)
+        if newest + self.wait_ms > expires:
+            if expires:
+                self.handle.deleteTimer(expires)
+            expires = newest + self.wait_ms
+            self.handle.registerTimer(expires)
+        if not done and last >= 0 and n == last + 1:
+            text = "".join(self.pieces.getValue((k,))[0] or "" for k in range(last + 1))
+            self.pieces.clear()
+            done = True
             if text:
-                yield pd.DataFrame({"message_id": [key[0]], "text": [text]})
-            return
-        state.update((list(have.items()), last))
-        if timeout is not None:
-            state.setTimeoutDuration(timeout)
-
-    return chunks.groupBy("message_id").applyInPandasWithState(
-        fn, "message_id long, text string", "pieces array<struct<seq:long, chunk:string>>, last long", "append",
-        GroupStateTimeout.ProcessingTimeTimeout if timeout is not None else GroupStateTimeout.NoTimeout)
+                yield pd.DataFrame({"message_id": [key[0]], "text": [text], "received": [n], "missing": [0]})
+        self.known.update((last, n, expires, done))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, n, _, done = self.known.get()
+        self.pieces.clear()
+        self.known.clear()
+        if not done:
+            missing = last + 1 - n if last >= 0 else None
+            yield pd.DataFrame({"message_id": [key[0]], "text": [None], "received": [n], "missing": pd.array([missing], "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def assemble_chunks_stream(chunks: DataFrame, delay: str = "10 minutes", wait_ms: int = 600_000) -> DataFrame:
+    """T3 (streaming): (message_id, text, received, missing) in event time (column ``ts``).
+
+    A message is given out as soon as its last piece and all before it are there, in whatever
+    order they came; pieces that come again or too late change nothing. When the watermark is
+    ``wait_ms`` past its newest piece, an incomplete message leaves a row with null text: the
+    pieces received and missing (null if the last piece never came). Start it inside
+    ``state_store``."""
+    timed = chunks.withWatermark("ts", delay)
+    timed = timed.select("message_id", "seq", "chunk", F.coalesce("is_last", F.lit(False)).alias("is_last"), "ts", F.unix_millis("ts").alias("ts_ms"))
+    return timed.groupBy("message_id").transformWithStateInPandas(
+        Assembly(wait_ms), "message_id long, text string, received long, missing long", "append", "EventTime")

@@ -33,39 +33,10 @@ def test_scan_sees_hidden_names_and_never_enters_ignored_folders(spark, tmp_path
     assert set(r["rel"] for r in ga.read_tree(spark, str(tmp_path), ["node_modules/"], [".py"]).collect()) == {"__init__.py", "_private/x.py"}
 
 
-def _store(spark):
-    return sto.VersionedStore(spark, scratch_path(spark, "store-test"), buckets=4)
-
-
 def _rows(spark, rows):
     return spark.createDataFrame(rows, FILES)
 
 
-def test_store_versions(spark):
-    s = _store(spark)
-    assert s.current_version() == 0 and s.read().count() == 0
-    s.sync(_rows(spark, [("007", "a", "1"), ("007", "b", None), ("q", "c", "")]), "2024-01-01")
-    assert sorted((r.project, r.path, r.content) for r in s.read().collect()) == [("007", "a", "1"), ("007", "b", None), ("q", "c", "")]
-    # null content is kept, not inserted for ever
-    assert {r.action for r in sto.sync_actions(s.read(), _rows(spark, [("007", "a", "1"), ("007", "b", None)])).collect()} == {"keep"}
-    v = s.clear()
-    assert v == 2 and s.read().count() == 0 and s.read(1).count() == 3
-    with pytest.raises(ValueError):
-        s.read(9)
-
-
-def test_two_streams_and_a_replay(spark):
-    s = _store(spark)
-    s.sync(_rows(spark, [("p", f"f{i}", "x") for i in range(5)]), "2024-01-01")
-    batch = lambda name: spark.createDataFrame([("p", name, 0, name, 0)], st.FILES_SCHEMA)
-    now = F.lit("2024-01-02").cast("timestamp")
-    st.upsert_batch(spark, s.root, batch("one.py"), "s1", 0, now)
-    st.upsert_batch(spark, s.root, batch("two.py"), "s2", 0, now)
-    st.upsert_batch(spark, s.root, batch("again.py"), "s1", 0, now)
-    assert sorted(r.path for r in s.read().collect()) == ["f0", "f1", "f2", "f3", "f4", "one.py", "two.py"]
-    assert s.current_version() == 3
-
-
 def test_redaction_over_all_files(spark):
     value = "a1b2c3d4e5f6"
     files = _rows(spark, [("p", "a", f'token = "{value}"'), ("p", "b", f"see {value} here"), ("q", "c", f'secret = "{value}xyz"'), ("q", "d", 'token =\n"zzzzzzzz99"'), ("q", "n", None)])
