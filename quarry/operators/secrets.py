@@ -82,7 +82,7 @@ def redact_values(files: DataFrame, values: DataFrame, text_col: str = "content"
     digest = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
     texts = files.where(F.length(text_col) > 0).select(digest.alias("digest"), F.col(text_col).alias("text"))
     hits = occurrences(texts, values.select(F.col("value").alias("string")), ["digest"], confirm=False)
-    longest = F.array_sort(F.collect_list(F.struct((-F.length("string")).alias("n"), "string")))
+    longest = F.array_sort(F.collect_set(F.struct((-F.length("string")).alias("n"), "string")))
     per = stored(hits.groupBy(F.col("digest").alias("__digest")).agg(F.transform(longest, lambda x: x["string"]).alias("__values")), "values-of")
     text = F.col(text_col)
     held = F.filter("__values", lambda v: F.contains(text, v))
