@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import paths as P
 from quarry.functions import wildcard as W
+from quarry.functions.bounded import small
+from quarry.session import stored
 
 # Default extension list (34 entries) and the language presets.
 DEFAULT_EXTENSIONS = [
@@ -71,6 +74,47 @@ def ignore_filter(files: DataFrame, patterns, always=W.ALWAYS_IGNORED, path_col:
     return files.where(~W.ignored(F.col(path_col), rules))
 
 
+def compiled_rules(rules: DataFrame, projects: DataFrame, always=W.ALWAYS_IGNORED) -> DataFrame:
+    """Rule lines (project, position, line) as (project, position, regex, negated); comments and blank
+    lines go. ``always``: lines that each of ``projects`` has after its own."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for project, position, line in zip(*(b.column(i).to_pylist() for i in range(3))):
+                rule = W.compile_rule(line or "")
+                if rule is not None:
+                    rows.append((project, position, rule.regex, not rule.ignore))
+            cols = list(zip(*rows)) if rows else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.bool_()))], names=["project", "position", "regex", "negated"])
+
+    own = rules.select("project", F.col("position").cast("long").alias("position"), "line")
+    for k, line in enumerate(always):
+        own = own.unionByName(projects.select("project").distinct().select("project", F.lit((1 << 40) + k).cast("long").alias("position"), F.lit(line).alias("line")))
+    return own.mapInArrow(run, "project string, position long, regex string, negated boolean")
+
+
+def project_ignore_filter(files: DataFrame, rules: DataFrame, always=W.ALWAYS_IGNORED, prune: bool = True) -> DataFrame:
+    """P3/P4 with rules as data: every project has a rule list of its own (project, position, line).
+
+    Paths and, with ``prune``, their distinct folders meet the rules of their project; the
+    matching rule of greatest position decides. A file goes if it is ignored or lies below an
+    ignored folder, whatever later rules say of it."""
+    compiled = stored(compiled_rules(rules, files, always), "rules")
+    nodes = files.select("project", F.col("path").alias("node"))
+    if prune:
+        nodes = nodes.unionByName(files.select("project", F.explode(W.dir_prefixes(F.col("path"))).alias("node")))
+    met = nodes.distinct().join(small(compiled), "project").where(F.rlike("node", F.col("regex")))
+    last = met.groupBy("project", "node").agg(F.max_by("negated", "position").alias("negated"))
+    gone = stored(last.where(~F.col("negated")).select("project", "node"), "ignored")
+    left = files.join(small(gone), (files["project"] == gone["project"]) & (files["path"] == gone["node"]), "left_anti")
+    if not prune:
+        return left
+    below = left.select("project", "path", F.explode(W.dir_prefixes(F.col("path"))).alias("node"))
+    below = below.join(small(gone.where(F.endswith("node", F.lit("/")))), ["project", "node"], "left_semi").select("project", "path").distinct()
+    return left.join(small(below), ["project", "path"], "left_anti")
+
+
 def exclude_filter(files: DataFrame, patterns, path_col: str = "path") -> DataFrame:
     """Exclude spec on the relative posix path (no always-ignored entries and no
     directory pruning: the spec is tested against the file path only)."""

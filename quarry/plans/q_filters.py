@@ -41,6 +41,44 @@ def q_ignore_filter(spark, sf):
     return fl.ignore_filter(t.files(spark, sf), IGNORE_PATTERNS).select("project", "path")
 
 
+#: Rule lists by the parity of the project's number.
+PROJECT_RULES = {0: ["*.pyc", "en/", "!en/part3/", "/de/part1/*.md", "build/"], 1: ["part5/", "*.json", "!doc_*1.json", "node_modules/", "de/**"]}
+
+
+def _project_rules(spark, sf):
+    """(project, position, line): a rule list for every project of the files."""
+    parity = F.expr("CAST(substring(project, 4) AS INT) % 2")
+    lists = F.when(parity == 0, F.array(*map(F.lit, PROJECT_RULES[0]))).otherwise(F.array(*map(F.lit, PROJECT_RULES[1])))
+    return t.files(spark, sf).select("project").distinct().select("project", F.posexplode(lists).alias("position", "line"))
+
+
+def _rules_sql(always):
+    rules = [(k, r) for k, lines in PROJECT_RULES.items() for r in W.compile_rules(lines, always)]
+    values = ", ".join(f"({k}, {r.idx}, {q.s(r.regex)}, {'true' if r.ignore else 'false'})" for k, r in rules)
+    return f"rules(k, pos, rx, ign) AS (VALUES {values})"
+
+
+@register("ignore_rules_by_project", "P3", f"""
+WITH {_rules_sql(W.ALWAYS_IGNORED)},
+n AS (SELECT project, path AS node FROM files UNION
+      SELECT project, unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/') || '/')) AS node FROM files),
+m AS (SELECT n.project, n.node, arg_max(r.ign, r.pos) AS ign FROM n JOIN rules r ON CAST(substr(n.project, 4) AS INT) % 2 = r.k AND regexp_matches(n.node, r.rx) GROUP BY 1, 2)
+SELECT f.project, f.path FROM files f WHERE NOT EXISTS (
+  SELECT 1 FROM m WHERE m.ign AND m.project = f.project AND (m.node = f.path OR (suffix(m.node, '/') AND starts_with(f.path, m.node))))
+""")
+def q_ignore_rules_by_project(spark, sf):
+    return fl.project_ignore_filter(t.files(spark, sf), _project_rules(spark, sf)).select("project", "path")
+
+
+@register("exclude_rules_by_project", "P4", f"""
+WITH {_rules_sql(())},
+m AS (SELECT n.project, n.path, arg_max(r.ign, r.pos) AS ign FROM files n JOIN rules r ON CAST(substr(n.project, 4) AS INT) % 2 = r.k AND regexp_matches(n.path, r.rx) GROUP BY 1, 2)
+SELECT f.project, f.path FROM files f WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.ign AND m.project = f.project AND m.path = f.path)
+""")
+def q_exclude_rules_by_project(spark, sf):
+    return fl.project_ignore_filter(t.files(spark, sf), _project_rules(spark, sf), always=(), prune=False).select("project", "path")
+
+
 @register("exclude_filter", "P4",
           f"SELECT project, path FROM files WHERE NOT {W.sql_matches('path', _EXC)}")
 def q_exclude_filter(spark, sf):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
-from quarry.operators import ivf
+from quarry.operators import ivf, providers
 from quarry.operators import vectors as vx
 from quarry.plans.registry import register
 from quarry.session import scratch_path
@@ -135,6 +135,40 @@ def q_approx_recall(spark, sf):
     return p.select("probe_id").join(F.broadcast(total))  # one row of totals
 
 
+def _unavailable():
+    raise ConnectionError
+
+
+def _choosy():
+    """Counts letters; refuses short texts one by one and long batches as a whole."""
+    def embed(texts):
+        if any(len(x) % 3 == 0 for x in texts):
+            raise ValueError
+        return [None if len(x) % 5 == 0 else [len(x), x.count("a"), x.count("e")] for x in texts]
+
+    return embed
+
+
+def _last():
+    return lambda texts: [[x.count("i"), x.count("o")] if x.count("a") % 2 == 0 else None for x in texts]
+
+
+@register("embed_chain", "U1", """
+WITH f AS (SELECT project, path, content, length(content) AS n, length(content) - length(replace(content, 'a', '')) AS a,
+                  length(content) - length(replace(content, 'e', '')) AS e, length(content) - length(replace(content, 'i', '')) AS i,
+                  length(content) - length(replace(content, 'o', '')) AS o FROM files WHERE content IS NOT NULL)
+SELECT project, path, CASE WHEN n % 3 <> 0 AND n % 5 <> 0 THEN 'choosy' WHEN a % 2 = 0 THEN 'last' END AS provider,
+       CASE WHEN n % 3 <> 0 AND n % 5 <> 0 THEN [CAST(n AS DOUBLE), a, e] WHEN a % 2 = 0 THEN [CAST(i AS DOUBLE), o] END AS embedding,
+       CASE WHEN n % 3 <> 0 AND n % 5 <> 0 THEN ['down: ConnectionError'] WHEN n % 3 = 0 THEN ['down: ConnectionError', 'choosy: ValueError']
+            ELSE ['down: ConnectionError', 'choosy: no vector'] END || CASE WHEN (n % 3 = 0 OR n % 5 = 0) AND a % 2 = 1 THEN ['last: no vector'] ELSE [] END AS failures
+FROM f
+""")
+def q_embed_chain(spark, sf):
+    """A provider that cannot be set up, one that fails on some texts, and one that has no vector for some."""
+    chain = [("down", _unavailable), ("choosy", _choosy), ("last", _last)]
+    return providers.embed_files(t.files(spark, sf).where("content IS NOT NULL"), chain)
+
+
 @register("sync_index", "V8", f"{_INDEX.format('files_b')} UNION ALL {_INDEX.format('files_a')} AND project NOT IN (SELECT project FROM files_b)")
 def q_sync_index(spark, sf):
     a, b = t.files_a(spark, sf), t.files_b(spark, sf)
