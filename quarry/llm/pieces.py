@@ -75,12 +75,14 @@ class Transducer:
         unknown = next(i for i, p in enumerate(m.pieces) if p.type == UNKNOWN)
         self.byte = [bytes_.get(b, unknown) for b in range(256)]
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else " ⁇ ".encode() if p.type == UNKNOWN else p.piece.encode() for p in m.pieces]
-        self.start: dict = {}
+        #: The trie: from each state a code point leads to (the id written there or -1, next state).
+        self.start: dict[str, list] = {}
         for piece, i in self.id.items():
-            node = self.start
+            arcs, node = self.start, [-1, {}]
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
+                node = arcs.setdefault(c, [-1, {}])
+                arcs = node[1]
+            node[0] = i
         inner = {c for p in self.id for c in (p[1:] if p.strip(SPACE) else "")}
         if SPACE in inner:
             raise ValueError("a piece has white space inside")
@@ -119,22 +121,28 @@ class Transducer:
         cost: list[float | None] = [None] * (n + 1)
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)  # where the last arc begins, and its id (-1: bytes)
         cost[0] = 0.0
+        bpe, weight, pairs, may_follow = self.bpe, self.weight, self.pairs, self.may_follow
         for i in range(n):
             here = cost[i]
             if here is None:
                 continue
             before = back[i][1] if i else -1
-            node, j = self.start, i
-            while j < n and (node := node.get(s[j])) is not None:
+            key, arcs, j = before << 20, self.start, i
+            for c in s[i:]:
+                node = arcs.get(c)
+                if node is None:
+                    break
                 j += 1
-                t = node.get("")
-                if t is None:
+                t, arcs = node
+                if t < 0:
                     continue
-                if self.bpe:
-                    if cost[j] is None and (before < 0 or self.may_follow(before, t)):
-                        cost[j], back[j] = 0.0, (i, t)
-                elif cost[j] is None or here + self.weight[t] < cost[j]:
-                    cost[j], back[j] = here + self.weight[t], (i, t)
+                if bpe:
+                    if cost[j] is None:
+                        ok = True if before < 0 else pairs.get(key | t)
+                        if ok or (ok is None and may_follow(before, t)):
+                            cost[j], back[j] = 0.0, (i, t)
+                elif cost[j] is None or here + weight[t] < cost[j]:
+                    cost[j], back[j] = here + weight[t], (i, t)
             if s[i] not in self.id:
                 there = here if self.bpe else here + self.fallback
                 if cost[i + 1] is None or (not self.bpe and there < cost[i + 1]):
