@@ -75,14 +75,12 @@ class Transducer:
         unknown = next(i for i, p in enumerate(m.pieces) if p.type == UNKNOWN)
         self.byte = [bytes_.get(b, unknown) for b in range(256)]
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else " ⁇ ".encode() if p.type == UNKNOWN else p.piece.encode() for p in m.pieces]
-        #: The trie: from each state a code point leads to (the id written there or -1, next state).
-        self.start: dict[str, list] = {}
+        self.start: dict = {}
         for piece, i in self.id.items():
-            arcs, node = self.start, [-1, {}]
+            node = self.start
             for c in piece:
-                node = arcs.setdefault(c, [-1, {}])
-                arcs = node[1]
-            node[0] = i
+                node = node.setdefault(c, {})
+            node[""] = i
         inner = {c for p in self.id for c in (p[1:] if p.strip(SPACE) else "")}
         if SPACE in inner:
             raise ValueError("a piece has white space inside")
@@ -126,15 +124,14 @@ class Transducer:
             here = cost[i]
             if here is None:
                 continue
+            if bpe and cost[n] is not None:
+                break  # the one path of finite weight is there
             before = back[i][1] if i else -1
-            key, arcs, j = before << 20, self.start, i
-            for c in s[i:]:
-                node = arcs.get(c)
-                if node is None:
-                    break
+            key, node, j = before << 20, self.start, i
+            while j < n and (node := node.get(s[j])) is not None:
                 j += 1
-                t, arcs = node
-                if t < 0:
+                t = node.get("")
+                if t is None:
                     continue
                 if bpe:
                     if cost[j] is None:
