@@ -102,3 +102,58 @@ def cost(t, ids):
     from_bytes = [i for i in ids if len(t.text[i]) == 6 and t.text[i].startswith("<0x")]
     starts = sum(int(t.text[i][3:5], 16) & 0xC0 != 0x80 for i in from_bytes)
     return sum(t.weight[i] for i in ids if i not in set(from_bytes)) + starts * t.fallback
+
+
+def toy(model_type, squeeze):
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    m = pb.ModelProto()
+    m.trainer_spec.model_type = model_type
+    m.trainer_spec.byte_fallback = True
+    m.normalizer_spec.name = "identity"
+    m.normalizer_spec.add_dummy_prefix = True
+    m.normalizer_spec.escape_whitespaces = True
+    m.normalizer_spec.remove_extra_whitespaces = squeeze
+    for piece, kind in (("<unk>", pieces.UNKNOWN), ("<s>", pieces.CONTROL), ("</s>", pieces.CONTROL)):
+        m.pieces.add(piece=piece, score=0, type=kind)
+    for b in range(256):
+        m.pieces.add(piece=f"<0x{b:02X}>", score=0, type=pieces.BYTE)
+    for k, piece in enumerate(["ab", "▁a", "abc", "a", "b", "c", "▁", "é", "▁ab"]):
+        m.pieces.add(piece=piece, score=-(1 + k * 0.61), type=pieces.NORMAL)
+    return m.SerializeToString()
+
+
+@pytest.mark.parametrize("model_type", [pieces.UNIGRAM, pieces.BPE])
+def test_extra_white_space_left_out(model_type):
+    raw = toy(model_type, True)
+    t, sp = pieces.Transducer(raw), spm.SentencePieceProcessor(model_proto=raw)
+    rng = random.Random(8)
+    texts = ["", " ", "   ", " a", "a ", "  a  b  ", "a\n b", " \n ", "zé  z", "é"] + ["".join(rng.choice("abcéz   \n") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    for x in texts:
+        assert t.encode(x) == sp.encode(x), repr(x)
+        assert t.decode(t.encode(x)) == sp.decode(sp.encode(x)), repr(x)
+    ids, off = t.encode_all(pieces.pa.array([*texts, None]))
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [sp.encode(x) for x in texts] + [[]]
+
+
+def test_lanes_and_single_searches_agree(both):
+    """Parts side by side, alone, and above the length of a lane take the same path."""
+    t, sp = both
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeioustrnlé漢\U0001f600x") for _ in range(rng.choice([1, 3, 8, 20, 63, 64, 65, 200]))) for _ in range(400)]
+    for model in (t, pieces.Transducer(toy(pieces.UNIGRAM, False))):
+        cps = [pieces.np.array([ord(c) for c in w], pieces.np.uint32) for w in words]
+        size = pieces.np.array([len(w) for w in words])
+        ids, many = model.search(pieces.np.concatenate(cps), pieces.np.cumsum(size) - size, size)
+        end = pieces.np.cumsum(many)
+        assert [tuple(ids[e - m : e].tolist()) for e, m in zip(end, many)] == [model.shortest(w) for w in words]
+    assert t.encode(" ".join(words)) == sp.encode(" ".join(words))
+
+
+def test_memos_that_run_full(both, monkeypatch):
+    t, sp = both
+    monkeypatch.setattr(pieces, "MEMO_PARTS", 50)
+    monkeypatch.setattr(pieces, "MEMO_PAIRS", 40)
+    rng = random.Random(10)
+    for _ in range(60):
+        x = " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 9))) for _ in range(12))
+        assert t.encode(x) == sp.encode(x)
