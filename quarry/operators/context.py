@@ -16,7 +16,7 @@ from quarry.functions import paths as P
 from quarry.functions import text as X
 from quarry.functions.bounded import small
 from quarry.operators.postings import occurrences
-from quarry.operators.tree import tree_length, tree_lines
+from quarry.operators.tree import tree_length
 from quarry.session import checkpoint_dir
 
 # Fixed values of the reference's context selection.
@@ -305,15 +305,28 @@ def context_blocks(packed: DataFrame, files: DataFrame, diffs: DataFrame | None
 
 def context_document(packed: DataFrame, files: DataFrame, queries: DataFrame, diffs: DataFrame | None = None,
                      time_travel: bool = False, scope: str = "project") -> DataFrame:
-    """One text per query: tree, notes, priority and scored files. The packed set is
-    bounded by the token budget and the tree is charged to it, so the text is bounded too."""
-    line = F.struct("parts", "line")
-    tree = tree_lines(files, scope).groupBy(scope).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("tree"))
+    """X14 as ordered rows (query_id, scope, section, position, text, start_chars, chars).
+
+    Sections: 0 the tree, 1 notes, 2 priority files, 3 scored files. The tree is kept whole, as lines stored once
+    per project (``operators.tree.tree_rows``): its row here holds the header alone and refers to them by the
+    scope, while ``chars`` counts header, tree and the blank line after it. So neither a tree nor a document is ever one
+    string, and what a query's window holds is its packed files, bounded by frames and token budget."""
+    q = queries.select("query_id", scope)
+    tree = tree_length(files, scope)
+    head = q.join(tree, scope, "left").select(
+        "query_id", F.lit(0).alias("section"), F.lit(0).cast("long").alias("position"), F.lit(TREE_HEADER).alias("text"),
+        (F.lit(len(TREE_HEADER) + 2) + F.coalesce("tree_chars", F.lit(0))).alias("chars"))
     blocks = context_blocks(packed, files, diffs, scope)
-    body = blocks.groupBy("query_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec", "pos", "ord", "text"))), lambda x: x["text"]), "").alias("body"),
-        F.max(F.col("sec") == 1).alias("crash"))
-    d = queries.select("query_id", scope).join(tree, scope, "left").join(body, "query_id", "left")
-    head = F.concat(F.lit(TREE_HEADER), F.coalesce("tree", F.lit("")), F.lit("\n\n"), F.lit(TIME_TRAVEL_NOTE if time_travel else ""))
-    note = F.when(F.coalesce("crash", F.lit(False)), F.lit(PRIORITY_NOTE)).otherwise(F.lit(""))
-    return d.select("query_id", F.concat(head, note, F.coalesce("body", F.lit(""))).alias("context"))
+    order = Window.partitionBy("query_id", "sec").orderBy("pos", "ord")
+    body = blocks.select("query_id", (F.col("sec") + 1).alias("section"), (F.row_number().over(order) - 1).cast("long").alias("position"), "text")
+
+    def note(of: DataFrame, position: int, text: str) -> DataFrame:
+        return of.select("query_id", F.lit(1).alias("section"), F.lit(position).cast("long").alias("position"), F.lit(text).alias("text"))
+
+    body = body.unionByName(note(packed.where(F.col("kind") == "priority").select("query_id").distinct(), 1, PRIORITY_NOTE))
+    if time_travel:
+        body = body.unionByName(note(q, 0, TIME_TRAVEL_NOTE))
+    rows = head.unionByName(body.withColumn("chars", F.length("text").cast("long")))
+    before = Window.partitionBy("query_id").orderBy("section", "position").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start_chars", F.coalesce(F.sum("chars").over(before), F.lit(0)))
+    return rows.join(q, "query_id").select("query_id", scope, "section", "position", "text", "start_chars", "chars")

@@ -3,10 +3,12 @@ the text (used by the packing budget)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import paths as P
+from quarry.functions.bounded import small
+from quarry.session import stored
 
 # Tree drawing glyphs.
 BRANCH = "├── "
@@ -56,6 +58,24 @@ def tree_lines(files: DataFrame, key: str = "project") -> DataFrame:
     return roots.unionByName(lines)
 
 
+def tree_rows(files: DataFrame, key: str = "project") -> DataFrame:
+    """The tree text as ordered rows (key, position, line, start_chars), a line feed between two lines.
+
+    Lines are range-partitioned by (key, parts), so a large tree is many tasks; positions and running
+    lengths are those inside a range plus what the ranges before it hold (a row per key and range)."""
+    ranged = tree_lines(files, key).repartitionByRange(key, "parts").withColumn("range", F.spark_partition_id())
+    ranged = stored(ranged, "tree")
+    size = F.length("line") + 1
+    mine = Window.partitionBy(key, "range").orderBy("parts")
+    inside = ranged.select(
+        key, "range", "line", (F.row_number().over(mine) - 1).alias("n"), (F.sum(size).over(mine) - size).alias("chars"))
+    earlier = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(key, "range").agg(F.count(F.lit(1)).alias("lines"), F.sum(size).alias("size")).select(
+        key, "range", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("chars0"))
+    return inside.join(small(before), [key, "range"]).select(
+        key, (F.col("n") + F.col("n0")).alias("position"), "line", (F.col("chars") + F.col("chars0")).alias("start_chars"))
+
+
 def tree_length(files: DataFrame, key: str = "project") -> DataFrame:
     """Characters of the full tree text per key: '.' plus, per node, a newline and
     4 characters per depth level plus the name."""

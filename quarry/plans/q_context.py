@@ -2,6 +2,7 @@
 
 from quarry.operators import changes as ch
 from quarry.operators import context as cx
+from quarry.operators.tree import tree_rows
 from quarry.plans import sql_context as sq
 from quarry.plans.registry import register
 from quarry.sources import tables as t
@@ -75,6 +76,12 @@ def q_context_budget(spark, sf):
         "conv_id", cx.context_budget(128000).alias("budget"), "used")
 
 
+@register("context_tree", "X14/A6", sq.TREE_ROWS)
+def q_context_tree(spark, sf):
+    """The trees that the context documents refer to."""
+    return tree_rows(t.files(spark, sf))
+
+
 @register("context_document", "X14", sq.document("asks", PACK_TOKENS))
 def q_context_document(spark, sf):
     f, asks = t.files(spark, sf), t.asks(spark, sf)

@@ -55,17 +55,30 @@ tw AS (SELECT a.project, a.p, a.is_last, coalesce(string_agg(CASE WHEN b.is_last
        FROM tl a LEFT JOIN tl b ON b.project = a.project AND len(b.p) < len(a.p) AND a.p[1:len(b.p)] = b.p GROUP BY ALL)
 """
 
-DOCUMENT = TREE_LINES.rstrip() + """,
-tt AS (SELECT project, '.' || chr(10) || string_agg(prefix || CASE WHEN is_last THEN '└── ' ELSE '├── ' END || p[-1], chr(10) ORDER BY p) AS tree FROM tw GROUP BY project),
+TREE_ROWS = "WITH " + TREE_LINES.strip() + """,
+lines AS (SELECT project, p, prefix || CASE WHEN is_last THEN '└── ' ELSE '├── ' END || p[-1] AS line FROM tw
+          UNION ALL SELECT DISTINCT project, CAST([] AS VARCHAR[]), '.' FROM files)
+SELECT project, row_number() OVER w - 1 AS position, line, CAST(sum(length(line) + 1) OVER w - length(line) - 1 AS BIGINT) AS start_chars
+FROM lines WINDOW w AS (PARTITION BY project ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""
+
+DOCUMENT = """,
 blocks AS (
-  SELECT k.query_id, CASE WHEN k.kind = 'priority' THEN 1 ELSE 2 END AS sec, CASE WHEN k.kind = 'priority' THEN k.first_pos ELSE -k.score END AS pos, k.ord,
+  SELECT k.query_id, CASE WHEN k.kind = 'priority' THEN 2 ELSE 3 END AS section, CASE WHEN k.kind = 'priority' THEN k.first_pos ELSE -k.score END AS pos, k.ord,
          CASE WHEN k.crash_line IS NOT NULL THEN '!!! CRASH DETECTED IN ' || k.path || ' AT LINE ' || k.crash_line || ' !!!' || chr(10) ELSE '' END
          || '=== FILE: ' || k.path || ' ===' || chr(10) || f.content || chr(10) || chr(10) AS text
-  FROM packed k JOIN files f USING (project, path))
-SELECT a.query_id, 'PROJECT ARCHITECTURE:' || chr(10) || coalesce(tt.tree, '') || chr(10) || chr(10)
-  || CASE WHEN max(b.sec = 1) THEN '--- ACTIVE DEBUGGING CONTEXT (PRIORITY) ---' || chr(10) || '!!! THE USER IS DEBUGGING A CRASH !!!' || chr(10) || chr(10) ELSE '' END
-  || coalesce(string_agg(b.text, '' ORDER BY b.sec, b.pos, b.ord), '') AS context
-FROM {src} a LEFT JOIN tt USING (project) LEFT JOIN blocks b USING (query_id) GROUP BY a.query_id, tt.tree
+  FROM packed k JOIN files f USING (project, path)),
+parts AS (
+  SELECT a.query_id, 0 AS section, 0 AS position, 'PROJECT ARCHITECTURE:' || chr(10) AS text, 22 + coalesce(t.tree_chars, 0) + 2 AS chars
+  FROM {src} a LEFT JOIN tree t USING (project)
+  UNION ALL
+  SELECT query_id, 1, 1, note, length(note) FROM (SELECT DISTINCT query_id, '--- ACTIVE DEBUGGING CONTEXT (PRIORITY) ---' || chr(10)
+    || '!!! THE USER IS DEBUGGING A CRASH !!!' || chr(10) || chr(10) AS note FROM blocks WHERE section = 2)
+  UNION ALL
+  SELECT query_id, section, row_number() OVER (PARTITION BY query_id, section ORDER BY pos, ord) - 1, text, length(text) FROM blocks)
+SELECT query_id, a.project, section, CAST(position AS BIGINT) AS position, parts.text, CAST(chars AS BIGINT) AS chars,
+       CAST(coalesce(sum(chars) OVER (PARTITION BY query_id ORDER BY section, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_chars
+FROM parts JOIN {src} a USING (query_id)
 """
 
 
@@ -110,4 +123,4 @@ FROM rec r JOIN cand c USING (query_id, rk) WHERE r.took{final[1]}
 
 
 def document(src: str, max_tokens: int) -> str:
-    return pack(src, max_tokens, final=(", packed AS (", "), " + DOCUMENT.replace("{src}", src).strip()))
+    return pack(src, max_tokens, final=(", packed AS (", ")" + DOCUMENT.replace("{src}", src).strip()))

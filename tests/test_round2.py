@@ -13,6 +13,7 @@ from quarry.operators import responses as rs
 from quarry.operators import secrets as se
 from quarry.operators import ivf
 from quarry.operators import vectors as vx
+from quarry.operators.tree import tree_lines, tree_rows
 from quarry.session import scratch_path
 from quarry.sources import gather as ga
 from quarry.sources import store as sto
@@ -92,11 +93,28 @@ def test_priority_files_in_frame_order(spark):
     files = spark.createDataFrame([("p", "z/one.py", 0, "1"), ("p", "y/two.py", 1, "2")], "project string, path string, ord long, content string")
     text = 'Traceback\n  File "/r/y/two.py", line 7, in f\n  File "/r/z/one.py", line 3, in g\n'
     q = spark.createDataFrame([(1, "p", text)], "query_id long, project string, text string")
-    doc = cx.context_document(cx.pack_context(q, files, 1000), files, q).first().context
+    rows = cx.context_document(cx.pack_context(q, files, 1000), files, q).collect()
+    tree = "\n".join(r.line for r in sorted(tree_rows(files).collect(), key=lambda r: r.position))
+    doc = ""
+    for r in sorted(rows, key=lambda r: (r.section, r.position)):
+        text = r.text if r.section else r.text + tree + "\n\n"
+        assert (r.start_chars, r.chars) == (len(doc), len(text))
+        doc += text
     assert doc.startswith("PROJECT ARCHITECTURE:\n.\n") and "!!! CRASH DETECTED IN y/two.py AT LINE 7 !!!\n=== FILE: y/two.py ===\n2\n\n" in doc
     assert doc.index("FILE: y/two.py") < doc.index("FILE: z/one.py")
 
 
+def test_tree_rows_over_many_ranges(spark):
+    paths = [f"d{i % 13}/e{i % 7}/f{i}.txt" for i in range(400)] + ["a.txt"]
+    files = spark.createDataFrame([(p, x) for p in ("p", "q") for x in (paths if p == "p" else paths[:3])], "project string, path string")
+    lines = {p: [r.line for r in sorted(tree_lines(files).where(F.col("project") == p).collect(), key=lambda r: r.parts)] for p in ("p", "q")}
+    for p, want in lines.items():
+        got = sorted(tree_rows(files).where(F.col("project") == p).collect(), key=lambda r: r.position)
+        assert [r.line for r in got] == want and [r.position for r in got] == list(range(len(want)))
+        assert [r.start_chars for r in got] == [sum(len(x) + 1 for x in want[:i]) for i in range(len(want))]
+    assert tree_rows(files.limit(0)).count() == 0
+
+
 def test_long_conversation_in_blocks(spark):
     m = spark.createDataFrame([(1, i, "user", "x" * (4 * (i % 5 + 1))) for i in range(600)], "conv_id long, turn long, role string, text string")
     kept = sorted(r.turn for r in mem.trim_history(m, max_tokens=500, block=64).where("keep").collect())
