@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from quarry.operators.tree import tree_lines
 from quarry.plans import sqlfrag as q
 from quarry.plans.q_text import _redact_sql
 from quarry.plans.registry import register
-from quarry.session import scratch_path
+from quarry.plans.sql_context import TREE_LINES
+from quarry.session import scratch_path, stored
 from quarry.sources import archive as ar
 from quarry.sources import render as rd
 from quarry.sources import tables as t
@@ -60,46 +62,108 @@ def q_force_scrape(spark, sf):
     return ar.force_scrape(_marked_docs(spark, sf))
 
 
-@register("load_snapshot", "S10", r"""
-SELECT concat_ws('|', project, path) AS doc, path, 'ok' AS status, CASE WHEN ord % 2 = 0 THEN 'archive' ELSE 'scrape' END AS source,
-       md5(CASE WHEN ord % 2 = 0 THEN content ELSE regexp_replace(content, '\s+$', '') END) AS md5 FROM files
-UNION ALL SELECT concat_ws('|', project, path, 'x'), NULL, CASE WHEN ord % 40 = 0 THEN 'no_text' ELSE 'no_files' END, NULL, NULL FROM files WHERE ord % 20 = 0
+DOC_FILES = 160  # ids that share a snapshot document, by project
+PIECE_FILES = 40  # ids that share a piece of its marked text
+SNAPSHOT_SHARD = 4096  # so that a document has several shards
+_DOC = f"concat_ws('|', project, ord // {DOC_FILES})"
+
+
+def _snapshot_files(spark, sf):
+    f = t.files(spark, sf)
+    bucket = F.expr(f"ord DIV {DOC_FILES}")
+    return f.withColumn("bucket", bucket).withColumn("doc", F.concat_ws("|", "project", bucket))
+
+
+def _blocks(f, shard_bytes):
+    """(doc, shard, payload, checksum) of every document's shards."""
+    return ar.pack(f.select(F.col("doc").alias("project"), "path", "content", "ord"), shard_bytes, redact=False).select(
+        F.col("project").alias("doc"), "shard", "payload", "checksum")
+
+
+def _framed(head, payload):
+    return F.concat(F.lit("some text\n" + ar.BLOCK_START + "\n"), head, payload, F.lit("\n" + ar.BLOCK_END + "\nmore"))
+
+
+def _damaged(blocks, kind):
+    """Blocks whole (kind 0), with another checksum (1), without one (2), gone (3), or of a payload that is none (4)."""
+    junk = F.base64(F.encode(F.lit("no stream"), "UTF-8"))
+    head = F.concat(F.lit("sha256:"), F.col("checksum"), F.lit("\n"))
+    other = F.concat(F.lit("sha256:"), F.reverse("checksum"), F.lit("0\n"))
+    wrapped = F.regexp_replace("payload", "(.{76})", "$1\n ")
+    text = (F.when(kind == 0, _framed(head, wrapped)).when(kind == 1, _framed(other, F.col("payload"))).when(kind == 2, _framed(F.lit(""), F.col("payload")))
+            .when(kind == 3, F.lit("nothing here")).otherwise(_framed(F.concat(F.lit("sha256:"), F.sha2(junk, 256), F.lit("\n")), junk)))
+    return blocks.withColumn("text", text)
+
+
+def _bucket_of(doc):
+    return F.element_at(F.split(doc, r"\|"), -1).cast("int")
+
+
+@register("archive_status", "S7", f"""
+WITH d AS (SELECT *, {_DOC} AS doc, ord // {DOC_FILES} % 5 AS kind FROM files),
+p AS (SELECT unnest(['strict', 'lenient']) AS policy),
+seen AS (SELECT policy, doc, path, content, CASE kind WHEN 0 THEN 'ok' WHEN 1 THEN 'mismatch' WHEN 2 THEN 'legacy' WHEN 3 THEN 'missing' ELSE 'corrupt' END AS status,
+                kind IN (0, 2) OR (kind = 1 AND policy = 'lenient') AS opened FROM d, p)
+SELECT policy, doc, status, path, md5(content) AS md5 FROM seen WHERE opened
+UNION ALL SELECT DISTINCT policy, doc, status, NULL, NULL FROM seen WHERE NOT opened
 """)
+def q_archive_status(spark, sf):
+    """Archives whole, altered, without checksum, gone and broken, under both policies; one block a document."""
+    f = _snapshot_files(spark, sf)
+    docs = stored(_damaged(_blocks(f, 1 << 40), _bucket_of("doc") % 5).select("doc", "shard", "text"), "damaged")
+    both = [ar.unpack(docs, "text", policy, keys=("doc", "shard")).withColumn("policy", F.lit(policy)) for policy in ("strict", "lenient")]
+    return both[0].unionByName(both[1]).select("policy", "doc", "status", "path", F.md5("content").alias("md5"))
+
+
+_LOADED = rf"""
+SELECT doc, path, CASE WHEN kind = 1 THEN 'mismatch' ELSE 'ok' END AS status, CASE WHEN kind < 3 THEN 'archive' ELSE 'scrape' END AS source,
+       CASE WHEN kind < 3 THEN content ELSE regexp_replace(content, '\s+$', '') END AS content
+FROM (SELECT *, {_DOC} AS doc, ord // {DOC_FILES} % 5 AS kind FROM files)
+UNION ALL
+SELECT DISTINCT {_DOC} || '|x', NULL, CASE WHEN ord // {DOC_FILES} % 2 = 0 THEN 'no_text' ELSE 'no_files' END, NULL, NULL FROM files
+"""
+
+
+@register("load_snapshot", "S10", f"SELECT doc, path, status, source, md5(content) AS md5 FROM ({_LOADED})")
 def q_load_snapshot(spark, sf):
-    """A snapshot document per file: an archive block or marked text; some without text or files."""
+    """Documents of many files: several archive shards, pieces of marked text; some without text or files."""
     return _loaded(spark, sf).select("doc", "path", "status", "source", F.md5("content").alias("md5"))
 
 
 def _loaded(spark, sf):
-    f = t.files(spark, sf).withColumn("doc", F.concat_ws("|", "project", "path"))
-    packed = ar.pack(f.where(F.col("ord") % 2 == 0).select(F.col("doc").alias("project"), "path", "content", "ord"), redact=False)
-    marked = f.where(F.col("ord") % 2 == 1).select("doc", F.concat(F.lit("\n--- START_FILE: "), "path", F.lit(" ---\n"), "content",
-                                                                   F.lit("\n--- END_FILE ---\n")).alias("text"))
-    bad = f.where(F.col("ord") % 20 == 0).select(F.concat_ws("|", "doc", F.lit("x")).alias("doc"),
-                                                 F.when(F.col("ord") % 40 == 0, " \n").otherwise("nothing marked").alias("text"))
-    docs = packed.select(F.col("project").alias("doc"), F.col("block").alias("text")).unionByName(marked).unionByName(bad)
-    return ar.load_snapshot(docs, key="doc")
-
-
-@register("snapshot_totals", "S10", r"""
-SELECT concat_ws('|', project, path) AS doc, 'ok' AS status, CAST(1 AS BIGINT) AS files, CAST(n AS BIGINT) AS chars, CAST(n // 4 AS BIGINT) AS tokens
-FROM (SELECT *, length(CASE WHEN ord % 2 = 0 THEN content ELSE regexp_replace(content, '\s+$', '') END) AS n FROM files)
-UNION ALL SELECT concat_ws('|', project, path, 'x'), CASE WHEN ord % 40 = 0 THEN 'no_text' ELSE 'no_files' END, 0, 0, 0 FROM files WHERE ord % 20 = 0
+    f = _snapshot_files(spark, sf)
+    docs = _damaged(_blocks(f, SNAPSHOT_SHARD), _bucket_of("doc") % 5).select("doc", F.col("shard").alias("piece"), "text")
+    marked = F.concat(F.lit("\n--- START_FILE: "), "path", F.lit(" ---\n"), "content", F.lit("\n--- END_FILE ---\n"))
+    piece = F.expr(f"CAST(ord DIV {PIECE_FILES} AS INT)").alias("piece")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "m"))), lambda x: x["m"]), "")
+    marked = f.select("doc", piece, "ord", marked.alias("m")).groupBy("doc", "piece").agg(text.alias("text"))
+    none = f.select(F.concat_ws("|", "doc", F.lit("x")).alias("doc"), F.lit(0).alias("piece"),
+                    F.when(F.col("bucket") % 2 == 0, " \n").otherwise("nothing marked").alias("text")).distinct()
+    return ar.load_snapshot(docs.unionByName(marked).unionByName(none), key="doc", piece="piece")
+
+
+@register("snapshot_totals", "S10", f"""
+SELECT doc, status, count(path) AS files, CAST(coalesce(sum(length(content)), 0) AS BIGINT) AS chars,
+       CAST(coalesce(sum(length(content)), 0) // 4 AS BIGINT) AS tokens FROM ({_LOADED}) GROUP BY doc, status
 """)
 def q_snapshot_totals(spark, sf):
     return ar.snapshot_totals(_loaded(spark, sf), "doc")
 
 
-@register("tree_section", "S11", """
-SELECT project, path, 'src' || chr(10) || '    ' || path AS tree FROM files
+@register("tree_section", "S11", f"""
+WITH bf AS (SELECT {_DOC} AS project, path FROM files), {TREE_LINES.strip().replace("FROM files", "FROM bf")}
+SELECT project AS doc, '.' || chr(10) || string_agg(prefix || CASE WHEN is_last THEN '└── ' ELSE '├── ' END || p[-1], chr(10) ORDER BY p) AS tree
+FROM tw GROUP BY project
 """)
 def q_tree_section(spark, sf):
-    """A rendered text per file, its tree section found again."""
-    f = t.files(spark, sf)
-    tree = F.concat(F.lit("src\n    "), "path")
-    text = F.concat(F.lit(rd.TREE_INTRO), F.lit("\n  "), tree, F.lit("\n\n--- START_FILE: x ---\n"), "content")
-    docs = f.select(F.struct("project", "path").alias("doc"), text.alias("text"))
-    return ar.tree_section(docs, key="doc").select("doc.project", "doc.path", "tree")
+    """The rendered tree of each document, found again in its text."""
+    f = _snapshot_files(spark, sf).select(F.col("doc").alias("project"), "path", "content", "ord")
+    line = F.struct("parts", "line")
+    tree = tree_lines(f).groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("tree"))
+    first = f.groupBy("project").agg(F.min_by("content", "ord").alias("content"))
+    text = F.concat(F.lit(rd.TREE_INTRO), F.lit("\n  "), "tree", F.lit("\n\n--- START_FILE: x ---\n"), "content")
+    docs = tree.join(first, "project").select(F.col("project").alias("doc"), text.alias("text"))
+    return ar.tree_section(docs, key="doc")
 
 
 @register("markdown_blocks", "S12", f"""

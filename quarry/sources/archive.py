@@ -87,7 +87,7 @@ def unpack(archives: DataFrame, text_col: str = "block", policy: str = "strict",
     everything but ok/legacy rows; ``lenient`` also decodes mismatches."""
     rx = _block_rx(start, end)
     t = F.col(text_col)
-    has = t.rlike(rx)
+    has = F.coalesce(t.rlike(rx), F.lit(False))
     raw = F.regexp_extract(t, rx, 1)
     with_sum = raw.startswith("sha256:")
     rest = F.when(F.instr(F.col("_raw"), "\n") > 0, F.expr("substr(_raw, instr(_raw, '\n') + 1)"))
@@ -103,7 +103,9 @@ def unpack(archives: DataFrame, text_col: str = "block", policy: str = "strict",
     )
     a = a.withColumn("status", status)
     decodable = ["ok", "legacy"] + (["mismatch"] if policy == "lenient" else [])
-    dec = a.where(F.col("status").isin(*decodable)).select(*keys, "status", F.unbase64("payload").alias("z"))
+    # characters beside the alphabet are passed over; a payload of the wrong length is corrupt, not an error
+    z = F.try_to_binary(F.regexp_replace("payload", "[^A-Za-z0-9+/=]", ""), F.lit("base64"))
+    dec = a.where(F.col("status").isin(*decodable)).select(*keys, "status", z.alias("z"))
     schema = ", ".join(f"{k} {'int' if k == 'shard' else 'string'}" for k in keys)
     js = dec.mapInPandas(_zlib("z", "data", False), f"{schema}, status string, data binary")
     m = js.select(*keys, "status", F.from_json(F.decode("data", "UTF-8"), "map<string,string>").alias("m"))
@@ -114,15 +116,16 @@ def unpack(archives: DataFrame, text_col: str = "block", policy: str = "strict",
     return rows.unionByName(bad)
 
 
-def scrape_marked(docs: DataFrame, text_col: str = "text", key: str = "project") -> DataFrame:
+def scrape_marked(docs: DataFrame, text_col: str = "text", key: str = "project", piece: str | None = None) -> DataFrame:
     """(path, content) from START_FILE/END_FILE text; content right-trimmed;
-    a repeated path keeps its last block."""
-    z = docs.select(key, F.posexplode(F.arrays_zip(
+    a repeated path keeps its last block. ``piece`` orders the rows of a document in several."""
+    part = F.col(piece).alias("piece") if piece else F.lit(0).alias("piece")
+    z = docs.select(key, part, F.posexplode(F.arrays_zip(
         F.regexp_extract_all(text_col, F.lit(FILE_START_RX), 1).alias("p"),
         F.regexp_extract_all(text_col, F.lit(FILE_START_RX), 2).alias("c"))).alias("pos", "b"))
-    z = z.select(key, "pos", F.regexp_extract("b.p", r"(?s)^\s*(.*?)\s*$", 1).alias("path"),
+    z = z.select(key, "piece", "pos", F.regexp_extract("b.p", r"(?s)^\s*(.*?)\s*$", 1).alias("path"),
                  F.regexp_replace("b.c", r"\s+$", "").alias("content"))
-    return z.groupBy(key, "path").agg(F.max_by("content", "pos").alias("content"))
+    return z.groupBy(key, "path").agg(F.max_by("content", F.struct("piece", "pos")).alias("content"))
 
 
 def force_scrape(docs: DataFrame, text_col: str = "text", key: str = "project") -> DataFrame:
@@ -144,19 +147,29 @@ def tree_section(docs: DataFrame, text_col: str = "text", key: str = "project")
     return docs.select(key, F.regexp_replace(F.regexp_extract(text_col, TREE_SECTION_RX, 1), r"^\s+|\s+$", "").alias("tree"))
 
 
-def load_snapshot(docs: DataFrame, text_col: str = "text", key: str = "project") -> DataFrame:
-    """(key, path, content, source, status): archive rows where the block decodes, else
-    the marked-text scrape. A document without text has one row with status 'no_text', one
-    that yields no file 'no_files'; the others are 'ok'."""
-    arch = unpack(docs.select(key, F.lit(0).alias("shard"), text_col), text_col, keys=(key, "shard"))
-    good = arch.where(F.col("status").isin("ok", "legacy") & F.col("path").isNotNull()).select(key, "path", "content")
-    scraped = scrape_marked(docs.join(good.select(key).distinct(), key, "left_anti"), text_col, key)
+def load_snapshot(docs: DataFrame, text_col: str = "text", key: str = "project", piece: str | None = None) -> DataFrame:
+    """(key, path, content, source, status) of documents given as one or more rows each: archive
+    shards, marked text, or both. ``piece`` orders a document's rows.
+
+    A document is restored from its archive blocks if each of them decodes and they hold a file; a
+    checksum that differs is no obstacle, but its document's status is 'mismatch' instead of 'ok'. Otherwise the
+    marked text of all its rows is scraped. One without text has a row with status 'no_text', one that
+    yields no file 'no_files'."""
+    part = F.col(piece) if piece else F.lit(0)
+    arch = unpack(docs.select(key, part.cast("int").alias("shard"), text_col), text_col, policy="lenient", keys=(key, "shard"))
+    arch = stored(arch.where(F.col("status") != "missing"), "unpacked")
+    state = arch.groupBy(key).agg(
+        (F.max(F.col("path").isNotNull()) & ~F.max(F.col("status") == "corrupt")).alias("whole"),
+        F.when(F.max(F.col("status") == "mismatch"), "mismatch").otherwise("ok").alias("status"))
+    state = state.where("whole").select(key, "status")
+    good = arch.where(F.col("path").isNotNull()).select(key, "path", "content").join(state, key)
+    scraped = scrape_marked(docs.join(state.select(key), key, "left_anti"), text_col, key, piece).withColumn("status", F.lit("ok"))
     files = good.withColumn("source", F.lit("archive")).unionByName(scraped.withColumn("source", F.lit("scrape")))
     none = F.lit(None).cast("string")
     blank = F.length(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", "")) == 0
-    bad = docs.select(key, F.when(blank, "no_text").otherwise("no_files").alias("status")).join(files.select(key).distinct(), key, "left_anti")
+    bad = docs.groupBy(key).agg(F.when(F.min(blank), "no_text").otherwise("no_files").alias("status")).join(files.select(key).distinct(), key, "left_anti")
     bad = bad.select(key, none.alias("path"), none.alias("content"), none.alias("source"), "status")
-    return files.withColumn("status", F.lit("ok")).unionByName(bad)
+    return files.select(key, "path", "content", "source", "status").unionByName(bad)
 
 
 def snapshot_totals(loaded: DataFrame, key: str = "project") -> DataFrame:
