@@ -176,6 +176,45 @@ def q_sync_index(spark, sf):
     return _index_rows(vx.sync_index(vx.build_index(a), acts, b), "project", "path")
 
 
+LETTERS = "etaoinsr"  # of the plugged-in embedding whose values SQL can restate
+
+
+def _letters(text):
+    """Counts of eight letters: a plug-in embedding."""
+    return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
+
+
+def _millionths(index, *keys):
+    return index.select(*keys, "size", F.transform("embedding", lambda x: F.round(x * 1_000_000).cast("long")).alias("millionths"))
+
+
+def _letters_sql(keys, path, content, src):
+    counts = ", ".join(f"length(x) - length(replace(x, '{c}', ''))" for c in LETTERS)
+    return (f"SELECT {keys}, size, list_transform(v, lambda a: CAST(round(a / sqrt(list_dot_product(v, v)) * 1000000) AS BIGINT)) AS millionths FROM "
+            f"(SELECT *, CAST([{counts}] AS DOUBLE[]) AS v FROM (SELECT {keys}, CAST(length({content}) AS BIGINT) AS size, "
+            f"'File: ' || {path} || chr(10) || chr(10) || {content} AS x FROM {src} WHERE length({content}) > 0))")
+
+
+@register("index_values", "V3/U1", _letters_sql("project, path", "path", "content", "files"))
+def q_index_values(spark, sf):
+    """An index of a plugged-in embedding, the vectors compared by value."""
+    return _millionths(vx.build_index(t.files(spark, sf), _letters), "project", "path")
+
+
+@register("sync_index_values", "V8", _letters_sql("project, path", "path", "content", "files_b") + " UNION ALL "
+          + _letters_sql("project, path", "path", "content", "(SELECT * FROM files_a WHERE project NOT IN (SELECT project FROM files_b))"))
+def q_sync_index_values(spark, sf):
+    """Vectors after a sync: edited files have those of their new text."""
+    a, b = t.files_a(spark, sf), t.files_b(spark, sf)
+    acts = sto.sync_actions(sto.as_store_rows(a, "2024-01-01"), b)
+    return _millionths(vx.sync_index(vx.build_index(a, _letters), acts, b, _letters), "project", "path")
+
+
+@register("conversation_index_values", "V9", _letters_sql("id, conv_id, turn, role", "id", "text", "(SELECT *, concat_ws('/', conv_id, turn) AS id FROM conversations)"))
+def q_conversation_index_values(spark, sf):
+    return _millionths(vx.conversation_index(t.table(spark, sf, "conversations"), _letters), "id", "conv_id", "turn", "role")
+
+
 def _questions(spark, sf):
     q = t.queries(spark, sf).select(F.col("query_id").alias("probe_id"), "text")
     return vx.embed_texts(q, "text").select("probe_id", "embedding")
