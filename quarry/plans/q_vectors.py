@@ -188,10 +188,13 @@ def _millionths(index, *keys):
     return index.select(*keys, "size", F.transform("embedding", lambda x: F.round(x * 1_000_000).cast("long")).alias("millionths"))
 
 
+def _counts_sql(x):
+    return "CAST([" + ", ".join(f"length({x}) - length(replace({x}, '{c}', ''))" for c in LETTERS) + "] AS DOUBLE[])"
+
+
 def _letters_sql(keys, path, content, src):
-    counts = ", ".join(f"length(x) - length(replace(x, '{c}', ''))" for c in LETTERS)
     return (f"SELECT {keys}, size, list_transform(v, lambda a: CAST(round(a / sqrt(list_dot_product(v, v)) * 1000000) AS BIGINT)) AS millionths FROM "
-            f"(SELECT *, CAST([{counts}] AS DOUBLE[]) AS v FROM (SELECT {keys}, CAST(length({content}) AS BIGINT) AS size, "
+            f"(SELECT *, {_counts_sql('x')} AS v FROM (SELECT {keys}, CAST(length({content}) AS BIGINT) AS size, "
             f"'File: ' || {path} || chr(10) || chr(10) || {content} AS x FROM {src} WHERE length({content}) > 0))")
 
 
@@ -215,6 +218,24 @@ def q_conversation_index_values(spark, sf):
     return _millionths(vx.conversation_index(t.table(spark, sf, "conversations"), _letters), "id", "conv_id", "turn", "role")
 
 
+@register("conversation_search_values", "V9", f"""
+WITH p AS (SELECT query_id AS probe_id, {_counts_sql('text')} AS a FROM queries),
+v AS (SELECT id, {_counts_sql("('File: ' || id || chr(10) || chr(10) || text)")} AS b FROM (
+      SELECT *, concat_ws('/', conv_id, turn) AS id FROM conversations WHERE role = 'user' AND conv_id % 2 = 0 AND length(text) > 0)),
+s AS (SELECT probe_id, id, round(CASE WHEN list_dot_product(a, a) = 0 THEN 0 ELSE list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) END, 6) AS score
+      FROM p, v)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, id) AS BIGINT) AS rank FROM s WHERE score >= 0.9) WHERE rank <= 5
+""")
+def q_conversation_search_values(spark, sf):
+    """User turns of the even conversations nearest to each question, by the plugged-in embedding."""
+    c = t.table(spark, sf, "conversations")
+    q = t.queries(spark, sf).select(F.col("query_id").alias("probe_id"), "text")
+    probes = vx.embed_texts(q, "text", embed=_letters).select("probe_id", "embedding")
+    even = c.where(F.col("conv_id") % 2 == 0).select("conv_id")
+    found = vx.search_conversations(probes, vx.conversation_index(c, _letters), 5, 0.9, ["user"], even)
+    return found.select("probe_id", "id", "score", "rank")
+
+
 def _questions(spark, sf):
     q = t.queries(spark, sf).select(F.col("query_id").alias("probe_id"), "text")
     return vx.embed_texts(q, "text").select("probe_id", "embedding")
