@@ -139,7 +139,8 @@ def _loaded(spark, sf):
     marked = f.select("doc", piece, "ord", marked.alias("m")).groupBy("doc", "piece").agg(text.alias("text"))
     none = f.select(F.concat_ws("|", "doc", F.lit("x")).alias("doc"), F.lit(0).alias("piece"),
                     F.when(F.col("bucket") % 2 == 0, " \n").otherwise("nothing marked").alias("text")).distinct()
-    return ar.load_snapshot(docs.unionByName(marked).unionByName(none), key="doc", piece="piece")
+    docs = stored(docs.unionByName(marked).unionByName(none), "snapshots")
+    return ar.load_snapshot(docs, key="doc", piece="piece")
 
 
 @register("snapshot_totals", "S10", f"""
