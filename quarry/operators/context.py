@@ -16,8 +16,8 @@ from quarry.functions import paths as P
 from quarry.functions import text as X
 from quarry.functions.bounded import small
 from quarry.operators.postings import occurrences
-from quarry.operators.tree import tree_length
-from quarry.session import checkpoint_dir
+from quarry.operators.tree import tree_length, tree_rows
+from quarry.session import checkpoint_dir, stored
 
 # Fixed values of the reference's context selection.
 FRAME_RX = r'File "(.*?)", line \d+'
@@ -29,6 +29,7 @@ HEADER_TOKENS = 20
 TIME_TRAVEL_TOKENS = 20
 DIFF_EXTRA_TOKENS = 10
 TREE_HEADER = "PROJECT ARCHITECTURE:\n"
+TREE_BLOCK = 256  # tree lines in a row of the context document
 CONTEXT_SHARE = 0.6
 MENTION_LIMIT = 3
 # White space as Python's str.split has it.
@@ -304,13 +305,16 @@ def context_blocks(packed: DataFrame, files: DataFrame, diffs: DataFrame | None
 
 
 def context_document(packed: DataFrame, files: DataFrame, queries: DataFrame, diffs: DataFrame | None = None,
-                     time_travel: bool = False, scope: str = "project") -> DataFrame:
+                     time_travel: bool = False, scope: str = "project", whole: bool = False) -> DataFrame:
     """X14 as ordered rows (query_id, scope, section, position, text, start_chars, chars).
 
-    Sections: 0 the tree, 1 notes, 2 priority files, 3 scored files. The tree is kept whole, as lines stored once
-    per project (``operators.tree.tree_rows``): its row here holds the header alone and refers to them by the
-    scope, while ``chars`` counts header, tree and the blank line after it. So neither a tree nor a document is ever one
-    string, and what a query's window holds is its packed files, bounded by frames and token budget."""
+    Sections: 0 the tree, 1 notes, 2 priority files, 3 scored files. With ``whole`` the texts of a query, in the order
+    of section and position, are its document: section 0 is the header, blocks of ``TREE_BLOCK`` tree lines, and the
+    line feeds that end it. Blocks are made once per scope and joined to the queries by (scope, block), so neither a
+    tree nor a document is ever one string and no scope meets all its queries in one task. Without it section 0 is the
+    header's row alone, which refers to the lines of ``operators.tree.tree_rows`` by the scope, and its ``chars`` counts
+    header, tree and the blank line after it. What a query's window holds is its packed files, bounded by frames and
+    token budget."""
     q = queries.select("query_id", scope)
     tree = tree_length(files, scope)
     head = q.join(tree, scope, "left").select(
@@ -326,7 +330,29 @@ def context_document(packed: DataFrame, files: DataFrame, queries: DataFrame, di
     body = body.unionByName(note(packed.where(F.col("kind") == "priority").select("query_id").distinct(), 1, PRIORITY_NOTE))
     if time_travel:
         body = body.unionByName(note(q, 0, TIME_TRAVEL_NOTE))
+    # the first row counts the whole tree, whose rows stay out of the window
     rows = head.unionByName(body.withColumn("chars", F.length("text").cast("long")))
     before = Window.partitionBy("query_id").orderBy("section", "position").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start_chars", F.coalesce(F.sum("chars").over(before), F.lit(0)))
-    return rows.join(q, "query_id").select("query_id", scope, "section", "position", "text", "start_chars", "chars")
+    rows = rows.join(q, "query_id").select("query_id", scope, "section", "position", "text", "start_chars", "chars")
+    if not whole:
+        return rows
+    own = F.when(F.col("section") == 0, len(TREE_HEADER)).otherwise(F.col("chars")).cast("long")
+    return rows.withColumn("chars", own).unionByName(_tree_parts(q, files, scope))
+
+
+def _tree_parts(q: DataFrame, files: DataFrame, scope: str) -> DataFrame:
+    """The rows of section 0 behind the header: blocks of tree lines, then the end of the section."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"])
+    blocks = tree_rows(files, scope).groupBy(scope, F.expr(f"position DIV {TREE_BLOCK}").alias("block")).agg(
+        F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("text"), (F.min("start_chars") + len(TREE_HEADER)).cast("long").alias("start_chars"))
+    blocks = stored(blocks, "tree-blocks")
+    per = blocks.groupBy(scope).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("tree"))
+    mine = q.join(small(per), scope, "left").select("query_id", scope, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("tree", F.lit(0)).alias("tree"))
+    asked = mine.where(F.col("n") > 0).select("query_id", scope, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
+    body = asked.join(small(blocks), [scope, "block"]).select(
+        "query_id", scope, F.lit(0).alias("section"), (F.col("block") + 1).alias("position"), "text", "start_chars", F.length("text").cast("long").alias("chars"))
+    end = F.when(F.col("n") > 0, "\n").otherwise("\n\n")
+    ends = mine.select("query_id", scope, F.lit(0).alias("section"), (F.col("n") + 1).alias("position"), end.alias("text"),
+                       (F.col("tree") + len(TREE_HEADER)).cast("long").alias("start_chars"), F.length(end).cast("long").alias("chars"))
+    return body.unionByName(ends)

@@ -78,14 +78,14 @@ def q_context_budget(spark, sf):
 
 @register("context_tree", "X14/A6", sq.TREE_ROWS)
 def q_context_tree(spark, sf):
-    """The trees that the context documents refer to."""
+    """The trees that the context documents hold, a row per line."""
     return tree_rows(t.files(spark, sf))
 
 
 @register("context_document", "X14", sq.document("asks", PACK_TOKENS))
 def q_context_document(spark, sf):
     f, asks = t.files(spark, sf), t.asks(spark, sf)
-    return cx.context_document(cx.pack_context(asks, f, max_tokens=PACK_TOKENS), f, asks)
+    return cx.context_document(cx.pack_context(asks, f, max_tokens=PACK_TOKENS), f, asks, whole=True)
 
 
 @register("context_document_diff", "X14/W2")
@@ -94,4 +94,4 @@ def q_context_document_diff(spark, sf):
     cur, asks = t.files_b(spark, sf), t.asks(spark, sf)
     diffs = ch.file_diffs(t.files_a(spark, sf), cur)
     packed = cx.pack_context(asks, cur, max_tokens=PACK_TOKENS, diffs=diffs, time_travel=True)
-    return cx.context_document(packed, cur, asks, diffs, time_travel=True)
+    return cx.context_document(packed, cur, asks, diffs, time_travel=True, whole=True)

@@ -62,15 +62,25 @@ SELECT project, row_number() OVER w - 1 AS position, line, CAST(sum(length(line)
 FROM lines WINDOW w AS (PARTITION BY project ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """
 
-DOCUMENT = """,
+#: As many lines of the tree as a row of the document has (``operators.context.TREE_BLOCK``).
+DOCUMENT = "," + TREE_LINES.rstrip() + """,
+tree_lines AS (SELECT project, p, prefix || CASE WHEN is_last THEN '└── ' ELSE '├── ' END || p[-1] AS line FROM tw
+               UNION ALL SELECT DISTINCT project, CAST([] AS VARCHAR[]), '.' FROM files),
+tree_blocks AS (SELECT project, k // 256 AS block, string_agg(line || chr(10), '' ORDER BY k) AS text
+                FROM (SELECT project, line, row_number() OVER (PARTITION BY project ORDER BY p) - 1 AS k FROM tree_lines) GROUP BY ALL),
 blocks AS (
   SELECT k.query_id, CASE WHEN k.kind = 'priority' THEN 2 ELSE 3 END AS section, CASE WHEN k.kind = 'priority' THEN k.first_pos ELSE -k.score END AS pos, k.ord,
          CASE WHEN k.crash_line IS NOT NULL THEN '!!! CRASH DETECTED IN ' || k.path || ' AT LINE ' || k.crash_line || ' !!!' || chr(10) ELSE '' END
          || '=== FILE: ' || k.path || ' ===' || chr(10) || f.content || chr(10) || chr(10) AS text
   FROM packed k JOIN files f USING (project, path)),
 parts AS (
-  SELECT a.query_id, 0 AS section, 0 AS position, 'PROJECT ARCHITECTURE:' || chr(10) AS text, 22 + coalesce(t.tree_chars, 0) + 2 AS chars
-  FROM {src} a LEFT JOIN tree t USING (project)
+  SELECT query_id, 0 AS section, 0 AS position, 'PROJECT ARCHITECTURE:' || chr(10) AS text, 22 AS chars FROM {src}
+  UNION ALL
+  SELECT a.query_id, 0, 1 + b.block, b.text, length(b.text) FROM {src} a JOIN tree_blocks b USING (project)
+  UNION ALL
+  SELECT query_id, 0, 1 + n, text, length(text) FROM (
+    SELECT a.query_id, coalesce(max(b.block) + 1, 0) AS n, CASE WHEN count(b.block) > 0 THEN chr(10) ELSE chr(10) || chr(10) END AS text
+    FROM {src} a LEFT JOIN tree_blocks b USING (project) GROUP BY a.query_id)
   UNION ALL
   SELECT query_id, 1, 1, note, length(note) FROM (SELECT DISTINCT query_id, '--- ACTIVE DEBUGGING CONTEXT (PRIORITY) ---' || chr(10)
     || '!!! THE USER IS DEBUGGING A CRASH !!!' || chr(10) || chr(10) AS note FROM blocks WHERE section = 2)
