@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import zlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,29 +27,44 @@ FORCE_FILE_RX = r"(?s)--- START_FILE: (.*?) ---\n(.*?)--- END_FILE ---"
 TREE_SECTION_RX = r"(?s)CONTEXT: PROJECT STRUCTURE\s*\n.*?Below is the file tree.*?\n\n(.*?)(?=\n\n---|\z)"
 SHARD_BYTES = 64 * 1024 * 1024
 MAX_SCRAPED_NAME = 200
+#: A task of the compressor gives its rows on when they hold this much.
+GIVE_BYTES = 4 * 1024 * 1024
 
 
-def _block_rx(start: str, end: str) -> str:
-    import re
+def _between(text: F.Column, start: str, end: str) -> F.Column:
+    """What stands between the first start marker and the end marker next to it, without white space around
+    it; null if there are no such two."""
+    at = F.instr(text, F.lit(start))
+    rest = F.when(at > 0, F.substr(text, at + len(start)))
+    to = F.instr(rest, F.lit(end))
+    return F.when(to > 0, F.btrim(F.substr(rest, F.lit(1), to - 1), F.lit(" \t\n\x0b\f\r")))
 
-    return "(?s)" + re.escape(start) + r"\s*(.*?)\s*" + re.escape(end)
 
+def _coded(value: pa.Scalar, compress: bool) -> bytes | None:
+    if not value.is_valid:
+        return None
+    try:
+        return zlib.compress(value.as_buffer()) if compress else zlib.decompress(value.as_buffer())
+    except zlib.error:
+        return None
+
+
+def _zlib(col: str, out: str, compress: bool, give_bytes: int = GIVE_BYTES):
+    """A task function: column ``col`` as ``out`` behind the others. Values are read in place one by one and given on
+    as soon as ``give_bytes`` are there, so a task holds what it was handed and little besides."""
 
-def _zlib(col: str, out: str, compress: bool):
     def run(batches):
-        for pdf in batches:
-            vals = []
-            for v in pdf[col]:
-                if v is None:
-                    vals.append(None)
-                    continue
-                try:
-                    vals.append(zlib.compress(bytes(v)) if compress else zlib.decompress(bytes(v)))
-                except zlib.error:
-                    vals.append(None)
-            pdf = pdf.drop(columns=[col])
-            pdf[out] = vals
-            yield pdf
+        for b in batches:
+            rest = [n for n in b.schema.names if n != col]
+            done, vals, size = 0, [], 0
+            for i in range(b.num_rows):
+                vals.append(_coded(b.column(col)[i], compress))
+                size += len(vals[-1] or b"")
+                if size >= give_bytes or i == b.num_rows - 1:
+                    own = [b.column(n).slice(done, len(vals)) for n in rest]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(vals, pa.binary())], names=[*rest, out])
+                    done, vals, size = i + 1, [], 0
+            del b  # not kept while the next one is read
 
     return run
 
@@ -71,7 +86,7 @@ def pack(files: DataFrame, shard_bytes: int = SHARD_BYTES, start: str = BLOCK_ST
     maps = sharded.groupBy("project", "shard").agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("path", "content")))).alias("json"))
     raw = maps.select("project", "shard", F.encode("json", "UTF-8").alias("data"))
-    comp = raw.mapInPandas(_zlib("data", "z", True), "project string, shard int, z binary")
+    comp = raw.mapInArrow(_zlib("data", "z", True), "project string, shard int, z binary")
     # base64 may be emitted in 76-character lines; the payload is one line.
     b64 = comp.select("project", "shard", F.regexp_replace(F.base64("z"), r"\s+", "").alias("payload"))
     out = b64.withColumn("checksum", F.sha2("payload", 256))
@@ -85,13 +100,10 @@ def unpack(archives: DataFrame, text_col: str = "block", policy: str = "strict",
     base64 -> zlib -> JSON -> rows. Status per archive: ok, mismatch, legacy (no
     checksum line), missing (no block), corrupt (decode failed). ``strict`` drops
     everything but ok/legacy rows; ``lenient`` also decodes mismatches."""
-    rx = _block_rx(start, end)
-    t = F.col(text_col)
-    has = F.coalesce(t.rlike(rx), F.lit(False))
-    raw = F.regexp_extract(t, rx, 1)
-    with_sum = raw.startswith("sha256:")
+    has, with_sum = F.col("_raw").isNotNull(), F.col("_raw").startswith("sha256:")
     rest = F.when(F.instr(F.col("_raw"), "\n") > 0, F.expr("substr(_raw, instr(_raw, '\n') + 1)"))
-    a = archives.select(*keys, raw.alias("_raw"), has.alias("_has"), with_sum.alias("_sum"))
+    a = archives.select(*keys, _between(F.col(text_col), start, end).alias("_raw"))
+    a = a.select(*keys, "_raw", has.alias("_has"), with_sum.alias("_sum"))
     expected = F.trim(F.regexp_replace(F.substring_index(F.col("_raw"), "\n", 1), "^sha256:", ""))
     payload = F.regexp_replace(F.when(F.col("_sum"), rest).otherwise(F.col("_raw")), r"\s+", "")
     a = a.select(*keys, "_has", "_sum", expected.alias("expected"), payload.alias("payload"))
@@ -105,15 +117,14 @@ def unpack(archives: DataFrame, text_col: str = "block", policy: str = "strict",
     decodable = ["ok", "legacy"] + (["mismatch"] if policy == "lenient" else [])
     # characters beside the alphabet are passed over; a payload of the wrong length is corrupt, not an error
     z = F.try_to_binary(F.regexp_replace("payload", "[^A-Za-z0-9+/=]", ""), F.lit("base64"))
-    dec = a.where(F.col("status").isin(*decodable)).select(*keys, "status", z.alias("z"))
+    opened = F.col("status").isin(*decodable)
+    # one pass over all archives: those that are not opened have a null payload
+    dec = a.select(*keys, "status", F.when(opened, z).alias("z"))
     schema = ", ".join(f"{k} {'int' if k == 'shard' else 'string'}" for k in keys)
-    js = dec.mapInPandas(_zlib("z", "data", False), f"{schema}, status string, data binary")
+    js = dec.mapInArrow(_zlib("z", "data", False), f"{schema}, status string, data binary")
     m = js.select(*keys, "status", F.from_json(F.decode("data", "UTF-8"), "map<string,string>").alias("m"))
-    rows = m.select(*keys, F.when(F.col("m").isNull(), "corrupt").otherwise(F.col("status")).alias("status"),
+    return m.select(*keys, F.when(opened & F.col("m").isNull(), "corrupt").otherwise(F.col("status")).alias("status"),
                     F.explode_outer("m").alias("path", "content"))
-    bad = a.where(~F.col("status").isin(*decodable)).select(*keys, "status", F.lit(None).cast("string").alias("path"),
-                                                              F.lit(None).cast("string").alias("content"))
-    return rows.unionByName(bad)
 
 
 def scrape_marked(docs: DataFrame, text_col: str = "text", key: str = "project", piece: str | None = None) -> DataFrame:
