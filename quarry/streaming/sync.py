@@ -13,8 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -46,24 +45,25 @@ class NewestChange(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "version long, file_hash string, deleted boolean")
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        row = initialState.sort_values("version").iloc[-1]
-        self.last.update((int(row["version"]), row["file_hash"], False))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
-        for pdf in rows:
-            top = pdf.sort_values(["version", "ord"], kind="stable").iloc[[-1]]
-            if newest is None or (top["version"].iloc[0], top["ord"].iloc[0]) >= (newest["version"].iloc[0], newest["ord"].iloc[0]):
-                newest = top
-        version, gone, digest = int(newest["version"].iloc[0]), bool(newest["deleted"].iloc[0]), newest["file_hash"].iloc[0]
-        old = self.last.get() if self.last.exists() else None
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        old = self.last.get()
+        if old is None or old[0] <= initialState["version"]:
+            self.last.update((initialState["version"], initialState["file_hash"], False))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        newest, top = None, None
+        for row in rows:
+            at = (row["version"], row["ord"] is None, row["ord"] or 0)
+            if top is None or at >= top:
+                newest, top = row, at
+        version, gone, digest = newest["version"], bool(newest["deleted"]), newest["file_hash"]
+        old = self.last.get()
         if old is not None and version <= old[0]:
             return  # late or seen before
         self.last.update((version, None if gone else digest, gone))
         if (old is None and gone) or (old is not None and bool(old[2]) == gone and (gone or old[1] == digest)):
             return  # nothing to delete, or the same content
-        yield newest[["project", "path", "version", "deleted", "file_hash", "content"]]
+        yield Row(**{c: newest[c] for c in ("project", "path", "version", "deleted", "file_hash", "content")})
 
     def close(self) -> None:
         pass
@@ -77,7 +77,7 @@ def newest_changes(rows: DataFrame, held: DataFrame | None = None) -> DataFrame:
     the store has before the stream's first batch."""
     hashed = rows.select("project", "path", "ord", "content", "version", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.md5("content").alias("file_hash"))
     initial = held.groupBy("project", "path") if held is not None else None
-    return hashed.groupBy("project", "path").transformWithStateInPandas(NewestChange(), _NEWEST, "append", "None", initial)
+    return hashed.groupBy("project", "path").transformWithState(NewestChange(), _NEWEST, "append", "None", initial)
 
 
 def _write_changes(root: str, stream: str, now):
@@ -142,37 +142,47 @@ class Assembly(StatefulProcessor):
         self.pieces = handle.getMapState("pieces", "seq long", "chunk string")
         self.known = handle.getValueState("known", "last long, n long, expires long, done boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, n, expires, done = self.known.get() if self.known.exists() else (-1, 0, 0, False)
-        newest = 0
-        for pdf in rows:
-            newest = max(newest, int(pdf["ts_ms"].max()))
-            for seq, chunk, fin in zip(pdf["seq"].tolist(), pdf["chunk"].tolist(), pdf["is_last"].tolist()):
-                if not done and not self.pieces.containsKey((seq,)):  # repeated pieces count once
-                    self.pieces.updateValue((seq,), (chunk,))
-                    n += 1
-                if fin:
-                    last = max(last, seq)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.known.get()
+        last, n, expires, done = before or (-1, 0, 0, False)
+        newest, came = 0, {}
+        for r in rows:
+            newest = max(newest, r["ts_ms"])
+            # repeated pieces count once: of those of a batch the earliest, then the greatest text
+            at = (-r["ts_ms"], r["chunk"] is not None, r["chunk"] or "")
+            if r["seq"] not in came or at > came[r["seq"]]:
+                came[r["seq"]] = at
+            if r["is_last"]:
+                last = max(last, r["seq"])
+        fresh = {}
+        if not done:
+            # pieces are looked up one by one only in a message that began in an earlier batch
+            fresh = {seq: at[2] for seq, at in came.items() if not n or not self.pieces.containsKey((seq,))}
+            whole = last >= 0 and n + len(fresh) == last + 1
+            if whole:
+                text = "".join(fresh[k] if k in fresh else self.pieces.getValue((k,))[0] or "" for k in range(last + 1))
+                if n:
+                    self.pieces.clear()
+            else:  # only what has to wait is kept
+                for seq in fresh:
+                    self.pieces.updateValue((seq,), (fresh[seq],))
+            n, done = n + len(fresh), whole
+            if whole and text:
+                yield Row(message_id=key[0], text=text, received=n, missing=0)
         if newest + self.wait_ms > expires:
             if expires:
                 self.handle.deleteTimer(expires)
             expires = newest + self.wait_ms
             self.handle.registerTimer(expires)
-        if not done and last >= 0 and n == last + 1:
-            text = "".join(self.pieces.getValue((k,))[0] or "" for k in range(last + 1))
-            self.pieces.clear()
-            done = True
-            if text:
-                yield pd.DataFrame({"message_id": [key[0]], "text": [text], "received": [n], "missing": [0]})
         self.known.update((last, n, expires, done))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         last, n, _, done = self.known.get()
-        self.pieces.clear()
+        if not done:
+            self.pieces.clear()
         self.known.clear()
         if not done:
-            missing = last + 1 - n if last >= 0 else None
-            yield pd.DataFrame({"message_id": [key[0]], "text": [None], "received": [n], "missing": pd.array([missing], "Int64")})
+            yield Row(message_id=key[0], text=None, received=n, missing=last + 1 - n if last >= 0 else None)
 
     def close(self) -> None:
         pass
@@ -188,5 +198,5 @@ def assemble_chunks_stream(chunks: DataFrame, delay: str = "10 minutes", wait_ms
     ``state_store``."""
     timed = chunks.withWatermark("ts", delay)
     timed = timed.select("message_id", "seq", "chunk", F.coalesce("is_last", F.lit(False)).alias("is_last"), "ts", F.unix_millis("ts").alias("ts_ms"))
-    return timed.groupBy("message_id").transformWithStateInPandas(
+    return timed.groupBy("message_id").transformWithState(
         Assembly(wait_ms), "message_id long, text string, received long, missing long", "append", "EventTime")
