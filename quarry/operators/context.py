@@ -237,7 +237,10 @@ def pack_context(queries: DataFrame, files: DataFrame, max_tokens: int = 100000,
     start = q.join(tree, scope, "left").join(spent, "query_id", "left").select("query_id", scope, (
         F.lit(max_tokens) - F.coalesce("base_tokens", F.lit(0)) - (TIME_TRAVEL_TOKENS if time_travel else 0) - F.coalesce("spent", F.lit(0))).alias("remaining"))
     start = _persist(start.where(F.col("remaining") > 0))
-    cand = relevance(q, files, scope).join(prio.select("query_id", "path"), ["query_id", "path"], "left_anti")
+    # a query whose tree and frames fill the budget takes no scored file: the others alone are scored, and as every
+    # file of a scope costs tokens of its tree, the files that such a query can meet are bounded by the budget
+    open_q = q.join(small(start.select("query_id").distinct()), "query_id", "left_semi")
+    cand = relevance(open_q, files, scope).join(prio.select("query_id", "path"), ["query_id", "path"], "left_anti")
     cand = _persist(costed(cand).select("query_id", scope, "path", "ord", "score", "cost"))
 
     accepted = []
