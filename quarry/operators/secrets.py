@@ -7,8 +7,10 @@ files without any hit (a combined prefilter runs first).
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ ANY_RULE = "|".join(f"(?:{rx})" for _, rx, _, _ in RULES)
 CASE_HINTS = ["AKIA", "AIza", "sk_live_", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxa-", "xoxb-", "xoxp-", "xoxr-",
               "whsec_", "-----BEGIN ", "eyJ", "://"]
 LOWER_HINTS = ["password", "passwd", "secret", "token", "api_key", "apikey"]
+# All of them in one look at the text.
+ANY_HINT = f"{'|'.join(map(re.escape, CASE_HINTS))}|(?i:{'|'.join(map(re.escape, LOWER_HINTS))})"
 
 
 def maybe_secret(c) -> F.Column:
@@ -54,9 +58,20 @@ def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def _hinted(text_col: str):
+    """A task function: the rows whose text has a literal without which no rule matches."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pc.match_substring_regex(b.column(text_col), ANY_HINT))
+
+    return run
+
+
 def scan(files: DataFrame, keys=("project", "path"), text_col: str = "content") -> DataFrame:
     """Candidates (keys, line, type, confidence, context, value)."""
-    hit = files.where(maybe_secret(text_col))
+    texts = files.select(*dict.fromkeys([*keys, text_col]))
+    hit = texts.mapInArrow(_hinted(text_col), texts.schema).where(maybe_secret(text_col))
     lines = hit.select(*keys, F.posexplode(F.split(text_col, "\n")).alias("i", "ctx")).where(maybe_secret("ctx"))
     def tag(t, c):
         return lambda v: F.struct(F.lit(t).alias("type"), F.lit(c).alias("confidence"), v.alias("value"))
